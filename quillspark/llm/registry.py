@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .quality import op2_quality_classifier
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
