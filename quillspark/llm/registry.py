@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op3_decontamination
 from .quality import op2_quality_classifier
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_decontamination": op3_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": decontaminate.ORACLE_SQL,
+}
