@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from . import decontaminate
+from .chat import op5_chat_format
 from .decontaminate import op3_decontamination
+from .licenses import op7_license_scan
+from .media import op4_media_columns
 from .quality import op2_quality_classifier
 from .substring_dedup import op1_substring_dedup
 
@@ -11,6 +14,9 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
+    "op4_media_columns": op4_media_columns,
+    "op5_chat_format": op5_chat_format,
+    "op7_license_scan": op7_license_scan,
 }
 
 ORACLES: dict[str, str] = {
