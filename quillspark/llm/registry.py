@@ -7,6 +7,7 @@ from .chat import op5_chat_format
 from .decontaminate import op3_decontamination
 from .licenses import op7_license_scan
 from .media import op4_media_columns
+from .mixing import op8_source_mixing
 from .quality import op2_quality_classifier
 from .substring_dedup import op1_substring_dedup
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_media_columns": op4_media_columns,
     "op5_chat_format": op5_chat_format,
     "op7_license_scan": op7_license_scan,
+    "op8_source_mixing": op8_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
