@@ -10,6 +10,7 @@ from .media import op4_media_columns
 from .mixing import op8_source_mixing
 from .quality import op2_quality_classifier
 from .substring_dedup import op1_substring_dedup
+from .token_files import op10_token_files
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op7_license_scan": op7_license_scan,
     "op8_source_mixing": op8_source_mixing,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {
