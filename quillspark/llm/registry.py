@@ -11,6 +11,8 @@ from .mixing import op8_source_mixing
 from .quality import op2_quality_classifier
 from .substring_dedup import op1_substring_dedup
 from .token_files import op10_token_files
+from .urls import op6_url_filter
+from .urls import op6_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -18,6 +20,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_media_columns": op4_media_columns,
     "op5_chat_format": op5_chat_format,
+    "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
     "op8_source_mixing": op8_source_mixing,
     "op10_token_files": op10_token_files,
