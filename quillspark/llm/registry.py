@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontaminate
 from .chat import op5_chat_format
 from .decontaminate import op3_decontamination
+from .jaccard import op9_jaccard_join
 from .licenses import op7_license_scan
 from .media import op4_media_columns
 from .mixing import op8_source_mixing
@@ -23,6 +24,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
     "op8_source_mixing": op8_source_mixing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
 }
 
