@@ -1,0 +1,100 @@
+"""Cost and usage reports over the usage fact (userid, day, surface, feature, model, calls, cost_usd)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+PLAN_PRICE = 9.99
+
+#: Model prefixes and the providers that bill for them; surfaces decide for unknown models.
+PROVIDERS = {"click": "provider_a", "view": "provider_a", "purchase": "provider_b", "error": "provider_b"}
+
+
+def window_of(facts: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Facts of the last `days` days up to as_of; the bounds reach the scan where day is stored."""
+    return facts.filter(F.col("day") >= F.date_sub(F.to_date(F.lit(as_of)), days))
+
+
+def provider_of(model="model"):
+    known = F.create_map(*(F.lit(x) for kv in PROVIDERS.items() for x in kv))
+    return F.coalesce(F.element_at(known, F.col(model)), F.lit("other"))
+
+
+def per_user(facts: DataFrame, users: DataFrame, limit: int | None = 200, plan_price: float = PLAN_PRICE) -> DataFrame:
+    """Each user's spend with account, cost per call and share of the plan price, ranked by spend."""
+    sums = facts.groupBy("userid").agg(F.sum("calls").cast("long").alias("calls"), F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    cost = F.col("cost_usd").cast("double")
+    out = sums.join(users, "userid", "left").select(
+        "userid",
+        F.coalesce("name", F.lit("no account")).alias("name"),
+        F.coalesce("status", F.lit("none")).alias("status"),
+        "calls",
+        "cost_usd",
+        F.round(F.try_divide(cost, F.col("calls")), 6).alias("cost_per_call"),
+        F.round(cost * 100 / F.lit(plan_price), 2).alias("pct_of_plan"),
+        F.round(F.lit(plan_price) - cost, 4).alias("margin"),
+        "first_at",
+        "last_at",
+    )
+    ordered = out.orderBy(F.desc("cost_usd"), "userid")
+    return ordered.limit(limit) if limit else ordered
+
+
+def grouped(facts: DataFrame) -> DataFrame:
+    """Spend by user, provider, provider and model, feature, and day, in one pass."""
+    f = facts.withColumn("provider", provider_of())
+    f.createOrReplaceTempView("quill_cost_facts")
+    return f.sparkSession.sql(
+        """
+        SELECT CASE grouping_id(userid, provider, model, feature, day) WHEN 15 THEN 'user' WHEN 23 THEN 'provider'
+                    WHEN 19 THEN 'model' WHEN 29 THEN 'feature' ELSE 'day' END AS level,
+               coalesce(userid, provider || coalesce('/' || model, ''), feature, CAST(day AS STRING)) AS key,
+               CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd,
+               count(DISTINCT userid) AS users
+        FROM quill_cost_facts
+        GROUP BY GROUPING SETS ((userid), (provider), (provider, model), (feature), (day))
+        """
+    )
+
+
+def user_breakdown(facts: DataFrame) -> DataFrame:
+    """Per user, a map from feature to spend."""
+    each = facts.groupBy("userid", "feature").agg(F.sum("cost_usd").cast("decimal(18,6)").alias("cost"))
+    return each.groupBy("userid").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "feature", F.col("cost").cast("string")))), ";").alias("by_feature"), F.sum("cost").cast("decimal(18,6)").alias("cost_usd"))
+
+
+def daily_series(facts: DataFrame, as_of: str, days: int, include_today: bool = False) -> DataFrame:
+    """A row for each day of the window, zero where nothing was used; today only on request."""
+    end = F.to_date(F.lit(as_of))
+    spine = facts.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(end, days), end if include_today else F.date_sub(end, 1))).alias("day"))
+    sums = facts.groupBy("day").agg(F.sum("calls").alias("calls"), F.sum("cost_usd").alias("cost"), F.countDistinct("userid").alias("users"))
+    return spine.join(sums, "day", "left").select("day", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), F.coalesce("cost", F.lit(0)).cast("decimal(18,6)").alias("cost_usd"), F.coalesce("users", F.lit(0)).cast("long").alias("users"))
+
+
+def totals(facts: DataFrame, ledger_cost: DataFrame, plan_price: float = PLAN_PRICE) -> DataFrame:
+    """Totals over all users, reconciled with an independent ledger (one row: ledger_usd)."""
+    users = facts.groupBy("userid").agg(F.sum("cost_usd").alias("cost"))
+    whole = users.agg(F.count(F.lit(1)).alias("active_users"), F.sum("cost").cast("decimal(18,6)").alias("attributed_usd"), F.max("cost").cast("decimal(18,6)").alias("max_usd"), F.count_if(F.col("cost") > F.lit(plan_price)).alias("over_plan"))
+    a, b = F.col("attributed_usd").cast("double"), F.col("ledger_usd").cast("double")
+    return whole.crossJoin(F.broadcast(ledger_cost)).select(
+        "active_users", "attributed_usd", "max_usd", "over_plan", "ledger_usd",
+        F.round(F.try_divide(a, F.col("active_users")), 6).alias("avg_usd"),
+        F.round(F.greatest(b - a, F.lit(0.0)), 6).alias("unattributed_usd"),
+        F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6).alias("attribution_rate"),
+    )
+
+
+def call_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
+    """Cost of each call: tokens and searches at the rates of its provider (per million tokens, per search)."""
+    money = "decimal(18,6)"
+    cost = (F.col("input_tokens") * F.col("in_rate") + F.col("output_tokens") * F.col("out_rate")) / 1_000_000 + F.col("web_searches") * F.col("search_rate")
+    return usage.join(F.broadcast(rates), "provider", "left").withColumn("cost_usd", F.coalesce(cost, F.lit(0)).cast(money))
+
+
+def top_features(facts: DataFrame, k: int = 2) -> DataFrame:
+    """Each user's k dearest features."""
+    each = facts.groupBy("userid", "feature").agg(F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"))
+    w = W.partitionBy("userid").orderBy(F.desc("cost_usd"), "feature")
+    return each.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

@@ -1,0 +1,144 @@
+"""Cost and run queries with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspark.operators import costs, runs
+from quillspark.sources import bindings as b
+
+_FACTS = """facts AS (SELECT CAST(user_id AS VARCHAR) AS userid, CAST(ts AS DATE) AS day, event_type AS surface, event_type AS feature, event_type AS model,
+  count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(14,6))) AS DECIMAL(18,6)) AS cost_usd, min(ts) AS first_at, max(ts) AS last_at
+  FROM events GROUP BY ALL),
+win AS (SELECT * FROM facts WHERE day >= DATE '2024-01-31' - 30)"""
+_RUNS = """runs AS (SELECT o_orderkey AS id, o_orderpriority AS agent, o_orderdate AS started_at, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS finished_at,
+  CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS errors, CAST(o_totalprice AS DECIMAL(18,6)) AS cost_usd, coalesce(n, 0) AS items_processed,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'sweep-dryrun' ELSE 'sweep' END AS mode
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
+def _facts(spark, d):
+    return costs.window_of(b.user_costs(spark, d), b.AS_OF_EVENTS, 30)
+
+
+def user_cost_report(spark, d):
+    return costs.per_user(_facts(spark, d), b.users(spark, d), 50)
+
+
+def cost_grouping_sets(spark, d):
+    return costs.grouped(_facts(spark, d))
+
+
+def user_feature_breakdown(spark, d):
+    return costs.user_breakdown(_facts(spark, d))
+
+
+def top_features_per_user(spark, d):
+    return costs.top_features(_facts(spark, d))
+
+
+def daily_cost_series(spark, d):
+    return costs.daily_series(_facts(spark, d), b.AS_OF_EVENTS, 30)
+
+
+def cost_totals_reconciled(spark, d):
+    ledger = b.table(spark, d, "orders").agg((F.sum(F.col("o_totalprice").cast("decimal(18,6)")) / 1000).cast("decimal(18,6)").alias("ledger_usd"))
+    return costs.totals(_facts(spark, d), ledger)
+
+
+def call_costs(spark, d):
+    e = b.table(spark, d, "events")
+    usage = e.select("event_id", costs.provider_of("event_type").alias("provider"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 300).alias("output_tokens"), (F.col("event_id") % 4).alias("web_searches"))
+    rates = spark.createDataFrame([("provider_a", "0.75", "3.75", "0.014"), ("provider_b", "1", "5", "0.01")], "provider string, i string, o string, s string").select("provider", *(F.col(c).cast("decimal(10,4)").alias(n) for c, n in (("i", "in_rate"), ("o", "out_rate"), ("s", "search_rate"))))
+    return costs.call_cost(usage, rates).select("event_id", "provider", "cost_usd")
+
+
+def agent_kpi_periods(spark, d):
+    return runs.kpi_periods(b.agent_runs(spark, d), b.AS_OF_ORDERS, 30)
+
+
+def agent_day_matrix(spark, d):
+    e = b.user_costs(spark, d)
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    pivoted = e.groupBy("day").pivot("surface", kinds).agg(F.sum("calls"))
+    return pivoted.select("day", *(F.coalesce(F.col(k), F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds))
+
+
+def agent_totals(spark, d):
+    registry = spark.createDataFrame([("1-URGENT", "urgent"), ("2-HIGH", "high"), ("9-IDLE", "idle")], "agent string, label string")
+    return runs.agent_totals(b.agent_runs(spark, d), registry)
+
+
+def latest_run_per_agent(spark, d):
+    return runs.newest(b.agent_runs(spark, d), 1).select("agent", "id", "started_at", runs.status("1998-07-01 00:30:00").alias("status"))
+
+
+def run_status(spark, d):
+    return b.agent_runs(spark, d).select("id", runs.status("1998-07-01 00:30:00").alias("status"))
+
+
+def estimate_from_last10(spark, d):
+    return runs.estimate(b.agent_runs(spark, d), 100, 5)
+
+
+def run_history(spark, d):
+    r = b.agent_runs(spark, d).filter(F.col("started_at") >= F.lit("1998-06-01").cast("timestamp_ntz")).filter(F.col("started_at") < F.lit("1998-07-01").cast("timestamp_ntz"))
+    return r.select("id", "agent", "started_at", runs.is_dry_run().alias("dry_run"), runs.status("1998-07-01").alias("status")).orderBy(F.desc("started_at"), F.desc("id")).limit(50)
+
+
+def yield_ranking(spark, d):
+    l, p = b.table(spark, d, "lineitem"), b.table(spark, d, "part")
+    seeds = l.join(p, l["l_partkey"] == p["p_partkey"]).groupBy(F.col("p_brand").alias("seed")).agg(
+        F.count(F.lit(1)).alias("found"), F.count_if(F.col("l_returnflag") == "R").alias("dupes"), F.count_if(F.col("l_returnflag") != "R").alias("added"), F.sum(F.col("l_tax").cast("decimal(12,2)")).cast("decimal(18,2)").alias("cost"))
+    return runs.seed_yield(seeds)
+
+
+def hourly_progress(spark, d):
+    return runs.hourly_first(b.table(spark, d, "events"), "ts", "event_id", 3).select("hour", "place", "event_id")
+
+
+QUERIES = {f.__name__: f for f in (user_cost_report, cost_grouping_sets, user_feature_breakdown, top_features_per_user, daily_cost_series, cost_totals_reconciled, call_costs, agent_kpi_periods, agent_day_matrix, agent_totals, latest_run_per_agent, run_status, estimate_from_last10, run_history, yield_ranking, hourly_progress)}
+
+_STATUS = """CASE WHEN coalesce(errors, 0) > 0 THEN 'failed' WHEN finished_at IS NOT NULL THEN 'success' WHEN started_at IS NULL THEN 'interrupted'
+  WHEN date_diff('second', started_at, TIMESTAMP '{0}') < 3600 THEN 'running' ELSE 'interrupted' END"""
+_PROVIDER = "CASE WHEN {0} IN ('click', 'view') THEN 'provider_a' WHEN {0} IN ('purchase', 'error') THEN 'provider_b' ELSE 'other' END"
+
+ORACLES = {
+    "user_cost_report": f"""WITH {_FACTS}, s AS (SELECT userid, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd, min(first_at) AS first_at, max(last_at) AS last_at FROM win GROUP BY 1)
+SELECT s.userid, coalesce(c_name, 'no account') AS name, coalesce(c_mktsegment, 'none') AS status, calls, cost_usd, round(CAST(cost_usd AS DOUBLE) / calls, 6) AS cost_per_call,
+ round(CAST(cost_usd AS DOUBLE) * 100 / CAST(9.99 AS DOUBLE), 2) AS pct_of_plan, round(CAST(9.99 AS DOUBLE) - CAST(cost_usd AS DOUBLE), 4) AS margin, first_at, last_at
+FROM s LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON s.userid = CAST(c.c_custkey AS VARCHAR) ORDER BY cost_usd DESC, s.userid LIMIT 50""",
+    "cost_grouping_sets": f"""WITH {_FACTS}, f AS (SELECT *, {_PROVIDER.format('model')} AS provider FROM win), a AS (
+ SELECT 'user' AS level, userid AS key, * FROM f UNION ALL BY NAME SELECT 'provider' AS level, provider AS key, * FROM f UNION ALL BY NAME SELECT 'model' AS level, provider || '/' || model AS key, * FROM f
+ UNION ALL BY NAME SELECT 'feature' AS level, feature AS key, * FROM f UNION ALL BY NAME SELECT 'day' AS level, CAST(day AS VARCHAR) AS key, * FROM f)
+SELECT level, key, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd, count(DISTINCT userid) AS users FROM a GROUP BY 1, 2""",
+    "user_feature_breakdown": f"""WITH {_FACTS}, e AS (SELECT userid, feature, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost FROM win GROUP BY 1, 2)
+SELECT userid, string_agg(feature || '=' || CAST(cost AS VARCHAR), ';' ORDER BY feature || '=' || CAST(cost AS VARCHAR)) AS by_feature, CAST(sum(cost) AS DECIMAL(18,6)) AS cost_usd FROM e GROUP BY 1""",
+    "top_features_per_user": f"""WITH {_FACTS}, e AS (SELECT userid, feature, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd FROM win GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY userid ORDER BY cost_usd DESC, feature) AS place FROM e) WHERE place <= 2""",
+    "daily_cost_series": f"""WITH {_FACTS}, spine AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day),
+s AS (SELECT day, sum(calls) AS calls, sum(cost_usd) AS cost, count(DISTINCT userid) AS users FROM win GROUP BY 1)
+SELECT day, CAST(coalesce(calls, 0) AS BIGINT) AS calls, CAST(coalesce(cost, 0) AS DECIMAL(18,6)) AS cost_usd, coalesce(users, 0) AS users FROM spine LEFT JOIN s USING (day)""",
+    "cost_totals_reconciled": f"""WITH {_FACTS}, u AS (SELECT userid, sum(cost_usd) AS cost FROM win GROUP BY 1),
+w AS (SELECT count(*) AS active_users, CAST(sum(cost) AS DECIMAL(18,6)) AS attributed_usd, CAST(max(cost) AS DECIMAL(18,6)) AS max_usd, count(*) FILTER (cost > 9.99) AS over_plan FROM u),
+l AS (SELECT CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18,6))) AS DOUBLE) / 1000 AS DECIMAL(18,6)) AS ledger_usd FROM orders)
+SELECT *, round(CAST(attributed_usd AS DOUBLE) / active_users, 6) AS avg_usd, round(greatest(CAST(ledger_usd AS DOUBLE) - CAST(attributed_usd AS DOUBLE), 0), 6) AS unattributed_usd,
+ round(CAST(attributed_usd AS DOUBLE) / CAST(ledger_usd AS DOUBLE), 6) AS attribution_rate FROM w, l""",
+    "call_costs": f"""WITH e AS (SELECT event_id, {_PROVIDER.format('event_type')} AS provider, event_id % 1000 AS i, event_id % 300 AS o, event_id % 4 AS s FROM events)
+SELECT event_id, provider, CAST(CAST((CASE provider WHEN 'provider_a' THEN i * 75 + o * 375 + s * 1400000 WHEN 'provider_b' THEN i * 100 + o * 500 + s * 1000000 ELSE 0 END + 50) // 100 AS DECIMAL(18,0)) * 0.000001 AS DECIMAL(18,6)) AS cost_usd FROM e""",
+    "agent_kpi_periods": f"""WITH {_RUNS}, p AS (SELECT *, CASE WHEN started_at >= TIMESTAMP '1998-06-01' AND started_at < TIMESTAMP '1998-07-01' THEN 'current' WHEN started_at >= TIMESTAMP '1998-05-02' AND started_at < TIMESTAMP '1998-06-01' THEN 'previous' END AS period FROM runs)
+SELECT period, count(*) AS runs, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd, CAST(coalesce(sum(items_processed) FILTER (mode NOT LIKE '%-dryrun'), 0) AS BIGINT) AS items, count(*) FILTER (errors > 0) AS failed,
+ count(*) FILTER (cost_usd IS NULL) AS unknown_cost, round(CAST(count(*) FILTER (errors > 0) AS DOUBLE) / count(*), 6) AS error_rate FROM p WHERE period IS NOT NULL GROUP BY 1""",
+    "agent_day_matrix": """SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'purchase') AS n_purchase,
+ count(*) FILTER (event_type = 'signup') AS n_signup, count(*) FILTER (event_type = 'view') AS n_view FROM events GROUP BY 1""",
+    "agent_totals": f"""WITH {_RUNS}, reg AS (SELECT * FROM (VALUES ('1-URGENT', 'urgent'), ('2-HIGH', 'high'), ('9-IDLE', 'idle')) t(agent, label)), s AS (SELECT agent, count(*) AS runs, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd FROM runs GROUP BY 1)
+SELECT coalesce(reg.agent, s.agent) AS agent, coalesce(label, s.agent) AS label, coalesce(runs, 0) AS runs, CAST(coalesce(cost_usd, 0) AS DECIMAL(18,6)) AS cost_usd FROM reg FULL JOIN s ON reg.agent = s.agent""",
+    "latest_run_per_agent": f"""WITH {_RUNS} SELECT agent, id, started_at, {_STATUS.format('1998-07-01 00:30:00')} AS status FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY started_at DESC, id DESC) AS r FROM runs) WHERE r = 1""",
+    "run_status": f"""WITH {_RUNS} SELECT id, {_STATUS.format('1998-07-01 00:30:00')} AS status FROM runs""",
+    "estimate_from_last10": f"""WITH {_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY started_at DESC, id DESC) AS r FROM runs WHERE finished_at IS NOT NULL AND items_processed > 0)
+SELECT agent, count(*) AS sampled, round(avg(CAST(cost_usd AS DOUBLE) / items_processed) * 100, 4) AS cost_usd, round(greatest(avg(date_diff('second', started_at, finished_at) / items_processed), 5.0) * 100, 2) AS seconds FROM r WHERE r <= 10 GROUP BY 1""",
+    "run_history": f"""WITH {_RUNS} SELECT id, agent, started_at, mode LIKE '%-dryrun' AS dry_run, {_STATUS.format('1998-07-01')} AS status FROM runs WHERE started_at >= TIMESTAMP '1998-06-01' AND started_at < TIMESTAMP '1998-07-01' ORDER BY started_at DESC, id DESC LIMIT 50""",
+    "yield_ranking": """WITH s AS (SELECT p_brand AS seed, count(*) AS found, count(*) FILTER (l_returnflag = 'R') AS dupes, count(*) FILTER (l_returnflag <> 'R') AS added, CAST(sum(CAST(l_tax AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT *, round(CAST(added AS DOUBLE) / nullif(CAST(cost AS DOUBLE), 0), 4) AS added_per_dollar, round(CAST(dupes AS DOUBLE) / found, 4) AS dupe_rate FROM s""",
+    "hourly_progress": """SELECT hour, place, event_id FROM (SELECT date_trunc('hour', ts) AS hour, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS place, event_id FROM events) WHERE place <= 3""",
+}

@@ -1,0 +1,88 @@
+"""The test tables in the roles that the operators work on: usage, runs, seeds, catalog, tracker, accounts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+AS_OF_EVENTS = "2024-01-31"
+AS_OF_ORDERS = "1998-07-01"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def user_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage facts at the grain of user, day and surface."""
+    e = table(spark, sf_dir, "events")
+    return (
+        e.groupBy(F.col("user_id").cast("string").alias("userid"), F.to_date("ts").alias("day"), F.col("event_type").alias("surface"))
+        .agg(
+            F.count(F.lit(1)).alias("calls"),
+            F.sum(F.col("value").cast("decimal(14,6)")).cast("decimal(18,6)").alias("cost_usd"),
+            F.min("ts").alias("first_at"),
+            F.max("ts").alias("last_at"),
+        )
+        .withColumns({"feature": F.col("surface"), "model": F.col("surface")})
+    )
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts: only even customers, so that some usage has no account."""
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
+    return c.select(F.col("c_custkey").cast("string").alias("userid"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("status"))
+
+
+def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job runs: orders, with the number of lines as items."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("items_processed"))
+    o = table(spark, sf_dir, "orders")
+    return o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left").select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderpriority").alias("agent"),
+        F.col("o_orderdate").alias("started_at"),
+        F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("finished_at"),
+        F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("errors"),
+        F.col("o_totalprice").cast("decimal(18,6)").alias("cost_usd"),
+        F.coalesce("items_processed", F.lit(0)).cast("long").alias("items_processed"),
+        F.when(F.col("o_orderkey") % 7 == 0, "sweep-dryrun").otherwise("sweep").alias("mode"),
+    )
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog rows by name: parts, with grades from sizes."""
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("name"),
+        F.col("p_brand").alias("org"),
+        F.col("p_type").alias("type"),
+        F.when(F.col("p_retailprice") < 1200, "free").otherwise("paid").alias("price"),
+        F.when(F.col("p_partkey") % 9 == 0, None).otherwise(F.col("p_size") % 12).cast("int").alias("grade_min"),
+        F.when(F.col("p_partkey") % 8 == 0, None).otherwise(F.col("p_size") % 12 + 3).cast("int").alias("grade_max"),
+        (F.col("p_partkey") % 5 != 0).alias("is_active"),
+    )
+
+
+def reviewed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog rows by text, with a verdict where labels have one."""
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    verdict = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved").when(F.col("quality") == 0, "insufficient_data")
+    return d.join(l, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("text").alias("summary"), F.col("lang").alias("type"), "source", verdict.alias("moderation_status"))
+
+
+def tracker_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracked items: an order with the dates of its lines as an array of structs."""
+    l = table(spark, sf_dir, "lineitem")
+    one = F.struct(F.to_date("l_shipdate").alias("date"), F.col("l_linestatus").alias("label"), F.col("l_returnflag").alias("type"))
+    return l.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(one)).alias("dates"), (F.max("l_returnflag") == "R").alias("was_estimated"))
+
+
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts with a plan: the last order ends the trial."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    last = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("ends_at"))
+    status = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "active").when(F.col("c_mktsegment") == "BUILDING", "trial").when(F.col("c_mktsegment") == "MACHINERY", "beta").when(F.col("c_mktsegment") == "HOUSEHOLD", "canceled").otherwise("past_due")
+    ends = F.when(F.col("c_custkey") % 11 != 0, F.col("ends_at"))
+    return c.join(last, "c_custkey", "left").select(F.col("c_custkey").alias("userid"), status.alias("status"), ends.alias("ends_at"))
