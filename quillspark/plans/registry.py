@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import costs, search
+from quillspark.plans import costs, search, tracker
 
-_PARTS = (costs, search)
+_PARTS = (costs, search, tracker)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
