@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillspark.functions import urls
+from quillspark.sources.shared import materialised
 
 SAME, SIMILAR = 0.82, 0.88
 GENERIC = ("program", "summer program", "internship", "scholarship", "camp", "club")
@@ -35,7 +36,20 @@ def with_keys(rows: DataFrame) -> DataFrame:
 
 def letter_counts(name):
     """Counts of the 36 letters and digits and the space: the multiset overlap bounds the ratio from above."""
-    return F.array(*(F.length(name) - F.length(F.replace(name, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789 "))
+    letters = F.split(F.lit("abcdefghijklmnopqrstuvwxyz0123456789 "), "")
+    return F.transform(letters, lambda c: F.length(name) - F.length(F.replace(name, c, F.lit(""))))
+
+
+def name_grams(name):
+    """Runs of three characters, and of two for names of ten or fewer.
+
+    Two names with a ratio of 0.85 or more have matching runs of which the longest is at least
+    0.85 L / (0.3 L + 1) long, L being their mean length: over two where L > 8, over one where L >= 4.
+    So such names share a run, and joining on runs loses none.
+    """
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.length(name) - k + 1), lambda i: F.substr(name, i, F.lit(k)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.when(F.length(name) >= 6, runs(3)).otherwise(none), F.when(F.length(name).between(4, 10), runs(2)).otherwise(none)))
 
 
 def may_reach(a, b, counts_a, counts_b, least: float):
@@ -48,20 +62,22 @@ def may_reach(a, b, counts_a, counts_b, least: float):
 def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int = 5) -> DataFrame:
     """submissions: id, url, apply_url, name; catalog: id, url, name, pos. (id, exact, candidates) by tier.
 
-    Candidates meet on equal keys, on equal domains, and, for names alone, on a shared word of the name, whose pairs pass
-    the count bound before the ratio is taken. An exact duplicate empties the candidate list.
+    Candidates meet on equal keys, on equal domains, and, for names alone, on shared runs of distinct names, whose pairs
+    pass the count bound before the ratio is taken. An exact duplicate empties the candidate list.
     """
     s = with_keys(submissions).withColumn("apply_key", urls.match_key(F.col("apply_url"))).withColumn("letters", letter_counts(F.col("name_key")))
     c = with_keys(catalog).withColumn("letters", letter_counts(F.col("name_key")))
     c = c.select(*(F.col(x).alias(f"c_{x}") for x in ("id", "key", "path", "domain", "name_key", "pos", "letters")))
     s = s.select(*(F.col(x).alias(f"s_{x}") for x in ("id", "key", "apply_key", "path", "domain", "name_key", "letters")))
+    s, c = materialised(s, "submissions"), materialised(c, "catalog")
     peers = c.groupBy("c_domain").agg(F.count(F.lit(1)).alias("peers"))
     by_key = s.filter("s_key <> ''").join(c, F.col("s_key") == F.col("c_key"))
     by_apply = s.filter("s_apply_key <> ''").join(c, F.col("s_apply_key") == F.col("c_key"))
     by_domain = s.filter("s_domain <> ''").join(c, F.col("s_domain") == F.col("c_domain"))
-    word = lambda p: F.explode(F.array_distinct(F.split(f"{p}_name_key", " ")))
-    names = s.withColumn("word", word("s")).join(c.withColumn("word", word("c")), "word").drop("word")
-    by_name = names.filter(may_reach(F.col("s_name_key"), F.col("c_name_key"), F.col("s_letters"), F.col("c_letters"), SIMILAR))
+    a, b = (x.select(f"{k}_name_key", f"{k}_letters").distinct().withColumn("run", F.explode(name_grams(F.col(f"{k}_name_key")))) for x, k in ((s, "s"), (c, "c")))
+    alike = a.join(b, "run").filter(may_reach(F.col("s_name_key"), F.col("c_name_key"), F.col("s_letters"), F.col("c_letters"), SIMILAR)).select("s_name_key", "c_name_key").distinct()
+    alike = alike.filter(name_ratio("s_name_key", "c_name_key") >= SIMILAR)
+    by_name = s.join(alike, "s_name_key").join(c, "c_name_key").select(*s.columns, *c.columns)
     pairs = by_key.unionByName(by_apply).unionByName(by_domain).unionByName(by_name).drop("s_letters", "c_letters").distinct()
     pairs = pairs.join(peers, "c_domain", "left").withColumn("ratio", name_ratio("s_name_key", "c_name_key"))
     same_key = (F.col("s_key") == F.col("c_key")) & (F.col("s_key") != "")
@@ -87,11 +103,10 @@ def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int =
 
 
 def fuzzy_new(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
-    """New rows whose name is like no known name: a shared-word join, the lossless bound, then the ratio."""
-    a = new.withColumn("name_key", urls.name_key(F.col("name"))).withColumn("letters", letter_counts(F.col("name_key")))
+    """New rows whose name is like no known name: a join on shared runs, the lossless bound, then the ratio."""
+    a = new.select("id", urls.name_key(F.col("name")).alias("name_key")).withColumn("letters", letter_counts(F.col("name_key")))
     b = known.select(urls.name_key(F.col("name")).alias("k_key")).distinct().withColumn("k_letters", letter_counts(F.col("k_key")))
-    word = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
-    pairs = a.withColumn("word", word("name_key")).join(b.withColumn("word", word("k_key")), "word")
+    pairs = a.withColumn("run", F.explode(name_grams(F.col("name_key")))).join(b.withColumn("run", F.explode(name_grams(F.col("k_key")))), "run")
     near = pairs.filter(may_reach(F.col("name_key"), F.col("k_key"), F.col("letters"), F.col("k_letters"), least)).select("id", "name_key", "k_key").distinct()
     hits = near.filter(name_ratio("name_key", "k_key") >= least).select("id").distinct()
     return new.join(hits, "id", "left_anti")

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names; a folder of our own only where the session names none."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     return (path or f"file:///tmp/checkpoints/quillspark-{os.getpid()}").rstrip("/")
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, read back: keys that several joins use are computed once, and lineage ends here."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
