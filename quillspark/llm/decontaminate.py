@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WINDOW = 10
 #: Largest table of windows or of item words, in rows, that is sent to every task; beyond it the joins shuffle.
@@ -38,12 +38,18 @@ def words_of(text: Column) -> Column:
     return F.split(F.regexp_replace(fold(text), f"^{_GAP}|{_GAP}$", ""), _GAP)
 
 
+def pieces_of(text: Column) -> Column:
+    """The words in order; an empty one may come first and last, which joins nothing and moves all places alike."""
+    return F.split(fold(text), _GAP)
+
+
 def has_words(text: Column) -> Column:
     return text.rlike(_WORD)
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(_WORD)).cast("long")
+    ends = [F.when(F.substr(text, F.lit(at), F.lit(1)).rlike(_GAP), 1).otherwise(0) for at in (1, -1)]
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, _GAP)) - ends[0] - ends[1]).cast("long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -60,11 +66,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, size, items): every place where a window occurs."""
-    texts = docs.filter("doc_id is not null").filter(has_words(F.col("text"))).select("doc_id", words_of(F.col("text")).alias("w"))
+    """(doc_id, start, size, items): every place where a window occurs.
+
+    The outer forms of explode split a text once: for the inner ones the optimizer also splits it in a filter."""
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", pieces_of(F.col("text")).alias("w"))
     windows = item_windows(benchmark, window).cache()
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    counts = texts.select(F.explode("w").alias("word")).join(_small(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.select(F.explode_outer("w").alias("word")).join(_small(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     placed = windows.select("words", "size", "items", F.posexplode("words").alias("offset", "word"))
     rarest = (
         placed.join(counts, "word", "left")
@@ -73,8 +81,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         .filter("rarest.n > 0")
         .select("words", "size", "items", F.col("rarest.word").alias("word"), F.col("rarest.offset").alias("offset"))
     )
-    seeds = _small(rarest.groupBy("word").agg(F.collect_list(F.struct("words", "size", "items", "offset")).alias("seeds")))
-    places = texts.select("doc_id", "w", F.posexplode("w").alias("at", "word")).join(seeds, "word")
+    seeds = _small(written(rarest.groupBy("word").agg(F.collect_list(F.struct("words", "size", "items", "offset")).alias("seeds")), "seeds"))
+    places = texts.select("doc_id", "w", F.posexplode_outer("w").alias("at", "word")).join(seeds, "word")
     start = F.col("at") - F.col("s.offset")
     return (
         places.select("doc_id", "w", "at", F.explode("seeds").alias("s"))
