@@ -72,6 +72,14 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
+def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = IDENTITY) -> np.ndarray:
+    """Hashes of the folded bytes of some spans; equal bytes hash alike wherever they stand."""
+    up, down = powers(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[fold[buf]] * up[:-1], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 def words(texts: pa.Array, fold: np.ndarray = IDENTITY, gaps: np.ndarray = SPACES) -> Words:
     """Split texts at the bytes in gaps; a word never crosses from one text to the next. Hashes see folded bytes."""
     buf, off = utf8(texts)
@@ -83,10 +91,7 @@ def words(texts: pa.Array, fold: np.ndarray = IDENTITY, gaps: np.ndarray = SPACE
     inner = solid[1:-1]
     start = np.flatnonzero(inner & (~solid[:-2] | cut[:-1]))
     end = np.flatnonzero(inner & (~solid[2:] | cut[1:])) + 1
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[fold[buf]] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start])
+    h = spans(buf, start, end, fold)
     first = np.searchsorted(start, off)
     row = np.repeat(np.arange(len(off) - 1), np.diff(first))
     return Words(buf, off, start, end, row, first, h)

@@ -20,31 +20,50 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import SPACES, chunks, spans, table, utf8, written
 
 END = 2
 SCALE = 20
 LANES = 512
 #: A block is closed when it has this many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
-#: Most units whose ids a task remembers.
-REMEMBER = 400_000
+#: Most units and pieces whose ids a worker remembers, about 200 MB.
+REMEMBER = 1_200_000
+#: Text that is cut into units at once.
+CHUNK_BYTES = 2 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 _U = np.uint64
+#: Bytes that white space beyond ASCII, and the separators 1C to 1F, have first.
+_DOUBTFUL = np.zeros(256, bool)
+_DOUBTFUL[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _NULL_ID = -(2**63)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that a byte-level vocabulary writes for bytes: printable ones stand for themselves, the others follow from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in printable)
+    return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library. A space between two other characters always starts a new piece for a
-    byte-level vocabulary, so texts are cut there and equal units are tokenised once."""
+    """Ids of texts by the tokenizers library.
+
+    A run of white space always starts a new piece for a byte-level vocabulary, so texts are cut before each run into
+    units, equal units of a chunk are found by hash, and each distinct unit's pieces go through the library's model
+    once while they are remembered. Texts with special tokens or white space beyond ASCII are encoded whole.
+    """
 
     def __init__(self, path: str):
         import os
@@ -53,46 +72,103 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.encode() for t in added]
         # special tokens cut a text before white space is looked at; some characters are white space to re alone
-        self.direct = re.compile("|".join([*self.added, "[\x1c-\x1f]"]))
-        self.units = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+        self.direct = re.compile("|".join([*map(re.escape, added), "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"]))
         self.pieces = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-        # the library's classes of letters, digits and white space differ from re's outside these characters
-        self.plain = re.compile(r"[\n\t !-~¡-§©«-±´¶-¸»¿-ɏ]*")
-        self.known: dict[str, np.ndarray] = {}
-        self.parts: dict[str, tuple] = {}
+        # the library's classes of letters and digits differ from re's outside these characters
+        self.plain = re.compile(r"[\t-\r !-~¡-§©«-±´¶-¸»¿-ɏ]*")
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}  # units and pieces, by number
+        self.flat, self.ends = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
-    def _new(self, units: list[str]) -> None:
+    def _model_ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+
+    def _numbers(self, units: list[bytes]) -> list[int]:
+        """The number of each unit in the memory."""
         if len(self.known) + len(units) > REMEMBER:
-            self.known.clear()
-            self.parts.clear()
-        cut = [(u, self.pieces.findall(u) if self.plain.fullmatch(u) else [u]) for u in units]
-        missing = list({p for _, ps in cut for p in ps if p not in self.parts})
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.parts[p] = tuple(e.ids)
-        for u, ps in cut:
-            self.known[u] = np.array([i for p in ps for i in self.parts[p]], np.uint16)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for t in texts:
-            if self.direct.search(t):
-                out.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END], np.uint16))
+            self.clear()
+        known, settled, fresh = self.known, len(self.known), []
+        numbers = list(map(known.get, units))
+        for i, n in enumerate(numbers):
+            if n is not None:
                 continue
-            units = self.units.findall(t)
-            known = self.known
-            new = {u for u in units if u not in known}
-            if new:
-                self._new(list(new))
-                if any(u not in known for u in units):  # the memory was cleared meanwhile
-                    self._new([u for u in set(units) if u not in known])
-            out.append(np.concatenate([*map(known.__getitem__, units), np.array([END], np.uint16)]))
+            unit = units[i].decode()
+            if unit[:1] == " " and unit[1:].isalpha() and unit.isascii():
+                ids = self._model_ids(unit)
+            elif not self.plain.fullmatch(unit):
+                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            else:
+                pieces, ids = self.pieces.findall(unit), []
+                if len(pieces) == 1:
+                    ids = self._model_ids(unit)
+                for p in pieces if len(pieces) > 1 else ():
+                    key = p.encode()
+                    k = known.get(key)
+                    if k is None:
+                        known[key] = len(known)
+                        fresh.append(self._model_ids(p))
+                        ids += fresh[-1]
+                    else:
+                        ids += fresh[k - settled] if k >= settled else self.flat[self.ends[k] : self.ends[k + 1]].tolist()
+            k = known.get(units[i])  # a unit may have come up as a piece just now
+            if k is None:
+                k = known[units[i]] = len(known)
+                fresh.append(ids)
+            numbers[i] = k
+        self.flat = np.append(self.flat, np.array([x for t in fresh for x in t], np.uint16))
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(t) for t in fresh], dtype=np.int64))
+        return numbers
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, ids of each text) of texts without a cause to be encoded whole."""
+        buf, off = utf8(texts)
+        if not len(buf):
+            return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
+        gap = SPACES[buf]
+        cut = np.zeros(len(buf) + 1, bool)
+        cut[:-1] = gap
+        cut[1:-1] &= ~gap[:-1]
+        cut[off] = True
+        at = np.flatnonzero(cut)  # each unit's start, and the end
+        start, end = at[:-1], at[1:]
+        h = spans(buf, start, end)
+        inverse, _ = pd.factorize(h)
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
+        data = buf.tobytes()
+        numbers = np.array(self._numbers([data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]), np.int64)
+        n_unit, from_ = (self.ends[numbers + 1] - self.ends[numbers])[inverse], self.ends[numbers][inverse]
+        done = np.cumsum(n_unit)
+        ids = self.flat[np.repeat(from_ - done + n_unit, n_unit) + np.arange(done[-1])]
+        total = np.zeros(len(start) + 1, np.int64)
+        total[1:] = done
+        return ids, np.diff(total[np.searchsorted(start, off)])
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, without END."""
+        buf, off = utf8(texts)
+        doubtful = np.flatnonzero(_DOUBTFUL[buf])
+        rows = np.arange(len(texts)) if any(x in buf.tobytes() for x in self.added) else np.unique(np.searchsorted(off, doubtful, side="right") - 1)
+        whole = [i for i in rows.tolist() if self.direct.search(texts[i].as_py() or "")]
+        ids, sizes = self._cut(pc.if_else(pa.array(np.isin(np.arange(len(texts)), whole)), "", texts) if whole else texts)
+        out = np.split(ids, np.cumsum(sizes)[:-1])
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint16)
         return out
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder, and so one memory, for all tasks of a worker."""
+    return Encoder(path)
+
+
 def normalised(counts: np.ndarray) -> np.ndarray:
     """Frequencies of at least 1 for what occurs, in sum 2**SCALE."""
     seen = np.flatnonzero(counts)
@@ -202,7 +278,7 @@ FILE_IDS = 1 << 23
 
 def _pack_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = Encoder(path), 0
+        encode, number = encoder(path), 0
         docs: list[int] = []
         ids: list[np.ndarray] = []
         held = 0
@@ -223,15 +299,12 @@ def _pack_rows(path: str):
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([i], pa.int32()), pa.array([len(joined)], pa.int64()), pa.array([shared if i == 0 else None], pa.binary()), pa.array([data], pa.binary())], ["part", "block", "n_ids", "table", "data"])
             docs, ids, held, number = [], [], 0, number + 1
 
-        for b in batches:
-            for low in range(0, b.num_rows, 64):
-                some = b.slice(low, 64)
-                got = encoder(some.column(1).to_pylist())
-                docs += [_NULL_ID if d is None else d for d in some.column(0).to_pylist()]
-                ids += got
-                held += sum(map(len, got))
-                if held >= FILE_IDS:
-                    yield from flush()
+        for b in chunks(batches, most=CHUNK_BYTES):
+            docs += [_NULL_ID if d is None else d for d in b.column(0).to_pylist()]
+            ids += [np.append(x, np.uint16(END)) for x in encode(b.column(1))]
+            held += sum(map(len, ids[-b.num_rows :]))
+            if held >= FILE_IDS:
+                yield from flush()
         if ids:
             yield from flush()
 
