@@ -250,3 +250,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(record).alias("record"))
     turns = canonical_rows(table(spark, sf_dir, "conversations")).unionByName(canonical_json(extra, "conv_id", "record"))
     return read_chat(format_chat(turns))
+
+
+ORACLE_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) x(conv_id, turn, role, text)),
+n AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) AS body, length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) AS head FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + head + 2 + body + 8) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+"""

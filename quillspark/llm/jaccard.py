@@ -18,6 +18,7 @@ a null component; rows that repeat a doc_id are one node and keep their own coun
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -178,42 +179,70 @@ def tree_join(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, side: np
 _PAIRS = "a long, b long"
 
 
+def _small_cells(first: np.ndarray, size: np.ndarray, points, sizes, parts, side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of many cells of one leaf each, which need no tree: rows first[c]:first[c] + size[c] are a cell."""
+    row = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    later = np.repeat(first + size, size) - row - 1
+    step = max(1, (1 << 16) // LEAF)
+    for s in range(0, len(row), step):
+        n = later[s : s + step]
+        i = np.repeat(row[s : s + step], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        keep = (parts[i] != parts[j]) & ((side[i] != side[j]) | (side[i] < 0))
+        i, j = i[keep], j[keep]
+        ok = _may(points[i], sizes[i], sizes[i], points[j], sizes[j], sizes[j])
+        yield i[ok], j[ok]
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell and size: cell, doc_id, n, part, half, point. Cells are joined one after the other."""
+    """Rows sorted by cell and size: cell, doc_id, n, part, half, point. half is -1 in a cell that is one tile."""
 
-    def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        ids, n, part, half = (np.asarray(t.column(c)) for c in ("doc_id", "n", "part", "half"))
-        if len(ids) < 2 or (part == part[0]).all():
-            return
+    def joined(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        cell, ids, n, part, half = (np.asarray(t.column(c)) for c in ("cell", "doc_id", "n", "part", "half"))
         col = t.column("point")
         points = np.asarray((col.chunk(0) if isinstance(col, pa.ChunkedArray) else col).flatten()).reshape(len(ids), GROUPS)
-        two = (half != half[0]).any()
-        for i, j in tree_join(points, n, part, half if two else None):
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        size = np.diff(np.append(first, len(cell)))
+        small = size <= LEAF
+
+        def large() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for at, m in zip(first[~small].tolist(), size[~small].tolist(), strict=True):
+                own = slice(at, at + m)
+                two = half[own] if half[at] >= 0 else None
+                for i, j in tree_join(points[own], n[own], part[own], two):
+                    yield i + at, j + at
+
+        for i, j in chain(_small_cells(first[small], size[small], points, n, part, half), large()):
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
-    now = None
     for b in batches:
-        cell = b.column(0).to_pylist()
-        cuts = [0, *(i for i in range(1, len(cell)) if cell[i] != cell[i - 1]), len(cell)]
-        for low, high in zip(cuts, cuts[1:]):
-            if low == high:
-                continue
-            if held and cell[low] != now:
-                yield from joined(held)
-                held = []
-            now = cell[low]
-            held.append(b.slice(low, high - low))
+        if not b.num_rows:
+            continue
+        cell = np.asarray(b.column(0))
+        others = np.flatnonzero(cell != cell[-1])
+        last = int(others[-1]) + 1 if len(others) else 0  # where the last cell, which may go on, begins
+        if held and last == 0 and held[-1].column(0)[-1].as_py() == cell[-1]:
+            held.append(b)  # one cell goes on through the whole batch
+            continue
+        held.append(b.slice(0, last))
+        yield from joined(pa.Table.from_batches(held)) if sum(x.num_rows for x in held) else ()
+        held = [b.slice(last)]
     if held:
-        yield from joined(held)
+        yield from joined(pa.Table.from_batches(held))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+def _linked(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough. Sets are made for the documents of these pairs only."""
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = written(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, shingles binary"), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, _PAIRS)
+    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, _PAIRS), "links")
+    drop(pairs, sets)
+    return links
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -234,17 +263,19 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     common = spark.sparkContext.broadcast(np.sort(np.asarray(counted.select("key").toArrow().column(0), dtype=np.int64).view(np.uint64)))
     rows = written(texts.mapInArrow(_points(k, common), "doc_id long, n long, low long, high long, keys array<long>, point array<int>"), "points")
 
-    some = rows.filter("n > 0 and doc_id is not null")
+    marks = written(rows.select("doc_id", "n", "low", "high"), "marks")
+    some = marks.filter("n > 0 and doc_id is not null")
     classes = written(some.groupBy("n", "low", "high").agg(F.min("doc_id").alias("first")), "classes")
-    apart = rows.join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("n > 0")
+    apart = rows.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").filter("n > 0")
     keyed = apart.select("doc_id", "n", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("hub")).filter("m > 1")
+    # a table of its own: joined straight after its aggregate, the rows of a common key could not be split between tasks
+    met = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("hub")).filter("m > 1"), "met")
     cells = written(keyed.join(met, "key"), "cells")
     points = written(apart.select("doc_id", "n", "point").join(cells.select("doc_id").distinct(), "doc_id", "left_semi"), "cell_points")
-    sets = written(texts.join(points.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, shingles binary"), "sets")
+    drop(rows, met)
 
     to_hub = cells.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = written(_linked(_bounded(to_hub, points), sets), "links")
+    first = _linked(_bounded(to_hub, points), texts, k)
     part = components(first)
 
     placed = cells.join(part, cells["doc_id"] == part["id"], "left").select("key", "doc_id", "n", "m", F.coalesce("component", "doc_id").alias("part"))
@@ -254,16 +285,16 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), tiles.cast("long")).cast("int")
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "doc_id", "n", "part", "own")
+    half = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))  # halves of a pair of tiles; a tile alone has none
+    half = F.when(tiles == 1, -1).otherwise(half)
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "doc_id", "n", "part", half.alias("half"))
     with_points = dealt.join(points.select("doc_id", "point"), "doc_id")
-    sorted_ = with_points.repartition("cell").sortWithinPartitions("cell", "key", "n").select("cell", "doc_id", "n", "part", F.col("own").alias("half"), "point")
-    pairs = sorted_.mapInArrow(_cells, _PAIRS).distinct()
-    second = _linked(pairs, sets)
-    links = written(first.unionByName(second), "links")
-    whole = components(links)
-    drop(cells, points, sets, placed, first)
-
-    named = rows.select("doc_id", "n", "low", "high").join(classes, ["n", "low", "high"], "left")
+    sorted_ = with_points.repartition("cell").sortWithinPartitions("cell", "n").select("cell", "doc_id", "n", "part", "half", "point")
+    second = _linked(sorted_.mapInArrow(_cells, _PAIRS).distinct(), texts, k)
+    whole = components(first.unionByName(second))
+    drop(cells, points, placed, first, second)
+
+    named = marks.join(classes, ["n", "low", "high"], "left")
     named = named.join(whole.withColumnRenamed("id", "first"), "first", "left")
     alone = F.col("first").isNull() | F.col("doc_id").isNull()
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "first")).alias("component_id"))
@@ -271,3 +302,16 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+u AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT DISTINCT x AS v, x AS c FROM u UNION SELECT u.y, r.c FROM r JOIN u ON u.x = r.v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) m ON m.v = d.doc_id
+"""

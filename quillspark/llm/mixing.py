@@ -36,9 +36,14 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _number(text: Column) -> Column:
+    """The first 60 bits of a text's md5 as a number: any SQL engine can say the same."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def domain(source: Column) -> Column:
-    """A source's domain; the tables name none, so sources are dealt to DOMAINS groups by checksum."""
-    return F.concat(F.lit("d"), (F.crc32(source) % DOMAINS).cast("string"))
+    """A source's domain; the tables name none, so sources are dealt to DOMAINS groups by hash."""
+    return F.concat(F.lit("d"), (_number(source) % DOMAINS).cast("string"))
 
 
 def _weight(level: str, weights: dict) -> Column:
@@ -92,8 +97,8 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, epochs: int = EPOCHS, share: t
     budgets = leaf_budgets(slim.groupBy(*keys).agg(F.sum("n_tokens").alias("n_tokens")), weights, epochs, share)
     # whole epochs go at once; what is left over is a prefix of one more
     plan = budgets.select(*keys, F.floor(F.col("budget") / F.col("n_tokens")).cast("long").alias("whole"), (F.col("budget") % F.col("n_tokens")).alias("rest"))
-    placed = slim.join(_hint(plan), keys).withColumn("place", F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id").cast("string")))
-    placed = placed.withColumn("range", F.shiftrightunsigned("place", 64 - ranges.bit_length() + 1).cast("int"))
+    placed = slim.join(_hint(plan), keys).withColumn("place", _number(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string"))))
+    placed = placed.withColumn("range", F.shiftright("place", 61 - ranges.bit_length()).cast("int"))
     sums = placed.filter("rest > 0").groupBy(*keys, "range", "rest").agg(F.sum("n_tokens").alias("n"))
     running = F.sum("n").over(W.partitionBy(*keys).orderBy("range"))
     sums = sums.select(*keys, "range", (running - F.col("n")).alias("before"), "n", "rest").filter("before < rest").drop("rest")
@@ -126,3 +131,44 @@ def _hint(df: DataFrame) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("checksum")
+
+
+def _sql_level(source: str, above: list[str], level: str) -> str:
+    weight = f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END"
+    by = f"PARTITION BY {', '.join(above)}" if above else ""
+    order = f"({by} ORDER BY CAST(supply AS DOUBLE) / weight, {level} ROWS BETWEEN"
+    keys = ", ".join([*above, level])
+    return f"""(SELECT {keys}, CAST(CASE WHEN short THEN supply ELSE least(supply, rest.l * weight // rest.s) END AS BIGINT) AS budget FROM (
+ SELECT *, max({{'s': shares, 'l': l}}) FILTER (NOT short) OVER ({by}) AS rest FROM (SELECT *, supply * shares <= l * weight AS short FROM (
+ SELECT *, budget - coalesce(sum(supply) OVER {order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l, sum(weight) OVER {order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares
+ FROM (SELECT {keys}, supply, budget, {weight} AS weight FROM {source})))))"""
+
+
+def _sql() -> str:
+    number = "CAST(concat('0x', substr(md5({0}), 1, 15)) AS BIGINT)"
+    levels, above = [], []
+    for level in LEVELS:
+        keys = ", ".join([*above, level])
+        if not above:
+            source = f"(SELECT domain, sum(n_tokens) * {EPOCHS} AS supply, (SELECT sum(n_tokens) * {SHARE[0]} // {SHARE[1]} FROM leaves) AS budget FROM leaves GROUP BY 1)"
+        else:
+            on = ", ".join(above)
+            source = f"(SELECT * FROM (SELECT {keys}, sum(n_tokens) * {EPOCHS} AS supply FROM leaves GROUP BY ALL) JOIN b_{above[-1]} USING ({on}))"
+        levels.append(f"b_{level} AS {_sql_level(source, above, level)}")
+        above.append(level)
+    return f"""
+WITH slim AS (SELECT DISTINCT doc_id, text, 'd' || {number.format("coalesce(source, '')")} % {DOMAINS} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL),
+used AS (SELECT * FROM slim WHERE n_tokens > 0),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS n_tokens FROM used GROUP BY ALL),
+{", ".join(levels)},
+plan AS (SELECT domain, lang, source, CAST(budget // n_tokens AS BIGINT) AS whole, budget % n_tokens AS rest FROM leaves JOIN b_source USING (domain, lang, source)),
+placed AS (SELECT used.*, whole, rest, {number.format(f"'{SEED}:' || whole || ':' || doc_id")} AS place FROM used JOIN plan USING (domain, lang, source)),
+part AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens, whole AS epoch, CAST(least(n_tokens, rest - before) AS BIGINT) AS taken FROM part WHERE before < rest
+UNION ALL SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, whole)) AS epoch, n_tokens AS taken FROM placed
+"""
+
+
+#: The production query in DuckDB SQL, made from the same parameters.
+ORACLE_SQL = _sql()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import chat, decontaminate, jaccard, mixing, substring_dedup
 from .chat import op5_chat_format
 from .decontaminate import op3_decontamination
 from .jaccard import op9_jaccard_join
@@ -29,5 +29,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op3_decontamination": decontaminate.ORACLE_SQL,
+    "op5_chat_format": chat.ORACLE_SQL,
+    "op8_source_mixing": mixing.ORACLE_SQL,
+    "op9_jaccard_join": jaccard.ORACLE_SQL,
 }
