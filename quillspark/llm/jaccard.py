@@ -8,8 +8,9 @@ stand in very many documents' keys (all keys are counted), which keeps common li
 
 Inside cells: first every set is compared with its cell's least id, which links each large group of near copies in
 linear time; the components so found are then compared with each other only. Cells that still hold several components
-are joined by an R-tree, leaf against leaf, and pairs that survive the bounds are verified on whole sets. Large cells are
-split into tiles, so no task holds an unbounded one. No pair, row or cell is dropped.
+are joined by an R-tree, leaf against leaf. A pair meets once for each key that it shares, and similar sets share many,
+so pairs that meet less often are done; the others are verified on whole sets. Large cells are split into tiles, so no
+task holds an unbounded one. No pair that can be similar, no row and no cell is dropped.
 
 Defined results: null and empty texts have no shingles and stand alone; texts of fewer words have one; a null doc_id has
 a null component; rows that repeat a doc_id are one node and keep their own counts; ties take the least id.
@@ -177,6 +178,11 @@ def tree_join(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, side: np
 
 
 _PAIRS = "a long, b long"
+_MET = "a long, b long, n_a long, n_b long"
+#: The fewest keys that similar sets share. They have at least o = ceil(PERCENT (n_a + n_b) / (100 + PERCENT)) shingles in
+#: common, so n - o of a set are not in the other one; the set whose keys end earlier in the order has k = n - ceil(n PERCENT
+#: / 100) + 1 of them, and k - (n - o) of these are keys of both. The larger set gives the smaller number.
+_LEAST_SHARED = f"({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT} - ({PERCENT} * greatest(n_a, n_b) + 99) div 100 + 1"
 
 
 def _small_cells(first: np.ndarray, size: np.ndarray, points, sizes, parts, side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -215,7 +221,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for i, j in chain(_small_cells(first[small], size[small], points, n, part, half), large()):
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+                i, j = np.where(ids[i] <= ids[j], i, j), np.where(ids[i] <= ids[j], j, i)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[i], ids[j], n[i], n[j])], ["a", "b", "n_a", "n_b"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -246,11 +253,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs that sizes and summed coordinate minima let through."""
+    """Pairs (a, b, shared) that sizes and summed coordinate minima let through, if the hub leads half of the keys they must share."""
     p, q = (points.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("point").alias(f"p_{k}")) for k in ("a", "b"))
     bound = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return pairs.join(p, "a").join(q, "b").filter(100 * small >= PERCENT * large).filter((100 + PERCENT) * bound >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return pairs.join(p, "a").join(q, "b").filter(100 * small >= PERCENT * large).filter((100 + PERCENT) * bound >= PERCENT * (F.col("n_a") + F.col("n_b"))).filter(f"2 * shared >= {_LEAST_SHARED}").select("a", "b").distinct()
 
 
 def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -274,7 +281,8 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     points = written(apart.select("doc_id", "n", "point").join(cells.select("doc_id").distinct(), "doc_id", "left_semi"), "cell_points")
     drop(rows, met)
 
-    to_hub = cells.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # a first pass that may leave links to the second: it only has to find most of each large group
+    to_hub = cells.filter("hub <> doc_id").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     first = _linked(_bounded(to_hub, points), texts, k)
     part = components(first)
 
@@ -290,7 +298,8 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "doc_id", "n", "part", half.alias("half"))
     with_points = dealt.join(points.select("doc_id", "point"), "doc_id")
     sorted_ = with_points.repartition("cell").sortWithinPartitions("cell", "n").select("cell", "doc_id", "n", "part", "half", "point")
-    second = _linked(sorted_.mapInArrow(_cells, _PAIRS).distinct(), texts, k)
+    meetings = sorted_.mapInArrow(_cells, _MET).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
+    second = _linked(meetings.filter(f"shared >= {_LEAST_SHARED}").select("a", "b").distinct(), texts, k)
     whole = components(first.unionByName(second))
     drop(cells, points, placed, first, second)
 
