@@ -273,20 +273,24 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     marks = written(rows.select("doc_id", "n", "low", "high"), "marks")
     some = marks.filter("n > 0 and doc_id is not null")
     classes = written(some.groupBy("n", "low", "high").agg(F.min("doc_id").alias("first")), "classes")
-    apart = rows.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").filter("n > 0")
-    keyed = apart.select("doc_id", "n", F.explode("keys").alias("key"))
-    # a table of its own: joined straight after its aggregate, the rows of a common key could not be split between tasks
+    firsts = classes.select(F.col("first").alias("doc_id"))
+    apart = rows.join(firsts, "doc_id", "left_semi").filter("n > 0")
+    # the keys that several rows have go first, so only these rows' keys are shuffled again
+    keyed = rows.select("doc_id", F.explode("keys").alias("key"))
+    # tables of their own: joined straight after its aggregate, the rows of a common key could not be split between tasks
+    several = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "several")
+    keyed = written(keyed.join(several, "key").join(firsts, "doc_id", "left_semi"), "keyed")
     met = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("hub")).filter("m > 1"), "met")
     cells = written(keyed.join(met, "key"), "cells")
     points = written(apart.select("doc_id", "n", "point").join(cells.select("doc_id").distinct(), "doc_id", "left_semi"), "cell_points")
-    drop(rows, met)
+    drop(rows, several, keyed, met)
 
     # a first pass that may leave links to the second: it only has to find most of each large group
     to_hub = cells.filter("hub <> doc_id").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     first = _linked(_bounded(to_hub, points), texts, k)
     part = components(first)
 
-    placed = cells.join(part, cells["doc_id"] == part["id"], "left").select("key", "doc_id", "n", "m", F.coalesce("component", "doc_id").alias("part"))
+    placed = cells.join(part, cells["doc_id"] == part["id"], "left").select("key", "doc_id", "m", F.coalesce("component", "doc_id").alias("part"))
     open_ = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
     placed = written(placed.join(open_, "key", "left_semi"), "open_cells")
     # a cell of more than TILE rows is cut into tiles; each pair of tiles is a cell of its own
@@ -295,8 +299,8 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     half = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))  # halves of a pair of tiles; a tile alone has none
     half = F.when(tiles == 1, -1).otherwise(half)
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "doc_id", "n", "part", half.alias("half"))
-    with_points = dealt.join(points.select("doc_id", "point"), "doc_id")
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "doc_id", "part", half.alias("half"))
+    with_points = dealt.join(points, "doc_id")
     sorted_ = with_points.repartition("cell").sortWithinPartitions("cell", "n").select("cell", "doc_id", "n", "part", "half", "point")
     meetings = sorted_.mapInArrow(_cells, _MET).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
     second = _linked(meetings.filter(f"shared >= {_LEAST_SHARED}").select("a", "b").distinct(), texts, k)
