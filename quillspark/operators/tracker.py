@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, text
+from quillspark.operators.numbering import numbered
 
 
 def with_next(items: DataFrame, as_of: str) -> DataFrame:
@@ -21,7 +22,7 @@ def by_deadline(items: DataFrame, as_of: str) -> DataFrame:
     """In progress, then not started, then completed; earlier next dates first, items without one last."""
     rows = with_next(with_status(items, as_of), as_of)
     rank = F.when(F.col("status") == "in_progress", 0).when(F.col("status") == "not_started", 1).otherwise(2)
-    return rows.withColumn("place", F.row_number().over(W.orderBy(rank, F.coalesce(F.col("next.date"), F.to_date(F.lit("9999-12-31"))), "id")))
+    return numbered(rows, [rank, F.coalesce(F.col("next.date"), F.to_date(F.lit("9999-12-31"))), F.col("id")])
 
 
 def due(items: DataFrame, as_of: str) -> DataFrame:
