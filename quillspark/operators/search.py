@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
+from quillspark.operators.numbering import numbered
 
 
 def gated(rows: DataFrame, condition: Column, least: int) -> DataFrame:
@@ -70,7 +70,7 @@ def tag_match(label: str, haystack: Column) -> Column:
 def result_order(rows: DataFrame, key: str = "id") -> DataFrame:
     """Tracked first, then selected, then by tier and place."""
     tier = F.when(F.col("tier") == "strong", 0).when(F.col("tier") == "good", 1).otherwise(2)
-    return rows.withColumn("place", F.row_number().over(W.orderBy(F.when(F.col("tracked"), 0).when(F.col("selected"), 1).otherwise(2), tier, key)))
+    return numbered(rows, [F.when(F.col("tracked"), 0).when(F.col("selected"), 1).otherwise(2), tier, F.col(key)])
 
 
 def ranked(pool: DataFrame, ranking: DataFrame) -> DataFrame:

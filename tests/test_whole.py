@@ -41,3 +41,17 @@ def test_places_run_through_all_ranges(spark):
 def test_tracker_order_ranks_every_item(spark, duck):
     rows = same_as_whole(spark, duck, "tracker_order", " WHERE id < 2000")
     assert max(r.id for r in rows) > 2000
+
+
+def test_result_order_places_the_whole_catalog(spark, duck):
+    rows = same_as_whole(spark, duck, "result_order", " WHERE id < 500")
+    assert max(r.id for r in rows) > 500
+
+
+def test_ranking_reaches_past_the_first_thousand_places(spark, tmp_path):
+    d = str(tmp_path)
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 8000)).write.parquet(f"{d}/part.parquet")
+    got = registry.QUERIES["ranked_candidates"](spark, d).collect()
+    ids = sorted(r.p_partkey for r in spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 5 = 0").collect())
+    assert [r.id for r in got] == ids and [r.place for r in got] == [i // 5 + 1 for i in ids] and max(ids) > 5000
