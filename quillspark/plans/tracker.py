@@ -103,7 +103,7 @@ def review_sample(spark, d):
 def snapshot_plan(spark, d):
     p = b.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[^/]*//[^/]*", 0).alias("url"), F.col("page_id").alias("pos"))
     new = p.filter("page_id % 2 = 1").withColumn("url", F.when(F.col("page_id") % 10 == 1, "").otherwise(F.col("url")))
-    return curation.snapshot_plan(new, p.filter("page_id % 2 = 0 and page_id < 50")).select("page_id", "verdict")
+    return curation.snapshot_plan(new, p.filter("page_id % 2 = 0")).select("page_id", "verdict")
 
 
 def moderation_apply(spark, d):

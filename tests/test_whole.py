@@ -55,3 +55,14 @@ def test_ranking_reaches_past_the_first_thousand_places(spark, tmp_path):
     got = registry.QUERIES["ranked_candidates"](spark, d).collect()
     ids = sorted(r.p_partkey for r in spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 5 = 0").collect())
     assert [r.id for r in got] == ids and [r.place for r in got] == [i // 5 + 1 for i in ids] and max(ids) > 5000
+
+
+def test_snapshot_plan_looks_up_every_even_page(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(3, "https://late.example/a"), (4, "https://other.example/b"), (60, "https://late.example/c"), (5, "https://new.example/d"), (7, "https://new.example/e")], "page_id long, url string").write.parquet(f"{d}/pages.parquet")
+    got = {r.page_id: r.verdict for r in registry.QUERIES["snapshot_plan"](spark, d).collect()}
+    assert got == {3: "in_catalog", 5: "insert", 7: "in_file"}
+
+
+def test_snapshot_plan_equals_the_whole_sql(spark, duck):
+    same_as_whole(spark, duck, "snapshot_plan", " AND page_id < 50")
