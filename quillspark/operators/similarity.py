@@ -16,6 +16,7 @@ from quillspark.sources.shared import materialised
 SAME, SIMILAR = 0.82, 0.88
 GENERIC = ("program", "summer program", "internship", "scholarship", "camp", "club")
 PEERS = 3
+TWO_AT_SAME = 24
 
 
 def _ratio(a: str | None, b: str | None) -> float:
@@ -40,16 +41,17 @@ def letter_counts(name):
     return F.transform(letters, lambda c: F.length(name) - F.length(F.replace(name, c, F.lit(""))))
 
 
-def name_grams(name):
-    """Runs of three characters, and of two for names of ten or fewer.
+def name_grams(name, two: int = 10):
+    """Runs of three characters, and of two for names of `two` or fewer.
 
     Two names with a ratio of 0.85 or more have matching runs of which the longest is at least
     0.85 L / (0.3 L + 1) long, L being their mean length: over two where L > 8, over one where L >= 4.
-    So such names share a run, and joining on runs loses none.
+    So such names share a run, and joining on runs loses none. For 0.82 it is 0.82 L / (0.36 L + 1), over two
+    where L > 20, and neither name is then over 1.18 L long: TWO_AT_SAME.
     """
     runs = lambda k: F.transform(F.sequence(F.lit(1), F.length(name) - k + 1), lambda i: F.substr(name, i, F.lit(k)))
     none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(F.when(F.length(name) >= 6, runs(3)).otherwise(none), F.when(F.length(name).between(4, 10), runs(2)).otherwise(none)))
+    return F.array_distinct(F.concat(F.when(F.length(name) >= 6, runs(3)).otherwise(none), F.when(F.length(name).between(4, two), runs(2)).otherwise(none)))
 
 
 def may_reach(a, b, counts_a, counts_b, least: float):
@@ -59,47 +61,98 @@ def may_reach(a, b, counts_a, counts_b, least: float):
     return (2 * F.least(F.length(a), F.length(b)) >= least * total) & (2 * both >= least * total)
 
 
-def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int = 5) -> DataFrame:
+def alike_names(a: DataFrame, b: DataFrame, least: float, two: int = 10) -> DataFrame:
+    """(name_key, k_key, ratio) for the distinct names of a (name_key) and b (k_key) whose ratio is `least` or more."""
+    runs = lambda rows, k: rows.select(k).distinct().withColumn("run", F.explode(name_grams(F.col(k), two)))
+    x, y = F.length("name_key"), F.length("k_key")
+    met = runs(a, "name_key").join(runs(b, "k_key"), "run").filter(2 * F.least(x, y) >= least * (x + y)).select("name_key", "k_key").distinct()
+    near = met.filter(may_reach(F.col("name_key"), F.col("k_key"), letter_counts(F.col("name_key")), letter_counts(F.col("k_key")), least))
+    return near.withColumn("ratio", name_ratio("name_key", "k_key")).filter(F.col("ratio") >= least)
+
+
+def _least(rows: DataFrame, by: list[str], n: int, *order) -> DataFrame:
+    """The first n rows of each group; Spark limits the groups before it shuffles them, too."""
+    w = W.partitionBy(*by).orderBy(*(order or ("c_pos", "c_id")))
+    return rows.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= n).drop("_nth")
+
+
+def _above(path):
+    """The paths that a path lies under, without the root."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int = 5, same: bool = False) -> DataFrame:
     """submissions: id, url, apply_url, name; catalog: id, url, name, pos. (id, exact, candidates) by tier.
 
-    Candidates meet on equal keys, on equal domains, and, for names alone, on shared runs of distinct names, whose pairs
-    pass the count bound before the ratio is taken. An exact duplicate empties the candidate list.
+    same: the submissions are rows of the catalog, and none is compared with itself. Submissions with equal keys are one class.
+    For a class only rows that can be among its first are paired: the first `top` of a key, of a key and name, of a domain and
+    name, and so on; what a rule after that takes away (a row itself, an apply page, the own domain) is allowed for in the
+    numbers kept, so no pair that counts is lost. An exact duplicate empties the candidate list.
     """
-    s = with_keys(submissions).withColumn("apply_key", urls.match_key(F.col("apply_url"))).withColumn("letters", letter_counts(F.col("name_key")))
-    c = with_keys(catalog).withColumn("letters", letter_counts(F.col("name_key")))
-    c = c.select(*(F.col(x).alias(f"c_{x}") for x in ("id", "key", "path", "domain", "name_key", "pos", "letters")))
-    s = s.select(*(F.col(x).alias(f"s_{x}") for x in ("id", "key", "apply_key", "path", "domain", "name_key", "letters")))
-    s, c = materialised(s, "submissions"), materialised(c, "catalog")
-    peers = c.groupBy("c_domain").agg(F.count(F.lit(1)).alias("peers"))
-    by_key = s.filter("s_key <> ''").join(c, F.col("s_key") == F.col("c_key"))
-    by_apply = s.filter("s_apply_key <> ''").join(c, F.col("s_apply_key") == F.col("c_key"))
-    by_domain = s.filter("s_domain <> ''").join(c, F.col("s_domain") == F.col("c_domain"))
-    a, b = (x.select(f"{k}_name_key", f"{k}_letters").distinct().withColumn("run", F.explode(name_grams(F.col(f"{k}_name_key")))) for x, k in ((s, "s"), (c, "c")))
-    alike = a.join(b, "run").filter(may_reach(F.col("s_name_key"), F.col("c_name_key"), F.col("s_letters"), F.col("c_letters"), SIMILAR)).select("s_name_key", "c_name_key").distinct()
-    alike = alike.filter(name_ratio("s_name_key", "c_name_key") >= SIMILAR)
-    by_name = s.join(alike, "s_name_key").join(c, "c_name_key").select(*s.columns, *c.columns)
-    pairs = by_key.unionByName(by_apply).unionByName(by_domain).unionByName(by_name).drop("s_letters", "c_letters").distinct()
-    pairs = pairs.join(peers, "c_domain", "left").withColumn("ratio", name_ratio("s_name_key", "c_name_key"))
-    same_key = (F.col("s_key") == F.col("c_key")) & (F.col("s_key") != "")
-    same_domain = (F.col("s_domain") == F.col("c_domain")) & (F.col("s_domain") != "")
+    top = most + 1
+    s = with_keys(submissions).withColumn("apply_key", urls.match_key(F.col("apply_url")))
+    c = with_keys(catalog).filter("key <> ''")
+    s = materialised(s.select(*(F.col(x).alias(f"s_{x}") for x in ("id", "key", "apply_key", "path", "domain", "name_key"))), "submissions")
+    c = materialised(c.select(*(F.col(x).alias(f"c_{x}") for x in ("id", "key", "path", "domain", "name_key", "pos"))), "catalog")
+    kind = ["s_key", "s_apply_key", "s_path", "s_domain", "s_name_key"]
+    of_class = [*kind, *c.columns]
+    classes = s.select(*kind).distinct()
+    alike = alike_names(s.select(F.col("s_name_key").alias("name_key")), c.select(F.col("c_name_key").alias("k_key")), SAME, TWO_AT_SAME)
+    alike = materialised(alike.select(F.col("name_key").alias("s_name_key"), F.col("k_key").alias("c_name_key"), F.col("ratio").alias("by")), "alike")
+
+    of_key = _least(c, ["c_key"], top)
+    of_name = materialised(_least(c, ["c_key", "c_name_key"], top), "named")
+    of_domain = _least(of_name, ["c_domain", "c_name_key"], 2 * top)
+    elsewhere = _least(of_domain, ["c_name_key"], 4 * top)
+    same_page, same_name = F.col("s_key") == F.col("c_key"), F.col("s_name_key") == F.col("c_name_key")
+    same_site = (F.col("s_domain") == F.col("c_domain")) & (F.col("s_domain") != "")
+    applies = (F.col("s_apply_key") == F.col("c_key")) & (F.col("s_apply_key") != "")
+
+    keyed = classes.filter("s_key <> ''")
+    twins = keyed.join(alike, "s_name_key").join(of_name.withColumnRenamed("c_key", "s_key"), ["s_key", "c_name_key"]).withColumn("c_key", F.col("s_key")).select(*of_class)
+    twins = _least(twins.unionByName(keyed.join(of_name, same_page & same_name)).distinct(), kind, top)
+    by_key = keyed.join(of_key, same_page)
+    by_apply = classes.filter("s_apply_key <> ''").join(of_key, F.col("s_apply_key") == F.col("c_key"))
+    under = _least(of_name.withColumn("_up", F.explode(_above(F.col("c_path")))), ["c_domain", "_up", "c_name_key"], 2 * top)
+    sited = classes.filter("s_domain <> ''")
+    below = sited.join(under, (F.col("s_domain") == F.col("c_domain")) & (F.col("s_path") == F.col("_up")))
+    above = sited.withColumn("_up", F.explode(_above(F.col("s_path")))).join(_least(of_name, ["c_domain", "c_path", "c_name_key"], 2 * top), (F.col("s_domain") == F.col("c_domain")) & (F.col("_up") == F.col("c_path")))
+    named = classes.select("s_domain", "s_apply_key", "s_name_key").distinct()
+    best = (F.desc("by"), "c_pos", "c_id")
+    here = named.filter("s_domain <> ''").join(alike, "s_name_key").join(of_domain.withColumn("s_domain", F.col("c_domain")), ["s_domain", "c_name_key"]).filter(~applies)
+    there = named.join(alike.filter(F.col("by") >= SIMILAR), "s_name_key").join(elsewhere, "c_name_key").filter(~applies & ~same_site)
+    by_name = _least(here, named.columns, top, *best).unionByName(_least(there, named.columns, top, *best))
+    by_name = classes.join(by_name, named.columns).select(*of_class)
+    peers = c.groupBy("c_domain").agg((F.count(F.lit(1)) - int(same)).alias("peers"))
+    by_site = sited.join(c.join(peers.filter(F.col("peers") <= PEERS), "c_domain"), F.col("s_domain") == F.col("c_domain"))
+
+    pairs = twins.select(*of_class)
+    for more in (by_key, by_apply, below, above, by_name, by_site):
+        pairs = pairs.unionByName(more.select(*of_class))
+    pairs = materialised(pairs.distinct(), "pairs")
+    ratios = pairs.select("s_name_key", "c_name_key").distinct().withColumn("ratio", name_ratio("s_name_key", "c_name_key"))
+    pairs = pairs.join(ratios, ["s_name_key", "c_name_key"]).join(peers, "c_domain")
+    same_page = same_page & (F.col("s_key") != "")
     tier = (
-        F.when(same_key & ((F.col("s_name_key") == F.col("c_name_key")) | (F.col("ratio") >= SAME)), "exact")
-        .when(same_key, "strong")
-        .when((F.col("s_apply_key") == F.col("c_key")) & (F.col("s_apply_key") != ""), "strong")
-        .when(same_domain & urls.is_prefix(F.col("s_path"), F.col("c_path")), "strong")
-        .when(same_domain & (F.col("ratio") >= SAME), "strong")
+        F.when(same_page & (same_name | (F.col("ratio") >= SAME)), "exact")
+        .when(same_page, "strong")
+        .when(applies, "strong")
+        .when(same_site & urls.is_prefix(F.col("s_path"), F.col("c_path")), "strong")
+        .when(same_site & (F.col("ratio") >= SAME), "strong")
         .when(F.col("ratio") >= SIMILAR, "weak")
-        .when(same_domain & (F.col("peers") <= PEERS), "weak")
+        .when(same_site & (F.col("peers") <= PEERS), "weak")
     )
-    found = pairs.withColumn("tier", tier).filter("tier is not null")
-    exact = F.min(F.when(F.col("tier") == "exact", F.struct("c_pos", "c_id")))
-    place = F.struct(F.when(F.col("tier") == "strong", 0).otherwise(1).alias("rank"), (-F.coalesce("ratio", F.lit(0.0))).alias("by"), F.col("c_pos").alias("pos"), F.col("c_id").alias("id"), F.col("tier").alias("tier"))
-    w = W.partitionBy("s_id").orderBy("place")
-    best = found.withColumn("place", place).withColumn("nth", F.row_number().over(w)).withColumn("hit", F.when(F.col("tier") == "exact", F.struct("c_pos", "c_id")))
-    best = best.withColumn("first_exact", F.min("hit").over(W.partitionBy("s_id"))).filter((F.col("nth") <= most) | F.col("hit").isNotNull())
-    grouped = best.groupBy(F.col("s_id").alias("id")).agg(exact.getField("c_id").alias("exact"), F.sort_array(F.collect_list(F.when(F.col("nth") <= most, F.col("place")))).alias("found"))
-    listed = F.transform("found", lambda p: F.concat_ws(":", p["tier"], p["id"].cast("string")))
-    return grouped.select("id", "exact", F.when(F.col("exact").isNotNull(), F.array().cast("array<string>")).otherwise(listed).alias("candidates"))
+    by = F.when(same_page, 1.0).when(applies, 0.0).otherwise(F.col("ratio"))
+    found = pairs.withColumn("tier", tier).filter("tier is not null").withColumn("rank", F.when(F.col("tier") == "exact", 0).when(F.col("tier") == "strong", 1).otherwise(2))
+    found = found.withColumn("place", F.struct("rank", (-by).alias("by"), F.col("c_pos").alias("pos"), F.col("c_id").alias("id"), "tier")).withColumn("hit", F.col("rank") == 0)
+    # exact ones stand first by position; the others by rank, likeness and position
+    found = found.withColumn("place", F.when(F.col("hit"), F.col("place").withField("by", F.lit(0.0))).otherwise(F.col("place")))
+    first = _least(found, [*kind, "hit"], top, "place").groupBy(*kind).agg(F.sort_array(F.collect_list("place")).alias("found"))
+    mine = s.join(first, kind).withColumn("found", F.filter("found", lambda p: ~(F.lit(same) & (p["id"] == F.col("s_id")))))
+    exact = F.get(F.filter("found", lambda p: p["rank"] == 0), F.lit(0))["id"]
+    listed = F.transform(F.slice("found", 1, most), lambda p: F.concat_ws(":", p["tier"], p["id"].cast("string")))
+    return mine.filter(F.size("found") > 0).select(F.col("s_id").alias("id"), exact.alias("exact"), F.when(exact.isNotNull(), F.array().cast("array<string>")).otherwise(listed).alias("candidates"))
 
 
 def fuzzy_new(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:

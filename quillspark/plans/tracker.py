@@ -149,8 +149,8 @@ def fuzzy_candidates(spark, d):
     p, g = b.table(spark, d, "part"), b.table(spark, d, "pages")
     url = F.concat(F.lit("https://www.site"), (F.col("p_partkey") % 40).cast("string"), F.lit(".example.org/"), urls.name_key(F.col("p_name")).substr(1, 5))
     rows = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.replace(url, F.lit(" "), F.lit("-")).alias("url"), F.col("p_partkey").alias("pos"))
-    new = rows.filter("id % 97 = 0").select("id", "url", F.lit("").alias("apply_url"), F.concat(F.col("name"), F.lit(" 2024")).alias("name"))
-    out = similarity.duplicate_candidates(new, rows.filter("id % 97 <> 0"))
+    new = rows.select("id", "url", F.lit("").alias("apply_url"), F.concat(F.col("name"), F.lit(" 2024")).alias("name"))
+    out = similarity.duplicate_candidates(new, rows, same=True)
     return out.select("id", "exact", F.array_join("candidates", "|").alias("candidates"))
 
 

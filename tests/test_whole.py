@@ -2,11 +2,13 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import similarity
 from quillspark.operators.numbering import numbered
 from quillspark.plans import registry
 
@@ -66,3 +68,51 @@ def test_snapshot_plan_looks_up_every_even_page(spark, tmp_path):
 
 def test_snapshot_plan_equals_the_whole_sql(spark, duck):
     same_as_whole(spark, duck, "snapshot_plan", " AND page_id < 50")
+
+
+def find_duplicates(new, catalog, same):
+    """(exact, candidates) of one submission by a walk over all rows."""
+    rows = [r for r in catalog if r.key and not (same and r.id == new.id)]
+    peers = sum(bool(new.domain) and r.domain == new.domain for r in rows)
+    under = lambda a, b: a != "" and b.startswith(a + "/")
+    found = []
+    for r in rows:
+        ratio, site = similarity._ratio(new.name_key, r.name_key), bool(new.domain) and r.domain == new.domain
+        if new.key and r.key == new.key:
+            if new.name_key == r.name_key or ratio >= 0.82:
+                return r.id, []
+            found.append((0, -1.0, r.id))
+        elif new.apply_key and new.apply_key == r.key:
+            found.append((0, 0.0, r.id))
+        elif site and (under(new.path, r.path) or under(r.path, new.path) or ratio >= 0.82):
+            found.append((0, -ratio, r.id))
+        elif ratio >= 0.88 or site and peers <= 3:
+            found.append((1, -ratio, r.id))
+    return None, [f"{('strong', 'weak')[k]}:{i}" for k, _, i in sorted(found, key=lambda x: x[:2])[:5]]
+
+
+def by_walk(submissions, catalog, same):
+    from quillspark.functions import urls
+
+    rows = similarity.with_keys(catalog).orderBy("pos").collect()
+    new = similarity.with_keys(submissions).withColumn("apply_key", urls.match_key(F.col("apply_url"))).collect()
+    every = {n.id: find_duplicates(n, rows, same) for n in new}
+    return {i: v for i, v in every.items() if v != (None, [])}
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_candidates_equal_a_walk_over_all_rows(spark, same):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["robotics", "robotic", "chess", "summer", "art", "arts", "math", "club"])
+    url = lambda: rng.choice(["", *[f"https://{rng.choice(['a.big.org', 'www.big.org', 'mid.org', f's{rng.randrange(25)}.net'])}{rng.choice(['', '/x', '/x/y', '/x/y/z', '/p', '/p?q=1'])}"] * 12])
+    data = [(i, url(), rng.choice(["", "", url()]), f"{word()} {word()} {rng.choice(['camp', 'camps', 'days'])}" if i % 9 else "club", i) for i in range(320)]
+    rows = spark.createDataFrame(data, "id long, url string, apply_url string, name string, pos long")
+    new = rows if same else rows.filter("id >= 200")
+    catalog = (rows if same else rows.filter("id < 200")).drop("apply_url")
+    got = {r.id: (r.exact, list(r.candidates)) for r in similarity.duplicate_candidates(new, catalog, same=same).collect()}
+    assert got == by_walk(new, catalog, same)
+
+
+def test_fuzzy_candidates_seeks_duplicates_of_every_part(spark):
+    got = {r.id: r.exact for r in registry.QUERIES["fuzzy_candidates"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) > 100
