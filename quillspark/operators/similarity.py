@@ -156,20 +156,48 @@ def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int =
 
 
 def fuzzy_new(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
-    """New rows whose name is like no known name: a join on shared runs, the lossless bound, then the ratio."""
-    a = new.select("id", urls.name_key(F.col("name")).alias("name_key")).withColumn("letters", letter_counts(F.col("name_key")))
-    b = known.select(urls.name_key(F.col("name")).alias("k_key")).distinct().withColumn("k_letters", letter_counts(F.col("k_key")))
-    pairs = a.withColumn("run", F.explode(name_grams(F.col("name_key")))).join(b.withColumn("run", F.explode(name_grams(F.col("k_key")))), "run")
-    near = pairs.filter(may_reach(F.col("name_key"), F.col("k_key"), F.col("letters"), F.col("k_letters"), least)).select("id", "name_key", "k_key").distinct()
-    hits = near.filter(name_ratio("name_key", "k_key") >= least).select("id").distinct()
-    return new.join(hits, "id", "left_anti")
+    """New rows whose name is like no known name: pairs of distinct names by shared runs and the lossless bound, then the ratio."""
+    keyed = new.withColumn("name_key", urls.name_key(F.col("name")))
+    hits = alike_names(keyed.select("name_key"), known.select(urls.name_key(F.col("name")).alias("k_key")), least).select("name_key").distinct()
+    return keyed.join(hits, "name_key", "left_anti").drop("name_key")
+
+
+def greedy_new(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
+    """new: id, name, url, pos; known: name, url. (id, accepted) for all new rows, as one walk in order of (pos, id) decides.
+
+    A row is refused if a known row or one accepted before has its URL key or a like name. Known rows are excluded by joins.
+    Of the rest, each round accepts every row before which no undecided row is like it, and refuses those that follow
+    an accepted one; the first undecided row is always decided, so the rounds end, and no task sees all rows.
+    """
+    seen = known.select(urls.weak(F.col("url")).alias("url_key")).filter("url_key <> ''").distinct()
+    fresh = new.withColumn("url_key", urls.weak(F.col("url"))).join(seen, "url_key", "left_anti")
+    fresh = fuzzy_new(fresh, known, least).select("id", "url_key", urls.name_key(F.col("name")).alias("name_key"), F.struct("pos", "id").alias("at"))
+    left = materialised(fresh, "undecided")
+    names = left.select("name_key").distinct()
+    alike = materialised(alike_names(names, names.withColumnRenamed("name_key", "k_key"), least).select("name_key", "k_key"), "alike")
+
+    def first_met(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """The first of the others with a row's URL key, and with a name like its name."""
+        by_url = others.filter("url_key <> ''").groupBy("url_key").agg(F.min("at").alias("at_url"))
+        by_name = others.groupBy(F.col("name_key").alias("k_key")).agg(F.min("at").alias("at_name"))
+        by_name = alike.join(by_name, "k_key").groupBy("name_key").agg(F.min("at_name").alias("at_name"))
+        return rows.join(by_url, "url_key", "left").join(by_name, "name_key", "left")
+
+    earlier = F.coalesce(F.col("at_url") < F.col("at"), F.lit(False)) | F.coalesce(F.col("at_name") < F.col("at"), F.lit(False))
+    taken = left.select("id").limit(0)
+    while not left.isEmpty():
+        accepted = materialised(first_met(left, left).filter(~earlier).select(*left.columns), "accepted")
+        taken = taken.unionByName(accepted.select("id"))
+        rest = left.join(accepted.select("id"), "id", "left_anti")
+        left = materialised(first_met(rest, accepted).filter(~earlier).select(*left.columns), "undecided")
+    return new.select("id").join(taken.withColumn("accepted", F.lit(True)), "id", "left").select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def greedy(batch: DataFrame, least: float = 0.85, group: str = "batch") -> DataFrame:
     """batch: id, name, url, pos, batch. Accepts rows in order unless an accepted one before has the same URL key or a like name.
 
-    The order decides, so one batch is one task; a batch is what one collection run found (tens of rows), and the
-    catalog is excluded by joins beforehand.
+    The order decides, so one batch is one task; a batch is what one collection run found (tens of rows). It knows
+    nothing of the catalog or of other batches: greedy_new does.
     """
     keyed = batch.withColumns({"url_key": urls.weak(F.col("url")), "name_key": urls.name_key(F.col("name"))})
 

@@ -156,8 +156,8 @@ def fuzzy_candidates(spark, d):
 
 def greedy_dedupe(spark, d):
     p = b.table(spark, d, "part")
-    rows = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.concat(F.lit("https://a.example/"), (F.col("p_partkey") % 900).cast("string")).alias("url"), F.col("p_partkey").alias("pos"), F.floor(F.col("p_partkey") / 50).alias("batch"))
-    return similarity.greedy(rows)
+    rows = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.concat(F.lit("https://a.example/"), (F.col("p_partkey") % 900).cast("string")).alias("url"), F.col("p_partkey").alias("pos"))
+    return similarity.greedy_new(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"))
 
 
 def mock_enriched(spark, d):

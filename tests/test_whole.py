@@ -116,3 +116,31 @@ def test_candidates_equal_a_walk_over_all_rows(spark, same):
 def test_fuzzy_candidates_seeks_duplicates_of_every_part(spark):
     got = {r.id: r.exact for r in registry.QUERIES["fuzzy_candidates"](spark, "/root/testdata/sf0.001").collect()}
     assert len(got) > 100
+
+
+def test_greedy_new_equals_a_walk_over_known_and_all_new_rows(spark):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("abc de") for _ in range(rng.randint(3, 9)))
+    data = [(i, name(), rng.choice(["", f"https://x.org/{rng.randrange(400)}/", f"HTTPS://x.org/{rng.randrange(400)}"]), (i * 37) % 331) for i in range(331)]
+    rows = spark.createDataFrame(data, "id long, name string, url string, pos long")
+    from quillspark.functions import urls
+
+    keyed = rows.select("id", "pos", urls.weak(F.col("url")).alias("u"), urls.name_key(F.col("name")).alias("n")).orderBy("pos", "id").collect()
+    seen, names, want = {r.u for r in keyed if r.id < 40}, [r.n for r in keyed if r.id < 40], {}
+    for r in keyed:
+        if r.id >= 40:
+            want[r.id] = not (r.u and r.u in seen or any(similarity._ratio(r.n, k) >= 0.85 for k in names))
+            if want[r.id]:
+                seen.add(r.u)
+                names.append(r.n)
+    assert 50 < sum(want.values()) < len(want) - 50
+    assert {r.id: r.accepted for r in similarity.greedy_new(rows.filter("id >= 40"), rows.filter("id < 40")).collect()} == want
+
+
+def test_greedy_dedupe_repeats_no_url_or_name_across_the_table(spark):
+    d = "/root/testdata/sf0.001"
+    kept = [r.id for r in registry.QUERIES["greedy_dedupe"](spark, d).filter("accepted").collect()]
+    names = {r.id: r.n for r in spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", "p_name", F.replace("p_brand", F.lit("#"), F.lit(" ")))).alias("n")).collect()}
+    known = [n for i, n in names.items() if i % 2 == 0]
+    for k, i in enumerate(sorted(kept)):
+        assert all(similarity._ratio(names[i], n) < 0.85 for n in [*known, *(names[j] for j in sorted(kept)[:k])])
