@@ -3,14 +3,19 @@
 A document's set holds the hashes of its word shingles. Equal sets are one class first. Shingles hash into GROUPS groups;
 a set's counts per group are a point, and the sum of coordinate minima bounds the overlap of two sets (of two tree
 nodes, with each node's largest counts). Points are only worth comparing when two sets can share a shingle among the
-first n - ceil(0.8 n) + 1 of a common order, so these keys deal points into cells. The order puts shingles last that
-stand in very many documents' keys (all keys are counted), which keeps common lines and passages out of the cells.
+first n - ceil(0.8 n) + 1 of a common order, so these keys deal points into cells, each the root of an R-tree of its own.
+
+The order puts rare shingles first. Their counts over all documents are kept in a table of 2**BUCKETS buckets, whose
+size does not depend on the corpus: a shingle counts as its bucket does, ties go by hash. Any order gives all pairs;
+this one keeps what many documents share (lines, passages) out of the cells, as soon as it stands out from the buckets'
+mean, so cells stay small while documents and their sharing grow together.
 
 Inside cells: first every set is compared with its cell's least id, which links each large group of near copies in
 linear time; the components so found are then compared with each other only. Cells that still hold several components
-are joined by an R-tree, leaf against leaf. A pair meets once for each key that it shares, and similar sets share many,
-so pairs that meet less often are done; the others are verified on whole sets. Large cells are split into tiles, so no
-task holds an unbounded one. No pair that can be similar, no row and no cell is dropped.
+are joined by their R-trees, leaf against leaf, under three bounds: sizes, summed minima, and the places of the key in
+both orders. Similar sets meet in several cells, so pairs that meet less often are done; the others are verified on whole
+sets. Large cells are split into tiles, so no task holds an unbounded one. No pair that can be similar, no row and no
+cell is dropped.
 
 Defined results: null and empty texts have no shingles and stand alone; texts of fewer words have one; a null doc_id has
 a null component; rows that repeat a doc_id are one node and keep their own counts; ties take the least id.
@@ -18,6 +23,7 @@ a null component; rows that repeat a doc_id are one node and keep their own coun
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,10 +39,10 @@ SHINGLE = 5
 GROUPS = 64
 #: Similarity as a fraction: linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: A key in more than this share of the documents' keys (and at least COMMON_LEAST of them) comes last in the order;
-#: the list of such keys has at most (keys of a document) / COMMON_SHARE entries at any size.
-COMMON_SHARE = 1e-4
-COMMON_LEAST = 50
+#: Log 2 of the number of buckets in which shingles are counted: 16 MB at any size of the corpus.
+BUCKETS = 22
+#: Parts in which tasks hand on their counts.
+SLICES = 256
 LEAF = 32
 #: Most rows of a cell, or of a half of a tile, that one task joins at once.
 TILE = 20_000
@@ -64,36 +70,61 @@ def _sets(b: pa.RecordBatch, column: int, k: int) -> tuple[np.ndarray, np.ndarra
     return g[new], np.bincount(row[new], minlength=b.num_rows)
 
 
-def _prefix(g: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bucket(g: np.ndarray) -> np.ndarray:
+    return (g >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
+def _prefix(g: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of each set and how many: the first n - ceil(n * PERCENT / 100) + 1 in the common order."""
     row = np.repeat(np.arange(len(sizes)), sizes)
-    if len(last):
-        at = np.minimum(np.searchsorted(last, g), len(last) - 1)
-        common = last[at] == g
-        order = np.lexsort((g, common, row))
-        g = g[order]
+    g = g[np.argsort((row << 32) | counts[_bucket(g)], kind="stable")]  # hashes ascend already
     keys = np.where(sizes > 0, sizes - -(-sizes * PERCENT // 100) + 1, 0)
     first = np.cumsum(sizes) - sizes
     return g[np.arange(len(g)) - first[row] < keys[row]], keys
 
 
-def _keys_only(k: int):
+def _count(k: int):
+    """Each task's counts of buckets, in compressed slices."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
+        counts = np.zeros(1 << BUCKETS, np.int32)
         for b in chunks(batches):
-            g, _ = _prefix(*_sets(b, 1, k), none)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], ["key"])
+            g, _ = _sets(b, 1, k)
+            np.add.at(counts, _bucket(g), 1)
+        own = [(i, c) for i, c in enumerate(counts.reshape(SLICES, -1)) if c.any()]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in own], pa.binary())], ["slice", "counts"])
 
     return run
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the slices that a task got; it holds SLICES of them at most."""
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            held.setdefault(i, np.zeros((1 << BUCKETS) // SLICES, np.int64))
+            held[i] += np.frombuffer(zlib.decompress(c.as_buffer()), np.int32)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(c, 2**31 - 1).astype(np.int32).tobytes() for c in held.values()], pa.binary())], ["slice", "counts"])
+
+
+def shingle_counts(texts: DataFrame, k: int) -> np.ndarray:
+    """How often the shingles of each bucket stand in the documents' sets; its size is fixed."""
+    sums = texts.mapInArrow(_count(k), "slice int, counts binary").repartition("slice").mapInArrow(_add_up, "slice int, counts binary").toArrow()
+    counts = np.zeros((SLICES, (1 << BUCKETS) // SLICES), np.int32)
+    for i, c in zip(sums.column(0).to_pylist(), sums.column(1), strict=True):
+        counts[i] = np.frombuffer(c.as_buffer(), np.int32)
+    return counts.ravel()
+
+
 def _points(k: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value
+        often = common.value
         for b in chunks(batches):
             g, sizes = _sets(b, 1, k)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            keys, n_keys = _prefix(g, sizes, last)
+            keys, n_keys = _prefix(g, sizes, often)
             counts = np.bincount(row * GROUPS + (g % np.uint64(GROUPS)).astype(np.int64), minlength=len(sizes) * GROUPS)
             low, high = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
             np.add.at(low, row, mix(g, 0x9FB21C651E98DF25))
@@ -147,6 +178,13 @@ def _may(top_a, low_a, high_a, top_b, low_b, high_b) -> np.ndarray:
     return fits
 
 
+def _placed(sizes: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs can reach the similarity with their cell's key at these places of their orders: they share at most the
+    lesser number of what stands before it, the key, and the lesser number of what stands after it."""
+    most = np.minimum(place[i], place[j]) + np.minimum(sizes[i] - place[i], sizes[j] - place[j])
+    return (100 + PERCENT) * most >= PERCENT * (sizes[i] + sizes[j])
+
+
 def tree_join(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) of points of different parts that the bounds let through; with sides, only pairs across them."""
     levels = tree(points, sizes)
@@ -201,11 +239,11 @@ def _small_cells(first: np.ndarray, size: np.ndarray, points, sizes, parts, side
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell and size: cell, doc_id, n, part, half, point. half is -1 in a cell that is one tile."""
+    """Rows sorted by cell and size: cell, doc_id, n, part, half, place, point. half is -1 in a cell that is one tile."""
 
     def joined(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        cell, ids, n, part, half = (np.asarray(t.column(c)) for c in ("cell", "doc_id", "n", "part", "half"))
+        cell, ids, n, part, half, place = (np.asarray(t.column(c)) for c in ("cell", "doc_id", "n", "part", "half", "place"))
         col = t.column("point")
         points = np.asarray((col.chunk(0) if isinstance(col, pa.ChunkedArray) else col).flatten()).reshape(len(ids), GROUPS)
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
@@ -220,6 +258,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield i + at, j + at
 
         for i, j in chain(_small_cells(first[small], size[small], points, n, part, half), large()):
+            ok = _placed(n, place, i, j)
+            i, j = i[ok], j[ok]
             if len(i):
                 i, j = np.where(ids[i] <= ids[j], i, j), np.where(ids[i] <= ids[j], j, i)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[i], ids[j], n[i], n[j])], ["a", "b", "n_a", "n_b"])
@@ -264,10 +304,7 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n_docs = texts.count()
-    often = max(COMMON_LEAST, int(n_docs * COMMON_SHARE))
-    counted = texts.mapInArrow(_keys_only(k), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > often)
-    common = spark.sparkContext.broadcast(np.sort(np.asarray(counted.select("key").toArrow().column(0), dtype=np.int64).view(np.uint64)))
+    common = spark.sparkContext.broadcast(shingle_counts(texts, k))
     rows = written(texts.mapInArrow(_points(k, common), "doc_id long, n long, low long, high long, keys array<long>, point array<int>"), "points")
 
     marks = written(rows.select("doc_id", "n", "low", "high"), "marks")
@@ -276,7 +313,7 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     firsts = classes.select(F.col("first").alias("doc_id"))
     apart = rows.join(firsts, "doc_id", "left_semi").filter("n > 0")
     # the keys that several rows have go first, so only these rows' keys are shuffled again
-    keyed = rows.select("doc_id", F.explode("keys").alias("key"))
+    keyed = rows.select("doc_id", F.posexplode("keys").alias("place", "key"))
     # tables of their own: joined straight after its aggregate, the rows of a common key could not be split between tasks
     several = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "several")
     keyed = written(keyed.join(several, "key").join(firsts, "doc_id", "left_semi"), "keyed")
@@ -290,7 +327,7 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     first = _linked(_bounded(to_hub, points), texts, k)
     part = components(first)
 
-    placed = cells.join(part, cells["doc_id"] == part["id"], "left").select("key", "doc_id", "m", F.coalesce("component", "doc_id").alias("part"))
+    placed = cells.join(part, cells["doc_id"] == part["id"], "left").select("key", "doc_id", "place", "m", F.coalesce("component", "doc_id").alias("part"))
     open_ = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
     placed = written(placed.join(open_, "key", "left_semi"), "open_cells")
     # a cell of more than TILE rows is cut into tiles; each pair of tiles is a cell of its own
@@ -299,9 +336,9 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     half = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))  # halves of a pair of tiles; a tile alone has none
     half = F.when(tiles == 1, -1).otherwise(half)
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "doc_id", "part", half.alias("half"))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "doc_id", "place", "part", half.alias("half"))
     with_points = dealt.join(points, "doc_id")
-    sorted_ = with_points.repartition("cell").sortWithinPartitions("cell", "n").select("cell", "doc_id", "n", "part", "half", "point")
+    sorted_ = with_points.repartition("cell").sortWithinPartitions("cell", "n").select("cell", "doc_id", "n", "part", "half", "place", "point")
     meetings = sorted_.mapInArrow(_cells, _MET).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
     second = _linked(meetings.filter(f"shared >= {_LEAST_SHARED}").select("a", "b").distinct(), texts, k)
     whole = components(first.unionByName(second))

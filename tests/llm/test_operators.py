@@ -380,7 +380,6 @@ def grouped(rows):
 @pytest.mark.parametrize("tile", [jaccard.TILE, 3])
 def test_jaccard_groups(spark, corpus, tile, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", tile)
-    monkeypatch.setattr(jaccard, "COMMON_LEAST", 4)
     rows = [*corpus, (900, "A a A a a"), (901, "one TWO"), (902, "X")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(table(spark, rows)).collect()}
     want = grouped(rows)
@@ -415,8 +414,8 @@ def test_cells_of_every_size_lose_no_pair():
     base = g.integers(0, 5, jaccard.GROUPS)
     rows = sorted(((c, i, np.abs(base + (p == 4)), part) for c, i, p, part in rows), key=lambda r: (r[0], int(r[2].sum())))
     batch = pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([int(r[2].sum()) for r in rows]), pa.array([r[3] for r in rows]), pa.array([-1] * len(rows)), pa.array([r[2].tolist() for r in rows], pa.list_(pa.int32()))],
-        ["cell", "doc_id", "n", "part", "half", "point"],
+        [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([int(r[2].sum()) for r in rows]), pa.array([r[3] for r in rows]), pa.array([-1] * len(rows)), pa.array([0] * len(rows)), pa.array([r[2].tolist() for r in rows], pa.list_(pa.int32()))],
+        ["cell", "doc_id", "n", "part", "half", "place", "point"],
     )
     want = set()
     for x in range(len(rows)):
@@ -430,6 +429,37 @@ def test_cells_of_every_size_lose_no_pair():
         assert got == want and len(want) > 100
 
 
+def test_counts_of_buckets_are_exact(spark, corpus):
+    texts = table(spark, corpus).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    want = np.zeros(1 << jaccard.BUCKETS, np.int32)
+    for b in texts.toArrow().to_batches():
+        np.add.at(want, jaccard._bucket(jaccard._sets(b, 1, 5)[0]), 1)
+    assert np.array_equal(jaccard.shingle_counts(texts.repartition(5), 5), want) and want.max() > 8
+    assert not jaccard.shingle_counts(texts.limit(0), 5).any()
+
+
+def test_keys_and_their_places_lose_no_pair():
+    """Similar sets share the keys that they must, whatever the counts, and each meeting passes the bound of places."""
+    g = np.random.default_rng(6)
+    counts = g.integers(0, 9, 1 << jaccard.BUCKETS).astype(np.int32)
+    for _ in range(300):
+        n = int(g.integers(1, 300))
+        a = g.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[g.random(n) < 0.93], g.integers(0, 2**63, int(g.integers(0, 1 + n // 9)), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if not len(b) or 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        sizes = np.array([len(a), len(b)])
+        keys, n_keys = jaccard._prefix(np.concatenate([a, b]), sizes, counts)
+        p, q = keys[: n_keys[0]].tolist(), keys[n_keys[0] :].tolist()
+        met = [(p.index(x), q.index(x)) for x in set(p) & set(q)]
+        overlap = -(-80 * (len(a) + len(b)) // 180)
+        assert len(met) >= max(1, overlap + 1 - -(-80 * max(len(a), len(b)) // 100))
+        for x, y in met:
+            assert jaccard._placed(sizes, np.array([x, y]), np.array([0]), np.array([1]))[0]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (300, 200), (200, 300)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
