@@ -43,9 +43,9 @@ def month_number(day: Column) -> Column:
 
 
 def snapshot_time(name: Column) -> Column:
-    """The instant in a file name, YYYYMMDD with or without -HHMMSS."""
-    long_, short = (F.regexp_extract(name, p, 1) for p in (r"(\d{8}-\d{6})", r"(\d{8})"))
-    return F.coalesce(F.try_to_timestamp(F.nullif(long_, F.lit("")), F.lit("yyyyMMdd-HHmmss")), F.try_to_timestamp(F.nullif(short, F.lit("")), F.lit("yyyyMMdd")))
+    """The instant in a file name: the first YYYYMMDD, with -HHMMSS where it follows; null where that is no date."""
+    stamp = F.regexp_extract(name, r"\d{8}(?:-\d{6})?", 0)
+    return F.when(F.length(stamp) == 8, F.try_to_timestamp(stamp, F.lit("yyyyMMdd"))).when(F.length(stamp) == 15, F.try_to_timestamp(stamp, F.lit("yyyyMMdd-HHmmss")))
 
 
 def next_date(dates: Column, today: Column) -> Column:
@@ -60,15 +60,17 @@ def milestones(dates: Column, today: Column) -> Column:
     return F.transform(F.array_sort(pairs), lambda d: F.struct(d["date"].alias("date"), d["label"].alias("label"), (days_until(d["date"], today) < 0).alias("past")))
 
 
-def progress(dates: Column, estimated: Column, running: Column, today: Column) -> Column:
-    """not_started before the first date; in_progress up to the last; then completed, unless dates were estimates of something still running."""
-    days = F.transform(dates, lambda d: d["date"])
+def progress(dates: Column, estimated: Column, run_status: Column, today: Column) -> Column:
+    """completed where the entry does not run; not_started before the first date or without any; in_progress up to the last;
+    then completed, unless the dates were estimates for something that still runs."""
+    days = F.filter(F.transform(dates, lambda d: d["date"]), lambda d: d.isNotNull())
     first, last = F.array_min(days), F.array_max(days)
     return (
-        F.when(F.coalesce(F.size(dates), F.lit(0)) == 0, "not_started")
+        F.when(F.coalesce(run_status == "not_running", F.lit(False)), "completed")
+        .when(F.coalesce(F.size(days), F.lit(0)) <= 0, "not_started")
         .when(days_until(first, today) > 0, "not_started")
         .when(days_until(last, today) >= 0, "in_progress")
-        .when(running & estimated, "not_started")
+        .when(F.coalesce((run_status == "running") & estimated, F.lit(False)), "not_started")
         .otherwise("completed")
     )
 

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track, index files, and last path parts that say little.
-TRACKING = "^(utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|ref|source)="
-INDEX_FILE = r"/(index|default)\.(html?|php|aspx?)$"
-LOW_VALUE = ("about", "apply", "contact", "faq", "faqs", "login", "register", "signup")
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: Query parameters that only say where a visitor came from.
+TRACKING = (
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id",
+    "fbclid", "gclid", "msclkid", "dclid", "yclid", "twclid", "ttclid", "igshid",
+    "wbraid", "gbraid", "mc_cid", "mc_eid", "_ga", "_gl", "ref", "ref_src", "referrer",
+)
+#: Files that stand for their directory.
+INDEX_FILES = ("index.html", "index.htm", "index.php", "default.aspx", "default.asp")
+#: Last path parts that are seldom an entry's own page.
+LOW_VALUE = (
+    "faq", "faqs", "about", "about-us", "contact", "contact-us", "apply", "application",
+    "register", "registration", "signup", "sign-up", "login", "signin", "sign-in",
+    "news", "blog", "privacy", "terms", "sitemap", "search", "donate", "support",
+)
+#: Second labels that belong to a public suffix.
+SECOND_LEVEL = ("edu", "ac", "co", "com", "org", "net", "gov", "govt", "sch")
 
 
 def weak(url: Column) -> Column:
@@ -24,47 +35,74 @@ def bare(url: Column) -> Column:
 
 def with_scheme(url: Column) -> Column:
     t = F.trim(F.coalesce(url, F.lit("")))
-    return F.when(t == "", "").when(t.rlike("(?i)^[a-z][a-z0-9+.-]*://"), t).otherwise(F.concat(F.lit("https://"), t))
+    return F.when(t == "", "").when(F.contains(t, F.lit("://")), t).otherwise(F.concat(F.lit("https://"), F.regexp_replace(t, "^/+", "")))
 
 
 def host(url: Column) -> Column:
-    raw = F.lower(F.regexp_extract(with_scheme(url), r"^[^:]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """Lower case, without user, port and www."""
+    raw = F.lower(F.regexp_extract(with_scheme(url), r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return F.regexp_replace(raw, r"^www\.", "")
 
 
 def path(url: Column) -> Column:
-    """Path in its own case, without an index file and trailing slashes."""
-    raw = F.regexp_extract(with_scheme(url), r"^[^:]+://[^/?#]*([^?#]*)", 1)
-    return F.regexp_replace(F.regexp_replace(raw, f"(?i){INDEX_FILE}", ""), "/+$", "")
+    """Path in its own case, without empty parts, an index file at its end and trailing slashes; the root is `/`."""
+    raw = F.regexp_extract(with_scheme(url), r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    parts = F.filter(F.split(raw, "/"), lambda p: p != "")
+    indexed = F.lower(F.get(parts, F.size(parts) - 1)).isin(*INDEX_FILES)
+    kept = F.when(F.coalesce(indexed, F.lit(False)), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.when(with_scheme(url) == "", "").otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
+def _decoded(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def _encoded(text: Column) -> Column:
+    """Form encoding in which `~` stands for itself and `*` does not."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def query(url: Column) -> Column:
-    """Parameters that do not track, sorted."""
+    """Parameters that do not track, decoded, sorted by name and value, and encoded alike."""
     raw = F.regexp_extract(with_scheme(url), r"^[^?#]*\?([^#]*)", 1)
-    kept = F.filter(F.split(raw, "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING))
-    return F.array_join(F.array_sort(kept), "&")
+    pair = lambda p: F.struct(_decoded(F.regexp_extract(p, "^[^=]*", 0)).alias("name"), _decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("value"))
+    pairs = F.transform(F.filter(F.split(raw, "&"), lambda p: p != ""), pair)
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["name"]).isin(*TRACKING)))
+    return F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))), "&")
 
 
 def match_key(url: Column) -> Column:
-    q = query(url)
-    return F.concat(host(url), F.lower(path(url)), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    """Host, path and query in lower case; empty without a host."""
+    q = F.lower(query(url))
+    key = F.concat(host(url), F.regexp_replace(F.lower(path(url)), "/+$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.when(host(url) == "", "").otherwise(key)
 
 
 def registrable(host_: Column) -> Column:
     """The last two labels of a host; three where a country code follows a common second level."""
-    parts = F.split(host_, r"\.")
+    parts = F.filter(F.split(host_, r"\."), lambda p: p != "")
     n = F.size(parts)
     deep = (n >= 3) & (F.length(F.element_at(parts, -1)) == 2) & F.get(parts, n - 2).isin(*SECOND_LEVEL)
     k = F.when(deep, 3).otherwise(2)
-    return F.when(n <= k, host_).otherwise(F.array_join(F.slice(parts, n - k + 1, k), "."))
+    return F.when(n <= k, F.array_join(parts, ".")).otherwise(F.array_join(F.slice(parts, n - k + 1, k), "."))
 
 
 def low_value(url: Column) -> Column:
     return F.lower(F.element_at(F.split(path(url), "/"), -1)).isin(*LOW_VALUE)
 
 
+#: Fixed value: the note on such a URL.
+LOW_VALUE_NOTE = "submitted URL is a sub-page (faq/about/apply/etc), not the opportunity's main page"
+
+
+def quality_flags(url: Column) -> Column:
+    """Notes for a reviewer; no ground to refuse a row."""
+    return F.when(low_value(url), F.array(F.lit(LOW_VALUE_NOTE))).otherwise(F.array().cast("array<string>"))
+
+
 def is_prefix(a: Column, b: Column) -> Column:
     """One path lies under the other; the root is no prefix."""
+    a, b = (F.regexp_replace(F.lower(x), "/+$", "") for x in (a, b))
     return ((a != "") & b.startswith(F.concat(a, F.lit("/")))) | ((b != "") & a.startswith(F.concat(b, F.lit("/"))))
 
 

@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from quillspark.functions import dates, text
 
 
-def has_access(now: Column) -> Column:
-    """active: yes; trial: until its end, a missing end never ends; beta and canceled: until their end; else no."""
-    s = F.col("status")
-    return F.when(s == "active", True).when(s == "trial", F.coalesce(F.col("ends_at") > now, F.lit(True))).when(s.isin("beta", "canceled"), F.coalesce(F.col("ends_at") > now, F.lit(False))).otherwise(False)
+def has_access(status: Column, now: Column) -> Column:
+    """active: yes; trial: until it ends, and one without an end has not begun to run out; beta and canceled: until the paid
+    or granted period ends; anything else: no."""
+    running = F.coalesce(F.col("trial_ends_at") >= now, F.lit(True))
+    paid = F.coalesce(F.col("subscription_end_at") > now, F.lit(False))
+    return F.when(status == "active", True).when(status == "trial", running).when(status.isin("beta", "canceled"), paid).otherwise(False)
 
 
 def subscription_state(accounts: DataFrame, as_of: str) -> DataFrame:
+    """status (missing or blank: trial), access, expired (a trial whose end is past) and days_left: of a trial or a beta grant, else 0."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    left = F.when(F.col("status") == "trial", dates.trial_days_left(F.col("ends_at").cast("timestamp"), now.cast("timestamp")))
-    return accounts.withColumns({"access": has_access(now), "trial_days_left": left})
+    status = F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("trial"))
+    left = lambda end: F.coalesce(dates.trial_days_left(F.col(end).cast("timestamp"), now.cast("timestamp")), F.lit(0))
+    days = F.when(F.col("status") == "trial", left("trial_ends_at")).when(F.col("status") == "beta", left("subscription_end_at")).otherwise(0)
+    expired = F.coalesce((F.col("status") == "trial") & (F.col("trial_ends_at") < now), F.lit(False))
+    return accounts.withColumn("status", status).withColumns({"access": has_access(F.col("status"), now), "expired": expired, "days_left": days.cast("int")})
 
 
 def access_gate(requests: DataFrame, accounts: DataFrame, as_of: str) -> DataFrame:

@@ -2,35 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PLAN_PRICE = 9.99
 
-#: Model prefixes and the providers that bill for them; surfaces decide for unknown models.
-PROVIDERS = {"click": "provider_a", "view": "provider_a", "purchase": "provider_b", "error": "provider_b"}
+#: How model names begin, and the providers that bill for them; surfaces decide for models that are not known.
+MODEL_PROVIDERS = {"claude": "anthropic", "gemini": "google"}
+SURFACE_PROVIDERS = {"claude": "anthropic", "deadline_check": "anthropic", "gemini": "google"}
 
 
 def window_of(facts: DataFrame, as_of: str, days: int) -> DataFrame:
     """Facts of the last `days` days up to as_of; the bounds reach the scan where day is stored."""
-    return facts.filter(F.col("day") >= F.date_sub(F.to_date(F.lit(as_of)), days))
+    end = F.to_date(F.lit(as_of))
+    return facts.filter((F.col("day") >= F.date_sub(end, days)) & (F.col("day") <= end))
+
+
+def provider_of(model: str = "model", surface: str = "surface") -> Column:
+    name, out = F.lower(F.trim(F.coalesce(model, F.lit("")))), None
+    for prefix, provider in MODEL_PROVIDERS.items():
+        hit = name.startswith(prefix)
+        out = F.when(hit, provider) if out is None else out.when(hit, provider)
+    known = F.create_map(*(F.lit(x) for kv in SURFACE_PROVIDERS.items() for x in kv))
+    return out.otherwise(F.coalesce(F.element_at(known, F.col(surface)), F.lit("unknown")))
+
 
+SUMS = ("calls", "input_tokens", "output_tokens", "web_searches")
 
-def provider_of(model="model"):
-    known = F.create_map(*(F.lit(x) for kv in PROVIDERS.items() for x in kv))
-    return F.coalesce(F.element_at(known, F.col(model)), F.lit("other"))
+
+def _sums() -> list[Column]:
+    return [*(F.sum(c).cast("long").alias(c) for c in SUMS), F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd")]
 
 
 def per_user(facts: DataFrame, users: DataFrame, limit: int | None = 200, plan_price: float = PLAN_PRICE) -> DataFrame:
-    """Each user's spend with account, cost per call and share of the plan price, ranked by spend."""
-    sums = facts.groupBy("userid").agg(F.sum("calls").cast("long").alias("calls"), F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    """Each user's use and spend with account, cost per call and share of the plan price, ranked by spend; `left_out` is how many
+    users the limit hides."""
+    sums = facts.groupBy("userid").agg(*_sums(), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
     cost = F.col("cost_usd").cast("double")
-    out = sums.join(users, "userid", "left").select(
-        "userid",
+    known = users.withColumn("userid", F.lower("userid"))
+    out = sums.join(known, F.lower(sums["userid"]) == known["userid"], "left").select(
+        sums["userid"],
         F.coalesce("name", F.lit("no account")).alias("name"),
         F.coalesce("status", F.lit("none")).alias("status"),
-        "calls",
+        *SUMS,
         "cost_usd",
         F.round(F.try_divide(cost, F.col("calls")), 6).alias("cost_per_call"),
         F.round(cost * 100 / F.lit(plan_price), 2).alias("pct_of_plan"),
@@ -39,30 +54,54 @@ def per_user(facts: DataFrame, users: DataFrame, limit: int | None = 200, plan_p
         "last_at",
     )
     ordered = out.orderBy(F.desc("cost_usd"), "userid")
-    return ordered.limit(limit) if limit else ordered
+    hidden = facts.agg(F.greatest(F.countDistinct("userid") - (limit or 2**62), F.lit(0)).alias("left_out"))
+    return (ordered.limit(limit) if limit else ordered).crossJoin(F.broadcast(hidden))
 
 
 def grouped(facts: DataFrame) -> DataFrame:
     """Spend by user, provider, provider and model, feature, and day, in one pass."""
-    f = facts.withColumn("provider", provider_of())
-    f.createOrReplaceTempView("quill_cost_facts")
-    return f.sparkSession.sql(
+    return facts.sparkSession.sql(
         """
         SELECT CASE grouping_id(userid, provider, model, feature, day) WHEN 15 THEN 'user' WHEN 23 THEN 'provider'
                     WHEN 19 THEN 'model' WHEN 29 THEN 'feature' ELSE 'day' END AS level,
                coalesce(userid, provider || coalesce('/' || model, ''), feature, CAST(day AS STRING)) AS key,
                CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd,
                count(DISTINCT userid) AS users
-        FROM quill_cost_facts
+        FROM {facts}
         GROUP BY GROUPING SETS ((userid), (provider), (provider, model), (feature), (day))
-        """
+        """,
+        facts=facts.withColumn("provider", provider_of()),
     )
 
 
 def user_breakdown(facts: DataFrame) -> DataFrame:
-    """Per user, a map from feature to spend."""
-    each = facts.groupBy("userid", "feature").agg(F.sum("cost_usd").cast("decimal(18,6)").alias("cost"))
-    return each.groupBy("userid").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "feature", F.col("cost").cast("string")))), ";").alias("by_feature"), F.sum("cost").cast("decimal(18,6)").alias("cost_usd"))
+    """Per user, a map from each dimension (feature, surface, provider, model) to a map from its values to spend."""
+    each = facts.withColumn("provider", provider_of()).select("userid", "cost_usd", F.explode(F.create_map(*(x for c in ("feature", "surface", "provider", "model") for x in (F.lit(c), F.col(c))))).alias("dimension", "value"))
+    each = each.groupBy("userid", "dimension", "value").agg(F.sum("cost_usd").cast("decimal(18,6)").alias("cost"))
+    each = each.groupBy("userid", "dimension").agg(F.map_from_entries(F.collect_list(F.struct("value", "cost"))).alias("costs"))
+    return each.groupBy("userid").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "costs"))).alias("spend"))
+
+
+def _dearest_first(key: str) -> Column:
+    """Keys and costs as one text, by cost, then key."""
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("cost_usd")).alias("by"), F.col(key).alias("key"))))
+    return F.array_join(F.transform(listed, lambda x: F.concat_ws("=", x["key"], (-x["by"]).cast("string"))), ";")
+
+
+def by_provider(facts: DataFrame) -> DataFrame:
+    """Use and spend of each provider, with its users, its models in order and its features by cost."""
+    f = facts.withColumn("provider", provider_of())
+    sums = f.groupBy("provider").agg(*_sums(), F.countDistinct("userid").alias("users"), F.array_join(F.array_sort(F.collect_set("model")), "|").alias("models"))
+    features = f.groupBy("provider", "feature").agg(F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"))
+    return sums.join(features.groupBy("provider").agg(_dearest_first("feature").alias("features")), "provider")
+
+
+def by_model(facts: DataFrame) -> DataFrame:
+    """Use and spend of each provider's models, with their users and features by cost."""
+    f = facts.withColumn("provider", provider_of())
+    sums = f.groupBy("provider", "model").agg(*_sums(), F.countDistinct("userid").alias("users"))
+    features = f.groupBy("provider", "model", "feature").agg(F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"))
+    return sums.join(features.groupBy("provider", "model").agg(_dearest_first("feature").alias("features")), ["provider", "model"])
 
 
 def daily_series(facts: DataFrame, as_of: str, days: int, include_today: bool = False) -> DataFrame:
@@ -87,10 +126,13 @@ def totals(facts: DataFrame, ledger_cost: DataFrame, plan_price: float = PLAN_PR
 
 
 def call_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
-    """Cost of each call: tokens and searches at the rates of its provider (per million tokens, per search)."""
-    money = "decimal(18,6)"
-    cost = (F.col("input_tokens") * F.col("in_rate") + F.col("output_tokens") * F.col("out_rate")) / 1_000_000 + F.col("web_searches") * F.col("search_rate")
-    return usage.join(F.broadcast(rates), "provider", "left").withColumn("cost_usd", F.coalesce(cost, F.lit(0)).cast(money))
+    """Cost of each call: tokens, cached tokens and searches at the rates of its provider (per million tokens, per search)."""
+    kinds = {"input_tokens": "in_rate", "output_tokens": "out_rate", "cache_write_tokens": "cache_write_rate", "cache_read_tokens": "cache_read_rate"}
+    cost = F.col("web_searches") * F.col("search_rate")
+    for tokens, rate in kinds.items():
+        if tokens in usage.columns and rate in rates.columns:
+            cost = cost + F.coalesce(tokens, F.lit(0)) * F.coalesce(F.col(rate), F.lit(0)) / 1_000_000
+    return usage.join(rates, "provider", "left").withColumn("cost_usd", F.coalesce(cost, F.lit(0)).cast("decimal(18,6)"))
 
 
 def top_features(facts: DataFrame, k: int = 2) -> DataFrame:

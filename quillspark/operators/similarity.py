@@ -14,7 +14,8 @@ from quillspark.functions import urls
 from quillspark.sources.shared import materialised
 
 SAME, SIMILAR = 0.82, 0.88
-GENERIC = ("program", "summer program", "internship", "scholarship", "camp", "club")
+#: Names that say nothing.
+GENERIC = ("custom opportunity", "opportunity", "program", "summer program", "internship", "competition", "conference", "journal", "untitled")
 PEERS = 3
 TWO_AT_SAME = 24
 
@@ -32,7 +33,7 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def with_keys(rows: DataFrame) -> DataFrame:
     u = F.col("url")
-    return rows.withColumns({"key": urls.match_key(u), "host": urls.host(u), "path": F.lower(urls.path(u)), "domain": urls.registrable(urls.host(u)), "name_key": urls.name_key(F.col("name"))})
+    return rows.withColumns({"key": urls.match_key(u), "host": urls.host(u), "path": F.regexp_replace(F.lower(urls.path(u)), "/+$", ""), "domain": urls.registrable(urls.host(u)), "name_key": urls.name_key(F.col("name"))})
 
 
 def letter_counts(name):

@@ -15,7 +15,8 @@ def with_next(items: DataFrame, as_of: str) -> DataFrame:
 
 
 def with_status(items: DataFrame, as_of: str) -> DataFrame:
-    return items.withColumn("status", dates.progress(F.col("dates"), F.col("was_estimated"), F.lit(True), F.to_date(F.lit(as_of))))
+    """Progress by the dates and by whether the entry runs (`run_status`: running, not_running or unknown)."""
+    return items.withColumn("status", dates.progress(F.col("dates"), F.col("was_estimated"), F.col("run_status"), F.to_date(F.lit(as_of))))
 
 
 def by_deadline(items: DataFrame, as_of: str) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from quillspark.operators import costs, runs
 from quillspark.sources import bindings as b
 
-_FACTS = """facts AS (SELECT CAST(user_id AS VARCHAR) AS userid, CAST(ts AS DATE) AS day, event_type AS surface, event_type AS feature, event_type AS model,
-  count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(14,6))) AS DECIMAL(18,6)) AS cost_usd, min(ts) AS first_at, max(ts) AS last_at
-  FROM events GROUP BY ALL),
-win AS (SELECT * FROM facts WHERE day >= DATE '2024-01-31' - 30)"""
+_FACTS = """facts AS (SELECT CAST(user_id AS VARCHAR) AS userid, CAST(ts AS DATE) AS day, event_type AS feature,
+  CASE event_type WHEN 'click' THEN 'gemini' WHEN 'view' THEN 'claude' WHEN 'purchase' THEN 'deadline_check' WHEN 'error' THEN 'claude' ELSE event_type END AS surface,
+  CASE event_type WHEN 'click' THEN 'Gemini-flash' WHEN 'view' THEN 'claude-small' WHEN 'signup' THEN 'other-model' ELSE '' END AS model,
+  count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(14,6))) AS DECIMAL(18,6)) AS cost_usd, sum(event_id % 1000) AS input_tokens, sum(event_id % 300) AS output_tokens, sum(event_id % 4) AS web_searches,
+  min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY ALL),
+win AS (SELECT * FROM facts WHERE day BETWEEN DATE '2024-01-31' - 30 AND DATE '2024-01-31')"""
 _RUNS = """runs AS (SELECT o_orderkey AS id, o_orderpriority AS agent, o_orderdate AS started_at, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS finished_at,
   CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS errors, CAST(o_totalprice AS DECIMAL(18,6)) AS cost_usd, coalesce(n, 0) AS items_processed,
   CASE WHEN o_orderkey % 7 = 0 THEN 'sweep-dryrun' ELSE 'sweep' END AS mode
@@ -18,7 +20,7 @@ _RUNS = """runs AS (SELECT o_orderkey AS id, o_orderpriority AS agent, o_orderda
 
 
 def _facts(spark, d):
-    return costs.window_of(b.user_costs(spark, d), b.AS_OF_EVENTS, 30)
+    return b.user_costs(spark, d, b.AS_OF_EVENTS, 30)
 
 
 def user_cost_report(spark, d):
@@ -30,7 +32,16 @@ def cost_grouping_sets(spark, d):
 
 
 def user_feature_breakdown(spark, d):
-    return costs.user_breakdown(_facts(spark, d))
+    spend = costs.user_breakdown(_facts(spark, d)).select("userid", F.explode("spend").alias("dimension", "costs"))
+    return spend.select("userid", "dimension", F.explode("costs").alias("value", "cost_usd"))
+
+
+def provider_report(spark, d):
+    return costs.by_provider(_facts(spark, d))
+
+
+def model_report(spark, d):
+    return costs.by_model(_facts(spark, d))
 
 
 def top_features_per_user(spark, d):
@@ -46,11 +57,16 @@ def cost_totals_reconciled(spark, d):
     return costs.totals(_facts(spark, d), ledger)
 
 
+#: Dollars for a million tokens in and out, and for a search; one provider also bills for its cache.
+RATES = [("google", "0.75", "3.75", "0", "0", "0.014"), ("anthropic", "1", "5", "1", "1", "0.01")]
+
+
 def call_costs(spark, d):
     e = b.table(spark, d, "events")
-    usage = e.select("event_id", costs.provider_of("event_type").alias("provider"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 300).alias("output_tokens"), (F.col("event_id") % 4).alias("web_searches"))
-    rates = spark.createDataFrame([("provider_a", "0.75", "3.75", "0.014"), ("provider_b", "1", "5", "0.01")], "provider string, i string, o string, s string").select("provider", *(F.col(c).cast("decimal(10,4)").alias(n) for c, n in (("i", "in_rate"), ("o", "out_rate"), ("s", "search_rate"))))
-    return costs.call_cost(usage, rates).select("event_id", "provider", "cost_usd")
+    numbers = {"input_tokens": 1000, "output_tokens": 300, "cache_write_tokens": 70, "cache_read_tokens": 500, "web_searches": 4}
+    usage = e.select("event_id", F.when(F.col("event_type") == "click", "Gemini-flash").when(F.col("event_type") == "view", "claude-small").alias("model"), F.col("event_type").alias("surface"), *((F.col("event_id") % n).alias(c) for c, n in numbers.items()))
+    rates = spark.createDataFrame(RATES, "provider string, i string, o string, w string, r string, s string").select("provider", *(F.col(c).cast("decimal(10,4)").alias(n) for c, n in (("i", "in_rate"), ("o", "out_rate"), ("w", "cache_write_rate"), ("r", "cache_read_rate"), ("s", "search_rate"))))
+    return costs.call_cost(usage.withColumn("provider", costs.provider_of()), rates).select("event_id", "provider", "cost_usd")
 
 
 def agent_kpi_periods(spark, d):
@@ -58,7 +74,7 @@ def agent_kpi_periods(spark, d):
 
 
 def agent_day_matrix(spark, d):
-    e = b.user_costs(spark, d)
+    e = b.user_costs(spark, d).withColumn("surface", F.col("feature"))
     kinds = ["click", "error", "purchase", "signup", "view"]
     pivoted = e.groupBy("day").pivot("surface", kinds).agg(F.sum("calls"))
     return pivoted.select("day", *(F.coalesce(F.col(k), F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds))
@@ -94,26 +110,31 @@ def yield_ranking(spark, d):
 
 
 def hourly_progress(spark, d):
-    return runs.hourly_first(b.table(spark, d, "events"), "ts", "event_id", 3).select("hour", "place", "event_id")
+    return runs.hourly_first(b.table(spark, d, "events"), "ts", "event_id", 10).select("hour", "place", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (user_cost_report, cost_grouping_sets, user_feature_breakdown, top_features_per_user, daily_cost_series, cost_totals_reconciled, call_costs, agent_kpi_periods, agent_day_matrix, agent_totals, latest_run_per_agent, run_status, estimate_from_last10, run_history, yield_ranking, hourly_progress)}
+QUERIES = {f.__name__: f for f in (user_cost_report, cost_grouping_sets, user_feature_breakdown, provider_report, model_report, top_features_per_user, daily_cost_series, cost_totals_reconciled, call_costs, agent_kpi_periods, agent_day_matrix, agent_totals, latest_run_per_agent, run_status, estimate_from_last10, run_history, yield_ranking, hourly_progress)}
 
 _STATUS = """CASE WHEN coalesce(errors, 0) > 0 THEN 'failed' WHEN finished_at IS NOT NULL THEN 'success' WHEN started_at IS NULL THEN 'interrupted'
   WHEN date_diff('second', started_at, TIMESTAMP '{0}') < 3600 THEN 'running' ELSE 'interrupted' END"""
-_PROVIDER = "CASE WHEN {0} IN ('click', 'view') THEN 'provider_a' WHEN {0} IN ('purchase', 'error') THEN 'provider_b' ELSE 'other' END"
+_PROVIDER = "CASE WHEN lower(trim(model)) LIKE 'claude%' THEN 'anthropic' WHEN lower(trim(model)) LIKE 'gemini%' THEN 'google' WHEN surface IN ('claude', 'deadline_check') THEN 'anthropic' WHEN surface = 'gemini' THEN 'google' ELSE 'unknown' END"
+_SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in costs.SUMS) + ", CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd"
 
 ORACLES = {
-    "user_cost_report": f"""WITH {_FACTS}, s AS (SELECT userid, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd, min(first_at) AS first_at, max(last_at) AS last_at FROM win GROUP BY 1)
-SELECT s.userid, coalesce(c_name, 'no account') AS name, coalesce(c_mktsegment, 'none') AS status, calls, cost_usd, round(CAST(cost_usd AS DOUBLE) / calls, 6) AS cost_per_call,
+    "user_cost_report": f"""WITH {_FACTS}, s AS (SELECT userid, {_SUMS}, min(first_at) AS first_at, max(last_at) AS last_at FROM win GROUP BY 1)
+SELECT s.userid, coalesce(c_name, 'no account') AS name, coalesce(c_mktsegment, 'none') AS status, calls, input_tokens, output_tokens, web_searches, cost_usd, (SELECT greatest(count(*) - 50, 0) FROM s) AS left_out, round(CAST(cost_usd AS DOUBLE) / calls, 6) AS cost_per_call,
  round(CAST(cost_usd AS DOUBLE) * 100 / CAST(9.99 AS DOUBLE), 2) AS pct_of_plan, round(CAST(9.99 AS DOUBLE) - CAST(cost_usd AS DOUBLE), 4) AS margin, first_at, last_at
 FROM s LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON s.userid = CAST(c.c_custkey AS VARCHAR) ORDER BY cost_usd DESC, s.userid LIMIT 50""",
-    "cost_grouping_sets": f"""WITH {_FACTS}, f AS (SELECT *, {_PROVIDER.format('model')} AS provider FROM win), a AS (
+    "cost_grouping_sets": f"""WITH {_FACTS}, f AS (SELECT *, {_PROVIDER} AS provider FROM win), a AS (
  SELECT 'user' AS level, userid AS key, * FROM f UNION ALL BY NAME SELECT 'provider' AS level, provider AS key, * FROM f UNION ALL BY NAME SELECT 'model' AS level, provider || '/' || model AS key, * FROM f
  UNION ALL BY NAME SELECT 'feature' AS level, feature AS key, * FROM f UNION ALL BY NAME SELECT 'day' AS level, CAST(day AS VARCHAR) AS key, * FROM f)
 SELECT level, key, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd, count(DISTINCT userid) AS users FROM a GROUP BY 1, 2""",
-    "user_feature_breakdown": f"""WITH {_FACTS}, e AS (SELECT userid, feature, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost FROM win GROUP BY 1, 2)
-SELECT userid, string_agg(feature || '=' || CAST(cost AS VARCHAR), ';' ORDER BY feature || '=' || CAST(cost AS VARCHAR)) AS by_feature, CAST(sum(cost) AS DECIMAL(18,6)) AS cost_usd FROM e GROUP BY 1""",
+    "user_feature_breakdown": f"""WITH {_FACTS}, f AS (SELECT *, {_PROVIDER} AS provider FROM win), e AS (SELECT userid, 'feature' AS dimension, feature AS value, cost_usd FROM f UNION ALL SELECT userid, 'surface', surface, cost_usd FROM f
+ UNION ALL SELECT userid, 'provider', provider, cost_usd FROM f UNION ALL SELECT userid, 'model', model, cost_usd FROM f) SELECT userid, dimension, value, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd FROM e GROUP BY 1, 2, 3""",
+    "provider_report": f"""WITH {_FACTS}, f AS (SELECT *, {_PROVIDER} AS provider FROM win), s AS (SELECT provider, {_SUMS}, count(DISTINCT userid) AS users, string_agg(DISTINCT model, '|' ORDER BY model) AS models FROM f GROUP BY 1),
+e AS (SELECT provider, feature, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS c FROM f GROUP BY 1, 2) SELECT s.*, (SELECT string_agg(feature || '=' || CAST(c AS VARCHAR), ';' ORDER BY c DESC, feature) FROM e WHERE e.provider = s.provider) AS features FROM s""",
+    "model_report": f"""WITH {_FACTS}, f AS (SELECT *, {_PROVIDER} AS provider FROM win), s AS (SELECT provider, model, {_SUMS}, count(DISTINCT userid) AS users FROM f GROUP BY 1, 2),
+e AS (SELECT provider, model, feature, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS c FROM f GROUP BY 1, 2, 3) SELECT s.*, (SELECT string_agg(feature || '=' || CAST(c AS VARCHAR), ';' ORDER BY c DESC, feature) FROM e WHERE e.provider = s.provider AND e.model = s.model) AS features FROM s""",
     "top_features_per_user": f"""WITH {_FACTS}, e AS (SELECT userid, feature, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd FROM win GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY userid ORDER BY cost_usd DESC, feature) AS place FROM e) WHERE place <= 2""",
     "daily_cost_series": f"""WITH {_FACTS}, spine AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day),
@@ -124,8 +145,8 @@ w AS (SELECT count(*) AS active_users, CAST(sum(cost) AS DECIMAL(18,6)) AS attri
 l AS (SELECT CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18,6))) AS DOUBLE) / 1000 AS DECIMAL(18,6)) AS ledger_usd FROM orders)
 SELECT *, round(CAST(attributed_usd AS DOUBLE) / active_users, 6) AS avg_usd, round(greatest(CAST(ledger_usd AS DOUBLE) - CAST(attributed_usd AS DOUBLE), 0), 6) AS unattributed_usd,
  round(CAST(attributed_usd AS DOUBLE) / CAST(ledger_usd AS DOUBLE), 6) AS attribution_rate FROM w, l""",
-    "call_costs": f"""WITH e AS (SELECT event_id, {_PROVIDER.format('event_type')} AS provider, event_id % 1000 AS i, event_id % 300 AS o, event_id % 4 AS s FROM events)
-SELECT event_id, provider, CAST(CAST((CASE provider WHEN 'provider_a' THEN i * 75 + o * 375 + s * 1400000 WHEN 'provider_b' THEN i * 100 + o * 500 + s * 1000000 ELSE 0 END + 50) // 100 AS DECIMAL(18,0)) * 0.000001 AS DECIMAL(18,6)) AS cost_usd FROM e""",
+    "call_costs": """WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'google' WHEN 'view' THEN 'anthropic' ELSE 'unknown' END AS provider, event_id % 1000 AS i, event_id % 300 AS o, event_id % 70 AS w, event_id % 500 AS r, event_id % 4 AS s FROM events)
+SELECT event_id, provider, CAST(CAST((CASE provider WHEN 'google' THEN i * 75 + o * 375 + s * 1400000 WHEN 'anthropic' THEN i * 100 + o * 500 + w * 100 + r * 100 + s * 1000000 ELSE 0 END + 50) // 100 AS DECIMAL(18,0)) * 0.000001 AS DECIMAL(18,6)) AS cost_usd FROM e""",
     "agent_kpi_periods": f"""WITH {_RUNS}, p AS (SELECT *, CASE WHEN started_at >= TIMESTAMP '1998-06-01' AND started_at < TIMESTAMP '1998-07-01' THEN 'current' WHEN started_at >= TIMESTAMP '1998-05-02' AND started_at < TIMESTAMP '1998-06-01' THEN 'previous' END AS period FROM runs)
 SELECT period, count(*) AS runs, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd, CAST(coalesce(sum(items_processed) FILTER (mode NOT LIKE '%-dryrun'), 0) AS BIGINT) AS items, count(*) FILTER (errors > 0) AS failed,
  count(*) FILTER (cost_usd IS NULL) AS unknown_cost, round(CAST(count(*) FILTER (errors > 0) AS DOUBLE) / count(*), 6) AS error_rate FROM p WHERE period IS NOT NULL GROUP BY 1""",
@@ -140,5 +161,5 @@ SELECT agent, count(*) AS sampled, round(avg(CAST(cost_usd AS DOUBLE) / items_pr
     "run_history": f"""WITH {_RUNS} SELECT id, agent, started_at, mode LIKE '%-dryrun' AS dry_run, {_STATUS.format('1998-07-01')} AS status FROM runs WHERE started_at >= TIMESTAMP '1998-06-01' AND started_at < TIMESTAMP '1998-07-01' ORDER BY started_at DESC, id DESC LIMIT 50""",
     "yield_ranking": """WITH s AS (SELECT p_brand AS seed, count(*) AS found, count(*) FILTER (l_returnflag = 'R') AS dupes, count(*) FILTER (l_returnflag <> 'R') AS added, CAST(sum(CAST(l_tax AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT *, round(CAST(added AS DOUBLE) / nullif(CAST(cost AS DOUBLE), 0), 4) AS added_per_dollar, round(CAST(dupes AS DOUBLE) / found, 4) AS dupe_rate FROM s""",
-    "hourly_progress": """SELECT hour, place, event_id FROM (SELECT date_trunc('hour', ts) AS hour, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS place, event_id FROM events) WHERE place <= 3""",
+    "hourly_progress": """SELECT hour, place, event_id FROM (SELECT date_trunc('hour', ts) AS hour, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS place, event_id FROM events) WHERE place <= 10""",
 }

@@ -75,7 +75,7 @@ def name_duplicate_audit(spark, d):
 
 def keyword_scores(spark, d):
     docs = b.table(spark, d, "documents")
-    terms = text.search_terms(F.lit("The thing that shines in winter, thin ingots and stones"))
+    terms = text.search_terms(F.lit("The thing that shines in winter, thin ingots and stones about which we could use more"))
     return docs.select("doc_id", text.keyword_score(terms, F.col("text")).cast("long").alias("score"), text.word_count(F.col("text")).cast("long").alias("words"))
 
 
@@ -91,18 +91,61 @@ def grade_parse(spark, d):
     return p.select("id", text.grade(said).cast("long").alias("grade"))
 
 
-FEATURES = [("search", ["that st", "thatst"]), ("chat", ["er the", "erthe"]), ("profile", ["ing th"]), ("deadline", ["de la"])]
+#: What a prompt contains and the feature that sends it, tried in this order; case counts.
+SIGNATURES = [
+    ("infer which subject categories", "infer_subjects"),
+    ("Rank the best 10-12 matches", "ranking"),
+    ("find real, current", "venue_search"),
+    ("maintain a single, coherent running profile", "profile_synthesis"),
+    ("decide whether a student's profile has enough detail", "profile_readiness"),
+    ("exactly THREE distinct", "chat_starters"),
+    ("helping a high schooler build a detailed personal profile", "profile_chat"),
+    ("distill a casual chat conversation into new facts", "chat_findings"),
+    ("classify and extract structured tracking data", "tracker_extract"),
+    ("extract structured tracking data", "tracker_extract"),
+    ("extract ONLY information that would be relevant", "resume_import"),
+    ("helping a student find the best-fit extracurricular", "ranking"),
+    ("interests/goals to the best opportunities", "tag_intent"),
+    ("Write directly to them in second person", "tag_suggestions"),
+    ("extracting specific interests, goals, and pursuits", "infer_subjects"),
+]
+
+#: Words that place a description in a section, tried in this order; the last section is the default.
+SECTIONS = [
+    ("conferences", ["conference", "workshop", "symposium"]),
+    ("journals", ["journal", "publish", "manuscript"]),
+    ("researchCompetitions", ["science fair", "research competition", "project competition", "app challenge", "hackathon"]),
+    ("pureCompetitions", ["olympiad", "quiz", "exam", "competition"]),
+    ("internships", ["internship", "intern", "lab position", "mentored"]),
+    ("summerPrograms", ["summer", "camp", "program", "academy"]),
+]
+
+#: The type that a section's entries have, and the section of a kind.
+SECTION_KINDS = {"summer": "summerPrograms", "internship": "internships", "research-competition": "researchCompetitions", "pure-competition": "pureCompetitions", "conference": "conferences", "journal": "journals"}
 
 
 def feature_classify(spark, d):
-    return b.table(spark, d, "documents").select("doc_id", text.first_match(F.col("text"), FEATURES, "other").alias("feature"))
+    """Documents as prompts: one in two gets one of the signatures at its end, some in another case."""
+    n = len(SIGNATURES)
+    signs = F.array(*(F.lit(s) for s, _ in SIGNATURES))
+    sign = F.get(signs, (F.col("doc_id") / 2).cast("int") % n)
+    added = F.when(F.col("doc_id") % 2 == 0, sign).when(F.col("doc_id") % 5 == 0, F.upper(sign)).otherwise("")
+    prompt = F.concat_ws(" ", F.coalesce("text", F.lit("")), added)
+    return b.table(spark, d, "documents").select("doc_id", text.first_match(prompt, [(label, [s]) for s, label in SIGNATURES], "other", fold=False).alias("feature"))
+
+
+def section_classify(spark, d):
+    words = F.array(*(F.lit(w) for _, ws in SECTIONS for w in ws))
+    added = F.when(F.col("doc_id") % 3 == 0, F.upper(F.get(words, F.col("doc_id").cast("int") % 21))).otherwise("")
+    whole = F.concat_ws(" ", F.coalesce("text", F.lit("")), added)
+    return b.table(spark, d, "documents").select("doc_id", text.first_match(whole, SECTIONS, "summerPrograms").alias("section"))
 
 
 def tag_mentions(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.array_join(text.mentions(F.col("text"), ["the", "and", "con", "und", "les", "para", "thing"], 2, ["general", "misc"], 3), "|").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (prefilter_top100, relaxed_search, facet_values, faceted_results, result_order, ranked_candidates, tag_match, untracked_anti, survivor_search, url_keys, url_duplicate_audit, name_duplicate_audit, keyword_scores, text_shapes, grade_parse, feature_classify, tag_mentions)}
+QUERIES = {f.__name__: f for f in (prefilter_top100, relaxed_search, facet_values, faceted_results, result_order, ranked_candidates, tag_match, untracked_anti, survivor_search, url_keys, url_duplicate_audit, name_duplicate_audit, keyword_scores, text_shapes, grade_parse, feature_classify, section_classify, tag_mentions)}
 
 _CATALOG = """cat AS (SELECT p_partkey AS id, p_name AS name, p_brand AS org, p_type AS type, CASE WHEN p_retailprice < 1200 THEN 'free' ELSE 'paid' END AS price,
   CASE WHEN p_partkey % 9 <> 0 THEN p_size % 12 END AS grade_min, CASE WHEN p_partkey % 8 <> 0 THEN p_size % 12 + 3 END AS grade_max, p_partkey % 5 <> 0 AS is_active FROM part)"""
@@ -110,7 +153,9 @@ _SCORE = " + ".join(f"CASE WHEN contains(h, '{t}') THEN 1 ELSE 0 END" for t in (
 _SCORE2 = " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN 1 ELSE 0 END" for t in ("thing", "shines", "winter", "thin", "ingots", "stones"))
 _WEAK = "lower(regexp_replace(trim(url), '/+$', ''))"
 _BARE = f"regexp_replace(regexp_replace({_WEAK}, '^https?://', ''), '^www\\.', '')"
-_FEATURE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {s!r})' for s in signs)} THEN '{label}'" for label, signs in FEATURES) + " ELSE 'other' END"
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_FEATURE = "CASE " + " ".join(f"WHEN contains(p, {_quoted(s)}) THEN '{label}'" for s, label in SIGNATURES) + " ELSE 'other' END"
+_SECTION = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(p, {_quoted(w)})' for w in ws)} THEN '{label}'" for label, ws in SECTIONS) + " ELSE 'summerPrograms' END"
 _VOCAB = "['the', 'and', 'con', 'und', 'les', 'para', 'thing']"
 
 ORACLES = {
@@ -121,17 +166,20 @@ SELECT id, score FROM s, k WHERE k.n < 60 OR score > 0 ORDER BY score DESC, id L
     "relaxed_search": f"""WITH {_CATALOG}, k AS (SELECT count(*) FILTER (price = 'free' AND type = 'PROMO' AND org = 'Brand#7') AS n FROM cat) SELECT id, type, org FROM cat, k WHERE n < 20 OR (price = 'free' AND type = 'PROMO' AND org = 'Brand#7')""",
     "facet_values": f"""WITH {_CATALOG}, e AS (SELECT DISTINCT 'type' AS field, type AS value FROM cat UNION SELECT 'org', org FROM cat UNION SELECT 'price', price FROM cat) SELECT field, string_agg(value, '|' ORDER BY value) AS choices, count(*) AS n FROM e WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) >= 2""",
     "faceted_results": f"""WITH {_CATALOG} SELECT id, type, org FROM cat WHERE type IN ('ECONOMY', 'PROMO') AND org IN ('Brand#1', 'Brand#2', 'Brand#3')""",
-    "result_order": f"""WITH {_CATALOG} SELECT row_number() OVER (ORDER BY CASE WHEN id % 10 = 0 THEN 0 WHEN id % 7 = 0 THEN 1 ELSE 2 END, id % 3, id) AS place, id FROM cat WHERE id < 500""",
-    "ranked_candidates": f"""WITH {_CATALOG} SELECT CAST(id / 5 + 1 AS INTEGER) AS place, id, name, CASE WHEN id % 2 = 0 THEN 'strong' ELSE 'look' END AS tier FROM cat WHERE id % 5 = 0 AND id < 5000""",
+    "result_order": f"""WITH {_CATALOG} SELECT row_number() OVER (ORDER BY CASE WHEN id % 10 = 0 THEN 0 WHEN id % 7 = 0 THEN 1 ELSE 2 END, id % 3, id) AS place, id FROM cat""",
+    "ranked_candidates": f"""WITH {_CATALOG} SELECT CAST(id / 5 + 1 AS INTEGER) AS place, id, name, CASE WHEN id % 2 = 0 THEN 'strong' ELSE 'look' END AS tier FROM cat WHERE id % 5 = 0""",
     "tag_match": """SELECT doc_id, 'match' AS verdict FROM documents WHERE contains(lower(text), 'thatst the robotics club') OR (contains(lower(text), 'thatst')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'robotics')::INT + contains(lower(text), 'club')::INT) >= 2""",
     "untracked_anti": """SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 45 AND l_orderkey = o.o_orderkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 45 AND l_partkey % 1500 = o.o_custkey)""",
     "survivor_search": f"""WITH {_CATALOG}, f AS (SELECT *, false AS exact FROM cat WHERE (name ILIKE '%17%' OR org ILIKE '%17%') AND id <> 17 ORDER BY is_active DESC, name, id LIMIT 25)
 SELECT id, name, org, is_active, exact FROM (SELECT *, true AS exact FROM cat WHERE id = 17 UNION ALL SELECT * FROM f)""",
-    "url_keys": f"""WITH u AS (SELECT page_id, url, {_WEAK} AS weak, {_BARE} AS bare, regexp_replace(lower(regexp_extract(trim(url), '^[^:]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '') AS host,
- regexp_replace(regexp_replace(regexp_extract(trim(url), '^[^:]+://[^/?#]*([^?#]*)', 1), '(?i)/(index|default)\\.(html?|php|aspx?)$', ''), '/+$', '') AS path,
- array_to_string(list_sort(list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|ref|source)='))), '&') AS query FROM pages)
-SELECT page_id, weak, bare, host, path, query, host || lower(path) || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS match_key,
- CASE WHEN len(string_split(host, '.')) <= 2 THEN host ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS domain FROM u""",
+    "url_keys": f"""WITH t AS (SELECT page_id, url, trim(coalesce(url, '')) AS t FROM pages), q AS (SELECT *, CASE WHEN t = '' THEN '' WHEN contains(t, '://') THEN t ELSE 'https://' || ltrim(t, '/') END AS w FROM t),
+u AS (SELECT page_id, {_WEAK} AS weak, {_BARE} AS bare, regexp_replace(lower(regexp_extract(w, '^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '') AS host,
+ list_filter(string_split(regexp_extract(w, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') AS parts,
+ list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract(w, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: {{'n': url_decode(replace(regexp_extract(p, '^[^=]*'), '+', ' ')), 'v': url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' '))}}), lambda p: lower(p.n) NOT IN ({', '.join(_quoted(x) for x in urls.TRACKING)}))) AS pairs FROM q),
+v AS (SELECT page_id, weak, bare, host, '/' || array_to_string(CASE WHEN lower(parts[-1]) IN ({', '.join(_quoted(x) for x in urls.INDEX_FILES)}) THEN parts[:-2] ELSE parts END, '/') AS path,
+ array_to_string(list_transform(pairs, lambda p: replace(url_encode(p.n), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&') AS query, list_filter(string_split(host, '.'), lambda p: p <> '') AS labels FROM u)
+SELECT page_id, weak, bare, host, path, query, CASE WHEN host = '' THEN '' ELSE host || regexp_replace(lower(path), '/+$', '') || CASE WHEN query <> '' THEN '?' || lower(query) ELSE '' END END AS match_key,
+ array_to_string(CASE WHEN len(labels) <= 2 THEN labels WHEN length(labels[-1]) = 2 AND labels[-2] IN ({', '.join(_quoted(x) for x in urls.SECOND_LEVEL)}) THEN labels[-3:] ELSE labels[-2:] END, '.') AS domain FROM v""",
     "url_duplicate_audit": f"""WITH k AS (SELECT page_id, regexp_extract({_BARE}, '^[^/?#]*', 0) AS url_key FROM pages) SELECT url_key, count(*) AS n, min(page_id) AS first_id, max(page_id) AS last_id FROM k GROUP BY 1 HAVING count(*) > 1""",
     "name_duplicate_audit": f"""WITH {_CATALOG}, k AS (SELECT id, trim(regexp_replace(regexp_replace(lower(name || ' 2024'), '\\b(19|20)[0-9][0-9]\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM cat)
 SELECT name_key, count(*) AS n, array_to_string(list_slice(list_sort(list(id)), 1, 5), ',') AS first_ids FROM k GROUP BY 1 HAVING count(*) > 1""",
@@ -139,7 +187,9 @@ SELECT name_key, count(*) AS n, array_to_string(list_slice(list_sort(list(id)),
     "text_shapes": f"""WITH {_CATALOG}, n AS (SELECT *, name || ' & ' || org AS full_name FROM cat)
 SELECT id, left(regexp_replace(regexp_replace(lower(full_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50) AS slug, CASE WHEN length(full_name) > 22 THEN left(full_name, 20) || '…' ELSE full_name END AS short,
  replace(full_name, '&', '&amp;') AS html, name || '. ' || org AS merged, full_name AS merged_again FROM n""",
-    "grade_parse": f"""WITH {_CATALOG} SELECT id, CAST(CASE id % 5 WHEN 0 THEN id % 12 + 1 WHEN 1 THEN id % 12 + 1 WHEN 2 THEN 10 WHEN 3 THEN 7 END AS BIGINT) AS grade FROM cat""",
-    "feature_classify": f"SELECT doc_id, {_FEATURE} AS feature FROM documents",
+    "grade_parse": f"""WITH {_CATALOG} SELECT id, CAST(CASE WHEN id % 5 < 2 AND id % 12 >= 5 THEN id % 12 + 1 WHEN id % 5 = 2 THEN 10 WHEN id % 5 = 3 THEN 8 END AS BIGINT) AS grade FROM cat""",
+    "feature_classify": f"""WITH g AS (SELECT *, ([{', '.join(_quoted(x) for x, _ in SIGNATURES)}])[doc_id // 2 % {len(SIGNATURES)} + 1] AS sign FROM documents), p AS (SELECT doc_id, coalesce(text, '') || ' ' || CASE WHEN doc_id % 2 = 0 THEN sign WHEN doc_id % 5 = 0 THEN upper(sign) ELSE '' END AS p FROM g)
+SELECT doc_id, {_FEATURE} AS feature FROM p""",
+    "section_classify": f"""WITH p AS (SELECT doc_id, lower(coalesce(text, '') || ' ' || CASE WHEN doc_id % 3 = 0 THEN upper(([{', '.join(_quoted(w) for _, ws in SECTIONS for w in ws)}])[doc_id % 21 + 1]) ELSE '' END) AS p FROM documents) SELECT doc_id, {_SECTION} AS section FROM p""",
     "tag_mentions": f"""WITH f AS (SELECT doc_id, list_filter({_VOCAB}, lambda v: contains(lower(text), v)) AS t FROM documents) SELECT doc_id, CASE WHEN len(t) < 2 THEN 'general|misc' ELSE array_to_string(list_slice(t, 1, 3), '|') END AS tags FROM f""",
 }

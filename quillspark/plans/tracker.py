@@ -59,7 +59,7 @@ def palette_slots(spark, d):
 
 
 def subscription_state(spark, d):
-    return accounts.subscription_state(b.subscriptions(spark, d), TODAY).select("userid", "status", "access", "trial_days_left")
+    return accounts.subscription_state(b.subscriptions(spark, d), TODAY).select("userid", "status", "access", "expired", "days_left")
 
 
 def access_gate(spark, d):
@@ -68,13 +68,13 @@ def access_gate(spark, d):
 
 
 def promo_redeem(spark, d):
-    acc = b.subscriptions(spark, d).withColumn("used", F.when(F.col("userid") % 4 == 0, F.array(F.lit("SPRING"))).otherwise(F.array().cast("array<string>")))
+    acc = b.subscriptions(spark, d).withColumn("ends_at", F.col("subscription_end_at")).withColumn("status", F.coalesce("status", F.lit("trial"))).withColumn("used", F.when(F.col("userid") % 4 == 0, F.array(F.lit("SPRING"))).otherwise(F.array().cast("array<string>")))
     codes = acc.select("userid", F.lit("SPRING").alias("code"), (F.col("userid") % 30 + 1).cast("int").alias("days"))
     return accounts.redeemed(acc, codes, TODAY)
 
 
 def trial_start(spark, d):
-    acc = b.subscriptions(spark, d).withColumn("status", F.when(F.col("userid") % 3 != 0, F.col("status")))
+    acc = b.subscriptions(spark, d).withColumnRenamed("trial_ends_at", "ends_at").withColumn("status", F.when(F.col("userid") % 3 != 0, F.coalesce("status", F.lit("trial"))))
     return accounts.trials_started(acc, TODAY)
 
 
@@ -141,7 +141,7 @@ def conversation_pairs(spark, d):
 
 def json_recover(spark, d):
     e = b.table(spark, d, "events")
-    noisy = F.concat(F.lit("Result: "), F.expr("substring(props, 1, 3 + cast(event_id % 12 as int))"))
+    noisy = F.concat(F.lit("Result: "), F.substr("props", F.lit(1), (F.length("props") - F.col("event_id") % 4).cast("int")), F.when(F.col("event_id") % 4 == 0, " and so on }").otherwise(""))
     return e.select("event_id", text.recovered_json(noisy).alias("json"))
 
 
@@ -177,10 +177,11 @@ QUERIES = {f.__name__: f for f in (tracker_next_deadline, tracker_milestones, tr
 
 _ITEMS = """l AS (SELECT l_orderkey AS id, CAST(l_shipdate AS DATE) AS date, l_linestatus AS label, l_returnflag AS type FROM lineitem)"""
 _NEXT = f"""{_ITEMS}, nx AS (SELECT id, coalesce(min({{'d': date, 'l': label, 't': type}}) FILTER (date >= DATE '1998-06-30'), max({{'d': date, 'l': label, 't': type}})) AS n FROM l GROUP BY 1)"""
-_ST = f"""{_ITEMS}, st AS (SELECT id, CASE WHEN min(date) >= DATE '1998-07-01' THEN 'not_started' WHEN max(date) >= DATE '1998-06-30' THEN 'in_progress' WHEN max(type) = 'R' THEN 'not_started' ELSE 'completed' END AS status FROM l GROUP BY 1)"""
-_SUBS = """subs AS (SELECT c_custkey AS userid, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'active' WHEN 'BUILDING' THEN 'trial' WHEN 'MACHINERY' THEN 'beta' WHEN 'HOUSEHOLD' THEN 'canceled' ELSE 'past_due' END AS status,
- CASE WHEN c_custkey % 11 <> 0 THEN ends_at END AS ends_at FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS ends_at FROM orders GROUP BY 1) ON o_custkey = c_custkey),
-acc AS (SELECT *, CASE WHEN status = 'active' THEN true WHEN status = 'trial' THEN coalesce(ends_at > TIMESTAMP '1998-07-01', true) WHEN status IN ('beta', 'canceled') THEN coalesce(ends_at > TIMESTAMP '1998-07-01', false) ELSE false END AS access FROM subs)"""
+_ST = f"""{_ITEMS}, st AS (SELECT id, CASE WHEN id % 23 = 0 THEN 'completed' WHEN min(date) >= DATE '1998-07-01' THEN 'not_started' WHEN max(date) >= DATE '1998-06-30' THEN 'in_progress' WHEN max(type) = 'R' AND id % 19 <> 0 THEN 'not_started' ELSE 'completed' END AS status FROM l GROUP BY 1)"""
+_SUBS = """subs AS (SELECT c_custkey AS userid, CASE WHEN c_custkey % 13 = 0 THEN 'trial' ELSE CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'active' WHEN 'BUILDING' THEN 'trial' WHEN 'MACHINERY' THEN 'beta' WHEN 'HOUSEHOLD' THEN 'canceled' ELSE 'past_due' END END AS status,
+ CASE WHEN c_custkey % 11 <> 0 THEN ends_at END AS trial_ends_at, CASE WHEN c_custkey % 7 <> 0 THEN ends_at - INTERVAL 30 DAY END AS subscription_end_at FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS ends_at FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+acc AS (SELECT *, coalesce(status = 'trial' AND trial_ends_at < TIMESTAMP '1998-07-01', false) AS expired,
+ CASE WHEN status = 'active' THEN true WHEN status = 'trial' THEN coalesce(trial_ends_at >= TIMESTAMP '1998-07-01', true) WHEN status IN ('beta', 'canceled') THEN coalesce(subscription_end_at > TIMESTAMP '1998-07-01', false) ELSE false END AS access FROM subs)"""
 _REV = """rev AS (SELECT d.doc_id AS id, source, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'insufficient_data' END AS moderation_status FROM documents d LEFT JOIN labels USING (doc_id))"""
 
 ORACLES = {
@@ -188,23 +189,23 @@ ORACLES = {
     "tracker_milestones": f"WITH {_ITEMS} SELECT DISTINCT id, date, label, date < DATE '1998-06-30' AS past FROM l",
     "tracker_status": f"WITH {_ST} SELECT id, status FROM st",
     "tracker_status_counts": f"WITH {_ST} SELECT status, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS percent FROM st GROUP BY 1",
-    "tracker_order": f"WITH {_NEXT}, st AS (SELECT id, CASE WHEN min(date) >= DATE '1998-07-01' THEN 'not_started' WHEN max(date) >= DATE '1998-06-30' THEN 'in_progress' WHEN max(type) = 'R' THEN 'not_started' ELSE 'completed' END AS status FROM l GROUP BY 1) SELECT row_number() OVER (ORDER BY CASE status WHEN 'in_progress' THEN 0 WHEN 'not_started' THEN 1 ELSE 2 END, n.d, id) AS place, id, status FROM st JOIN nx USING (id) WHERE id < 2000",
+    "tracker_order": f"WITH {_NEXT}, st AS (SELECT id, CASE WHEN id % 23 = 0 THEN 'completed' WHEN min(date) >= DATE '1998-07-01' THEN 'not_started' WHEN max(date) >= DATE '1998-06-30' THEN 'in_progress' WHEN max(type) = 'R' AND id % 19 <> 0 THEN 'not_started' ELSE 'completed' END AS status FROM l GROUP BY 1) SELECT row_number() OVER (ORDER BY CASE status WHEN 'in_progress' THEN 0 WHEN 'not_started' THEN 1 ELSE 2 END, n.d, id) AS place, id, status FROM st JOIN nx USING (id)",
     "calendar_months": f"WITH {_ITEMS} SELECT strftime(date, '%Y-%m') AS month, count(*) AS dates, count(DISTINCT id) AS items FROM l GROUP BY 1",
     "calendar_headings": f"WITH {_ITEMS}, r AS (SELECT id, date, row_number() OVER (PARTITION BY id ORDER BY date, label, type) - 1 AS index FROM l), h AS (SELECT *, lag(year(date)) OVER (PARTITION BY id ORDER BY index) AS y FROM r) SELECT id, CAST(index AS INTEGER) AS index, date FROM h WHERE y IS NULL OR y <> year(date)",
     "calendar_export": f"WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date, label, type) - 1 AS i FROM l) SELECT id || '-' || i AS uid, md5('BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || id || '-' || i || chr(13) || chr(10) || 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d') || chr(13) || chr(10) || 'DTEND;VALUE=DATE:' || strftime(date + 1, '%Y%m%d') || chr(13) || chr(10) || 'SUMMARY:' || label || chr(13) || chr(10) || 'END:VEVENT') AS block_md5 FROM r",
     "due_soon": f"WITH {_NEXT}, m AS (SELECT id, n.d AS next_date, year(n.d) * 12 + month(n.d) - (1998 * 12 + 7) AS a FROM nx) SELECT id, CASE WHEN a BETWEEN 0 AND 1 THEN 'soon' ELSE 'beyond' END AS due, next_date FROM m WHERE a >= 0",
     "palette_slots": "SELECT p_brand, CAST(least(dense_rank() OVER (ORDER BY min(p_partkey)) - 1, 16) AS INTEGER) AS slot FROM part GROUP BY 1",
-    "subscription_state": f"WITH {_SUBS} SELECT userid, status, access, CASE WHEN status = 'trial' AND ends_at IS NOT NULL THEN CAST(greatest(0, ceil(date_diff('second', TIMESTAMP '1998-07-01', ends_at) / 86400.0)) AS INTEGER) WHEN status = 'trial' THEN 0 END AS trial_days_left FROM acc",
+    "subscription_state": f"WITH {_SUBS}, e AS (SELECT *, CASE status WHEN 'trial' THEN trial_ends_at WHEN 'beta' THEN subscription_end_at END AS ends FROM acc) SELECT userid, status, access, expired, CASE WHEN ends IS NULL THEN 0 ELSE CAST(greatest(0, ceil(date_diff('second', TIMESTAMP '1998-07-01', ends) / 86400.0)) AS INTEGER) END AS days_left FROM e",
     "access_gate": f"WITH {_SUBS}, r AS (SELECT o_orderkey AS request, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey + CASE WHEN o_orderkey % 17 = 0 THEN 10000000 ELSE 0 END END AS uid FROM orders), g AS (SELECT request, CASE WHEN uid IS NULL THEN 'anonymous' WHEN userid IS NULL THEN 'unknown_user' WHEN access THEN 'ok' WHEN status = 'trial' THEN 'trial_expired' WHEN status = 'past_due' THEN 'payment_due' ELSE 'inactive' END AS reason FROM r LEFT JOIN acc ON uid = userid) SELECT request, reason, reason IN ('trial_expired', 'payment_due', 'inactive') AS blocked FROM g",
-    "promo_redeem": f"WITH {_SUBS} SELECT userid, 'SPRING' AS code, status <> 'active' AND userid % 4 <> 0 AS accepted, CASE WHEN status <> 'active' AND userid % 4 <> 0 THEN greatest(TIMESTAMP '1998-07-01', coalesce(ends_at, TIMESTAMP '1998-07-01')) + to_days(CAST(userid % 30 + 1 AS INTEGER)) ELSE ends_at END AS ends_at FROM subs",
-    "trial_start": f"WITH {_SUBS} SELECT userid, CASE WHEN userid % 3 <> 0 THEN status ELSE 'trial' END AS status, CASE WHEN userid % 3 = 0 THEN TIMESTAMP '1998-07-15' ELSE ends_at END AS ends_at FROM subs",
+    "promo_redeem": f"WITH {_SUBS} SELECT userid, 'SPRING' AS code, status <> 'active' AND userid % 4 <> 0 AS accepted, CASE WHEN status <> 'active' AND userid % 4 <> 0 THEN greatest(TIMESTAMP '1998-07-01', coalesce(subscription_end_at, TIMESTAMP '1998-07-01')) + to_days(CAST(userid % 30 + 1 AS INTEGER)) ELSE subscription_end_at END AS ends_at FROM subs",
+    "trial_start": f"WITH {_SUBS} SELECT userid, CASE WHEN userid % 3 <> 0 THEN status ELSE 'trial' END AS status, CASE WHEN userid % 3 = 0 THEN TIMESTAMP '1998-07-15' ELSE trial_ends_at END AS ends_at FROM subs",
     "derived_freshness": r"SELECT conv_id, turn, text = left(text, 120) OR abs(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) - len(list_filter(regexp_split_to_array(trim(left(text, 120)), '\s+'), lambda w: w <> ''))) < 10 AS fresh FROM conversations WHERE role = 'user'",
     "review_queue": f"WITH {_REV} SELECT id, moderation_status FROM rev WHERE (moderation_status IS NULL OR moderation_status IN ('pending', 'insufficient_data')) AND source = 'src0' ORDER BY id DESC LIMIT 500",
     "queue_histogram": f"WITH {_REV} SELECT coalesce(source, 'unknown') AS source, coalesce(moderation_status, 'unreviewed') AS status, count(*) AS n FROM rev GROUP BY 1, 2",
     "due_for_review": "WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate END AS checked_at FROM orders) SELECT * FROM r WHERE checked_at IS NULL OR checked_at < TIMESTAMP '1998-06-01'",
     "review_sample": "SELECT o_orderkey AS id FROM orders ORDER BY md5('17:' || o_orderkey), id LIMIT 100",
     "snapshot_plan": """WITH p AS (SELECT page_id, regexp_extract(url, '^[^/]*//[^/]*', 0) AS url FROM pages), n AS (SELECT page_id, CASE WHEN page_id % 10 = 1 THEN '' ELSE lower(regexp_replace(trim(url), '/+$', '')) END AS key FROM p WHERE page_id % 2 = 1),
- k AS (SELECT DISTINCT lower(regexp_replace(trim(url), '/+$', '')) AS key FROM p WHERE page_id % 2 = 0 AND page_id < 50), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS nth FROM n)
+ k AS (SELECT DISTINCT lower(regexp_replace(trim(url), '/+$', '')) AS key FROM p WHERE page_id % 2 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS nth FROM n)
  SELECT page_id, CASE WHEN o.key = '' THEN 'insert' WHEN k.key IS NOT NULL THEN 'in_catalog' WHEN nth > 1 THEN 'in_file' ELSE 'insert' END AS verdict FROM o LEFT JOIN k ON o.key = k.key""",
     "moderation_apply": f"""WITH {_REV}, r AS (SELECT id, moderation_status, CASE WHEN id % 4 = 0 THEN id - 1 END AS dup, CASE id % 12 WHEN 0 THEN 'duplicate' WHEN 3 THEN 'rejected' WHEN 6 THEN 'approved' END AS s FROM rev)
  SELECT id, coalesce(s, moderation_status) AS moderation_status, CASE WHEN s = 'duplicate' THEN id - 7 WHEN s IS NOT NULL THEN NULL ELSE dup END AS duplicate_of, coalesce(s NOT IN ('rejected', 'duplicate'), true) AS is_active, CASE WHEN s IS NOT NULL THEN 'console' END AS reviewed_by FROM r""",
@@ -212,5 +213,6 @@ ORACLES = {
     "usage_upsert": "SELECT CAST(user_id AS VARCHAR) AS userid, event_type AS surface, CAST(count(*) + CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS calls, CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '2024-02-01' ELSE max(ts) END AS last_at FROM events GROUP BY user_id, event_type",
     "minted_ids": "SELECT c_custkey, 'ec' || ((SELECT max(s_suppkey) + 20000 FROM supplier) + row_number() OVER (ORDER BY c_custkey)) AS new_id FROM customer",
     "conversation_pairs": "SELECT conv_id, turn, md5(q) AS question, md5(text) AS answer FROM (SELECT *, lag(text) OVER w AS q, lag(role) OVER w AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant' AND b = 'user'",
+    "json_recover": """WITH e AS (SELECT event_id, regexp_extract(props, '[0-9]+') AS n, greatest(event_id % 4 - 1, 0) AS c FROM events) SELECT event_id, CASE WHEN length(n) > c THEN '{"k": ' || left(n, CAST(length(n) - c AS INTEGER)) || '}' END AS json FROM e""",
     "stream_daily_rollup": "SELECT CAST(user_id AS VARCHAR) AS userid, CAST(ts AS DATE) AS day, event_type AS surface, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(14,6))) AS DECIMAL(18,6)) AS cost_usd FROM events GROUP BY ALL",
 }

@@ -13,18 +13,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def user_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage facts at the grain of user, day and surface."""
+#: The surface and the model that an event type stands for; one model is blank, as in rows older than that column.
+SURFACES = {"click": "gemini", "view": "claude", "purchase": "deadline_check", "error": "claude"}
+MODELS = {"click": "Gemini-flash", "view": "claude-small", "purchase": "", "signup": "other-model", "error": ""}
+
+
+def user_costs(spark: SparkSession, sf_dir: str, as_of: str | None = None, days: int = 30) -> DataFrame:
+    """Usage facts at the grain of user, day, surface, feature and model, with tokens and searches. With as_of, only the `days`
+    days before that day and the day itself are read: the bounds are on the stored column, so they reach the scan."""
     e = table(spark, sf_dir, "events")
+    if as_of is not None:
+        end = F.lit(as_of).cast("timestamp_ntz")
+        e = e.filter((F.col("ts") >= end - F.make_interval(days=F.lit(days))) & (F.col("ts") < end + F.make_interval(days=F.lit(1))))
+    of = lambda known: F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.col("event_type"))
     return (
-        e.groupBy(F.col("user_id").cast("string").alias("userid"), F.to_date("ts").alias("day"), F.col("event_type").alias("surface"))
+        e.groupBy(F.col("user_id").cast("string").alias("userid"), F.to_date("ts").alias("day"), F.col("event_type").alias("feature"))
         .agg(
             F.count(F.lit(1)).alias("calls"),
             F.sum(F.col("value").cast("decimal(14,6)")).cast("decimal(18,6)").alias("cost_usd"),
+            F.sum(F.col("event_id") % 1000).alias("input_tokens"),
+            F.sum(F.col("event_id") % 300).alias("output_tokens"),
+            F.sum(F.col("event_id") % 4).alias("web_searches"),
             F.min("ts").alias("first_at"),
             F.max("ts").alias("last_at"),
         )
-        .withColumns({"feature": F.col("surface"), "model": F.col("surface")})
+        .withColumn("event_type", F.col("feature"))
+        .withColumns({"surface": F.coalesce(of(SURFACES), F.col("event_type")), "model": F.coalesce(of(MODELS), F.lit(""))})
+        .drop("event_type")
     )
 
 
@@ -76,13 +91,14 @@ def tracker_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracked items: an order with the dates of its lines as an array of structs."""
     l = table(spark, sf_dir, "lineitem")
     one = F.struct(F.to_date("l_shipdate").alias("date"), F.col("l_linestatus").alias("label"), F.col("l_returnflag").alias("type"))
-    return l.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(one)).alias("dates"), (F.max("l_returnflag") == "R").alias("was_estimated"))
+    return l.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(one)).alias("dates"), (F.max("l_returnflag") == "R").alias("was_estimated")).withColumn("run_status", F.when(F.col("id") % 23 == 0, "not_running").when(F.col("id") % 19 == 0, "unknown").otherwise("running"))
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts with a plan: the last order ends the trial."""
+    """Accounts with a plan: the last order ends the trial, 30 days before it a paid or granted period ends; some have no status."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     last = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("ends_at"))
-    status = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "active").when(F.col("c_mktsegment") == "BUILDING", "trial").when(F.col("c_mktsegment") == "MACHINERY", "beta").when(F.col("c_mktsegment") == "HOUSEHOLD", "canceled").otherwise("past_due")
+    status = F.when(F.col("c_custkey") % 13 == 0, F.lit(None)).when(F.col("c_mktsegment") == "AUTOMOBILE", "active").when(F.col("c_mktsegment") == "BUILDING", "trial").when(F.col("c_mktsegment") == "MACHINERY", "beta").when(F.col("c_mktsegment") == "HOUSEHOLD", "canceled").otherwise("past_due")
     ends = F.when(F.col("c_custkey") % 11 != 0, F.col("ends_at"))
-    return c.join(last, "c_custkey", "left").select(F.col("c_custkey").alias("userid"), status.alias("status"), ends.alias("ends_at"))
+    period = F.when(F.col("c_custkey") % 7 != 0, F.col("ends_at") - F.make_interval(days=F.lit(30)))
+    return c.join(last, "c_custkey", "left").select(F.col("c_custkey").alias("userid"), status.alias("status"), ends.alias("trial_ends_at"), period.alias("subscription_end_at"))
