@@ -128,10 +128,11 @@ def totals(facts: DataFrame, ledger_cost: DataFrame, plan_price: float = PLAN_PR
 def call_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """Cost of each call: tokens, cached tokens and searches at the rates of its provider (per million tokens, per search)."""
     kinds = {"input_tokens": "in_rate", "output_tokens": "out_rate", "cache_write_tokens": "cache_write_rate", "cache_read_tokens": "cache_read_rate"}
-    cost = F.col("web_searches") * F.col("search_rate")
-    for tokens, rate in kinds.items():
-        if tokens in usage.columns and rate in rates.columns:
-            cost = cost + F.coalesce(tokens, F.lit(0)) * F.coalesce(F.col(rate), F.lit(0)) / 1_000_000
+    tokens = F.lit(0).cast("decimal(28,4)")
+    for count, rate in kinds.items():
+        if count in usage.columns and rate in rates.columns:
+            tokens = tokens + F.coalesce(count, F.lit(0)) * F.coalesce(F.col(rate), F.lit(0))
+    cost = tokens / 1_000_000 + F.col("web_searches") * F.col("search_rate")
     return usage.join(rates, "provider", "left").withColumn("cost_usd", F.coalesce(cost, F.lit(0)).cast("decimal(18,6)"))
 
 

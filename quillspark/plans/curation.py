@@ -25,7 +25,7 @@ def _files(spark, d):
         F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("lang"), F.col("lang"))).alias("changes"),
         old.alias("previous_review_status"), new.alias("review_status"), (F.col("doc_id") % 16 < 4).alias("changed"), F.col("source").alias("extra"),
     )
-    rows = docs.groupBy(agent.alias("agent"), day.alias("day")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))), lambda x: x["e"])).alias("whole"))
+    rows = docs.groupBy(agent.alias("agent"), day.alias("day")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.to_json(entry).alias("e")))), lambda x: x["e"]), ","), F.lit("]")).alias("whole"))
     stamp = F.when(F.col("day") % 2 == 0, F.concat(F.lit("2024012"), F.col("day").cast("string"), F.lit("-0930"), F.lit("15"))).otherwise(F.concat(F.lit("2024012"), F.col("day").cast("string")))
     stem = F.element_at(F.create_map(*(F.lit(x) for k, v in src.SPECS.items() for x in (k, v[0].split("*")[0]))), F.col("agent"))
     middle = F.when(F.col("agent") == "scraper", "national_").otherwise("")
@@ -210,7 +210,7 @@ def seeds_per_mode(spark, d):
 def seed_results(spark, d):
     rows = _seeds(spark, d).withColumns({"total_added": F.lit(1).cast("long"), "total_dupes": F.lit(None).cast("long"), "total_cost": F.lit(0).cast("decimal(18,4)")})
     o = b.table(spark, d, "orders")
-    results = o.select((F.col("o_orderkey") % 90).alias("id"), F.lit(3).cast("long").alias("found"), (F.col("o_orderkey") % 3).alias("added"), F.lit(1).cast("long").alias("dupes"), (F.col("o_totalprice") / 1000).cast("decimal(18,4)").alias("cost"), F.col("o_orderdate").alias("ran_at"))
+    results = o.select((F.col("o_orderkey") % 90).alias("id"), F.lit(3).cast("long").alias("found"), (F.col("o_orderkey") % 3).alias("added"), F.lit(1).cast("long").alias("dupes"), F.col("o_totalprice").cast("decimal(18,2)").alias("cost"), F.col("o_orderdate").alias("ran_at"))
     return seeds.with_results(rows, results).drop("category", "angle", "is_enabled", "sort_order")
 
 
@@ -269,20 +269,20 @@ SELECT id, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS slug FROM n""",
     "listing_merge": """WITH p AS (SELECT page_id, regexp_extract(url, '^[^/]*//[^/?#]*') AS site FROM pages), k AS (SELECT DISTINCT lower(site) AS key FROM p WHERE page_id % 4 = 0),
 n AS (SELECT page_id, CASE WHEN page_id % 9 = 1 THEN '' ELSE site END AS url, lower(CASE WHEN page_id % 9 = 1 THEN '' ELSE site END) AS key FROM p WHERE page_id % 4 <> 0), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS nth FROM n)
 SELECT 'w' || page_id AS id, 'old' AS name, site AS url, 'Program' AS type, NULL AS price, NULL AS location, NULL AS tags, true AS is_active, 'legacy-seed' AS source FROM p WHERE page_id % 4 = 0
-UNION ALL SELECT NULL, 'T' || page_id, url, (['Program', 'Program', 'Research', 'Internship', 'Competition', 'Volunteer', 'Journal', 'Conference', 'Program'])[page_id % 10 + 1], (['Free', 'Paid', NULL])[page_id % 3 + 1], CASE WHEN page_id % 2 = 0 THEN 'Remote' END, (['a|b', 'solo', 'plain', NULL, NULL])[page_id % 5 + 1], NULL, 'finder'
+UNION ALL SELECT NULL, 'T' || page_id, url, coalesce((['Program', 'Program', 'Research', 'Internship', 'Competition', 'Volunteer', 'Journal', 'Conference', 'Program'])[page_id % 10 + 1], 'Program'), (['Free', 'Paid', NULL])[page_id % 3 + 1], CASE WHEN page_id % 2 = 0 THEN 'Remote' END, (['a|b', 'solo', 'plain', NULL, NULL])[page_id % 5 + 1], NULL, 'finder'
 FROM o WHERE key = '' OR (nth = 1 AND key NOT IN (SELECT key FROM k))""",
     "keyed_accounts": "SELECT CAST(c_custkey AS VARCHAR) AS userid, c_name AS name, c_nationkey AS nation FROM customer",
     "seed_list": f"WITH {_SEEDS} SELECT id, mode, sort_order FROM seeds WHERE mode = 'national' AND is_enabled",
     "seed_fallback": f"WITH {_SEEDS} SELECT NULL AS id, 'abroad' AS mode, 'summer camps' AS angle, 0 AS sort_order UNION ALL SELECT NULL, 'abroad', 'open labs', 1 UNION ALL SELECT id, mode, angle, sort_order FROM seeds WHERE mode = 'seattle' AND is_enabled",
     "seed_migration": f"WITH {_SEEDS} SELECT mode, category, angle || 'more' AS angle FROM seeds WHERE id % 3 <> 0",
     "seeds_by_id": f"WITH {_SEEDS}, w(place, id) AS (VALUES (0, 9), (1, 3), (2, 999999999), (3, 9), (4, 4)) SELECT place, CAST(w.id AS BIGINT) AS id, mode, s.id IS NOT NULL AS found FROM w LEFT JOIN seeds s ON s.id = w.id",
-    "seeds_by_place": f"WITH {_SEEDS}, w(place, at) AS (VALUES (0, 2), (1, 0), (2, 2)), l AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY sort_order, id) - 1 AS at FROM seeds) SELECT place, w.at, id, mode FROM w JOIN l ON l.at = w.at",
+    "seeds_by_place": f"WITH {_SEEDS}, w(place, idx) AS (VALUES (0, 2), (1, 0), (2, 2)), l AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY sort_order, id) - 1 AS idx FROM seeds) SELECT place, w.idx AS \"at\", id, mode FROM w JOIN l ON l.idx = w.idx",
     "seed_creation": f"""WITH {_SEEDS}, n AS (SELECT n_nationkey AS pos, (['national', 'seattle', 'moon', ''])[n_nationkey % 4 + 1] AS mode, CASE WHEN n_nationkey % 5 <> 1 THEN n_name END AS angle, CASE WHEN n_nationkey % 8 = 0 THEN 99 END AS sort_order FROM nation),
 e AS (SELECT *, CASE WHEN mode = '' OR angle IS NULL THEN 'mode, category and angle are all required' WHEN mode = 'moon' THEN 'mode must be ''national'' or ''seattle''' END AS error FROM n), t AS (SELECT mode, max(sort_order) AS top FROM seeds GROUP BY 1)
 SELECT pos, e.mode, CASE WHEN error IS NULL AND sort_order IS NULL THEN CAST(top + row_number() OVER (PARTITION BY e.mode, error IS NULL AND sort_order IS NULL ORDER BY pos) AS INTEGER) ELSE sort_order END AS sort_order, error FROM e LEFT JOIN t ON t.mode = e.mode""",
     "seeds_per_mode": f"WITH {_SEEDS} SELECT mode, count(*) AS n FROM seeds GROUP BY 1",
-    "seed_results": f"""WITH {_SEEDS}, r AS (SELECT o_orderkey % 90 AS id, count(*) AS runs, sum(3) AS found, sum(o_orderkey % 3) AS added, count(*) AS dupes, sum(CAST(o_totalprice / 1000 AS DECIMAL(18,4))) AS cost, max(o_orderdate) AS at FROM orders GROUP BY 1)
-SELECT s.id, mode, CAST(coalesce(runs, 0) AS BIGINT) AS total_runs, CAST(total_found + coalesce(found, 0) AS BIGINT) AS total_found, at AS last_run_at, CAST(1 + coalesce(added, 0) AS BIGINT) AS total_added, CAST(coalesce(dupes, 0) AS BIGINT) AS total_dupes, CAST(coalesce(cost, 0) AS DECIMAL(18,4)) AS total_cost FROM seeds s LEFT JOIN r ON r.id = s.id""",
+    "seed_results": f"""WITH {_SEEDS}, r AS (SELECT o_orderkey % 90 AS id, count(*) AS runs, sum(3) AS found, sum(o_orderkey % 3) AS added, count(*) AS dupes, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS cost, max(o_orderdate) AS ran FROM orders GROUP BY 1)
+SELECT s.id, mode, CAST(coalesce(runs, 0) AS BIGINT) AS total_runs, CAST(total_found + coalesce(found, 0) AS BIGINT) AS total_found, ran AS last_run_at, CAST(1 + coalesce(added, 0) AS BIGINT) AS total_added, CAST(coalesce(dupes, 0) AS BIGINT) AS total_dupes, CAST(coalesce(cost, 0) AS DECIMAL(18,4)) AS total_cost FROM seeds s LEFT JOIN r ON r.id = s.id""",
     "run_tallies": """WITH l AS (SELECT l_orderkey AS run, (l_partkey + l_linenumber) % 4 AS v, CASE WHEN l_orderkey % 5 <> 0 THEN l_linenumber % 2 END AS w FROM lineitem)
 SELECT run, count(*) AS found, count(*) FILTER (v = 0) AS added, count(*) FILTER (v = 1) AS dupes, count(*) FILTER (v = 2) AS invalid, count(*) FILTER (v = 3) AS errors, sum(coalesce(w, 0)) = 0 AS silent FROM l GROUP BY 1""",
 }

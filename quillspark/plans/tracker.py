@@ -119,7 +119,7 @@ def keyed_changes(spark, d):
 
 
 def usage_upsert(spark, d):
-    e = b.user_costs(spark, d).select("userid", "surface", "calls", "cost_usd", "last_at")
+    e = b.user_costs(spark, d).select("userid", F.col("feature").alias("surface"), "calls", "cost_usd", "last_at")
     old = e.groupBy("userid", "surface").agg(F.sum("calls").alias("calls"), F.max("last_at").alias("last_at"))
     new = old.filter("userid % 2 = 0").withColumn("calls", F.lit(1).cast("long")).withColumn("last_at", F.lit("2024-02-01").cast("timestamp_ntz"))
     return curation.upserted(old, new, ["userid", "surface"], ["calls"])
