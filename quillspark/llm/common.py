@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Most text that one round of array work holds; one longer document is still handled whole.
 CHUNK_BYTES = 1 << 20
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go when the job ends, and Arrow batches are short, as rows may be whole texts.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -127,8 +129,11 @@ def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; where the session names none, one of our own, which only a local master can share."""
+    conf = spark.sparkContext.getConf()
+    path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[^]]*\])?", conf.get("spark.master") or ""):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (path or f"file:///tmp/checkpoints/quillspark-{os.getpid()}").rstrip("/")
 
 
@@ -136,12 +141,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # this job's shuffle files go when it ends
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.select("*").write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     return out

@@ -37,8 +37,8 @@ SCALE = 20
 LANES = 512
 #: A block is closed when it has this many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
-#: Most units and pieces whose ids a worker remembers, about 200 MB.
-REMEMBER = 1_200_000
+#: Bytes of units and their ids that a worker remembers; beyond it, it starts anew.
+REMEMBER = 96 << 20
 #: Text that is cut into units at once.
 CHUNK_BYTES = 2 << 20
 VOCABULARY = "byte_bpe_50k.json"
@@ -50,19 +50,69 @@ _DOUBTFUL[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _NULL_ID = -(2**63)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The characters that a byte-level vocabulary writes for bytes: printable ones stand for themselves, the others follow from 256 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = (b for b in range(256) if b not in printable)
-    return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+#: Classes of ASCII bytes that a byte-level vocabulary never puts in one piece side by side. The apostrophe is in neither.
+_WORD, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[b for b in range(0x21, 0x7F) if not _WORD[b] and b != 0x27]] = True
+
+
+class Units:
+    """Ids of known units, by the units' hashes, with their bytes to tell apart units that hash alike. Arrays grow by doubling."""
+
+    def __init__(self) -> None:
+        self.hash, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of hash
+        self.n, self.n_ids, self.n_bytes = 0, 0, 0
+        self.ids, self.raw = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.uint8)
+        self.id_ends, self.raw_ends = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)  # ends[i]:ends[i + 1] are unit i's
+
+    def size(self) -> int:
+        return 16 * self.n + sum(x.nbytes for x in (self.ids, self.raw, self.id_ends, self.raw_ends))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of the unit with each hash, or -1."""
+        if not self.n:
+            return np.full(len(h), -1)
+        i = np.minimum(np.searchsorted(self.hash, h), self.n - 1)
+        return np.where(self.hash[i] == h, self.at[i], -1)
+
+    def same(self, number: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> bool:
+        """Whether the units' bytes are those of the spans."""
+        first, size = self.raw_ends[number], end - start
+        if not np.array_equal(self.raw_ends[number + 1] - first, size):
+            return False
+        return np.array_equal(self.raw[_ranges(first, size)], buf[_ranges(start, size)])
+
+    def add(self, h: np.ndarray, raw: np.ndarray, raw_sizes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        new = self.n + np.arange(len(h))
+        order = np.argsort(np.concatenate([self.hash, h]), kind="stable")
+        self.hash, self.at = np.concatenate([self.hash, h])[order], np.concatenate([self.at, new])[order]
+        self.ids, self.raw = _room(self.ids, self.n_ids, ids), _room(self.raw, self.n_bytes, raw)
+        self.id_ends = _room(self.id_ends, self.n + 1, self.n_ids + np.cumsum(sizes))
+        self.raw_ends = _room(self.raw_ends, self.n + 1, self.n_bytes + np.cumsum(raw_sizes))
+        self.n, self.n_ids, self.n_bytes = self.n + len(h), self.n_ids + len(ids), self.n_bytes + len(raw)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for size[i] numbers, end to end."""
+    done = np.cumsum(size)
+    return np.repeat(first - done + size, size) + np.arange(done[-1] if len(done) else 0)
+
+
+def _room(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """held with more written at n; a new array, twice as long, only when it is full."""
+    if n + len(more) > len(held):
+        held = np.concatenate([held[:n], np.zeros(max(n, len(more)) + len(more), held.dtype)])
+    held[n : n + len(more)] = more
+    return held
 
 
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    A run of white space always starts a new piece for a byte-level vocabulary, so texts are cut before each run into
-    units, equal units of a chunk are found by hash, and each distinct unit's pieces go through the library's model
-    once while they are remembered. Texts with special tokens or white space beyond ASCII are encoded whole.
+    A byte-level vocabulary starts a new piece at every run of white space and where ASCII letters or digits meet other
+    printable ASCII (but for the apostrophe), so texts are cut there into units. Equal units are found by hash; those that
+    are not known yet go through the library together, parted by a special token, which nothing crosses. Texts with special
+    tokens or white space beyond ASCII are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -72,82 +122,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.parting = next(iter(added.items()), None)
         self.added = [t.encode() for t in added]
-        # special tokens cut a text before white space is looked at; some characters are white space to re alone
+        # special tokens cut a text before white space is looked at; some characters are white space to the library alone
         self.direct = re.compile("|".join([*map(re.escape, added), "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"]))
-        self.pieces = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-        # the library's classes of letters and digits differ from re's outside these characters
-        self.plain = re.compile(r"[\t-\r !-~¡-§©«-±´¶-¸»¿-ɏ]*")
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}  # units and pieces, by number
-        self.flat, self.ends = np.zeros(0, np.uint16), np.zeros(1, np.int64)
-
-    def _model_ids(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-
-    def _numbers(self, units: list[bytes]) -> list[int]:
-        """The number of each unit in the memory."""
-        if len(self.known) + len(units) > REMEMBER:
-            self.clear()
-        known, settled, fresh = self.known, len(self.known), []
-        numbers = list(map(known.get, units))
-        for i, n in enumerate(numbers):
-            if n is not None:
-                continue
-            unit = units[i].decode()
-            if unit[:1] == " " and unit[1:].isalpha() and unit.isascii():
-                ids = self._model_ids(unit)
-            elif not self.plain.fullmatch(unit):
-                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-            else:
-                pieces, ids = self.pieces.findall(unit), []
-                if len(pieces) == 1:
-                    ids = self._model_ids(unit)
-                for p in pieces if len(pieces) > 1 else ():
-                    key = p.encode()
-                    k = known.get(key)
-                    if k is None:
-                        known[key] = len(known)
-                        fresh.append(self._model_ids(p))
-                        ids += fresh[-1]
-                    else:
-                        ids += fresh[k - settled] if k >= settled else self.flat[self.ends[k] : self.ends[k + 1]].tolist()
-            k = known.get(units[i])  # a unit may have come up as a piece just now
-            if k is None:
-                k = known[units[i]] = len(known)
-                fresh.append(ids)
-            numbers[i] = k
-        self.flat = np.append(self.flat, np.array([x for t in fresh for x in t], np.uint16))
-        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(t) for t in fresh], dtype=np.int64))
-        return numbers
+        self.known = Units()
+
+    def _encoded(self, raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each) of units that stand end to end in raw."""
+        ends = np.cumsum(sizes).tolist()
+        units = [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
+        if self.parting is None:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            return np.array([x for own in ids for x in own], np.uint16), np.array([len(x) for x in ids])
+        text, part = self.parting
+        flat = []
+        for i in range(0, len(units), 4096):
+            flat += [part, *self.tokenizer.encode_batch_fast([text.join(units[i : i + 4096])], add_special_tokens=False)[0].ids]
+        ids = np.array(flat, np.uint16)
+        at = np.flatnonzero(ids == part)
+        return ids[ids != part], np.diff(np.append(at, len(ids))) - 1
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids of each text) of texts without a cause to be encoded whole."""
         buf, off = utf8(texts)
         if not len(buf):
             return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
-        gap = SPACES[buf]
+        gap, word, mark = SPACES[buf], _WORD[buf], _MARK[buf]
         cut = np.zeros(len(buf) + 1, bool)
-        cut[:-1] = gap
-        cut[1:-1] &= ~gap[:-1]
+        cut[0] = gap[0]
+        cut[1:-1] = gap[1:] & ~gap[:-1] | word[1:] & mark[:-1] | mark[1:] & word[:-1]
         cut[off] = True
         at = np.flatnonzero(cut)  # each unit's start, and the end
         start, end = at[:-1], at[1:]
-        h = spans(buf, start, end)
-        inverse, _ = pd.factorize(h)
+        inverse, h = pd.factorize(spans(buf, start, end))
         first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
-        data = buf.tobytes()
-        numbers = np.array(self._numbers([data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]), np.int64)
-        n_unit, from_ = (self.ends[numbers + 1] - self.ends[numbers])[inverse], self.ends[numbers][inverse]
-        done = np.cumsum(n_unit)
-        ids = self.flat[np.repeat(from_ - done + n_unit, n_unit) + np.arange(done[-1])]
+        if self.known.size() > REMEMBER:
+            self.known = Units()
+        number = self.known.find(h)
+        old = number >= 0
+        if not self.known.same(number[old], buf, start[first[old]], end[first[old]]):  # a unit that hashes like another one
+            self.known, old = Units(), np.zeros(len(h), bool)
+        if not old.all():
+            fresh = first[~old]
+            sizes = end[fresh] - start[fresh]
+            raw = buf[_ranges(start[fresh], sizes)]
+            self.known.add(h[~old], raw, sizes, *self._encoded(raw.tobytes(), sizes))
+            number = self.known.find(h)
+        n_unit = (self.known.id_ends[number + 1] - self.known.id_ends[number])[inverse]
+        ids = self.known.ids[_ranges(self.known.id_ends[number][inverse], n_unit)]
         total = np.zeros(len(start) + 1, np.int64)
-        total[1:] = done
+        np.cumsum(n_unit, out=total[1:])
         return ids, np.diff(total[np.searchsorted(start, off)])
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
