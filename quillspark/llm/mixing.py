@@ -11,7 +11,9 @@ a leaf with a third of all rows is dealt over as many tasks as it has ranges.
 
 Defined results: null lang or source is a child named ''; documents without tokens are taken by no epoch; ties in the
 hash order go by id, then by the text's checksum; rows that repeat id, text, lang and source count once and are taken
-together; rows with a null doc_id take part like others. A weight that is not given is 1. An empty table gives none.
+together; rows with a null doc_id take part like others. A weight that is not given is 1; a weight of 0 switches a child and
+all below it off, and its share goes to the others. An empty table gives none. Documents that are passed on are whole: the
+last one of a leaf's prefix is not cut, so a leaf may exceed its budget by less than one document.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ def domain(source: Column) -> Column:
 
 def _weight(level: str, weights: dict) -> Column:
     known = weights.get(level) or {}
+    if any(v < 0 for v in known.values()):
+        raise ValueError("weights are 0 or more")
     if not known:
         return F.lit(1).cast("long")
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.col(level)), F.lit(1)).cast("long")
@@ -55,7 +59,8 @@ def _weight(level: str, weights: dict) -> Column:
 
 def _share(children: DataFrame, parents: list[str], level: str, weights: dict) -> DataFrame:
     """children: parents, level, supply, budget (the parent's). The budget becomes the child's own, at most its supply."""
-    w = children.withColumn("weight", _weight(level, weights))
+    # a child without weight has no supply, so what it counts as here never matters
+    w = children.withColumn("weight", F.greatest(_weight(level, weights), F.lit(1).cast("long")))
     # those that run short first, by supply / weight
     order = [F.col("supply").cast("double") / F.col("weight"), F.col(level)]
     group = W.partitionBy(*parents).orderBy(*order)
@@ -72,7 +77,10 @@ def _share(children: DataFrame, parents: list[str], level: str, weights: dict) -
 
 def leaf_budgets(leaves: DataFrame, weights: dict, epochs: int, share: tuple[int, int]) -> DataFrame:
     """leaves: domain, lang, source, n_tokens. Adds each leaf's budget; the whole budget is share[0] / share[1] of all tokens."""
-    leaves = leaves.withColumn("supply", F.col("n_tokens") * epochs)
+    on = F.lit(True)
+    for level in LEVELS:
+        on = on & (_weight(level, weights) > 0)
+    leaves = leaves.withColumn("supply", F.when(on, F.col("n_tokens") * epochs).otherwise(0).cast("long"))
     total = leaves.agg(F.floor(F.sum("n_tokens") * share[0] / share[1]).cast("long").alias("budget"))
     above: list[str] = []
     got = leaves.groupBy("domain").agg(F.sum("supply").alias("supply")).crossJoin(F.broadcast(total))
@@ -96,12 +104,12 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, epochs: int = EPOCHS, share: t
     slim = written(rows.filter("n_tokens > 0").distinct(), "mixing")
     budgets = leaf_budgets(slim.groupBy(*keys).agg(F.sum("n_tokens").alias("n_tokens")), weights, epochs, share)
     # whole epochs go at once; what is left over is a prefix of one more
-    plan = budgets.select(*keys, F.floor(F.col("budget") / F.col("n_tokens")).cast("long").alias("whole"), (F.col("budget") % F.col("n_tokens")).alias("rest"))
+    plan = written(budgets.select(*keys, F.floor(F.col("budget") / F.col("n_tokens")).cast("long").alias("whole"), (F.col("budget") % F.col("n_tokens")).alias("rest")), "mixing_plan")
     placed = slim.join(_hint(plan), keys).withColumn("place", _number(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string"))))
     placed = placed.withColumn("range", F.shiftright("place", 61 - ranges.bit_length()).cast("int"))
     sums = placed.filter("rest > 0").groupBy(*keys, "range", "rest").agg(F.sum("n_tokens").alias("n"))
     running = F.sum("n").over(W.partitionBy(*keys).orderBy("range"))
-    sums = sums.select(*keys, "range", (running - F.col("n")).alias("before"), "n", "rest").filter("before < rest").drop("rest")
+    sums = written(sums.select(*keys, "range", (running - F.col("n")).alias("before"), "n", "rest").filter("before < rest").drop("rest"), "mixing_ranges")
     at = [*keys, "range"]
     ranged = placed.join(_hint(sums), at)
     full = ranged.filter("before + n <= rest").withColumn("taken", F.col("n_tokens"))
@@ -134,7 +142,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_level(source: str, above: list[str], level: str) -> str:
-    weight = f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END"
+    weight = f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {max(v, 1)}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END"
     by = f"PARTITION BY {', '.join(above)}" if above else ""
     order = f"({by} ORDER BY CAST(supply AS DOUBLE) / weight, {level} ROWS BETWEEN"
     keys = ", ".join([*above, level])
