@@ -6,9 +6,9 @@ prefix of one word. Document places that hold such a word join the windows it st
 for the window on both sides (position and length bounds), and the words are then compared exactly. Words under an
 occurrence are hit.
 
-Defined results: null texts have no words and no hits; items without words are ignored; items that repeat a window
-are all listed; rows with a null doc_id keep their row with no hits; rows that repeat a doc_id and its text get the
-same result each. Other columns are ignored.
+Defined results: null texts have no words and no hits; items without words or without an id are ignored; items that
+repeat a window are all listed; rows with a null doc_id keep their row with no hits; rows that repeat a doc_id and its
+text get the same result each, and texts that share a doc_id are judged apart. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,18 +59,28 @@ def _small(df: DataFrame) -> DataFrame:
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(words, size, items): each distinct window with the ids, as strings, of the items that hold it."""
-    items = benchmark.filter(has_words(F.col("text"))).select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
+    items = benchmark.filter(has_words(F.col("text")) & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     each = items.select("item", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, window))).alias("words"))
     return each.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")).select("words", F.size("words").alias("size"), "items")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with `text_key`, which tells apart texts that share a doc_id."""
+    return docs.withColumn("text_key", F.xxhash64("text"))
+
+
+KEY = ("doc_id", "text_key")
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, size, items): every place where a window occurs.
+    """(doc_id, text_key, start, size, items): every place where a window occurs.
 
+    Where the seeds fit into every task, a text's words are compared as they are met. Where they do not, only (key, place, word)
+    is shuffled, and the words of documents with places that may hold a window are fetched once more.
     The outer forms of explode split a text once: for the inner ones the optimizer also splits it in a filter."""
-    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", pieces_of(F.col("text")).alias("w"))
-    windows = item_windows(benchmark, window).cache()
+    texts = keyed(docs.filter("doc_id is not null and text is not null").select("doc_id", "text")).select(*KEY, pieces_of(F.col("text")).alias("w"))
+    windows = written(item_windows(benchmark, window), "item_windows")
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     counts = texts.select(F.explode_outer("w").alias("word")).join(_small(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     placed = windows.select("words", "size", "items", F.posexplode("words").alias("offset", "word"))
@@ -81,35 +91,40 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         .filter("rarest.n > 0")
         .select("words", "size", "items", F.col("rarest.word").alias("word"), F.col("rarest.offset").alias("offset"))
     )
-    seeds = _small(written(rarest.groupBy("word").agg(F.collect_list(F.struct("words", "size", "items", "offset")).alias("seeds")), "seeds"))
-    places = texts.select("doc_id", "w", F.posexplode_outer("w").alias("at", "word")).join(seeds, "word")
+    seeds = written(rarest.groupBy("word").agg(F.collect_list(F.struct("words", "size", "items", "offset")).alias("seeds")), "seeds")
     start = F.col("at") - F.col("s.offset")
+    if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        places = texts.select(*KEY, "w", F.posexplode_outer("w").alias("at", "word")).join(F.broadcast(seeds), "word").select(*KEY, "w", "at", F.explode("seeds").alias("s"))
+    else:
+        met = texts.select(*KEY, F.posexplode_outer("w").alias("at", "word")).join(seeds, "word").select(*KEY, "at", F.explode("seeds").alias("s")).filter(start >= 0)
+        met = written(met.distinct(), "places")
+        of_these = met.select(*KEY).distinct()
+        places = met.join(texts.join(of_these, list(KEY), "left_semi").dropDuplicates(list(KEY)), list(KEY))
     return (
-        places.select("doc_id", "w", "at", F.explode("seeds").alias("s"))
-        .filter((start >= 0) & (start + F.col("s.size") <= F.size("w")))
+        places.filter((start >= 0) & (start + F.col("s.size") <= F.size("w")))
         .filter(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("s.size")) == F.col("s.words"))
-        .select("doc_id", start.alias("start"), "s.size", "s.items")
+        .select(*KEY, start.alias("start"), "s.size", "s.items")
     )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_hit, n_items, item_ids) of the documents in which a window occurs."""
+    """(doc_id, text_key, n_hit, n_items, item_ids) of the documents in which a window occurs."""
     found = occurrences(docs, benchmark, window)
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
     items = F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["items"]))))
     return (
-        found.groupBy("doc_id")
+        found.groupBy(*KEY)
         .agg(F.collect_set(F.struct("start", "size", "items")).alias("spans"))
-        .select("doc_id", F.size(covered).cast("long").alias("n_hit"), items.alias("item_ids"))
-        .select("doc_id", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+        .select(*KEY, F.size(covered).cast("long").alias("n_hit"), items.alias("item_ids"))
+        .select(*KEY, "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
     )
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hits = contamination(docs, table(spark, sf_dir, "benchmark"))
-    rows = docs.select("doc_id", F.coalesce(count_words(F.col("text")), F.lit(0)).alias("n_words"))
-    return rows.join(hits, "doc_id", "left").select(
+    rows = keyed(docs).select(*KEY, F.coalesce(count_words(F.col("text")), F.lit(0)).alias("n_words"))
+    return rows.join(hits, list(KEY), "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -123,7 +138,7 @@ _SQL_WORDS = r"""regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce({_SQL_WORDS.format('text')}, []) AS w FROM documents),
-i AS (SELECT item_id, {_SQL_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_SQL_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 iw AS (SELECT item_id, list_slice(w, s + 1, s + 10) AS win, least(len(w), 10) AS k
        FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM i WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT k FROM iw),
