@@ -3,14 +3,15 @@
 The corpus is its own reference. Every document is cut into blocks at content-defined anchors (the smallest
 hash of six neighbouring words within each window), so that equal windows share an anchor and lie at the same
 place of its block. The index of reference blocks is an ordinary aggregate that keeps the earliest place of each;
-a block that stands earlier is a factor at once. Where one anchor stands in different blocks, a repeat may start
-or end inside them: the first occurrences of such blocks are checked window by window against an index of windows.
-A greedy pass over a document then joins neighbouring hits that continue in one source into factors; at a
-factor boundary the overlapping windows bridge from one source to the next. Words under a factor go.
+a block that stands earlier matches at once. Where one anchor stands in different blocks, a factor may start
+or end inside them: the first occurrences of such blocks are checked window by window against an index of windows,
+which settles the factor boundaries. Matches that go on in one source are carried on as far as the source goes, and
+the parse then goes over a document from left to right: where no factor reaches, the next one starts; of those that
+reach a place, the one that goes farthest is taken. A factor has at least a window's words; words under one go.
 
 Defined results: a null text has no words; a text shorter than a window keeps all; rows with a null doc_id
-are kept whole and are no source; rows that repeat a doc_id and its text count as one document. Other columns
-are ignored, whatever their names.
+are kept whole and are no source; rows that repeat a doc_id and its text count as one document; of different texts
+with one doc_id, the one with the lesser checksum counts as the earlier. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,19 +73,19 @@ def _block_rows(window: int):
             row, first, n, anchor, block = _blocks(w, window)
             sizes = np.bincount(row, minlength=b.num_rows)
             cols = [lists((first - w.first[row]).astype(np.int32), sizes, pa.int32()), lists(n.astype(np.int32), sizes, pa.int32()), lists(anchor, sizes, pa.int64()), lists(block, sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "start", "n", "anchor", "block"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], ["doc_id", "text_key", "start", "n", "anchor", "block"])
 
     return run
 
 
 def _window_rows(window: int):
-    """Rows of doc_id, text and the starts of blocks to look into; out come those blocks' windows."""
+    """Rows of doc_id, text, text_key and the starts of blocks to look into; out come those blocks' windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             w = words(b.column(1))
             row, first, n, anchor, _ = _blocks(w, window)
-            asked = b.column(2)
+            asked = b.column(3)
             owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(asked.offsets)))
             keep = np.isin(first, w.first[owner] + np.asarray(asked.flatten(), dtype=np.int64))
             first, n, anchor = first[keep], n[keep], anchor[keep]
@@ -92,48 +93,79 @@ def _window_rows(window: int):
             row = w.row[at]
             sizes = np.bincount(row, minlength=b.num_rows)
             cols = [lists((at - w.first[row]).astype(np.int32), sizes, pa.int32()), lists(np.repeat(anchor, n), sizes, pa.int64()), lists(grams(w.hash, window)[at].view(np.int64), sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "start", "anchor", "window"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], ["doc_id", "text_key", "start", "anchor", "window"])
 
     return run
 
 
-def _not_first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys also stand earlier, with the earliest place of each."""
-    source = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count(F.lit(1)).alias("n_all")).filter("n_all > 1").drop("n_all")
-    return rows.join(source, keys).filter("source.doc_id < doc_id or source.start < start")
+DOC = ("doc_id", "text_key")
+
+
+def _not_first(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows whose keys also stand earlier, with the earliest place of each.
+
+    The index is a table of its own: joined straight after its aggregate, the rows of a common key could not be split."""
+    place = F.struct(*DOC, "start")
+    index = written(rows.groupBy(*keys).agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n_all")).filter("n_all > 1").drop("n_all"), name)
+    return rows.join(index, keys).filter(F.col("source") < place)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, hits): per document its runs of windows that also start earlier, with the earliest place of each run."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("doc_id is not null")
-    blocks = written(texts.mapInArrow(_block_rows(window), "doc_id long, start array<int>, n array<int>, anchor array<long>, block array<long>"), "blocks")
-    each = blocks.select("doc_id", F.explode(F.arrays_zip("start", "n", "anchor", "block")).alias("b")).select("doc_id", "b.*")
-    hit = F.struct("start", "n", F.col("source.doc_id").alias("source_doc"), F.col("source.start").alias("source_start")).alias("hit")
-    copied = written(_not_first(each, ["anchor", "block"]).select("doc_id", hit), "copied")
-
-    varied = each.groupBy("anchor").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("anchor")
-    inside = each.select("doc_id", "start", "anchor").join(varied, "anchor", "left_semi").select("doc_id", "start")
-    known = copied.select("doc_id", F.col("hit.start").alias("start"))
-    asked = inside.groupBy("doc_id").agg(F.collect_set("start").alias("inside")).join(known.groupBy("doc_id").agg(F.collect_set("start").alias("known")), "doc_id", "left")
-    asked = asked.select("doc_id", F.when(F.col("known").isNull(), F.col("inside")).otherwise(F.array_except("inside", "known")).alias("asked")).filter("size(asked) > 0")
-    windows = written(texts.join(asked, "doc_id").mapInArrow(_window_rows(window), "doc_id long, start array<int>, anchor array<long>, window array<long>"), "windows")
-    drop(blocks)
-    each = windows.select("doc_id", F.explode(F.arrays_zip("start", "anchor", "window")).alias("w")).select("doc_id", "w.*", F.lit(1).alias("n"))
-    straddling = _not_first(each, ["anchor", "window"]).select("doc_id", hit)
-    return copied.unionByName(straddling).groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
-
-
-def parse(start: np.ndarray, n: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, words, source_doc, source_start) from one document's hits: each is carried on while its source goes on."""
+    """(doc_id, text_key, hits): per document its runs of windows that also start earlier, with the earliest place of each run."""
+    texts = _texts(docs).filter("doc_id is not null")
+    blocks = written(texts.mapInArrow(_block_rows(window), "doc_id long, text_key long, start array<int>, n array<int>, anchor array<long>, block array<long>"), "blocks")
+    each = blocks.select(*DOC, F.explode(F.arrays_zip("start", "n", "anchor", "block")).alias("b")).select(*DOC, "b.*")
+    hit = F.struct("start", "n", F.col("source.doc_id").alias("source_doc"), F.col("source.start").alias("source_start"), F.col("source.text_key").alias("source_key")).alias("hit")
+    copied = written(_not_first(each, ["anchor", "block"], "block_index").select(*DOC, hit), "copied")
+
+    varied = written(each.groupBy("anchor").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("anchor"), "varied")
+    inside = each.select(*DOC, "start", "anchor").join(varied, "anchor", "left_semi").select(*DOC, "start")
+    known = copied.select(*DOC, F.col("hit.start").alias("start"))
+    asked = inside.groupBy(*DOC).agg(F.collect_set("start").alias("inside")).join(known.groupBy(*DOC).agg(F.collect_set("start").alias("known")), list(DOC), "left")
+    asked = asked.select(*DOC, F.when(F.col("known").isNull(), F.col("inside")).otherwise(F.array_except("inside", "known")).alias("asked")).filter("size(asked) > 0")
+    windows = texts.join(asked, list(DOC)).select("doc_id", "text", "text_key", "asked")
+    windows = written(windows.mapInArrow(_window_rows(window), "doc_id long, text_key long, start array<int>, anchor array<long>, window array<long>"), "windows")
+    drop(blocks, varied)
+    each = windows.select(*DOC, F.explode(F.arrays_zip("start", "anchor", "window")).alias("w")).select(*DOC, "w.*", F.lit(1).alias("n"))
+    straddling = _not_first(each, ["anchor", "window"], "window_index").select(*DOC, hit)
+    return copied.unionByName(straddling).groupBy(*DOC).agg(F.collect_set("hit").alias("hits"))
+
+
+def parse(start: np.ndarray, n: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray, source_key: np.ndarray | None = None, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, source_doc, source_start) from one document's matches.
+
+    Matches are first carried on while their source goes on. At the first place without a factor the next one starts; while
+    some reach the place where the last one ends, the one that goes farthest follows."""
     if not len(start):
         return []
+    key = np.zeros(len(start), np.int64) if source_key is None else source_key
     order = np.argsort(start, kind="stable")
-    start, n, source_doc, source_start = start[order], n[order], source_doc[order], source_start[order]
+    start, n, source_doc, source_start, key = start[order], n[order], source_doc[order], source_start[order], key[order]
     new = np.ones(len(start), bool)
-    new[1:] = (start[1:] != start[:-1] + n[:-1]) | (np.diff(source_doc) != 0) | (np.diff(source_start) != n[:-1])
+    new[1:] = (start[1:] != start[:-1] + n[:-1]) | (source_doc[1:] != source_doc[:-1]) | (key[1:] != key[:-1]) | (source_start[1:] - source_start[:-1] != n[:-1])
     at = np.flatnonzero(new)
-    total = np.add.reduceat(n, at)
-    return [(int(start[i]), int(k) + window - 1, int(source_doc[i]), int(source_start[i])) for i, k in zip(at, total, strict=True)]
+    first, end = start[at], start[at] + np.add.reduceat(n, at) + window - 1
+    out, i, reached = [], 0, -1
+    while i < len(at):
+        if first[i] > reached:  # nothing goes on here: the longest that starts first
+            best = i
+        else:
+            best = -1
+        j = i
+        while j < len(at) and first[j] <= max(reached, first[i]):
+            if end[j] > reached and (best < 0 or end[j] > end[best]):
+                best = j
+            j += 1
+        if best >= 0 and end[best] > reached:
+            out.append((int(first[best]), int(end[best] - first[best]), int(source_doc[at[best]]), int(source_start[at[best]])))
+            reached = int(end[best])
+        i = max(j, i + 1)
+    return out
 
 
 FACTORS = "array<struct<start:long,words:long,source_doc:long,source_start:long>>"
@@ -151,10 +183,10 @@ def _cut(window: int):
                 kept = own
                 if hits.is_valid:
                     h = hits.values
-                    factors = parse(*(np.asarray(h.field(i), dtype=np.int64) for i in range(4)), window)
+                    factors = parse(*(np.asarray(h.field(i), dtype=np.int64) for i in range(5)), window)
                     keep = bytearray(b"\1") * len(own)
                     for s, n, _, _ in factors:
-                        keep[s : s + n] = bytes(min(n, len(own) - s))
+                        keep[s : s + n] = bytes(n)
                     kept = list(compress(own, keep))
                 out.append((len(own), len(own) - len(kept), b" ".join(kept).decode(), [dict(zip(("start", "words", "source_doc", "source_start"), f, strict=True)) for f in factors]))
             n, gone, kept, factors = zip(*out, strict=True)
@@ -165,9 +197,8 @@ def _cut(window: int):
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by a space) and the factors that were cut."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     hits = repeated_windows(docs, window)
-    return texts.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(_cut(window), f"doc_id long, n_words long, n_removed long, kept string, factors {FACTORS}")
+    return _texts(docs).join(hits, list(DOC), "left").select("doc_id", "text", "hits").mapInArrow(_cut(window), f"doc_id long, n_words long, n_removed long, kept string, factors {FACTORS}")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
