@@ -1,6 +1,7 @@
 """Operator 6: URL filters. Rules first; where none fits, host words are segmented and scored.
 
-Names are the letter runs of host labels and path segments. A unigram model counts words over the texts of all pages;
+Names are the letter runs of host labels and path segments, with repeats; a run of more than LONGEST letters is taken in
+pieces of that length, so no name is unbounded. A unigram model counts words over the texts of all pages;
 the substrings of each distinct name meet their counts in a join, and a Viterbi pass over one name's few substrings
 splits it into the likeliest words. Multinomial naive Bayes scores the words: pages whose segmented words hold a seed word
 teach the class `block`, the others `allow`; counts per word and class are an aggregate over all pages, and a page's score
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Longest word that a name is split into.
-LONGEST = 20
+#: Most letters of a name; also of a word that one is split into.
+LONGEST = 64
 #: Largest rule list; rules are a parameter, compiled into one expression.
 MOST_RULES = 2_000
 
@@ -58,8 +59,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def names_of(host: Column, path: Column) -> Column:
-    """Letter runs of host and path, folded."""
-    return F.regexp_extract_all(F.lower(F.concat_ws("/", host, path)), F.lit(r"\p{L}+"), F.lit(0))
+    """Letter runs of host and path, folded; longer ones than LONGEST in pieces."""
+    return F.regexp_extract_all(F.lower(F.concat_ws("/", host, path)), F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), F.lit(0))
 
 
 def page_words(html: Column) -> Column:
@@ -124,10 +125,12 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     keyed = base.drop("html").withColumn("names", names_of(F.col("host"), F.col("path")))
     lists = written(keyed.groupBy("names").agg(F.count(F.lit(1)).alias("n")), "name_lists")
     split = written(segment_names(lists.select(F.explode("names").alias("name")), counts), "names")
-    each = lists.select(F.col("names").alias("key"), "n", F.explode_outer(F.array_distinct("names")).alias("name")).join(split, "name", "left")
+    # multinomial: a name counts as often as it stands in the url
+    counted = F.transform(F.array_distinct("names"), lambda x: F.struct(x.alias("name"), F.size(F.filter("names", lambda y: y == x)).alias("times")))
+    each = lists.select(F.col("names").alias("key"), "n", F.explode_outer(counted).alias("c")).select("key", "n", "c.name", "c.times").join(split, "name", "left")
     seeded = each.groupBy("key").agg(F.max(F.coalesce(F.exists("words", lambda w: w.isin(*seeds)), F.lit(False))).alias("block"), F.first("n").alias("n"))
     seeded = written(seeded, "seeded")
-    words = each.drop("n").join(seeded, "key").select("n", "block", F.explode("words").alias("word"))
+    words = each.drop("n").join(seeded, "key").select((F.col("n") * F.col("times")).alias("n"), "block", F.explode("words").alias("word"))
     per_word = words.groupBy("word").agg(F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("block"), 0).otherwise(F.col("n"))).alias("good"))
     per_word = written(per_word, "word_classes")
     totals = per_word.agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"), F.count(F.lit(1)).alias("vocabulary"))
@@ -135,7 +138,7 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     v = F.col("vocabulary")
     odds = F.log((F.col("bad") + 1) / (F.col("all_bad") + v)) - F.log((F.col("good") + 1) / (F.col("all_good") + v))
     word_odds = per_word.crossJoin(F.broadcast(totals)).select("word", odds.alias("odds"))
-    scored = each.select("key", F.explode_outer("words").alias("word")).join(word_odds, "word", "left").groupBy("key").agg(F.sum("odds").alias("odds"), F.array_join(F.sort_array(F.collect_set("word")), " ").alias("words"))
+    scored = each.select("key", "times", F.explode_outer("words").alias("word")).join(word_odds, "word", "left").groupBy("key").agg(F.sum(F.col("odds") * F.col("times")).alias("odds"), F.array_join(F.sort_array(F.collect_set("word")), " ").alias("words"))
     start = F.log((F.col("pages_bad") + 1) / (F.col("pages_good") + 1))
     scored = scored.crossJoin(F.broadcast(prior)).select("key", (F.coalesce("odds", F.lit(0.0)) + start).alias("score"), "words")
     rule = rule_of(F.col("host"), F.col("path"), rules)
