@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -55,7 +56,11 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
-def _png(b: memoryview, at: int) -> tuple[str, int] | None:
+#: Bytes that a compressed stream is read and written by.
+_PIECE = 1 << 16
+
+
+def _png(b: Value, at: int) -> tuple[str, int] | None:
     p, first = at + 8, True
     while p + 12 <= len(b):
         n, kind = struct.unpack(">I4s", b[p : p + 8])
@@ -69,7 +74,7 @@ def _png(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gif(b: Value, at: int) -> tuple[str, int] | None:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
@@ -89,17 +94,17 @@ def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
+def _jpeg(b: Value, at: int) -> tuple[str, int] | None:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF and b[p + 1] not in (0x00, 0xFF):
         if b[p + 1] == 0xDA:
-            end = bytes(b[p:]).find(b"\xff\xd9")
-            return None if end < 0 else ("image/jpeg", p + end + 2 - at)
+            end = b.after(b"\xff\xd9", p)
+            return None if end < 0 else ("image/jpeg", end + 2 - at)
         p += 2 + struct.unpack(">H", b[p + 2 : p + 4])[0]
     return None
 
 
-def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
+def _riff(b: Value, at: int) -> tuple[str, int] | None:
     if at + 20 > len(b):
         return None
     size, kind = struct.unpack("<I4s", b[at + 4 : at + 12])
@@ -116,7 +121,7 @@ def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
     return {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}[kind], end - at
 
 
-def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
+def _bmp(b: Value, at: int) -> tuple[str, int] | None:
     if at + 30 > len(b):
         return None
     size, _, offset, head = struct.unpack("<IIII", b[at + 2 : at + 18])
@@ -125,33 +130,37 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if ok and at + size <= len(b) else None
 
 
-def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
-    end = bytes(b[at:]).find(b"%%EOF")
-    return None if end < 0 or not 0x30 <= b[at + 5] <= 0x39 else ("application/pdf", end + 5)
+def _pdf(b: Value, at: int) -> tuple[str, int] | None:
+    end = b.after(b"%%EOF", at)
+    return None if end < 0 or not 0x30 <= b[at + 5] <= 0x39 else ("application/pdf", end + 5 - at)
 
 
-def _zip(b: memoryview, at: int) -> tuple[str, int] | None:
-    end = bytes(b[at:]).find(b"PK\x05\x06")
-    if end < 0 or at + end + 22 > len(b):
+def _zip(b: Value, at: int) -> tuple[str, int] | None:
+    end = b.after(b"PK\x05\x06", at)
+    if end < 0 or end + 22 > len(b):
         return None
-    size, offset, note = struct.unpack("<IIH", b[at + end + 12 : at + end + 22])
-    return ("application/zip", end + 22 + note) if size + offset == end and at + end + 22 + note <= len(b) else None
+    size, offset, note = struct.unpack("<IIH", b[end + 12 : end + 22])
+    return ("application/zip", end - at + 22 + note) if size + offset == end - at and end + 22 + note <= len(b) else None
 
 
-def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gzip(b: Value, at: int) -> tuple[str, int] | None:
+    d, p = zlib.decompressobj(31), at
     try:
-        d = zlib.decompressobj(31)
-        d.decompress(b[at:])
+        while not d.eof and (p < len(b) or d.unconsumed_tail):
+            piece = d.unconsumed_tail
+            if not piece:
+                piece, p = b[p : p + _PIECE], min(p + _PIECE, len(b))
+            d.decompress(piece, _PIECE)  # what comes out is not kept
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - at - len(d.unused_data)) if d.eof else None
+    return ("application/gzip", p - at - len(d.unused_data)) if d.eof else None
 
 
-def _flac(b: memoryview, at: int) -> tuple[str, int] | None:
+def _flac(b: Value, at: int) -> tuple[str, int] | None:
     return ("audio/flac", len(b) - at) if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and bytes(b[at + 5 : at + 8]) == b"\0\0\x22" else None
 
 
-def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
+def _ogg(b: Value, at: int) -> tuple[str, int] | None:
     p = at
     while p + 27 <= len(b) and bytes(b[p : p + 4]) == b"OggS" and b[p + 4] == 0:
         n = b[p + 26]
@@ -167,9 +176,34 @@ def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
 _VALIDATE = {"png": _png, "gif87": _gif, "gif89": _gif, "jpeg": _jpeg, "riff": _riff, "bmp": _bmp, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "flac": _flac, "ogg": _ogg}
 
 
+class Value:
+    """Bytes in place: slices copy what they name, and the places of an end mark are looked up once however many starts ask."""
+
+    def __init__(self, value: bytes):
+        self.value, self.marks = value, {}
+
+    def __len__(self) -> int:
+        return len(self.value)
+
+    def __getitem__(self, at):
+        return self.value[at]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from `at` on, or -1."""
+        if mark not in self.marks:
+            places, p = [], self.value.find(mark)
+            while p >= 0:
+                places.append(p)
+                p = self.value.find(mark, p + 1)
+            self.marks[mark] = places
+        places = self.marks[mark]
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+
 def sniff(value: bytes) -> list[tuple[str, int, int]]:
     """Every confirmed (type, start, length); pieces inside a confirmed piece are listed too."""
-    view, found = memoryview(value), []
+    view, found = Value(value), []
     for end, (name, n) in _automaton().iter(value.decode("latin-1")):
         if hit := _VALIDATE[name](view, end - n + 1):
             found.append((hit[0], end - n + 1, hit[1]))
@@ -227,6 +261,10 @@ def sniff_column(df: DataFrame, value: str, declared: str | None = None, out: st
     return df.withColumn(out, run(F.col(value), F.col(declared) if declared else F.lit(None).cast("string")))
 
 
+#: What a column of texts says of itself before anything is looked at.
+DECLARED = "text/plain"
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches):
         texts = [t.as_py() for t in b.column(1)]
@@ -245,19 +283,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for v in b.column(2):
             media = v.as_py()
-            kind, start, length = next((x for x in sniff(media) if x[1] == 0), (None, 0, 0))
+            found = sniff(media)
+            kind, start, length = next((x for x in found if x[1] == 0), (None, 0, 0))
             if kind != "audio/wav":
                 raise ValueError("a stored value is not the sound file that was written")
             got = samples_of(media, start, length)
-            out.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"type={kind};{_features(got)}"))
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            out.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"type={kind};{_features(got)}", kind, kind != DECLARED, len(found) - 1))
+        cols = list(zip(*out, strict=True)) or [()] * 9
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "type", "corrected", "n_embedded"])
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Sniff, carve and describe what stored_media() stored."""
-    return media.mapInArrow(_read, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Sniff, carve and describe what stored_media() stored: the proven type in place of the declared one, and how many media the
+    payload holds inside."""
+    return media.mapInArrow(_read, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, type string, corrected boolean, n_embedded long")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
