@@ -83,6 +83,29 @@ def test_factors_name_true_sources(spark, corpus):
             assert (f.source_doc, f.source_start) < (r.doc_id, f.start) and f.words >= substring_dedup.WINDOW
 
 
+def test_texts_that_share_an_id(spark):
+    a, b = prose(30), prose(40)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(table(spark, [(1, a), (1, b), (2, a + " " + b), (1, f"{b} {b}")])).collect())
+    assert sum(x[2] for x in got) == 80 + 70 and (1, 30, 0) in got and got[-1] == (2, 70, 70)
+
+
+def test_parse_takes_the_farthest_factor():
+    g = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(g.integers(1, 40))
+        hit = np.flatnonzero(g.random(n) < 0.7)
+        docs = np.repeat(g.integers(0, 3, n), g.integers(1, 6, n))[:n][hit]
+        source = hit + g.integers(0, 2) * 100
+        found = substring_dedup.parse(hit, np.ones(len(hit), np.int64), docs, source, window=4)
+        covered = {x for h in hit.tolist() for x in range(h, h + 4)}
+        assert {x for s, w, _, _ in found for x in range(s, s + w)} == covered
+        starts = [s for s, *_ in found]
+        assert starts == sorted(starts) and all(w >= 4 for _, w, _, _ in found)
+        # no factor is needless: each reaches beyond the one before, and those two apart do not meet
+        ends = [s + w for s, w, _, _ in found]
+        assert all(a < b for a, b in zip(ends, ends[1:])) and all(found[i + 2][0] > ends[i] for i in range(len(found) - 2))
+
+
 # 2 quality
 
 
@@ -126,15 +149,17 @@ def own_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-def test_decontamination(spark, corpus):
+@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination(spark, corpus, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     r = random.Random(9)
     texts = ids_of(corpus)
-    items = [(k, " ".join((texts[k] or "").split()[3:20]).upper().replace("É", "É")) for k in range(6)] + [(100, "One, two!"), (101, ""), (102, None), (103, prose(30, r)), (3, texts[3]), (104, "...")]
+    items = [(k, " ".join((texts[k] or "").split()[3:20]).upper().replace("É", "É")) for k in range(6)] + [(100, "One, two!"), (101, ""), (102, None), (103, prose(30, r)), (3, texts[3]), (104, "..."), (None, texts[7])]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     docs = table(spark, [*corpus, (500, "!!! one TWO. one-two"), (501, "?"), (None, texts[3])])
     hits = {x.doc_id: (x.n_hit, x.item_ids) for x in decontaminate.contamination(docs, bench).collect()}
     counts = {x.doc_id: x.n for x in docs.select("doc_id", decontaminate.count_words(F.col("text")).alias("n")).collect()}
-    windows = [(str(i), own_words(t)[s : s + 10]) for i, t in items for s in range(max(1, len(own_words(t)) - 9)) if own_words(t)]
+    windows = [(str(i), own_words(t)[s : s + 10]) for i, t in items if i is not None for s in range(max(1, len(own_words(t)) - 9)) if own_words(t)]
     want = {}
     for i, t in [*corpus, (500, "!!! one TWO. one-two"), (501, "?")]:
         w, hit, found = own_words(t), set(), set()
@@ -147,6 +172,8 @@ def test_decontamination(spark, corpus):
         if hit:
             want[i] = (len(hit), sorted(found))
     assert hits == want and len(want) > 10
+    both = table(spark, [(1, "one two"), (1, "three"), (1, "one two")])
+    assert [(x.doc_id, x.n_hit) for x in decontaminate.contamination(both, bench).collect()] == [(1, 2)]
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
@@ -188,6 +215,36 @@ def test_false_magic_fails_its_validator():
         assert media.sniff(b"text " + magic + b" text that goes on for a while and holds nothing else at all") == []
 
 
+def test_many_false_starts_are_looked_through_once():
+    import time
+
+    value = b"%PDF-1" * 20_000 + b"PK\x03\x04" * 20_000 + b"\xff\xd8\xff\xda" * 20_000
+    began = time.process_time()
+    assert media.sniff(value) == [] and time.process_time() - began < 10
+    packed = __import__("gzip").compress(bytes(8 << 20))
+    assert media.sniff(packed) == [("application/gzip", 0, len(packed))]
+
+
+def test_stored_media_are_corrected_and_carved(spark):
+    got = {r.doc_id: r for r in media.read_media(media.stored_media(table(spark, [(1, "GIF89a no"), (2, "%PDF-1.4 x %%EOF"), (3, None)]))).collect()}
+    assert all(r.type == "audio/wav" and r.corrected for r in got.values())
+    assert [got[i].n_embedded for i in (1, 2, 3)] == [0, 1, 0] and all(r.feature.startswith("type=audio/wav;mean=") for r in got.values())
+
+
+def test_features_are_those_of_the_samples(spark, corpus):
+    got = {r.doc_id: r.feature for r in media.read_media(media.stored_media(table(spark, corpus[:40]))).collect()}
+    for i, t in corpus[:40]:
+        raw = (t or "").encode()
+        x = [*raw, *bytes(64 if not raw else -len(raw) % 64)]
+        mean = sum(x) / len(x)
+        std = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:]))
+        entropy = -sum(c / len(x) * np.log2(c / len(x)) for c in Counter(x).values())
+        want = f"type=audio/wav;mean={mean:.4f};std={std:.4f};min={min(x)};max={max(x)};zero_crossings={crossings};entropy={entropy:.4f};seconds={len(x) / media.RATE:.4f}"
+        assert [p.split("=")[0] for p in got[i].split(";")] == [p.split("=")[0] for p in want.split(";")]
+        assert all(a == b or abs(float(a.split("=")[1]) - float(b.split("=")[1])) < 2e-4 for a, b in zip(got[i].split(";"), want.split(";")))
+
+
 def test_declared_types_are_corrected(spark):
     df = spark.createDataFrame([(1, bytearray(png()), "image/jpeg"), (2, bytearray(b"plain"), "text/plain"), (3, None, None), (4, bytearray(b"aa" + GIF), "text/plain")], "id int, value binary, kind string")
     got = {r.id: r.media for r in media.sniff_column(df, "value", "kind").collect()}
@@ -264,6 +321,43 @@ def test_viterbi_takes_the_cheapest_split():
     assert urls.viterbi("", [], 9.0).words == ()
 
 
+def test_naive_bayes_against_brute_force(spark):
+    import math
+
+    r = random.Random(12)
+    vocabulary = ["red", "house", "cheap", "pills", "garden", "win", "news", "a", "sun"]
+    hosts = ["".join(r.choice(vocabulary) for _ in range(r.randint(1, 3))) for _ in range(12)] + ["casino", "q" * 150]
+    rows = []
+    for i in range(120):
+        h = r.choice(hosts)
+        path = "/".join(r.choice([h, r.choice(vocabulary), "x9y", "news"]) for _ in range(r.randint(0, 4)))
+        rows.append((i, f"http://{h}.example/{path}?cheap", f"<b>{' '.join(r.choice(vocabulary) for _ in range(20))}</b><style>win</style> example"))
+    rows += [(500, None, None), (501, "no scheme", "red red"), (502, "http://", None)]
+    got = {x.page_id: x for x in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    counts = Counter(w for _, _, t in rows for w in re.findall(r"[^\W\d_]+", re.sub(r"(?is)<style.*?</style>|<[^>]*>", " ", t or "").lower()))
+    total = sum(counts.values())
+
+    def split(name):
+        pieces = [(s, k, math.log(total) - math.log(counts[name[s : s + k]])) for s in range(len(name)) for k in range(1, len(name) - s + 1) if name[s : s + k] in counts]
+        return urls.viterbi(name, pieces, math.log(total)).words
+
+    names = {i: re.findall(r"[^\W\d_]{1,64}", f"{got[i].host}/{got[i].path}".lower()) for i, _, _ in rows}
+    words = {i: [w for n in ns for w in split(n)] for i, ns in names.items()}
+    block = {i: any(w in urls.SEEDS for w in ws) for i, ws in words.items()}
+    bad, good = Counter(), Counter()
+    for i, ws in words.items():
+        (bad if block[i] else good).update(ws)
+    v = len(set(bad) | set(good))
+    start = math.log((sum(block.values()) + 1) / (len(block) - sum(block.values()) + 1))
+    for i, ws in words.items():
+        want = start + sum(math.log((bad[w] + 1) / (sum(bad.values()) + v)) - math.log((good[w] + 1) / (sum(good.values()) + v)) for w in ws)
+        assert math.isclose(got[i].score, want, abs_tol=1e-9), rows[i]
+        if got[i].rule is None:
+            assert got[i].verdict == ("block" if want > 0 and got[i].host else "allow")
+    assert len({x.verdict for x in got.values()}) == 2 and any(len(ns) != len(set(ns)) for ns in names.values())
+
+
 # 7 licenses
 
 
@@ -331,6 +425,19 @@ def test_budgets_flow_as_water(spark):
     assert got == want
 
 
+def test_weight_zero_switches_off(spark, corpus):
+    docs = table(spark, corpus)
+    weights = {**mixing.WEIGHTS, "source": {"src0": 0}, "lang": {"en": 0}, "domain": {"d1": 0}}
+    out = mixing.mix(docs, weights=weights).collect()
+    left = {(x.doc_id, x.n_tokens, x.checksum, x.lang, x.source) for x in mixing.mix(docs, share=(2, 1)).collect() if x.source != "src0" and x.lang != "en" and x.domain != "d1"}
+    assert out and all(x.source != "src0" and x.lang != "en" and x.domain != "d1" for x in out)
+    total = sum(x.n_tokens for x in mixing.mix(docs, share=(2, 1)).filter("epoch = 0").collect())
+    assert sum(x.taken for x in out) == min(total * 7 // 10, 2 * sum(x[1] for x in left))
+    assert mixing.mix(docs, weights={"domain": {f"d{i}": 0 for i in range(4)}}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs, weights={"lang": {"en": -1}})
+
+
 def test_mix_takes_each_leafs_budget(spark, corpus):
     docs = table(spark, [*corpus, (3, corpus[3][1]), (None, "null id here")])
     out = mixing.mix(docs, ranges=8).collect()
@@ -495,7 +602,7 @@ def test_token_files(spark, corpus, tokenizer, monkeypatch):
 
 
 def test_encoder_memory_can_be_cleared(tokenizer, monkeypatch):
-    monkeypatch.setattr(token_files, "REMEMBER", 20)
+    monkeypatch.setattr(token_files, "REMEMBER", 1 << 19)
     tk, path = tokenizer
     texts = [prose(50) for _ in range(5)]
     encode = token_files.Encoder(path)
@@ -509,10 +616,18 @@ ODD = ["", " ", "  a  b\n\n c\t d ²³ x² <|endoftext|> q", "a\n\n<|endoftext|>
 def test_encoder_on_odd_texts(tokenizer):
     tk, path = tokenizer
     r = random.Random(6)
-    texts = ODD + ["".join(r.choice(["a", " ", "\n", "'s", "9", "é", "_", ",", "\t", "\u00a0", "²", "語", "B"]) for _ in range(40)) for _ in range(400)]
+    texts = ODD + ["".join(r.choice(["a", " ", "\n", "'s", "'", "9", "é", "_", ",", "(", "¿", "\t", "\u00a0", "²", "語", "B"]) for _ in range(40)) for _ in range(400)]
     assert [x.tolist() for x in token_files.Encoder(path)(pa.array(texts))] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_units_that_hash_alike_are_told_apart(tokenizer, monkeypatch):
+    tk, path = tokenizer
+    encode = token_files.Encoder(path)
+    monkeypatch.setattr(token_files, "spans", lambda buf, start, end: (end - start).astype(np.uint64))
+    for t in ("abc", "xyz", "abc", "red"):
+        assert [x.tolist() for x in encode(pa.array([t]))] == [tk.encode(t, add_special_tokens=False).ids]
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 20_000])
 def test_blocks_are_exact_and_guarded(n):
     g = np.random.default_rng(n)
@@ -552,6 +667,51 @@ def test_pipeline(spark):
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 20
 
 
+@pytest.fixture(scope="module")
+def small_tables(spark, corpus, tmp_path_factory):
+    """Two folders of tables: one with rows that are hard on operators, one with none."""
+    full, empty = (str(tmp_path_factory.mktemp(n)) for n in ("full", "empty"))
+    docs = table(spark, [*corpus, (corpus[2][0], corpus[2][1])])
+    tables = {
+        "documents": docs.select("doc_id", "text", "lang", "source", "n_chars"),
+        "labels": spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(31, None, None)], "doc_id long, quality int, toxic int"),
+        "pages": spark.createDataFrame([(1, None, None), (2, "http://" + "z" * 5000 + ".x/" + "y" * 5000, "<b>z</b>"), (3, "https://a.example.com/en/7", "")], "page_id long, url string, html string"),
+        "benchmark": spark.createDataFrame([(1, corpus[0][1]), (2, None), (3, "")], "item_id long, text string"),
+        "conversations": spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "x" * 300_000), (None, None, None, None)], "conv_id long, turn long, role string, text string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{full}/{name}.parquet")
+        df.limit(0).write.parquet(f"{empty}/{name}.parquet")
+    return full, empty
+
+
+@pytest.mark.parametrize("name", sorted(__import__("quillspark.llm.registry", fromlist=["QUERIES"]).QUERIES))
+def test_registered_queries(spark, small_tables, name):
+    from quillspark.llm import registry
+
+    full, empty = small_tables
+    key = {"op5_chat_format": "conv_id", "op6_url_filter": "page_id"}.get(name, "doc_id")
+    rows, none = registry.QUERIES[name](spark, full), registry.QUERIES[name](spark, empty)
+    assert rows.columns[0] == key and none.columns == rows.columns
+    got = [r[0] for r in rows.collect()]
+    source = {"conv_id": "conversations", "page_id": "pages"}.get(key, "documents")
+    ids = [r[0] for r in spark.read.parquet(f"{full}/{source}.parquet").select(key).collect()]
+    if name == "op5_chat_format":
+        assert sorted(map(str, got)) == sorted(map(str, {*ids, -7}))
+    elif name == "op8_source_mixing":
+        assert set(got) <= set(ids) and got
+    else:
+        assert sorted(map(str, got)) == sorted(map(str, ids))
+    assert none.count() == (1 if name == "op5_chat_format" else 0)
+
+
+def test_pipeline_of_an_empty_table(spark, small_tables):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, small_tables[1]).count() == 0
+    assert corpus_pipeline.run(spark, small_tables[0]).count() > 5
+
+
 def test_sql_of_decontamination(spark):
     con = duckdb.connect()
     sf = "/root/testdata/sf0.001"
