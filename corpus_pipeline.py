@@ -2,6 +2,11 @@
 
 Every stage works on all rows that the one before kept, and its decisions take effect. All but the last return the
 columns of documents.
+
+Defined results: a null text is an empty one to the classifier, has no words, links with nothing, and takes no part in
+mixing, as documents without words do not; rows without a doc_id are never near copies or leaks and stay; rows that repeat a
+doc_id and its text go the same way at every stage and are one row after mixing takes them together; of linked documents the
+least doc_id stays; an empty table gives an empty result. Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontaminate, jaccard, mixing, quality, token_files
-from quillspark.llm.common import table, written
+from quillspark.llm.common import drop, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    hits = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    hits = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select(*decontaminate.KEY)
+    return decontaminate.keyed(docs).join(hits, list(decontaminate.KEY), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_").replace("/", "_"))
+        if before is not None:
+            drop(before)  # nothing reads the stage before last any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
