@@ -141,3 +141,8 @@ def top_features(facts: DataFrame, k: int = 2) -> DataFrame:
     each = facts.groupBy("userid", "feature").agg(F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"))
     w = W.partitionBy("userid").orderBy(F.desc("cost_usd"), "feature")
     return each.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def surface_days(facts: DataFrame) -> DataFrame:
+    """The rollup of each surface's day over all users."""
+    return facts.groupBy("surface", "day").agg(*_sums(), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))

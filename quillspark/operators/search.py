@@ -22,11 +22,12 @@ def eligible(grade: int | None) -> Column:
     return (F.coalesce("grade_min", F.lit(grade)) <= grade) & (F.coalesce("grade_max", F.lit(grade)) >= grade)
 
 
-def prefilter(rows: DataFrame, wanted: str, haystack: Column, types: list[str], hints: list[str], grade: int | None = None, limit: int = 100, key: str = "id", strict: bool = False) -> DataFrame:
-    """Type gate, then grades, then scores; only positive scores once 60 are; the best `limit`."""
+def prefilter(rows: DataFrame, wanted: str, haystack: Column, types: list[str], hints: list[str], grade: int | None = None, limit: int = 100, key: str = "id", strict: bool = False, tags: Column | None = None) -> DataFrame:
+    """Type gate, then grades, then scores, with 3 more where a tag is among the hints; only positive scores once 60 are; the best `limit`."""
     pool = gated(rows, F.col("type").isin(*types), 1 if strict else 15).filter(eligible(grade))
     terms = text.search_terms(F.lit(wanted))
-    hinted = F.when(F.lower(F.col("type")).isin(*[h.lower() for h in hints]), 3).otherwise(0) if hints else F.lit(0)
+    low = F.transform(F.coalesce(tags, F.array()), lambda t: F.lower(t)) if tags is not None else F.array()
+    hinted = F.when(F.exists(low.cast("array<string>"), lambda t: t.isin(*[h.lower() for h in hints])), 3).otherwise(0) if hints else F.lit(0)
     scored = pool.withColumn("score", text.keyword_score(terms, haystack) + hinted)
     return gated(scored, F.col("score") > 0, 60).orderBy(F.desc("score"), key).limit(limit)
 
@@ -75,7 +76,7 @@ def result_order(rows: DataFrame, key: str = "id") -> DataFrame:
 
 def ranked(pool: DataFrame, ranking: DataFrame) -> DataFrame:
     """A ranking (id, place, tier) joined back to its pool: unknown ids go, unknown tiers become `look`."""
-    tier = F.when(F.col("tier").isin("strong", "good", "look"), F.col("tier")).otherwise("look")
+    tier = F.when(F.col("tier").isin("strong", "look"), F.col("tier")).otherwise("look")
     return pool.join(ranking.withColumn("tier", tier), "id").orderBy("place")
 
 
@@ -88,3 +89,44 @@ def survivors(rows: DataFrame, wanted: str, columns: list[str], limit: int = 25)
     exact = rows.filter(F.col("id").cast("string") == wanted.strip()).withColumn("exact", F.lit(True))
     fuzzy = rows.filter(like & (F.col("id").cast("string") != wanted.strip())).orderBy(F.desc("is_active"), "name", "id").limit(limit).withColumn("exact", F.lit(False))
     return exact.unionByName(fuzzy).orderBy(F.desc("exact"), F.desc("is_active"), "name", "id")
+
+
+def by_kind(rows: DataFrame, types: list[str], about: str, haystack: Column, preference: Column | None = None, limit: int = 100, strict: bool = False) -> DataFrame:
+    """The pool of one kind for a description; a preference holds only while 20 rows of the pool meet it. The grade that the text names is kept to."""
+    level = rows.sparkSession.range(1).select(text.grade(F.lit(about)).alias("_grade"))
+    fits = F.col("_grade").isNull() | ((F.coalesce("grade_min", "_grade") <= F.col("_grade")) & (F.coalesce("grade_max", "_grade") >= F.col("_grade")))
+    pool = gated(rows, F.col("type").isin(*types), 1 if strict else 15).crossJoin(F.broadcast(level)).filter(fits).drop("_grade")
+    scored = pool.withColumn("score", text.keyword_score(text.search_terms(F.lit(about)), haystack))
+    best = gated(scored, F.col("score") > 0, 60).orderBy(F.desc("score"), "id").limit(100)
+    if preference is not None:
+        best = relaxed(best, preference)
+    return best.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def across_kinds(rows: DataFrame, kinds: dict[str, tuple[list[str], bool]], about: str, haystack: Column, most: int, strong: int) -> DataFrame:
+    """(kind, place, id, tier) of all kinds together; a row that comes under several stays under each. Places come from scores."""
+    from pyspark.sql import Window as W
+
+    out = None
+    for kind, (types, strict) in kinds.items():
+        pool = by_kind(rows, types, about, haystack, limit=most, strict=strict)
+        place = F.row_number().over(W.orderBy(F.desc("score"), "id"))  # over `most` rows
+        listed = pool.select(F.lit(kind).alias("kind"), place.alias("place"), "id").withColumn("tier", F.when(F.col("place") <= strong, "strong").otherwise("look"))
+        out = listed if out is None else out.unionByName(listed)
+    return out
+
+
+def page(ordered: DataFrame, number: int, size: int = 10) -> DataFrame:
+    """One page of ordered rows, from 1."""
+    return ordered.offset((number - 1) * size).limit(size)
+
+
+def enriched_tags(tags: DataFrame, answers: DataFrame) -> DataFrame:
+    """tags: id, place, tag; answers: id, place, echo, intent. Every tag, with the first answer that echoes it or, where an answer's
+    echo is none of the tags, stands at its position."""
+    known = tags.select("id", "tag").distinct()
+    a = answers.join(known.select("id", F.col("tag").alias("echo"), F.lit(True).alias("_known")), ["id", "echo"], "left")
+    at = tags.select("id", "place", F.col("tag").alias("_tag"))
+    a = a.join(at, ["id", "place"], "left").select("id", F.when(F.col("_known"), F.col("echo")).otherwise(F.col("_tag")).alias("tag"), "place", "intent")
+    first = a.filter("tag is not null").groupBy("id", "tag").agg(F.min_by("intent", "place").alias("intent"))
+    return tags.join(first, ["id", "tag"], "left").select("id", "place", "tag", "intent")

@@ -75,3 +75,34 @@ def merged(items: DataFrame, checks: DataFrame) -> DataFrame:
     c = checks.select("id", *(F.col(k).alias(f"_{k}") for k in checks.columns if k != "id"))
     rows = items.join(c, "id", "left")
     return rows.select("id", *(F.coalesce(f"_{k}", k).alias(k) if k in checks.columns else k for k in items.columns if k != "id"))
+
+
+def split_saved(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(visible, saved): no item is lost; an item without a mark is visible."""
+    saved = F.coalesce("saved", F.lit(False))
+    return items.filter(~saved), items.filter(saved)
+
+
+def toggled(items: DataFrame, clicks: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Items with their saved mark turned once for each click, without the deleted ones."""
+    n = clicks.groupBy("id").agg((F.count(F.lit(1)) % 2 == 1).alias("_odd"))
+    turned = F.coalesce("saved", F.lit(False)) != F.coalesce("_odd", F.lit(False))
+    return items.join(deleted.select("id").distinct(), "id", "left_anti").join(n, "id", "left").withColumn("saved", turned).drop("_odd")
+
+
+def action_counts(items: DataFrame) -> DataFrame:
+    """How many actions are in each state, over all items."""
+    return items.select(F.explode("actions").alias("a")).groupBy(F.col("a.state").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def totals(items: DataFrame) -> DataFrame:
+    """One row: all tracked items, and the buckets that have any."""
+    return items.agg(F.count(F.lit(1)).alias("tracked"), F.countDistinct("bucket").alias("buckets"))
+
+
+def selection_plan(selected: DataFrame, tracked: DataFrame, buckets: dict[str, str], other: str) -> DataFrame:
+    """Selected results by bucket of their kind: how many are tracked already, in any bucket, and how many are to be fetched."""
+    known = tracked.select("id").distinct().withColumn("_known", F.lit(True))
+    of = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in buckets.items() for x in kv)), F.col("kind")), F.lit(other))
+    rows = selected.join(known, "id", "left").groupBy(of.alias("bucket"))
+    return rows.agg(F.count_if(F.col("_known").isNotNull()).alias("already"), F.count_if(F.col("_known").isNull()).alias("to_fetch"))

@@ -13,7 +13,7 @@ WANTED = "I love the red widget and small gear things from brand 4"
 
 def prefilter_top100(spark, d):
     rows = b.catalog(spark, d)
-    out = search.prefilter(rows, WANTED, F.concat_ws(" ", "name", "org"), ["ECONOMY", "SMALL"], ["Economy"], grade=9)
+    out = search.prefilter(rows, WANTED, F.concat_ws(" ", "name", "org"), ["ECONOMY", "SMALL"], ["Red", "gear"], grade=9, tags=F.split("name", " "))
     return out.select("id", "score")
 
 
@@ -161,7 +161,7 @@ _VOCAB = "['the', 'and', 'con', 'und', 'les', 'para', 'thing']"
 ORACLES = {
     "prefilter_top100": f"""WITH {_CATALOG}, g AS (SELECT count(*) FILTER (type IN ('ECONOMY', 'SMALL')) AS n FROM cat),
 p AS (SELECT cat.*, lower(name || ' ' || org) AS h FROM cat, g WHERE (n < 15 OR type IN ('ECONOMY', 'SMALL')) AND coalesce(grade_min, 9) <= 9 AND coalesce(grade_max, 9) >= 9),
-s AS (SELECT id, {_SCORE} + CASE WHEN lower(type) = 'economy' THEN 3 ELSE 0 END AS score FROM p), k AS (SELECT count(*) FILTER (score > 0) AS n FROM s)
+s AS (SELECT id, {_SCORE} + CASE WHEN list_has_any(string_split(lower(name), ' '), ['red', 'gear']) THEN 3 ELSE 0 END AS score FROM p), k AS (SELECT count(*) FILTER (score > 0) AS n FROM s)
 SELECT id, score FROM s, k WHERE k.n < 60 OR score > 0 ORDER BY score DESC, id LIMIT 100""",
     "relaxed_search": f"""WITH {_CATALOG}, k AS (SELECT count(*) FILTER (price = 'free' AND type = 'PROMO' AND org = 'Brand#7') AS n FROM cat) SELECT id, type, org FROM cat, k WHERE n < 20 OR (price = 'free' AND type = 'PROMO' AND org = 'Brand#7')""",
     "facet_values": f"""WITH {_CATALOG}, e AS (SELECT DISTINCT 'type' AS field, type AS value FROM cat UNION SELECT 'org', org FROM cat UNION SELECT 'price', price FROM cat) SELECT field, string_agg(value, '|' ORDER BY value) AS choices, count(*) AS n FROM e WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) >= 2""",
@@ -172,7 +172,7 @@ SELECT id, score FROM s, k WHERE k.n < 60 OR score > 0 ORDER BY score DESC, id L
     "untracked_anti": """SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 45 AND l_orderkey = o.o_orderkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 45 AND l_partkey % 1500 = o.o_custkey)""",
     "survivor_search": f"""WITH {_CATALOG}, f AS (SELECT *, false AS exact FROM cat WHERE (name ILIKE '%17%' OR org ILIKE '%17%') AND id <> 17 ORDER BY is_active DESC, name, id LIMIT 25)
 SELECT id, name, org, is_active, exact FROM (SELECT *, true AS exact FROM cat WHERE id = 17 UNION ALL SELECT * FROM f)""",
-    "url_keys": f"""WITH t AS (SELECT page_id, url, trim(coalesce(url, '')) AS t FROM pages), q AS (SELECT *, CASE WHEN t = '' THEN '' WHEN contains(t, '://') THEN t ELSE 'https://' || ltrim(t, '/') END AS w FROM t),
+    "url_keys": rf"""WITH t AS (SELECT page_id, url, trim(coalesce(url, '')) AS t FROM pages), q AS (SELECT *, CASE WHEN t = '' THEN '' WHEN contains(t, '://') THEN t ELSE 'https://' || ltrim(t, '/') END AS w FROM t),
 u AS (SELECT page_id, {_WEAK} AS weak, {_BARE} AS bare, regexp_replace(lower(regexp_extract(w, '^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '') AS host,
  list_filter(string_split(regexp_extract(w, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') AS parts,
  list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract(w, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: {{'n': url_decode(replace(regexp_extract(p, '^[^=]*'), '+', ' ')), 'v': url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' '))}}), lambda p: lower(p.n) NOT IN ({', '.join(_quoted(x) for x in urls.TRACKING)}))) AS pairs FROM q),
