@@ -20,6 +20,11 @@ def days_since(then: Column, now: Column) -> Column:
     return F.floor(F.timestamp_diff("SECOND", then, now) / 86400).cast("long")
 
 
+def duration(start: Column, end: Column) -> Column:
+    """Seconds between two instants, to a tenth."""
+    return F.round(F.timestamp_diff("MICROSECOND", start, end) / 1_000_000, 1)
+
+
 def trial_days_left(ends: Column, now: Column) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.timestamp_diff("SECOND", now, ends) / 86400).cast("int"))
 

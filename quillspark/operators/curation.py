@@ -76,6 +76,60 @@ def upserted(rows: DataFrame, new: DataFrame, key: list[str], add: list[str]) ->
     return both.groupBy(*key).agg(*(F.sum(c).alias(c) for c in add), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_new")).otherwise(-1)).alias(c) for c in rest)).select(*rows.columns)
 
 
+def replaced(rows: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Keyed merge in which a new row takes the place of the old one whole; of new rows with one key the last position stays."""
+    last = new.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in key]), "pos").alias("_row")).select(*key, "_row.*")
+    return rows.join(last.select(*key), key, "left_anti").unionByName(last.select(*rows.columns))
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    return rows.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def appended(log: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """A log with new rows after it; a batch that comes twice adds nothing the second time."""
+    return log.unionByName(new.dropDuplicates(key).join(log.select(*key), key, "left_anti").select(*log.columns))
+
+
+#: The columns of the catalog's export.
+EXPORTED = ("id", "name", "org", "type", "price", "grade_min", "grade_max")
+
+
+def exported(rows: DataFrame) -> DataFrame:
+    """(id, json): the active rows of an export, one JSON text each, in order of id."""
+    return rows.filter("is_active").orderBy("id").select("id", F.to_json(F.struct(*EXPORTED)).alias("json"))
+
+
+def url_duplicates(rows: DataFrame, url: str = "url", key: str = "id") -> DataFrame:
+    """URL keys that several rows have, with their number and their first and last row."""
+    keyed = rows.select(urls.bare(F.col(url)).alias("url_key"), key).filter("url_key <> ''")
+    return keyed.groupBy("url_key").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id"), F.max(key).alias("last_id")).filter("n > 1")
+
+
+def name_duplicates(rows: DataFrame, most: int = 5, ranges: int = 64) -> DataFrame:
+    """Name keys that several rows have, with their number and the least ids. The ids are limited per range of a name's rows before
+    they meet, so a name that many rows share is no one task's list."""
+    keyed = rows.withColumn("name_key", urls.name_key(F.col("name")))
+    counts = keyed.groupBy("name_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = keyed.select("name_key", "id", F.pmod(F.xxhash64("id"), F.lit(ranges)).alias("_range"))
+    least = lambda rows, by: rows.withColumn("_nth", F.row_number().over(W.partitionBy(*by).orderBy("id"))).filter(F.col("_nth") <= most).drop("_nth")
+    first = least(least(dealt, ["name_key", "_range"]), ["name_key"])
+    listed = first.groupBy("name_key").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("first_ids"))
+    return counts.join(listed, "name_key")
+
+
+def differing(rows: DataFrame, other: DataFrame, column: str) -> DataFrame:
+    """(id, old, new): rows whose value in another source is given and differs."""
+    o = other.select("id", F.nullif(F.trim(column), F.lit("")).alias("new")).filter("new is not null")
+    return rows.select("id", F.col(column).alias("old")).join(o, "id").filter(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def first_by_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first row of each key in input order."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*key, "_row.*")
+
+
 def next_ids(rows: DataFrame, existing: DataFrame, prefix: str = "ec", start: int = 18220, order: str = "pos") -> DataFrame:
     """New ids after the largest number that follows the prefix; numbering is per hash range first, so it is not one task's work."""
     top = existing.agg(F.coalesce(F.max(F.regexp_extract("id", f"^{prefix}(\\d+)$", 1).try_cast("long")), F.lit(start)).alias("_top"))

@@ -70,6 +70,25 @@ def calendar_text(items: DataFrame) -> DataFrame:
     return events.withColumn("block", block)
 
 
+#: How a calendar file begins.
+CALENDAR_HEAD = ("BEGIN:VCALENDAR", "VERSION:2.0", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", "X-WR-TIMEZONE:UTC")
+
+
+def calendar_documents(items: DataFrame) -> DataFrame:
+    """(id, document): a calendar file for each item, its events in order; the file of an item is as long as the item's own dates."""
+    blocks = calendar_text(items).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("index", "block"))).alias("b"))
+    body = F.transform("b", lambda x: x["block"])
+    return blocks.select("id", F.concat_ws("\r\n", F.array(*map(F.lit, CALENDAR_HEAD)), body, F.lit("END:VCALENDAR")).alias("document"))
+
+
+def calendar_ops(items: DataFrame, known: DataFrame) -> DataFrame:
+    """What a calendar sync has to do for each date: patch where the event is known and still there, post where it is not known or
+    was deleted on the other side, error where the date is missing. known: uid, gone."""
+    events = calendar_rows(items).withColumn("uid", F.concat_ws("-", "id", "index")).join(known, "uid", "left")
+    op = F.when(F.col("date").isNull(), "error").when(F.coalesce(F.col("gone"), F.lit(True)), "post").otherwise("patch")
+    return events.select("uid", op.alias("op"), F.col("date").alias("start_day"), F.date_add("date", 1).alias("end_day"), F.col("label").alias("title"))
+
+
 def merged(items: DataFrame, checks: DataFrame) -> DataFrame:
     """Items with the values that a later check knows; its nulls change nothing."""
     c = checks.select("id", *(F.col(k).alias(f"_{k}") for k in checks.columns if k != "id"))

@@ -42,7 +42,8 @@ def student_lines(spark, d):
 
 def transcript_exchange(spark, d):
     p = b.table(spark, d, "part")
-    t = F.concat(F.lit("Coach: What do you like?\nStudent: "), "p_name", F.lit("\nand more"), F.when(F.col("p_partkey") % 3 == 0, F.lit("\nCoach: Why?")).otherwise(F.concat(F.lit("\nCoach: Why?\nStudent: because of "), "p_brand")))
+    tail = F.when(F.col("p_partkey") % 3 == 0, "YOU: Why?").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("You: Why? Now?\n\nstudent: because: of "), "p_brand")).otherwise(F.concat(F.lit("Other: x\nStudent:"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("  ")))
+    t = F.concat(F.lit("Intro. CONVERSATION SO FAR:\nYou: What do you like?\nStudent: "), "p_name", F.lit("\n"), tail, F.lit("\n\nRespond in one line. Respond now."))
     pair = extract.last_exchange(t)
     return p.select(F.col("p_partkey").alias("id"), pair["question"].alias("question"), pair["answer"].alias("answer"))
 
@@ -284,7 +285,7 @@ ORACLES = {
     "json_ids": "SELECT event_id, array_to_string(CASE WHEN user_id = event_id % 7 THEN ['u' || user_id] ELSE ['u' || user_id, 'u' || (event_id % 7)] END, '|') AS ids FROM events",
     "prompt_candidates": f"WITH {_P} SELECT k AS id, CASE WHEN k % 5 = 0 THEN '' ELSE 'a' || k || '|b' END AS candidates, array_to_string(list_slice(string_split(p_name || ' ' || p_name || ' ' || p_name || ' one two three four five', ' '), 1, 12), ' ') AS snippet FROM p",
     "student_lines": r"""WITH l AS (SELECT conv_id, turn, trim(left(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), 20)) AS s FROM conversations WHERE role = 'user') SELECT c.conv_id, said FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, string_agg(s, '; ' ORDER BY turn) AS said FROM l GROUP BY 1) USING (conv_id)""",
-    "transcript_exchange": f"WITH {_P} SELECT k AS id, CASE WHEN k % 3 <> 0 THEN 'Why?' END AS question, CASE WHEN k % 3 <> 0 THEN 'because of ' || p_brand END AS answer FROM p",
+    "transcript_exchange": f"WITH {_P} SELECT k AS id, CASE WHEN k % 3 = 1 THEN 'Why? Now?' END AS question, CASE WHEN k % 3 = 1 THEN 'because: of ' || p_brand WHEN k % 3 = 2 AND k % 2 = 0 THEN p_name END AS answer FROM p",
     "entry_fields": f"WITH {_P} SELECT k AS id, CASE WHEN k % 4 > 1 THEN p_name END AS name, CASE WHEN k % 4 > 1 THEN p_brand END AS org, CASE WHEN k % 4 = 0 THEN '' ELSE 'https://x.example/' || k END AS url, CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN p_type ELSE p_type || chr(10) || 'more' END AS summary FROM p",
     "preview_lines": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 77 ELSE o_orderkey % 9 END AS count, CASE WHEN o_orderkey % 4 > 1 THEN 'x' END AS label FROM orders",
     "unwrapped_answers": f"WITH {_P} SELECT k AS id, (['a|b', 'c', '', '', '', 'x|3'])[k % 6 + 1] AS items FROM p",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import costs, curation, ledger, profile, search, tracker
+from quillspark.plans import costs, curation, ledger, profile, search, state, tracker
 
-_PARTS = (costs, ledger, search, tracker, curation, profile)
+_PARTS = (costs, ledger, search, tracker, curation, profile, state)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text, urls
-from quillspark.operators import search
+from quillspark.operators import curation, search
 from quillspark.sources import bindings as b
 
 WANTED = "I love the red widget and small gear things from brand 4"
@@ -64,13 +64,12 @@ def url_keys(spark, d):
 
 
 def url_duplicate_audit(spark, d):
-    hosts = b.table(spark, d, "pages").select("page_id", F.regexp_extract(urls.bare(F.col("url")), "^[^/?#]*", 0).alias("url_key"))
-    return hosts.groupBy("url_key").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).filter("n > 1")
+    sites = b.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("url", "^[^/]*//[^/?#]*", 0).alias("url"))
+    return curation.url_duplicates(sites)
 
 
 def name_duplicate_audit(spark, d):
-    p = b.catalog(spark, d).select("id", urls.name_key(F.concat_ws(" ", "name", F.lit("2024"))).alias("name_key"))
-    return p.groupBy("name_key").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("id")), 1, 5), ",").alias("first_ids")).filter("n > 1")
+    return curation.name_duplicates(b.catalog(spark, d).select("id", F.concat_ws(" ", "name", F.lit("2024")).alias("name")))
 
 
 def keyword_scores(spark, d):

@@ -213,6 +213,7 @@ ORACLES = {
     "usage_upsert": "SELECT CAST(user_id AS VARCHAR) AS userid, event_type AS surface, CAST(count(*) + CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS calls, CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '2024-02-01' ELSE max(ts) END AS last_at FROM events GROUP BY user_id, event_type",
     "minted_ids": "SELECT c_custkey, 'ec' || ((SELECT max(s_suppkey) + 20000 FROM supplier) + row_number() OVER (ORDER BY c_custkey)) AS new_id FROM customer",
     "conversation_pairs": "SELECT conv_id, turn, md5(q) AS question, md5(text) AS answer FROM (SELECT *, lag(text) OVER w AS q, lag(role) OVER w AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant' AND b = 'user'",
+    "mock_enriched": "SELECT p_partkey AS id, DATE '1998-07-01' + CAST(20 + CAST('0x' || substr(md5(p_name), 1, 8) AS BIGINT) % 100 AS INTEGER) AS date FROM part",
     "json_recover": """WITH e AS (SELECT event_id, regexp_extract(props, '[0-9]+') AS n, greatest(event_id % 4 - 1, 0) AS c FROM events) SELECT event_id, CASE WHEN length(n) > c THEN '{"k": ' || left(n, CAST(length(n) - c AS INTEGER)) || '}' END AS json FROM e""",
     "stream_daily_rollup": "SELECT CAST(user_id AS VARCHAR) AS userid, CAST(ts AS DATE) AS day, event_type AS surface, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(14,6))) AS DECIMAL(18,6)) AS cost_usd FROM events GROUP BY ALL",
 }

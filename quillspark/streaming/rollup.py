@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,13 @@ def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
     return out.select("userid", F.to_date("w.start").alias("day"), "surface", "calls", "cost_usd", "first_at", "last_at")
 
 
+def by_surface(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Sums per UTC day and surface over all users."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    out = rows.groupBy(F.window("ts", "1 day").alias("w"), "surface").agg(F.count(F.lit(1)).alias("calls"), F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    return out.select(F.to_date("w.start").alias("day"), "surface", "calls", "cost_usd", "first_at", "last_at")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """An extension: activity sessions of each user."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
@@ -27,16 +36,16 @@ def usage_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return raw.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("userid"), F.col("event_type").alias("surface"), F.col("value").cast("decimal(14,6)").alias("cost_usd"))
 
 
-def write_daily(stream: DataFrame, target: str, checkpoint: str):
+def write_daily(stream: DataFrame, target: str, checkpoint: str, grain: Callable[[DataFrame], DataFrame] = daily):
     """Each micro-batch's changed sums go to a folder of its own, so a batch that runs twice writes the same place twice."""
 
     def upsert(rows: DataFrame, batch: int) -> None:
         rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{target}/batch={batch:012d}")
 
-    return daily(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert).trigger(availableNow=True).start()
+    return grain(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert).trigger(availableNow=True).start()
 
 
-def read_daily(spark: SparkSession, target: str) -> DataFrame:
+def read_daily(spark: SparkSession, target: str, key: tuple[str, ...] = GRAIN) -> DataFrame:
     """The newest sums of each key."""
     rows = spark.read.option("basePath", target).parquet(f"{target}/*")
-    return rows.groupBy(*GRAIN).agg(*(F.max_by(c, "batch").alias(c) for c in ("calls", "cost_usd", "first_at", "last_at")))
+    return rows.groupBy(*key).agg(*(F.max_by(c, "batch").alias(c) for c in ("calls", "cost_usd", "first_at", "last_at")))

@@ -23,13 +23,13 @@ def test_days_until_counts_to_the_end_of_the_day(spark):
 
 
 def items(spark, rows):
-    return spark.createDataFrame([(i, [dict(date=D.fromisoformat(x), label="l", type="o") for x in ds], e) for i, ds, e in rows], "id int, dates array<struct<date:date,label:string,type:string>>, was_estimated boolean")
+    return spark.createDataFrame([(i, [dict(date=D.fromisoformat(x), label="l", type="o") for x in ds], e) for i, ds, e in rows], "id int, dates array<struct<date:date,label:string,type:string>>, was_estimated boolean").withColumn("run_status", F.when(F.col("id") == 6, "not_running").when(F.col("id") == 7, "unknown").otherwise("running"))
 
 
 def test_progress_of_timelines(spark):
-    rows = items(spark, [(1, ["1998-07-01"], False), (2, ["1998-06-01", "1998-06-30"], False), (3, ["1998-06-01"], True), (4, ["1998-06-01"], False), (5, [], False)])
+    rows = items(spark, [(1, ["1998-07-01"], False), (2, ["1998-06-01", "1998-06-30"], False), (3, ["1998-06-01"], True), (4, ["1998-06-01"], False), (5, [], False), (6, ["1998-08-01"], False), (7, ["1998-06-01"], True)])
     got = {r.id: r.status for r in tracker.with_status(rows, "1998-07-01").collect()}
-    assert got == {1: "not_started", 2: "in_progress", 3: "not_started", 4: "completed", 5: "not_started"}
+    assert got == {1: "not_started", 2: "in_progress", 3: "not_started", 4: "completed", 5: "not_started", 6: "completed", 7: "completed"}
 
 
 def test_yesterday_is_still_upcoming(spark):
@@ -44,13 +44,16 @@ def test_items_past_before_this_month_are_in_no_window(spark):
 
 
 def test_trial_without_an_end_never_ends_but_the_helper_says_expired(spark):
-    acc = spark.createDataFrame([(1, "trial", None), (2, "beta", None), (3, "active", None)], "userid int, status string, ends_at timestamp_ntz")
-    assert {r.userid: r.access for r in accounts.subscription_state(acc, "1998-07-01").collect()} == {1: True, 2: False, 3: True}
+    day = dt.datetime(1998, 7, 3, 12)
+    rows = [(1, "trial", None, None), (2, "beta", None, None), (3, "active", None, None), (4, None, None, None), (5, "", dt.datetime(1998, 6, 30), day), (6, "beta", None, day), (7, "canceled", day, day), (8, "trial", day, None), (9, "past_due", day, day)]
+    acc = spark.createDataFrame(rows, "userid int, status string, trial_ends_at timestamp_ntz, subscription_end_at timestamp_ntz")
+    got = {r.userid: (r.status, r.access, r.expired, r.days_left) for r in accounts.subscription_state(acc, "1998-07-01").collect()}
+    assert got == {1: ("trial", True, False, 0), 2: ("beta", False, False, 0), 3: ("active", True, False, 0), 4: ("trial", True, False, 0), 5: ("trial", False, True, 0), 6: ("beta", True, False, 3), 7: ("canceled", True, False, 0), 8: ("trial", True, False, 3), 9: ("past_due", False, False, 0)}
     assert one(spark, x=dates.expired(F.lit(None).cast("timestamp"), F.lit("1998-07-01").cast("timestamp"))).x
 
 
 def test_gate_lets_unknown_users_pass(spark):
-    acc = spark.createDataFrame([(1, "past_due", None)], "userid int, status string, ends_at timestamp_ntz")
+    acc = spark.createDataFrame([(1, "past_due", None, None)], "userid int, status string, trial_ends_at timestamp_ntz, subscription_end_at timestamp_ntz")
     req = spark.createDataFrame([(1,), (2,), (None,)], "userid int")
     assert sorted((str(r.userid), r.reason, r.blocked) for r in accounts.access_gate(req, acc, "1998-07-01").collect()) == [("1", "payment_due", True), ("2", "unknown_user", False), ("None", "anonymous", False)]
 
@@ -97,7 +100,7 @@ def test_gates_fall_back_to_the_whole_pool(spark):
 
 @pytest.mark.parametrize(
     ("said", "grade"),
-    [("I am in grade 11", 11), ("a 10th grade student", 10), ("rising junior", 11), ("in middle school now", 7), ("nothing", None), ("", None), (None, None)],
+    [("I am in grade 11", 11), ("a 10th grade student", 10), ("rising junior", 11), ("in middle school now", 8), ("grade 5", None), ("I am 12", None), ("8-grade", 8), ("seniority", None), ("nothing", None), ("", None), (None, None)],
 )
 def test_grades(spark, said, grade):
     assert one(spark, g=text.grade(F.lit(said).cast("string"))).g == grade
@@ -109,6 +112,9 @@ def test_grades(spark, said, grade):
         ("HTTP://www.Example.co.uk/A/index.html?utm_source=x&b=2&a=1#top", "example.co.uk/a?a=1&b=2", "example.co.uk"),
         ("example.org/", "example.org", "example.org"),
         ("https://a.b.example.com/X/", "a.b.example.com/x", "example.com"),
+        ("//x.org/A//b/default.ASP/", "x.org/a/b", "x.org"),
+        ("https://u:p@m.school.sch.uk:443/FAQ?Q=A%20b&gclid=1&a", "m.school.sch.uk/faq?q=a+b&a=", "school.sch.uk"),
+        ("x.org?source=1&UTM_source=2&utm_other=3", "x.org?source=1&utm_other=3", "x.org"),
         ("", "", ""),
     ],
 )
@@ -119,7 +125,7 @@ def test_url_keys(spark, url, key, domain):
 
 @pytest.mark.parametrize(
     ("noisy", "value"),
-    [('x {"a": 1} y', '{"a": 1}'), ('[1, {"b": "c', '[1, {}]'), ('{"a": [1, 2', '{"a": [1, 2]}'), ("none", None), (None, None), ('{"a": "x\ny"}', '{"a": "x\\ny"}')],
+    [('x {"a": 1} y', '{"a": 1}'), ('[1, {"b": "c', '[1, {"b": "c"}]'), ('{"a": 1,  ', '{"a": 1}'), ('{"a": ', None), ('{"a": "\\\\"} "', '{"a": "\\\\"}'), ('{"a": "q\\"}" } z', '{"a": "q\\"}"}'), ("[[1], [2]] [3]", "[[1], [2]]"), ('{"a": [1, 2', '{"a": [1, 2]}'), ("none", None), (None, None), ('{"a": "x\ny"}', '{"a": "x\\ny"}')],
 )
 def test_json_recovery(noisy, value):
     assert _recovered(noisy) == value
