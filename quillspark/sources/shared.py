@@ -1,16 +1,20 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables in it."""
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a folder of our own only where the session names none."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """What spark.checkpoint.dir names; where the session names nothing, a folder of our own, which only a local master can share."""
+    conf = spark.sparkContext.getConf()
+    path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[^]]*\])?", conf.get("spark.master") or ""):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (path or f"file:///tmp/checkpoints/quillspark-{os.getpid()}").rstrip("/")
 
 
