@@ -14,7 +14,7 @@ long. One conversation's hash is sequential by its definition, so one task reads
 
 Defined results: null roles and texts are empty; a null conv_id is a conversation of its own; rows that tie on turn
 are ordered by role, then text, and repeated rows are kept; null turns come first; a record that fits no layout gives
-no turns (unmatched() lists it).
+no turns (unmatched() lists it). The query adds conversation -7; turns that the table has under that id join it.
 """
 
 from __future__ import annotations

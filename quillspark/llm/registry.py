@@ -13,7 +13,6 @@ from .quality import op2_quality_classifier
 from .substring_dedup import op1_substring_dedup
 from .token_files import op10_token_files
 from .urls import op6_url_filter
-from .urls import op6_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,

@@ -7,7 +7,7 @@ states, and starts from a checkpoint of its own: the final states, the number of
 token. Blocks decode in parallel and in any order. Two checksums guard each: of the coded bytes and of the ids.
 
 Block (little endian): magic "QRB1", u32 documents, u64 ids, u32 lanes, u32 coded words, u32 crc of the coded part, u32
-crc of the ids, then i64 doc_ids, u32 lengths, u64 lane states, u32 words. Table: magic "QRT1", u32 symbols, then
+crc of the ids, then i64 doc_ids, u32 lengths (the top bit marks a missing id), u64 lane states, u32 words. Table: magic "QRT1", u32 symbols, then
 compressed: u16 differences of the symbols and u32 frequencies, which sum to 2**SCALE.
 
 Defined results: a null text is the end id alone; rows that repeat a doc_id stand next to each other, ordered by text;
@@ -47,7 +47,8 @@ _U = np.uint64
 #: Bytes that white space beyond ASCII, and the separators 1C to 1F, have first.
 _DOUBTFUL = np.zeros(256, bool)
 _DOUBTFUL[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
-_NULL_ID = -(2**63)
+#: In a block's lengths, marks a document without an id.
+_NO_ID = 1 << 31
 
 
 #: Classes of ASCII bytes that a byte-level vocabulary never puts in one piece side by side. The apostrophe is in neither.
@@ -305,7 +306,7 @@ FILE_IDS = 1 << 23
 def _pack_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number = encoder(path), 0
-        docs: list[int] = []
+        docs: list[int | None] = []
         ids: list[np.ndarray] = []
         held = 0
 
@@ -321,12 +322,13 @@ def _pack_rows(path: str):
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(ids)]
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 joined = np.concatenate(ids[a:b])
-                data = pack_block(np.array(docs[a:b]), lengths[a:b], joined, coder)
+                known = np.array([d is not None for d in docs[a:b]])
+                data = pack_block(np.array([d or 0 for d in docs[a:b]], np.int64), lengths[a:b] | np.where(known, 0, _NO_ID), joined, coder)
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([i], pa.int32()), pa.array([len(joined)], pa.int64()), pa.array([shared if i == 0 else None], pa.binary()), pa.array([data], pa.binary())], ["part", "block", "n_ids", "table", "data"])
             docs, ids, held, number = [], [], 0, number + 1
 
         for b in chunks(batches, most=CHUNK_BYTES):
-            docs += [_NULL_ID if d is None else d for d in b.column(0).to_pylist()]
+            docs += b.column(0).to_pylist()
             ids += [np.append(x, np.uint16(END)) for x in encode(b.column(1))]
             held += sum(map(len, ids[-b.num_rows :]))
             if held >= FILE_IDS:
@@ -355,10 +357,11 @@ def _unpack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if shared != last:
                 last, coder = shared, Coder(unpack_table(shared))
             doc_ids, lengths, ids = unpack_block(data, coder)
+            missing, lengths = lengths >= _NO_ID, lengths & (_NO_ID - 1)
             ends = np.cumsum(lengths, dtype=np.int64)
             wide = ids.astype("<u4")
             crcs = [zlib.crc32(wide[e - n : e].tobytes()) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            known = pa.array(doc_ids.astype(np.int64), mask=doc_ids == _NULL_ID)
+            known = pa.array(doc_ids.astype(np.int64), mask=missing)
             yield pa.RecordBatch.from_arrays([known, pa.array(start + ends - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

@@ -588,7 +588,7 @@ def test_token_files(spark, corpus, tokenizer, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 700)
     monkeypatch.setattr(token_files, "FILE_IDS", 4000)
     tk, path = tokenizer
-    rows = [*corpus, (corpus[5][0], "repeat"), (None, "no id"), (77777, "a<|endoftext|>  b\n\n<|endoftext|> c"), (77778, "\x1c odd\x1f  white\u00a0space ²³ ")]
+    rows = [*corpus, (corpus[5][0], "repeat"), (None, "no id"), (-(2**63), "least id"), (77777, "a<|endoftext|>  b\n\n<|endoftext|> c"), (77778, "\x1c odd\x1f  white\u00a0space ²³ ")]
     r = random.Random(4)
     r.shuffle(rows)
     got = sorted(((x.start, x.doc_id, x.n_tokens, x.ids_crc32) for x in token_files.tokens_of(table(spark, rows)).collect()))
