@@ -113,12 +113,13 @@ def daily_series(facts: DataFrame, as_of: str, days: int, include_today: bool =
 
 
 def totals(facts: DataFrame, ledger_cost: DataFrame, plan_price: float = PLAN_PRICE) -> DataFrame:
-    """Totals over all users, reconciled with an independent ledger (one row: ledger_usd)."""
+    """Totals over all users, reconciled with the independent ledgers (one row: runs_usd, checks_usd)."""
     users = facts.groupBy("userid").agg(F.sum("cost_usd").alias("cost"))
     whole = users.agg(F.count(F.lit(1)).alias("active_users"), F.sum("cost").cast("decimal(18,6)").alias("attributed_usd"), F.max("cost").cast("decimal(18,6)").alias("max_usd"), F.count_if(F.col("cost") > F.lit(plan_price)).alias("over_plan"))
+    ledger_cost = ledger_cost.withColumn("ledger_usd", (F.col("runs_usd") + F.col("checks_usd")).cast("decimal(18,6)"))
     a, b = F.col("attributed_usd").cast("double"), F.col("ledger_usd").cast("double")
     return whole.crossJoin(F.broadcast(ledger_cost)).select(
-        "active_users", "attributed_usd", "max_usd", "over_plan", "ledger_usd",
+        "active_users", "attributed_usd", "max_usd", "over_plan", "runs_usd", "checks_usd", "ledger_usd",
         F.round(F.try_divide(a, F.col("active_users")), 6).alias("avg_usd"),
         F.round(F.greatest(b - a, F.lit(0.0)), 6).alias("unattributed_usd"),
         F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6).alias("attribution_rate"),

@@ -12,13 +12,14 @@ MODERATION = ("pending", "approved", "rejected", "duplicate")
 
 
 def review_queue(rows: DataFrame, which: str = "queue", source: str | None = None, limit: int = 500) -> DataFrame:
-    """queue: never reviewed or still open; rejected: refused or duplicate; all. Newest ids first."""
+    """queue: never reviewed or still open; rejected: refused or duplicate; all. Newest first, by created_at where there is one, then by id."""
     s = F.col("moderation_status")
     keep = {"queue": s.isNull() | s.isin("pending", "insufficient_data"), "rejected": s.isin("rejected", "duplicate"), "all": F.lit(True)}[which]
     rows = rows.filter(keep)
     if source is not None:
         rows = rows.filter(F.col("source") == source)
-    return rows.orderBy(F.desc("id")).limit(max(1, min(limit, 2000)))
+    order = [F.desc(c) for c in ("created_at", "id") if c in rows.columns]
+    return rows.orderBy(*order).limit(max(1, min(limit, 2000)))
 
 
 def queue_histogram(rows: DataFrame) -> DataFrame:

@@ -53,7 +53,9 @@ def daily_cost_series(spark, d):
 
 
 def cost_totals_reconciled(spark, d):
-    ledger = b.table(spark, d, "orders").agg((F.sum(F.col("o_totalprice").cast("decimal(18,6)")) / 1000).cast("decimal(18,6)").alias("ledger_usd"))
+    runs_usd = b.table(spark, d, "orders").agg(F.coalesce(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), F.lit(0)).cast("decimal(18,6)").alias("runs_usd"))
+    checks_usd = b.table(spark, d, "events").filter("event_type = 'error'").agg(F.coalesce(F.sum(F.col("value").cast("decimal(14,6)")), F.lit(0)).cast("decimal(18,6)").alias("checks_usd"))
+    ledger = runs_usd.crossJoin(F.broadcast(checks_usd))
     return costs.totals(_facts(spark, d), ledger)
 
 
@@ -142,7 +144,7 @@ s AS (SELECT day, sum(calls) AS calls, sum(cost_usd) AS cost, count(DISTINCT use
 SELECT day, CAST(coalesce(calls, 0) AS BIGINT) AS calls, CAST(coalesce(cost, 0) AS DECIMAL(18,6)) AS cost_usd, coalesce(users, 0) AS users FROM spine LEFT JOIN s USING (day)""",
     "cost_totals_reconciled": f"""WITH {_FACTS}, u AS (SELECT userid, sum(cost_usd) AS cost FROM win GROUP BY 1),
 w AS (SELECT count(*) AS active_users, CAST(sum(cost) AS DECIMAL(18,6)) AS attributed_usd, CAST(max(cost) AS DECIMAL(18,6)) AS max_usd, count(*) FILTER (cost > 9.99) AS over_plan FROM u),
-l AS (SELECT CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18,6))) AS DOUBLE) / 1000 AS DECIMAL(18,6)) AS ledger_usd FROM orders)
+l AS (SELECT *, CAST(runs_usd + checks_usd AS DECIMAL(18,6)) AS ledger_usd FROM (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,6)) AS runs_usd FROM orders), (SELECT CAST(coalesce(sum(CAST(value AS DECIMAL(14,6))), 0) AS DECIMAL(18,6)) AS checks_usd FROM events WHERE event_type = 'error'))
 SELECT *, round(CAST(attributed_usd AS DOUBLE) / active_users, 6) AS avg_usd, round(greatest(CAST(ledger_usd AS DOUBLE) - CAST(attributed_usd AS DOUBLE), 0), 6) AS unattributed_usd,
  round(CAST(attributed_usd AS DOUBLE) / CAST(ledger_usd AS DOUBLE), 6) AS attribution_rate FROM w, l""",
     "call_costs": """WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'google' WHEN 'view' THEN 'anthropic' ELSE 'unknown' END AS provider, event_id % 1000 AS i, event_id % 300 AS o, event_id % 70 AS w, event_id % 500 AS r, event_id % 4 AS s FROM events)

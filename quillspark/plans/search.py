@@ -58,6 +58,24 @@ def survivor_search(spark, d):
     return search.survivors(b.catalog(spark, d), "17", ["name", "org"], 25).select("id", "name", "org", "is_active", "exact")
 
 
+def catalog_scan(spark, d):
+    """The active rows as the public list has them."""
+    return b.catalog(spark, d).filter("is_active").orderBy("id").select("id", "name", "org", "type", "price", "grade_min", "grade_max")
+
+
+def catalog_keys(spark, d):
+    """The URL keys of all rows, active or not, each once."""
+    site = F.regexp_extract("url", "^[^/]*//[^/?#]*", 0)
+    return b.table(spark, d, "pages").select(urls.weak(F.when(F.col("page_id") % 2 == 0, F.concat(site, F.lit("//"))).otherwise(F.upper(site))).alias("key")).filter("key <> ''").distinct()
+
+
+def domain_peers(spark, d):
+    """How many other rows share each page's registrable domain."""
+    p = b.table(spark, d, "pages").select("page_id", urls.registrable(urls.host(F.col("url"))).alias("domain"))
+    n = p.groupBy("domain").agg((F.count(F.lit(1)) - 1).alias("peers"))
+    return p.join(n, "domain").select("page_id", F.when(F.col("domain") != "", F.col("peers")).otherwise(0).alias("peers"))
+
+
 def url_keys(spark, d):
     u = F.col("url")
     return b.table(spark, d, "pages").select("page_id", urls.weak(u).alias("weak"), urls.bare(u).alias("bare"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.query(u).alias("query"), urls.match_key(u).alias("match_key"), urls.registrable(urls.host(u)).alias("domain"))
@@ -144,7 +162,7 @@ def tag_mentions(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.array_join(text.mentions(F.col("text"), ["the", "and", "con", "und", "les", "para", "thing"], 2, ["general", "misc"], 3), "|").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (prefilter_top100, relaxed_search, facet_values, faceted_results, result_order, ranked_candidates, tag_match, untracked_anti, survivor_search, url_keys, url_duplicate_audit, name_duplicate_audit, keyword_scores, text_shapes, grade_parse, feature_classify, section_classify, tag_mentions)}
+QUERIES = {f.__name__: f for f in (prefilter_top100, relaxed_search, facet_values, faceted_results, result_order, ranked_candidates, tag_match, untracked_anti, survivor_search, catalog_scan, catalog_keys, domain_peers, url_keys, url_duplicate_audit, name_duplicate_audit, keyword_scores, text_shapes, grade_parse, feature_classify, section_classify, tag_mentions)}
 
 _CATALOG = """cat AS (SELECT p_partkey AS id, p_name AS name, p_brand AS org, p_type AS type, CASE WHEN p_retailprice < 1200 THEN 'free' ELSE 'paid' END AS price,
   CASE WHEN p_partkey % 9 <> 0 THEN p_size % 12 END AS grade_min, CASE WHEN p_partkey % 8 <> 0 THEN p_size % 12 + 3 END AS grade_max, p_partkey % 5 <> 0 AS is_active FROM part)"""
@@ -179,6 +197,9 @@ v AS (SELECT page_id, weak, bare, host, '/' || array_to_string(CASE WHEN lower(p
  array_to_string(list_transform(pairs, lambda p: replace(url_encode(p.n), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&') AS query, list_filter(string_split(host, '.'), lambda p: p <> '') AS labels FROM u)
 SELECT page_id, weak, bare, host, path, query, CASE WHEN host = '' THEN '' ELSE host || regexp_replace(lower(path), '/+$', '') || CASE WHEN query <> '' THEN '?' || lower(query) ELSE '' END END AS match_key,
  array_to_string(CASE WHEN len(labels) <= 2 THEN labels WHEN length(labels[-1]) = 2 AND labels[-2] IN ({', '.join(_quoted(x) for x in urls.SECOND_LEVEL)}) THEN labels[-3:] ELSE labels[-2:] END, '.') AS domain FROM v""",
+    "catalog_scan": f"WITH {_CATALOG} SELECT id, name, org, type, price, grade_min, grade_max FROM cat WHERE is_active",
+    "catalog_keys": "SELECT DISTINCT lower(regexp_extract(url, '^[^/]*//[^/?#]*')) AS key FROM pages",
+    "domain_peers": r"""WITH h AS (SELECT page_id, list_filter(string_split(regexp_extract(lower(url), '^[^:]+://([^/?#:]*)', 1), '.'), lambda p: p <> '') AS p FROM pages), d AS (SELECT page_id, array_to_string(p[-2:], '.') AS domain FROM h) SELECT page_id, count(*) OVER (PARTITION BY domain) - 1 AS peers FROM d""",
     "url_duplicate_audit": f"""WITH k AS (SELECT page_id, regexp_extract({_BARE}, '^[^/?#]*', 0) AS url_key FROM pages) SELECT url_key, count(*) AS n, min(page_id) AS first_id, max(page_id) AS last_id FROM k GROUP BY 1 HAVING count(*) > 1""",
     "name_duplicate_audit": f"""WITH {_CATALOG}, k AS (SELECT id, trim(regexp_replace(regexp_replace(lower(name || ' 2024'), '\\b(19|20)[0-9][0-9]\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM cat)
 SELECT name_key, count(*) AS n, array_to_string(list_slice(list_sort(list(id)), 1, 5), ',') AS first_ids FROM k GROUP BY 1 HAVING count(*) > 1""",

@@ -87,6 +87,13 @@ def review_queue(spark, d):
     return curation.review_queue(b.reviewed_documents(spark, d), "queue", "src0", 500).select("id", "moderation_status")
 
 
+def review_slices(spark, d):
+    """The first rows of each slice of the queue, whatever their source."""
+    rows = b.reviewed_documents(spark, d)
+    out = [curation.review_queue(rows, which, None, 40).select(F.lit(which).alias("slice"), "id") for which in ("queue", "rejected", "all")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def queue_histogram(spark, d):
     return curation.queue_histogram(b.reviewed_documents(spark, d))
 
@@ -173,7 +180,7 @@ def stream_daily_rollup(spark, d):
     return rollup.read_daily(spark, f"{root}/sums").select("userid", "day", "surface", "calls", "cost_usd")
 
 
-QUERIES = {f.__name__: f for f in (tracker_next_deadline, tracker_milestones, tracker_status, tracker_status_counts, tracker_order, calendar_months, calendar_headings, calendar_export, due_soon, palette_slots, subscription_state, access_gate, promo_redeem, trial_start, derived_freshness, review_queue, queue_histogram, due_for_review, review_sample, snapshot_plan, moderation_apply, keyed_changes, usage_upsert, minted_ids, conversation_pairs, json_recover, fuzzy_candidates, greedy_dedupe, mock_enriched, stream_daily_rollup)}
+QUERIES = {f.__name__: f for f in (tracker_next_deadline, tracker_milestones, tracker_status, tracker_status_counts, tracker_order, calendar_months, calendar_headings, calendar_export, due_soon, palette_slots, subscription_state, access_gate, promo_redeem, trial_start, derived_freshness, review_queue, review_slices, queue_histogram, due_for_review, review_sample, snapshot_plan, moderation_apply, keyed_changes, usage_upsert, minted_ids, conversation_pairs, json_recover, fuzzy_candidates, greedy_dedupe, mock_enriched, stream_daily_rollup)}
 
 _ITEMS = """l AS (SELECT l_orderkey AS id, CAST(l_shipdate AS DATE) AS date, l_linestatus AS label, l_returnflag AS type FROM lineitem)"""
 _NEXT = f"""{_ITEMS}, nx AS (SELECT id, coalesce(min({{'d': date, 'l': label, 't': type}}) FILTER (date >= DATE '1998-06-30'), max({{'d': date, 'l': label, 't': type}})) AS n FROM l GROUP BY 1)"""
@@ -200,7 +207,9 @@ ORACLES = {
     "promo_redeem": f"WITH {_SUBS} SELECT userid, 'SPRING' AS code, status <> 'active' AND userid % 4 <> 0 AS accepted, CASE WHEN status <> 'active' AND userid % 4 <> 0 THEN greatest(TIMESTAMP '1998-07-01', coalesce(subscription_end_at, TIMESTAMP '1998-07-01')) + to_days(CAST(userid % 30 + 1 AS INTEGER)) ELSE subscription_end_at END AS ends_at FROM subs",
     "trial_start": f"WITH {_SUBS} SELECT userid, CASE WHEN userid % 3 <> 0 THEN status ELSE 'trial' END AS status, CASE WHEN userid % 3 = 0 THEN TIMESTAMP '1998-07-15' ELSE trial_ends_at END AS ends_at FROM subs",
     "derived_freshness": r"SELECT conv_id, turn, text = left(text, 120) OR abs(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) - len(list_filter(regexp_split_to_array(trim(left(text, 120)), '\s+'), lambda w: w <> ''))) < 10 AS fresh FROM conversations WHERE role = 'user'",
-    "review_queue": f"WITH {_REV} SELECT id, moderation_status FROM rev WHERE (moderation_status IS NULL OR moderation_status IN ('pending', 'insufficient_data')) AND source = 'src0' ORDER BY id DESC LIMIT 500",
+    "review_queue": f"WITH {_REV} SELECT id, moderation_status FROM rev WHERE (moderation_status IS NULL OR moderation_status IN ('pending', 'insufficient_data')) AND source = 'src0' ORDER BY id % 97 DESC, id DESC LIMIT 500",
+    "review_slices": f"""WITH {_REV}, s AS (SELECT 'queue' AS slice, id FROM rev WHERE moderation_status IS NULL OR moderation_status IN ('pending', 'insufficient_data') UNION ALL SELECT 'rejected', id FROM rev WHERE moderation_status IN ('rejected', 'duplicate') UNION ALL SELECT 'all', id FROM rev)
+ SELECT slice, id FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY id % 97 DESC, id DESC) AS n FROM s) WHERE n <= 40""",
     "queue_histogram": f"WITH {_REV} SELECT coalesce(source, 'unknown') AS source, coalesce(moderation_status, 'unreviewed') AS status, count(*) AS n FROM rev GROUP BY 1, 2",
     "due_for_review": "WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate END AS checked_at FROM orders) SELECT * FROM r WHERE checked_at IS NULL OR checked_at < TIMESTAMP '1998-06-01'",
     "review_sample": "SELECT o_orderkey AS id FROM orders ORDER BY md5('17:' || o_orderkey), id LIMIT 100",

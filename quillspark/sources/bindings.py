@@ -84,7 +84,7 @@ def reviewed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog rows by text, with a verdict where labels have one."""
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     verdict = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved").when(F.col("quality") == 0, "insufficient_data")
-    return d.join(l, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("text").alias("summary"), F.col("lang").alias("type"), "source", verdict.alias("moderation_status"))
+    return d.join(l, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("text").alias("summary"), F.col("lang").alias("type"), "source", verdict.alias("moderation_status"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 97).cast("int")).alias("created_at"))
 
 
 def tracker_items(spark: SparkSession, sf_dir: str) -> DataFrame:
