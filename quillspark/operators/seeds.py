@@ -41,7 +41,7 @@ def created(new: DataFrame, seeds: DataFrame) -> DataFrame:
     error = F.when(blank, "mode, category and angle are all required").when(~F.col("mode").isin(*MODES), "mode must be 'national' or 'seattle'")
     rows = new.withColumn("error", error)
     nth = F.row_number().over(W.partitionBy("mode", F.col("error").isNull() & F.col("sort_order").isNull()).orderBy("pos"))
-    return rows.withColumn("_nth", nth).join(F.broadcast(top), "mode", "left").withColumn("sort_order", F.when(F.col("error").isNull(), F.coalesce("sort_order", F.coalesce("_top", F.lit(-1)) + F.col("_nth"))).otherwise(F.col("sort_order"))).drop("_nth", "_top")
+    return rows.withColumn("_nth", nth).join(top, "mode", "left").withColumn("sort_order", F.when(F.col("error").isNull(), F.coalesce("sort_order", F.coalesce("_top", F.lit(-1)) + F.col("_nth"))).otherwise(F.col("sort_order"))).drop("_nth", "_top")
 
 
 def per_mode(seeds: DataFrame) -> DataFrame:

@@ -51,9 +51,10 @@ def year_headings(rows: DataFrame) -> DataFrame:
 
 
 def colours(rows: DataFrame, key: str, slots: int = 16) -> DataFrame:
-    """Keys numbered by first appearance; those after the palette share the slot `slots`."""
+    """Keys numbered by first appearance; those after the palette share the slot `slots`. Only the first keys of each task are ranked."""
     first = rows.groupBy(key).agg(F.min("pos").alias("pos"))
-    return first.withColumn("slot", F.least(F.dense_rank().over(W.orderBy("pos")) - 1, F.lit(slots)))
+    palette = first.withColumn("slot", F.dense_rank().over(W.orderBy("pos"))).filter(F.col("slot") <= slots).select(key, (F.col("slot") - 1).alias("slot"))
+    return first.join(palette, key, "left").withColumn("slot", F.coalesce("slot", F.lit(slots)))
 
 
 def status_counts(items: DataFrame, as_of: str) -> DataFrame:
