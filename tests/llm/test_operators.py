@@ -134,6 +134,39 @@ def test_quality_learns_and_keeps_out_labels(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_features_against_plain_counts():
+    import math
+
+    texts = ["", "Aa, b! b! 42\n\nÉ x", None, "one one one ONE.", prose(300), " \t ", "a" * 2000]
+    chars = np.array([0, 20, np.nan, 5, 1500, 3, 2000.0])
+    off, ids, x = quality.features(pa.array(texts), chars)
+    cap = quality.STAT_BINS - 1
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        ws = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        bins = Counter(int(quality.words(pa.array([w.decode()])).hash[0] >> np.uint64(48)) & (quality.WORD_BINS - 1) for w in ws)
+        norm = math.sqrt(sum(math.log1p(c) ** 2 for c in bins.values())) or 1
+        n, size = max(len(ws), 1), max(len(raw), 1)
+        letters, digits = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), set(b"0123456789")
+        marks = {c for c in range(0x21, 0x7F)} - letters - digits
+        share = lambda group: sum(c in group for c in raw) / size
+        stats = [
+            math.sqrt(share(set(range(0x41, 0x5B)))) * quality.STAT_BINS, math.sqrt(share(marks)) * quality.STAT_BINS, math.sqrt(share(digits)) * quality.STAT_BINS, math.sqrt(share({10})) * 2 * quality.STAT_BINS,
+            share(set(range(128, 256))) * quality.STAT_BINS, sum(map(len, ws)) / n, len(bins) / n * cap, math.sqrt(sum(a == b for a, b in zip(ws, ws[1:])) / n) * quality.STAT_BINS,
+            sum(w[-1] in marks for w in ws) / n * cap, math.log2(n), cap if math.isnan(chars[i]) else min(math.log2(chars[i] + 1), cap - 1), math.sqrt(max(bins.values(), default=0) / n) * quality.STAT_BINS,
+        ]
+        want = {b: math.log1p(c) / norm for b, c in bins.items()} | {quality.WORD_BINS + k * quality.STAT_BINS + min(max(int(v), 0), cap): 0.5 for k, v in enumerate(stats)}
+        got = dict(zip(ids[off[i] : off[i + 1]].tolist(), x[off[i] : off[i + 1]].tolist()))
+        assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-5) for k in want), t
+
+
+def test_documents_without_a_length_column(spark):
+    docs = table(spark, [(i, junk(40, random.Random(i)) if i % 2 else prose(40, random.Random(i))) for i in range(60)])
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs.drop("n_chars"), labels)
+    assert quality.score_quality(docs.drop("n_chars"), model, ["doc_id"]).count() == 60
+
+
 def test_sum_of_squares_identity():
     g = np.random.default_rng(1)
     m = quality.Model(0.3, g.normal(size=quality.WIDTH).astype(np.float32), g.normal(size=(quality.WIDTH, quality.RANK)).astype(np.float32))
