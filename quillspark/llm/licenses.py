@@ -41,6 +41,27 @@ NOTICES = (
     ("cc by nd", "cc-by-nd", 0),
     ("all rights reserved", "proprietary", 1),
     ("dedicated to the public domain", "public-domain", 2),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 3),
+    ("redistribution and use in source and binary forms", "bsd", 3),
+    ("permission is hereby granted free of charge to any person", "mit", 3),
+    ("permission to use copy modify and or distribute this software", "isc", 3),
+    ("you can redistribute it and or modify it under the terms of", "gpl", 3),
+    ("creative commons zero", "cc0", 1),
+    ("creative commons attribution sharealike", "cc-by-sa", 2),
+    ("creative commons attribution noncommercial", "cc-by-nc", 2),
+    ("boost software license", "bsl", 2),
+    ("artistic license", "artistic", 1),
+    ("microsoft public license", "ms-pl", 2),
+    ("common development and distribution license", "cddl", 3),
+    ("common public license", "cpl", 1),
+    ("european union public licence", "eupl", 2),
+    ("open font license", "ofl", 1),
+    ("gnu free documentation license", "gfdl", 2),
+    ("open database license", "odbl", 1),
+    ("server side public license", "sspl", 2),
+    ("business source license", "busl", 2),
+    ("academic free license", "afl", 1),
+    ("python software foundation license", "psf", 2),
 )
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
