@@ -77,6 +77,11 @@ def _least(rows: DataFrame, by: list[str], n: int, *order) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= n).drop("_nth")
 
 
+def _least_apart(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The first rows of each group, enough that n stay whichever one apply page is taken out: n of each page, 2 n in all."""
+    return _least(_least(rows, [*by, "c_apply_key"], n), by, 2 * n)
+
+
 def _above(path):
     """The paths that a path lies under, without the root."""
     parts = F.split(path, "/")
@@ -84,7 +89,7 @@ def _above(path):
 
 
 def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int = 5, same: bool = False) -> DataFrame:
-    """submissions: id, url, apply_url, name; catalog: id, url, name, pos. (id, exact, candidates) by tier.
+    """submissions: id, url, apply_url, name; catalog: id, url, name, pos, and apply_url where it has one. (id, exact, candidates) by tier.
 
     same: the submissions are rows of the catalog, and none is compared with itself. Submissions with equal keys are one class.
     For a class only rows that can be among its first are paired: the first `top` of a key, of a key and name, of a domain and
@@ -93,9 +98,9 @@ def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int =
     """
     top = most + 1
     s = with_keys(submissions).withColumn("apply_key", urls.match_key(F.col("apply_url")))
-    c = with_keys(catalog).filter("key <> ''")
+    c = with_keys(catalog).withColumn("apply_key", urls.match_key(F.col("apply_url")) if "apply_url" in catalog.columns else F.lit("")).filter("key <> ''")
     s = materialised(s.select(*(F.col(x).alias(f"s_{x}") for x in ("id", "key", "apply_key", "path", "domain", "name_key"))), "submissions")
-    c = materialised(c.select(*(F.col(x).alias(f"c_{x}") for x in ("id", "key", "path", "domain", "name_key", "pos"))), "catalog")
+    c = materialised(c.select(*(F.col(x).alias(f"c_{x}") for x in ("id", "key", "apply_key", "path", "domain", "name_key", "pos"))), "catalog")
     kind = ["s_key", "s_apply_key", "s_path", "s_domain", "s_name_key"]
     of_class = [*kind, *c.columns]
     classes = s.select(*kind).distinct()
@@ -103,23 +108,24 @@ def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int =
     alike = materialised(alike.select(F.col("name_key").alias("s_name_key"), F.col("k_key").alias("c_name_key"), F.col("ratio").alias("by")), "alike")
 
     of_key = _least(c, ["c_key"], top)
-    of_name = materialised(_least(c, ["c_key", "c_name_key"], top), "named")
-    of_domain = _least(of_name, ["c_domain", "c_name_key"], 2 * top)
-    elsewhere = _least(of_domain, ["c_name_key"], 4 * top)
+    of_name = materialised(_least_apart(c, ["c_key", "c_name_key"], top), "named")
+    of_domain = _least_apart(of_name, ["c_domain", "c_name_key"], 3 * top)
+    elsewhere = _least_apart(of_domain, ["c_name_key"], 9 * top)
     same_page, same_name = F.col("s_key") == F.col("c_key"), F.col("s_name_key") == F.col("c_name_key")
     same_site = (F.col("s_domain") == F.col("c_domain")) & (F.col("s_domain") != "")
-    applies = (F.col("s_apply_key") == F.col("c_key")) & (F.col("s_apply_key") != "")
+    applies = (F.col("s_key") != "") & ((F.col("s_key") == F.col("c_apply_key")) | (F.col("s_apply_key") == F.col("c_key")) & (F.col("s_apply_key") != ""))
 
     keyed = classes.filter("s_key <> ''")
     twins = keyed.join(alike, "s_name_key").join(of_name.withColumnRenamed("c_key", "s_key"), ["s_key", "c_name_key"]).withColumn("c_key", F.col("s_key")).select(*of_class)
     twins = _least(twins.unionByName(keyed.join(of_name, same_page & same_name)).distinct(), kind, top)
     by_key = keyed.join(of_key, same_page)
-    by_apply = classes.filter("s_apply_key <> ''").join(of_key, F.col("s_apply_key") == F.col("c_key"))
-    under = _least(of_name.withColumn("_up", F.explode(_above(F.col("c_path")))), ["c_domain", "_up", "c_name_key"], 2 * top)
+    by_apply = keyed.filter("s_apply_key <> ''").join(of_key, F.col("s_apply_key") == F.col("c_key"))
+    by_applied = keyed.join(_least(c.filter("c_apply_key <> ''"), ["c_apply_key"], top), F.col("s_key") == F.col("c_apply_key"))
+    under = _least_apart(of_name.withColumn("_up", F.explode(_above(F.col("c_path")))), ["c_domain", "_up", "c_name_key"], 3 * top)
     sited = classes.filter("s_domain <> ''")
     below = sited.join(under, (F.col("s_domain") == F.col("c_domain")) & (F.col("s_path") == F.col("_up")))
-    above = sited.withColumn("_up", F.explode(_above(F.col("s_path")))).join(_least(of_name, ["c_domain", "c_path", "c_name_key"], 2 * top), (F.col("s_domain") == F.col("c_domain")) & (F.col("_up") == F.col("c_path")))
-    named = classes.select("s_domain", "s_apply_key", "s_name_key").distinct()
+    above = sited.withColumn("_up", F.explode(_above(F.col("s_path")))).join(_least_apart(of_name, ["c_domain", "c_path", "c_name_key"], 3 * top), (F.col("s_domain") == F.col("c_domain")) & (F.col("_up") == F.col("c_path")))
+    named = classes.select("s_domain", "s_key", "s_apply_key", "s_name_key").distinct()
     best = (F.desc("by"), "c_pos", "c_id")
     here = named.filter("s_domain <> ''").join(alike, "s_name_key").join(of_domain.withColumn("s_domain", F.col("c_domain")), ["s_domain", "c_name_key"]).filter(~applies)
     there = named.join(alike.filter(F.col("by") >= SIMILAR), "s_name_key").join(elsewhere, "c_name_key").filter(~applies & ~same_site)
@@ -129,7 +135,7 @@ def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int =
     by_site = sited.join(c.join(peers.filter(F.col("peers") <= PEERS), "c_domain"), F.col("s_domain") == F.col("c_domain"))
 
     pairs = twins.select(*of_class)
-    for more in (by_key, by_apply, below, above, by_name, by_site):
+    for more in (by_key, by_apply, by_applied, below, above, by_name, by_site):
         pairs = pairs.unionByName(more.select(*of_class))
     pairs = materialised(pairs.distinct(), "pairs")
     ratios = pairs.select("s_name_key", "c_name_key").distinct().withColumn("ratio", name_ratio("s_name_key", "c_name_key"))
