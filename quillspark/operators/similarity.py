@@ -17,7 +17,6 @@ SAME, SIMILAR = 0.82, 0.88
 #: Names that say nothing.
 GENERIC = ("custom opportunity", "opportunity", "program", "summer program", "internship", "competition", "conference", "journal", "untitled")
 PEERS = 3
-TWO_AT_SAME = 24
 
 
 def _ratio(a: str | None, b: str | None) -> float:
@@ -36,38 +35,45 @@ def with_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"key": urls.match_key(u), "host": urls.host(u), "path": F.regexp_replace(F.lower(urls.path(u)), "/+$", ""), "domain": urls.registrable(urls.host(u)), "name_key": urls.name_key(F.col("name"))})
 
 
-def letter_counts(name):
-    """Counts of the 36 letters and digits and the space: the multiset overlap bounds the ratio from above."""
-    letters = F.split(F.lit("abcdefghijklmnopqrstuvwxyz0123456789 "), "")
-    return F.transform(letters, lambda c: F.length(name) - F.length(F.replace(name, c, F.lit(""))))
+def name_tokens(name):
+    """Neighbouring characters, each with how often the pair stood before: equal multisets of pairs are equal sets of tokens."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substr(name, i, F.lit(2)))
+    return F.transform(pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda q: q == p)).cast("string")))
 
 
-def name_grams(name, two: int = 10):
-    """Runs of three characters, and of two for names of `two` or fewer.
+def shared_least(total, least: float):
+    """The fewest tokens that two names with `total` characters together share when their ratio is `least` or more.
 
-    Two names with a ratio of 0.85 or more have matching runs of which the longest is at least
-    0.85 L / (0.3 L + 1) long, L being their mean length: over two where L > 8, over one where L >= 4.
-    So such names share a run, and joining on runs loses none. For 0.82 it is 0.82 L / (0.36 L + 1), over two
-    where L > 20, and neither name is then over 1.18 L long: TWO_AT_SAME.
-    """
-    runs = lambda k: F.transform(F.sequence(F.lit(1), F.length(name) - k + 1), lambda i: F.substr(name, i, F.lit(k)))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(F.when(F.length(name) >= 6, runs(3)).otherwise(none), F.when(F.length(name).between(4, two), runs(2)).otherwise(none)))
+    They match in M >= least * total / 2 characters and k blocks. Between two blocks at least one character is not matched, so
+    k <= total - 2 M + 1, and a block of s characters has s - 1 tokens: M - k >= 3 M - total - 1 tokens are shared."""
+    return 3 * F.ceil(F.round(F.lit(least) * total / 2, 9)).cast("int") - total - 1
+
+
+def _prefixed(names: DataFrame, least: float) -> DataFrame:
+    """(name, tokens, keys): the tokens of each name, rare ones first, and how many of them have to meet a like name's.
 
+    The shorter of two like names has least / (2 - least) of the longer one's length at least, which bounds what they share."""
+    tokens = names.withColumn("token", F.explode(name_tokens(F.col("name"))))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    listed = tokens.join(counts, "token").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
+    size = F.length("name")
+    shared = F.floor((size + F.ceil(size * (least / (2 - least)) - 1e-9)) * (1.5 * least - 1) - 1)
+    return listed.withColumn("keys", F.greatest(F.lit(1), size - F.greatest(F.lit(1), shared)).cast("int"))
 
-def may_reach(a, b, counts_a, counts_b, least: float):
-    """Whether 2 * overlap / (|a| + |b|) can reach `least`; no pair that does is lost."""
-    both = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
-    total = F.length(a) + F.length(b)
-    return (2 * F.least(F.length(a), F.length(b)) >= least * total) & (2 * both >= least * total)
 
+def alike_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(name_key, k_key, ratio) for the distinct names of a (name_key) and b (k_key) whose ratio is `least` or more.
 
-def alike_names(a: DataFrame, b: DataFrame, least: float, two: int = 10) -> DataFrame:
-    """(name_key, k_key, ratio) for the distinct names of a (name_key) and b (k_key) whose ratio is `least` or more."""
-    runs = lambda rows, k: rows.select(k).distinct().withColumn("run", F.explode(name_grams(F.col(k), two)))
+    A prefix-filtered join on rare tokens finds the pairs, the number of tokens that they share bounds the ratio, and only what is left
+    is compared character by character."""
+    fits = lambda c: (F.length(c) >= 4) & ~F.col(c).isin(*GENERIC)
+    left, right = a.filter(fits("name_key")).select("name_key").distinct(), b.filter(fits("k_key")).select("k_key").distinct()
+    every = materialised(_prefixed(left.select(F.col("name_key").alias("name")).unionByName(right.select(F.col("k_key").alias("name"))).distinct(), least), "names")
+    rows = lambda names, c: names.join(every, F.col(c) == F.col("name")).select(c, F.explode(F.slice("tokens", F.lit(1), F.col("keys"))).alias("token"))
     x, y = F.length("name_key"), F.length("k_key")
-    met = runs(a, "name_key").join(runs(b, "k_key"), "run").filter(2 * F.least(x, y) >= least * (x + y)).select("name_key", "k_key").distinct()
-    near = met.filter(may_reach(F.col("name_key"), F.col("k_key"), letter_counts(F.col("name_key")), letter_counts(F.col("k_key")), least))
+    met = rows(left, "name_key").join(rows(right, "k_key"), "token").filter(2 * F.least(x, y) >= least * (x + y)).select("name_key", "k_key").distinct()
+    met = met.join(every.select(F.col("name").alias("name_key"), F.col("tokens").alias("_a")), "name_key").join(every.select(F.col("name").alias("k_key"), F.col("tokens").alias("_b")), "k_key")
+    near = materialised(met.filter(F.size(F.array_intersect("_a", "_b")) >= shared_least(x + y, least)).select("name_key", "k_key"), "near")
     return near.withColumn("ratio", name_ratio("name_key", "k_key")).filter(F.col("ratio") >= least)
 
 
@@ -104,7 +110,7 @@ def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int =
     kind = ["s_key", "s_apply_key", "s_path", "s_domain", "s_name_key"]
     of_class = [*kind, *c.columns]
     classes = s.select(*kind).distinct()
-    alike = alike_names(s.select(F.col("s_name_key").alias("name_key")), c.select(F.col("c_name_key").alias("k_key")), SAME, TWO_AT_SAME)
+    alike = alike_names(s.select(F.col("s_name_key").alias("name_key")), c.select(F.col("c_name_key").alias("k_key")), SAME)
     alike = materialised(alike.select(F.col("name_key").alias("s_name_key"), F.col("k_key").alias("c_name_key"), F.col("ratio").alias("by")), "alike")
 
     of_key = _least(c, ["c_key"], top)

@@ -138,19 +138,19 @@ def test_exact_duplicates_empty_the_candidates(spark):
     assert got == {1: (10, []), 2: (None, ["strong:10"]), 3: (None, ["strong:10"])}
 
 
-def test_name_runs_lose_no_similar_pair(spark):
+@pytest.mark.parametrize("least", [0.82, 0.85])
+def test_tokens_lose_no_similar_pair(spark, least):
     import itertools
     import random
 
     rng = random.Random(3)
-    names = {"".join(rng.choice("abcd e") for _ in range(rng.randint(4, 14))).strip() for _ in range(120)}
-    names |= {n[:-1] + "x" for n in list(names)[:60]}
+    names = {"".join(rng.choice("abcd e") for _ in range(rng.randint(4, 30))).strip() for _ in range(120)}
+    names |= {n[:-1] + "x" for n in list(names)[:60]} | {n[: len(n) // 2] + "z" + n[len(n) // 2 :] for n in list(names)[:60]} | {n + " aaaa" for n in list(names)[:20]}
     names = sorted(n for n in names if len(n) >= 4)
-    df = spark.createDataFrame(list(enumerate(names)), "id int, name string")
-    grams = {r.name: set(r.g) for r in df.select("name", similarity.name_grams(F.col("name")).alias("g")).collect()}
-    for a, b in itertools.permutations(names, 2):
-        if similarity._ratio(a, b) >= 0.85:
-            assert grams[a] & grams[b], (a, b)
+    df = spark.createDataFrame([(n,) for n in names], "name_key string")
+    got = {(r.name_key, r.k_key): r.ratio for r in similarity.alike_names(df, df.withColumnRenamed("name_key", "k_key"), least).collect()}
+    want = {(a, b): similarity._ratio(a, b) for a, b in itertools.product(names, names) if similarity._ratio(a, b) >= least}
+    assert got == want and len(want) > len(names) + 50
 
 
 def test_greedy_acceptance_follows_the_order(spark):
