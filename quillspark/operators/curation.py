@@ -37,13 +37,14 @@ def sampled(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
 
 
 def snapshot_plan(new: DataFrame, existing: DataFrame, url: str = "url") -> DataFrame:
-    """What a commit would do with each new row: insert, duplicate in the file, or already in the catalog. Blank URLs are never duplicates."""
+    """What a commit would do with each new row: insert, duplicate in the file, or already in the catalog. Blank URLs are never duplicates. pos is unique."""
     key = urls.weak(F.col(url))
     keyed = new.withColumn("key", key)
     known = existing.select(urls.weak(F.col(url)).alias("key")).filter("key <> ''").distinct().withColumn("known", F.lit(True))
-    first = F.row_number().over(W.partitionBy("key").orderBy("pos"))
-    verdict = F.when(F.col("key") == "", "insert").when(F.col("known"), "in_catalog").when(F.col("nth") > 1, "in_file").otherwise("insert")
-    return keyed.withColumn("nth", first).join(known, "key", "left").withColumn("verdict", verdict).drop("known", "nth")
+    # the first place of each key is an aggregate: a window would put all rows of a common key, or all blanks, into one task
+    first = keyed.filter("key <> ''").groupBy("key").agg(F.min("pos").alias("_first"))
+    verdict = F.when(F.col("key") == "", "insert").when(F.col("known"), "in_catalog").when(F.col("pos") > F.col("_first"), "in_file").otherwise("insert")
+    return keyed.join(first, "key", "left").join(known, "key", "left").withColumn("verdict", verdict).drop("known", "_first")
 
 
 def moderated(rows: DataFrame, decisions: DataFrame, reviewer: str) -> DataFrame:
