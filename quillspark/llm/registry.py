@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, mixing, substring_dedup
+from . import chat, decontaminate, jaccard, mixing, sharding, substring_dedup
 from .chat import op5_chat_format
 from .decontaminate import op3_decontamination
 from .jaccard import op9_jaccard_join
@@ -10,6 +10,7 @@ from .licenses import op7_license_scan
 from .media import op4_media_columns
 from .mixing import op8_source_mixing
 from .quality import op2_quality_classifier
+from .sharding import op11_sharding
 from .substring_dedup import op1_substring_dedup
 from .token_files import op10_token_files
 from .urls import op6_url_filter
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
+    "op11_sharding": op11_sharding,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": chat.ORACLE_SQL,
     "op8_source_mixing": mixing.ORACLE_SQL,
     "op9_jaccard_join": jaccard.ORACLE_SQL,
+    "op11_sharding": sharding.ORACLE_SQL,
 }
