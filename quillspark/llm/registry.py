@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, mixing, sharding, substring_dedup
+from . import chat, decontaminate, infill, jaccard, mixing, sharding, substring_dedup
 from .chat import op5_chat_format
 from .decontaminate import op3_decontamination
+from .infill import op13_infill
 from .jaccard import op9_jaccard_join
 from .licenses import op7_license_scan
 from .media import op4_media_columns
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
     "op11_sharding": op11_sharding,
+    "op13_infill": op13_infill,
 }
 
 ORACLES: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op8_source_mixing": mixing.ORACLE_SQL,
     "op9_jaccard_join": jaccard.ORACLE_SQL,
     "op11_sharding": sharding.ORACLE_SQL,
+    "op13_infill": infill.ORACLE_SQL,
 }
