@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,16 +21,23 @@ CHUNK_BYTES = 1 << 20
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 _U = np.uint64
+#: Base of the sums along short runs of word hashes, and its inverse, modulo 2**64.
 _BASE = _U(0x9E3779B97F4A7C15)
-_BYTE = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64)
 _INVERSE = _U(pow(int(_BASE), -1, 2**64))
 _powers = np.ones((2, 1), np.uint64)
+#: Words are named by keyed digests; the key is any fixed one.
+_KEY = b"words of a corpus"
+#: Longest span, in bytes, whose quick hash is made for many spans at once.
+_QUICK_BYTES = 64
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 IDENTITY = np.arange(256, dtype=np.uint8)
 LOWER = IDENTITY.copy()
 LOWER[0x41:0x5B] += 0x20
+#: ASCII but for letters and digits.
+MARKS = np.zeros(256, bool)
+MARKS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def powers(n: int) -> np.ndarray:
@@ -52,7 +61,8 @@ def mix(h: np.ndarray, k: int = 0xD6E8FEB86659FD93) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of some texts: where each starts and ends in buf, its text's number, its hash; first[i]:first[i+1] are text i's."""
+    """The words of some texts: where each starts and ends in buf, its text's number, its hash; first[i]:first[i+1] are text i's.
+    number[i] is word i's place among the distinct ones, and unique[n] a word that holds the nth of these."""
 
     buf: np.ndarray
     off: np.ndarray
@@ -61,6 +71,8 @@ class Words:
     row: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    number: np.ndarray
+    unique: np.ndarray
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +86,58 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = IDENTITY) -> np.ndarray:
-    """Hashes of the folded bytes of some spans; equal bytes hash alike wherever they stand."""
-    up, down = powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[fold[buf]] * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+def quick(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for the bytes of each span, eight bytes at a time. It finds candidates for equality; it decides nothing."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    left = (end - start).astype(np.int64)
+    h = left.astype(np.uint64) * _BASE
+    live = np.flatnonzero(left <= _QUICK_BYTES)
+    at = start[live]
+    rest = left[live]
+    while len(live):
+        some = rest > 0
+        live, at, rest = live[some], at[some], rest[some]
+        low = eight[at] & _MASK[np.minimum(rest, 8)]
+        h[live] = mix(h[live] ^ low)
+        at, rest = at + 8, rest - 8
+    for i in np.flatnonzero(left > _QUICK_BYTES).tolist():
+        h[i] = np.frombuffer(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return h
+
+
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for size[i] numbers, end to end."""
+    done = np.cumsum(size)
+    return np.repeat(first - done + size, size) + np.arange(done[-1] if len(done) else 0)
+
+
+def distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, first): the number of each span's bytes among the distinct ones, and a span that holds each of these.
+
+    Spans that hash alike are compared byte by byte; where two differ, all are told apart by their bytes themselves."""
+    number, names = pd.factorize(quick(buf, start, end))
+    first = np.zeros(len(names), np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    size = end - start
+    as_first = first[number]
+    other = np.flatnonzero(as_first != np.arange(len(number)))
+    same = np.array_equal(size[other], size[as_first[other]]) and np.array_equal(buf[ranges(start[other], size[other])], buf[ranges(start[as_first[other]], size[other])])
+    if not same:
+        raw = buf.tobytes()
+        number, names = pd.factorize(np.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], object))
+        first = np.zeros(len(names), np.int64)
+        first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    return number, first
+
+
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a keyed digest of each span's bytes."""
+    raw = buf.tobytes()
+    return np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8, key=_KEY).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64)
 
 
 def words(texts: pa.Array, fold: np.ndarray = IDENTITY, gaps: np.ndarray = SPACES) -> Words:
@@ -93,10 +151,12 @@ def words(texts: pa.Array, fold: np.ndarray = IDENTITY, gaps: np.ndarray = SPACE
     inner = solid[1:-1]
     start = np.flatnonzero(inner & (~solid[:-2] | cut[:-1]))
     end = np.flatnonzero(inner & (~solid[2:] | cut[1:])) + 1
-    h = spans(buf, start, end, fold)
+    folded = buf if fold is IDENTITY else fold[buf]
+    number, unique = distinct(folded, start, end)
+    h = digests(folded, start[unique], end[unique])[number]
     first = np.searchsorted(start, off)
     row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    return Words(buf, off, start, end, row, first, h)
+    return Words(buf, off, start, end, row, first, h, number, unique)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -104,7 +164,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     n = max(0, len(h) - k + 1)
     g = np.zeros(n, np.uint64)
     for j in range(k):
-        g = g * _U(0xC2B2AE3D27D4EB4F) + h[j : j + n]
+        g = (g ^ (g >> _U(31))) * _U(0xC2B2AE3D27D4EB4F) + h[j : j + n]
     return mix(g)
 
 

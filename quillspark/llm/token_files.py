@@ -23,14 +23,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, chunks, spans, table, utf8, written
+from .common import SPACES, chunks, digests, distinct, ranges, table, utf8, written
 
 END = 2
 SCALE = 20
@@ -81,7 +80,7 @@ class Units:
         first, size = self.raw_ends[number], end - start
         if not np.array_equal(self.raw_ends[number + 1] - first, size):
             return False
-        return np.array_equal(self.raw[_ranges(first, size)], buf[_ranges(start, size)])
+        return np.array_equal(self.raw[ranges(first, size)], buf[ranges(start, size)])
 
     def add(self, h: np.ndarray, raw: np.ndarray, raw_sizes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         new = self.n + np.arange(len(h))
@@ -93,12 +92,6 @@ class Units:
         self.n, self.n_ids, self.n_bytes = self.n + len(h), self.n_ids + len(ids), self.n_bytes + len(raw)
 
 
-def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first[i], first[i] + 1, ... for size[i] numbers, end to end."""
-    done = np.cumsum(size)
-    return np.repeat(first - done + size, size) + np.arange(done[-1] if len(done) else 0)
-
-
 def _room(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
     """held with more written at n; a new array, twice as long, only when it is full."""
     if n + len(more) > len(held):
@@ -111,7 +104,7 @@ class Encoder:
     """Ids of texts by the tokenizers library.
 
     A byte-level vocabulary starts a new piece at every run of white space and where ASCII letters or digits meet other
-    printable ASCII (but for the apostrophe), so texts are cut there into units. Equal units are found by hash; those that
+    printable ASCII (but for the apostrophe), so texts are cut there into units. Equal units are found by hash and compared; those that
     are not known yet go through the library together, parted by a special token, which nothing crosses. Texts with special
     tokens or white space beyond ASCII are encoded whole.
     """
@@ -157,22 +150,24 @@ class Encoder:
         cut[off] = True
         at = np.flatnonzero(cut)  # each unit's start, and the end
         start, end = at[:-1], at[1:]
-        inverse, h = pd.factorize(spans(buf, start, end))
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
+        inverse, first = distinct(buf, start, end)
+        h = digests(buf, start[first], end[first])
         if self.known.size() > REMEMBER:
             self.known = Units()
         number = self.known.find(h)
         old = number >= 0
-        if not self.known.same(number[old], buf, start[first[old]], end[first[old]]):  # a unit that hashes like another one
-            self.known, old = Units(), np.zeros(len(h), bool)
         if not old.all():
             fresh = first[~old]
             sizes = end[fresh] - start[fresh]
-            raw = buf[_ranges(start[fresh], sizes)]
+            raw = buf[ranges(start[fresh], sizes)]
             self.known.add(h[~old], raw, sizes, *self._encoded(raw.tobytes(), sizes))
             number = self.known.find(h)
+        if not self.known.same(number, buf, start[first], end[first]):  # units that hash alike: these texts go without memory
+            self.known = Units()
+            ids = [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate(ids), np.array([len(x) for x in ids])
         n_unit = (self.known.id_ends[number + 1] - self.known.id_ends[number])[inverse]
-        ids = self.known.ids[_ranges(self.known.id_ends[number][inverse], n_unit)]
+        ids = self.known.ids[ranges(self.known.id_ends[number][inverse], n_unit)]
         total = np.zeros(len(start) + 1, np.int64)
         np.cumsum(n_unit, out=total[1:])
         return ids, np.diff(total[np.searchsorted(start, off)])

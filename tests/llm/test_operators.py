@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, components, decontaminate, jaccard, licenses, media, mixing, quality, substring_dedup, token_files, urls
+from quillspark.llm import chat, common, components, decontaminate, jaccard, licenses, media, mixing, quality, substring_dedup, token_files, urls
 
 rng = random.Random(5)
 VOCABULARY = ["".join(rng.choice("aeioukst") for _ in range(rng.randint(1, 7))) for _ in range(400)] + ["É́t", "Straße", "日本", "x_y", "don't"]
@@ -570,7 +570,7 @@ def test_cells_of_every_size_lose_no_pair():
 
 
 def test_counts_of_buckets_are_exact(spark, corpus):
-    texts = table(spark, corpus).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = table(spark, corpus + [(990 + i, t) for i, (_, t) in enumerate(corpus[:1] * 9)]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))  # nine more of one text
     want = np.zeros(1 << jaccard.BUCKETS, np.int32)
     for b in texts.toArrow().to_batches():
         np.add.at(want, jaccard._bucket(jaccard._sets(b, 1, 5)[0]), 1)
@@ -656,11 +656,43 @@ def test_encoder_on_odd_texts(tokenizer):
 def test_units_that_hash_alike_are_told_apart(tokenizer, monkeypatch):
     tk, path = tokenizer
     encode = token_files.Encoder(path)
-    monkeypatch.setattr(token_files, "spans", lambda buf, start, end: (end - start).astype(np.uint64))
-    for t in ("abc", "xyz", "abc", "red"):
+    monkeypatch.setattr(token_files, "digests", lambda buf, start, end: (end - start).astype(np.uint64))
+    for t in ("abc", "xyz", "abc", "red", "abc xyz red fox abcd"):
         assert [x.tolist() for x in encode(pa.array([t]))] == [tk.encode(t, add_special_tokens=False).ids]
 
 
+def opposed(n):
+    """Two words of n letters whose sums of powers agree modulo 2**64 in any odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_a_sum_of_powers_takes_for_equal(spark, tokenizer, n):
+    a, b = opposed(n)
+    lead = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{lead} {a}"), (2, f"{lead} {b}"), (3, a), (4, b), (5, f"{b} {a}"), (6, f"{b} {a}")]
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert got == substring_dedup.brute_force(rows) and got[2][1] == 0
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(table(spark, rows)).collect()} == grouped(rows)
+    tk, path = tokenizer
+    texts = [t for _, t in rows]
+    assert [x.tolist() for x in token_files.Encoder(path)(pa.array(texts))] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_distinct_spans_are_compared_by_bytes(monkeypatch):
+    g = random.Random(8)
+    for alike in (False, True):
+        if alike:
+            monkeypatch.setattr(common, "quick", lambda buf, start, end: (end - start).astype(np.uint64))
+        words = ["".join(g.choice("ab\0é") for _ in range(g.choice([0, 1, 3, 7, 8, 9, 17, 63, 64, 65, 200]))).encode() for _ in range(400)] * 2
+        ends = np.cumsum([len(w) for w in words])
+        starts = ends - np.array([len(w) for w in words])
+        number, first = common.distinct(np.frombuffer(b"".join(words), np.uint8), starts, ends)
+        assert len(first) == len(set(words)) and [words[first[i]] for i in number] == words
+        assert (first == [words.index(words[i]) for i in first]).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 20_000])
 def test_blocks_are_exact_and_guarded(n):
     g = np.random.default_rng(n)
