@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, infill, jaccard, mixing, sharding, substring_dedup
+from . import chat, decontaminate, infill, jaccard, mixing, resampling, sharding, substring_dedup
 from .chat import op5_chat_format
 from .decontaminate import op3_decontamination
 from .infill import op13_infill
@@ -11,6 +11,7 @@ from .licenses import op7_license_scan
 from .media import op4_media_columns
 from .mixing import op8_source_mixing
 from .quality import op2_quality_classifier
+from .resampling import op12_resampling
 from .sharding import op11_sharding
 from .substring_dedup import op1_substring_dedup
 from .token_files import op10_token_files
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
     "op11_sharding": op11_sharding,
+    "op12_resampling": op12_resampling,
     "op13_infill": op13_infill,
 }
 
@@ -38,5 +40,6 @@ ORACLES: dict[str, str] = {
     "op8_source_mixing": mixing.ORACLE_SQL,
     "op9_jaccard_join": jaccard.ORACLE_SQL,
     "op11_sharding": sharding.ORACLE_SQL,
+    "op12_resampling": resampling.ORACLE_SQL,
     "op13_infill": infill.ORACLE_SQL,
 }
