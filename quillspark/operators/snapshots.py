@@ -11,6 +11,11 @@ from quillspark.sources import snapshots as s
 STALE_DAYS = 7
 
 
+def weak_key(e: Column) -> Column:
+    """What an entry with a URL is known by."""
+    return F.when(F.coalesce(e["url"], F.lit("")) != "", urls.weak(e["url"]))
+
+
 def pending(agent: Column, e: Column) -> Column:
     """Whether committing an entry would change anything."""
     return (
@@ -22,15 +27,13 @@ def pending(agent: Column, e: Column) -> Column:
     )
 
 
-def listing(files: DataFrame, as_of: str) -> DataFrame:
+def listing(found: s.Snapshots, as_of: str) -> DataFrame:
     """Every snapshot, newest first: instant, age in days, whether it is stale, entries and pending ones. Unreadable files stay, with an error."""
     file = F.col("file")
     ran = F.coalesce(dates.snapshot_time(file).cast("timestamp_ntz"), F.col("modified_at"))
     age = F.floor(F.timestamp_diff("SECOND", F.col("ran_at").cast("timestamp"), F.lit(as_of).cast("timestamp")) / 86400).cast("long")
-    good = s.readable(F.col("content"))
-    items = F.transform(s.elements(F.col("content")), lambda t: F.when(F.trim(t).startswith("{"), F.from_json(t, s.ENTRY)))
-    rows = files.withColumns({"agent": s.agent_of(file), "ran_at": F.when(good, ran), "readable": good, "items": F.when(good, items).otherwise(F.array().cast(f"array<{s.ENTRY}>"))})
-    return rows.select(
+    held = found.entries.groupBy("file").agg(F.count(F.lit(1)).alias("entries"), F.count_if(pending(F.col("agent"), F.col("entry"))).alias("pending"))
+    return found.files.withColumn("ran_at", F.when(F.col("readable"), ran)).join(held, "file", "left").select(
         "file",
         "agent",
         s.spec_of(F.col("agent"), 3).alias("label"),
@@ -39,8 +42,8 @@ def listing(files: DataFrame, as_of: str) -> DataFrame:
         file.rlike(r"\d{8}-\d{6}").alias("has_time"),
         age.alias("age_days"),
         (age >= STALE_DAYS).alias("stale"),
-        F.size("items").cast("long").alias("entries"),
-        F.size(F.filter("items", lambda e: pending(F.col("agent"), e))).cast("long").alias("pending"),
+        F.coalesce("entries", F.lit(0)).cast("long").alias("entries"),
+        F.coalesce("pending", F.lit(0)).cast("long").alias("pending"),
         F.when(F.col("agent") == "scraper", F.nullif(F.regexp_extract(file, "^scrape_review_([a-z]+)_", 1), F.lit(""))).alias("mode"),
         F.when(~F.col("readable"), "unreadable").alias("error"),
     ).orderBy(F.desc_nulls_last("ran_at"), F.desc("file"))
@@ -53,7 +56,7 @@ def plan(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     an entry has an id and something to change."""
     e, agent = F.col("entry"), F.col("agent")
     inserts = s.spec_of(agent, 1) == "insert"
-    rows = entries.withColumn("key", F.when(inserts & (F.coalesce(e["url"], F.lit("")) != ""), urls.weak(e["url"])))
+    rows = entries.withColumn("key", F.when(inserts, weak_key(e)))
     known = catalog.select(urls.weak(F.col("url")).alias("key")).distinct().withColumn("known", F.lit(True))
     first = rows.filter("key is not null").groupBy("file", "key").agg(F.min("position").alias("first"))
     verdict = (
@@ -74,8 +77,8 @@ def commit_counts(planned: DataFrame) -> DataFrame:
     return planned.groupBy("file", "agent").agg(F.count(F.lit(1)).alias("entries"), *map(count, ("applied", "skipped_no_change", "skipped_duplicate")))
 
 
-def patches(planned: DataFrame, now: str) -> DataFrame:
-    """The columns that each applied change sets: metadata its changes, reviews and deadlines theirs, with the stamps of now."""
+def patches(planned: DataFrame, now: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns that each applied change sets: metadata its changes, reviews and deadlines theirs, with the stamps of now. keep: columns to carry along."""
     e, stamp = F.col("entry"), F.lit(now)
     text = lambda x: F.to_json(x)
     of = {
@@ -86,7 +89,7 @@ def patches(planned: DataFrame, now: str) -> DataFrame:
     out = None
     for agent, columns in of.items():
         out = F.when(F.col("agent") == agent, columns) if out is None else out.when(F.col("agent") == agent, columns)
-    return planned.filter((F.col("verdict") == "applied") & F.col("agent").isin(*of)).select("file", "agent", e["id"].alias("id"), out.alias("columns"))
+    return planned.filter((F.col("verdict") == "applied") & F.col("agent").isin(*of)).select("file", "agent", e["id"].alias("id"), out.alias("columns"), *(keep or []))
 
 
 def inserts(planned: DataFrame) -> DataFrame:

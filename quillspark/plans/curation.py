@@ -2,35 +2,68 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import text, urls
-from quillspark.operators import curation, editing, seeds
+from quillspark.operators import curation, editing, seeds, versions
 from quillspark.operators import snapshots as s
 from quillspark.sources import bindings as b
+from quillspark.sources import json_arrays
 from quillspark.sources import snapshots as src
+from quillspark.sources.shared import shared_dir
 
 NOW = "2024-01-31 12:00:00"
 
 
-def _files(spark, d):
-    """Snapshots made of documents: a file for each job and 8 days, of which one is cut short and one is no list."""
+#: Documents whose entries share the files of a job's eight days, so a file has at most a thirty-second of them.
+FILE_IDS = 1 << 21
+
+
+def _written_files(spark, d):
+    """A folder of snapshots made of documents: files for each job and 8 days of every FILE_IDS documents, of which one a job is cut short and one is no list."""
     docs = b.table(spark, d, "documents").join(b.table(spark, d, "labels"), "doc_id", "left")
     agent = F.get(F.array(*map(F.lit, src.SPECS)), (F.col("doc_id") % 4).cast("int"))
-    day = (F.col("doc_id") / 4).cast("int") % 8
+    day = ((F.col("doc_id") / 4).cast("long") % 8).cast("int")
     old, new = (F.when(F.col(c) == 1, "good").otherwise("poor") for c in ("quality", "toxic"))
     entry = F.struct(
         F.when(F.col("doc_id") % 10 != 9, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("id"),
         F.when(F.col("doc_id") % 12 != 3, F.concat(F.lit("https://Site"), (F.col("doc_id") % 600).cast("string"), F.lit(".example.org/"))).alias("url"),
-        F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("lang"), F.col("lang"))).alias("changes"),
+        F.when(F.col("doc_id") % 3 == 0, F.create_map(F.when(F.col("doc_id") % 60 == 0, "no such column").otherwise("lang"), F.col("lang"))).alias("changes"),
         old.alias("previous_review_status"), new.alias("review_status"), (F.col("doc_id") % 16 < 4).alias("changed"), F.col("source").alias("extra"),
     )
-    rows = docs.groupBy(agent.alias("agent"), day.alias("day")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.to_json(entry).alias("e")))), lambda x: x["e"]), ","), F.lit("]")).alias("whole"))
-    stamp = F.when(F.col("day") % 2 == 0, F.concat(F.lit("2024012"), F.col("day").cast("string"), F.lit("-0930"), F.lit("15"))).otherwise(F.concat(F.lit("2024012"), F.col("day").cast("string")))
+    rows = docs.select("doc_id", agent.alias("agent"), day.alias("day"), F.to_json(entry).alias("json"))
+    date = F.date_format(F.date_add(F.lit("2024-01-20").cast("date"), F.col("day") - 8 * F.floor(F.col("doc_id") / FILE_IDS).cast("int")), "yyyyMMdd")
+    stamp = F.when(F.col("day") % 2 == 0, F.concat(date, F.lit("-093015"))).otherwise(date)
     stem = F.element_at(F.create_map(*(F.lit(x) for k, v in src.SPECS.items() for x in (k, v[0].split("*")[0]))), F.col("agent"))
-    middle = F.when(F.col("agent") == "scraper", "national_").otherwise("")
-    content = F.when((F.col("agent") == "reviews") & (F.col("day") == 1), F.substring("whole", 1, 30)).when((F.col("agent") == "reviews") & (F.col("day") == 2), F.lit('{"not": "a list"}')).otherwise(F.col("whole"))
-    return rows.select(F.concat(stem, middle, stamp, F.lit(".json")).alias("file"), F.lit("2024-01-30 00:00:00").cast("timestamp_ntz").alias("modified_at"), content.alias("content"))
+    file = F.concat(stem, F.when(F.col("agent") == "scraper", "national_").otherwise(""), stamp, F.lit(".json"))
+    reviews = F.col("agent") == "reviews"
+    rows = rows.withColumn("file", file)
+    root = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    json_arrays.write_arrays(rows.filter(~(reviews & F.col("day").isin(1, 2))), root, "file", "doc_id", "json")
+    lost = rows.filter(reviews & F.col("day").isin(1, 2)).groupBy("file", "day").agg(F.min_by("json", "doc_id").alias("json"))
+    lost = lost.select("file", F.when(F.col("day") == 1, F.concat(F.lit("["), F.substring("json", 1, 29))).otherwise('{"not": "a list"}').alias("value"))
+    lost.withColumnRenamed("file", "_file").repartition("_file").write.partitionBy("_file").text(f"{root}/parts")
+    json_arrays.named_files(spark, f"{root}/parts", root)
+    return root
+
+
+_folders: dict[tuple[str, str], str] = {}
+
+
+def _files(spark, d):
+    """Such a folder, read back. A session writes the files of a table once."""
+    key = (spark.sparkContext.applicationId, d)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    known = _folders.get(key)
+    if known is None or not path(known).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(known)):
+        _folders[key] = _written_files(spark, d)
+    return src.snapshot_files(spark, _folders[key])
+
+
+def _plan(spark, d):
+    return s.plan(src.entries(_files(spark, d)), _catalog_urls(spark, d))
 
 
 def _catalog_urls(spark, d):
@@ -43,20 +76,50 @@ def snapshot_listing(spark, d):
 
 
 def snapshot_commit_counts(spark, d):
-    return s.commit_counts(s.plan(src.entries(_files(spark, d)), _catalog_urls(spark, d)))
+    return s.commit_counts(_plan(spark, d))
 
 
 def snapshot_patches(spark, d):
-    rows = s.patches(s.plan(src.entries(_files(spark, d)), _catalog_urls(spark, d)), NOW)
+    rows = s.patches(_plan(spark, d), NOW)
     return rows.select("agent", "id", F.array_join(F.array_sort(F.map_keys("columns")), "|").alias("columns"), F.element_at("columns", F.lit("review_status")).alias("review_status"), F.element_at("columns", F.lit("lang")).alias("lang"))
 
 
 def snapshot_inserts(spark, d):
-    return s.inserts(s.plan(src.entries(_files(spark, d)), _catalog_urls(spark, d))).select("file", "url", "is_active")
+    return s.inserts(_plan(spark, d)).select("file", "url", "is_active")
 
 
 def snapshot_audit(spark, d):
-    return s.audit_rows(s.commit_counts(s.plan(src.entries(_files(spark, d)), _catalog_urls(spark, d))), NOW)
+    return s.audit_rows(s.commit_counts(_plan(spark, d)), NOW)
+
+
+def _versioned(spark, d):
+    """A catalog in versions: documents but for the scraped ones, and rows whose URLs new entries repeat."""
+    docs = b.table(spark, d, "documents").filter("doc_id % 4 <> 3 and doc_id % 7 <> 0")
+    own = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("https://docs.example.org/"), F.col("doc_id").cast("string")).alias("url"), "lang")
+    parts = b.table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.concat(F.when(F.col("p_partkey") % 5 == 0, "d").otherwise("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("https://site"), F.col("p_partkey").cast("string"), F.lit(".example.org")).alias("url"), F.lit(None).cast("string").alias("lang"))
+    rows = own.unionByName(parts.join(own.select("id"), "id", "left_anti"))
+    blank = {"name": "string", "review_status": "string", "review_summary": "string", "review_sources": "array<struct<url:string,note:string>>", "status": "string", "important_dates": "array<struct<label:string,date_iso:string,type:string>>", "was_estimated": "boolean", "important_date_note": "string", "last_reviewed_at": "timestamp_ntz", "dates_last_checked_at": "timestamp_ntz", "updated_at": "timestamp_ntz"}
+    rows = rows.select("id", "url", F.lit(True).alias("is_active"), "lang", *(F.lit(None).cast(t).alias(c) for c, t in blank.items()))
+    table = versions.VersionedTable(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    table.create(rows)
+    return table
+
+
+def snapshot_commit(spark, d):
+    """Every snapshot committed to a catalog in versions, and the new version read back."""
+    table = _versioned(spark, d)
+    versions.commit_snapshots(table, src.entries(_files(spark, d)), NOW)
+    out = table.read()
+    return out.select("id", "url", "is_active", "lang", "review_status", F.size("review_sources").alias("sources"), "was_estimated", "last_reviewed_at", "dates_last_checked_at", "updated_at")
+
+
+def snapshot_commit_log(spark, d):
+    """What the commit of each file did, as the table's log has it; a second commit of the same files finds nothing to do."""
+    table = _versioned(spark, d)
+    entries = src.entries(_files(spark, d))
+    versions.commit_snapshots(table, entries, NOW)
+    versions.commit_snapshots(table, entries, "2024-02-01 12:00:00")
+    return table.log().select("file", "agent", "version", "committed_at", "entries", "applied", "skipped_no_change", "skipped_duplicate", "errors")
 
 
 def activate_rows(spark, d):
@@ -220,15 +283,21 @@ def run_tallies(spark, d):
     return seeds.tally(l.select(F.col("l_orderkey").alias("run"), verdict.alias("verdict"), F.when(F.col("l_orderkey") % 5 != 0, F.col("l_linenumber") % 2).alias("web_searches")))
 
 
-QUERIES = {f.__name__: f for f in (snapshot_listing, snapshot_commit_counts, snapshot_patches, snapshot_inserts, snapshot_audit, activate_rows, edit_verdicts, edited_rows, queue_survivors, cleaned_updates, changed_rows, submissions, unique_slugs, low_value_urls, listing_merge, keyed_accounts, seed_list, seed_fallback, seed_migration, seeds_by_id, seeds_by_place, seed_creation, seeds_per_mode, seed_results, run_tallies)}
+QUERIES = {f.__name__: f for f in (snapshot_listing, snapshot_commit_counts, snapshot_patches, snapshot_inserts, snapshot_audit, snapshot_commit, snapshot_commit_log, activate_rows, edit_verdicts, edited_rows, queue_survivors, cleaned_updates, changed_rows, submissions, unique_slugs, low_value_urls, listing_merge, keyed_accounts, seed_list, seed_fallback, seed_migration, seeds_by_id, seeds_by_place, seed_creation, seeds_per_mode, seed_results, run_tallies)}
 
-_ENTRIES = """e AS (SELECT doc_id, (['metadata', 'reviews', 'deadline', 'scraper'])[doc_id % 4 + 1] AS agent, doc_id // 4 % 8 AS day, doc_id % 10 <> 9 AS has_id, lang,
+_ENTRIES = """e AS (SELECT doc_id, (['metadata', 'reviews', 'deadline', 'scraper'])[doc_id % 4 + 1] AS agent, doc_id // 4 % 8 AS day, DATE '2024-01-20' + CAST(doc_id // 4 % 8 - 8 * (doc_id // 2097152) AS INTEGER) AS dated, doc_id % 10 <> 9 AS has_id, lang,
   CASE WHEN doc_id % 12 <> 3 THEN 'https://site' || (doc_id % 600) || '.example.org' END AS key, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS was, CASE WHEN toxic = 1 THEN 'good' ELSE 'poor' END AS is_now FROM documents LEFT JOIN labels USING (doc_id)),
-f AS (SELECT *, CASE agent WHEN 'metadata' THEN 'refresh_opportunities_dry_run_' WHEN 'reviews' THEN 'review_check_dry_run_' WHEN 'deadline' THEN 'deadline_check_dry_run_' ELSE 'scrape_review_national_' END || '2024012' || day || CASE WHEN day % 2 = 0 THEN '-093015' ELSE '' END || '.json' AS file,
+f AS (SELECT *, CASE agent WHEN 'metadata' THEN 'refresh_opportunities_dry_run_' WHEN 'reviews' THEN 'review_check_dry_run_' WHEN 'deadline' THEN 'deadline_check_dry_run_' ELSE 'scrape_review_national_' END || strftime(dated, '%Y%m%d') || CASE WHEN day % 2 = 0 THEN '-093015' ELSE '' END || '.json' AS file,
   agent = 'reviews' AND day IN (1, 2) AS lost, CASE agent WHEN 'metadata' THEN doc_id % 3 = 0 WHEN 'reviews' THEN was <> is_now WHEN 'deadline' THEN doc_id % 16 < 4 ELSE key IS NOT NULL END AS pending FROM e),
 p AS (SELECT *, CASE WHEN agent = 'scraper' THEN CASE WHEN key IS NULL THEN 'skipped_no_change' WHEN key IN (SELECT 'https://site' || p_partkey || '.example.org' FROM part WHERE p_partkey % 3 = 0) OR row_number() OVER (PARTITION BY file, key ORDER BY doc_id) > 1 THEN 'skipped_duplicate' ELSE 'applied' END
   WHEN has_id AND pending THEN 'applied' ELSE 'skipped_no_change' END AS verdict FROM f WHERE NOT lost),
 c AS (SELECT file, agent, count(*) AS entries, count(*) FILTER (verdict = 'applied') AS applied, count(*) FILTER (verdict = 'skipped_no_change') AS skipped_no_change, count(*) FILTER (verdict = 'skipped_duplicate') AS skipped_duplicate FROM p GROUP BY 1, 2)"""
+_COMMIT = """cat AS (SELECT 'd' || doc_id AS id, 'https://docs.example.org/' || doc_id AS url, lang FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 7 <> 0),
+own AS (SELECT id, url, lang FROM cat UNION ALL SELECT id, url, NULL FROM (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'd' ELSE 'p' END || p_partkey AS id, 'https://site' || p_partkey || '.example.org' AS url FROM part WHERE p_partkey % 3 = 0) WHERE id NOT IN (SELECT id FROM cat)),
+a AS (SELECT *, row_number() OVER (PARTITION BY agent, key ORDER BY dated, file, doc_id) AS nth, CASE WHEN has_id THEN 'd' || doc_id ELSE 'u' || left(md5(key), 16) END AS new_id FROM p WHERE verdict = 'applied'),
+n AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY dated, file, doc_id) AS mth FROM a WHERE agent = 'scraper' AND nth = 1),
+ins AS (SELECT *, mth > 1 OR new_id IN (SELECT id FROM own) AS taken FROM n),
+pat AS (SELECT *, 'd' || doc_id AS id FROM a WHERE agent <> 'scraper' AND NOT (agent = 'metadata' AND doc_id % 60 = 0))"""
 _SEEDS = """seeds AS (SELECT min(p_partkey) AS id, CASE WHEN min(p_partkey) % 2 = 0 THEN 'national' ELSE 'seattle' END AS mode, p_type AS category, p_brand || ' ' || p_type || ' ' AS angle, min(p_partkey) % 7 <> 0 AS is_enabled, CAST(min(p_partkey) % 13 AS INTEGER) AS sort_order, count(*) AS total_found FROM part GROUP BY p_brand, p_type)"""
 _REV = """rev AS (SELECT d.doc_id AS id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'insufficient_data' END AS moderation_status FROM documents d LEFT JOIN labels USING (doc_id))"""
 _EDITS = """ed AS (SELECT CASE WHEN k % 37 = 0 THEN k + 1000000000 ELSE k END AS id, k, p_name, k % 4 <> 0 AS h_name, CASE WHEN k % 12 = 1 THEN NULL ELSE 'New ' || p_name END AS name, k % 5 = 0 AS h_url, nullif((['https://a.example', 'HTTP://b.example', 'ftp://c', ''])[k % 4 + 1], '') AS url,
@@ -240,16 +309,21 @@ ev AS (SELECT *, CASE WHEN h_owner THEN 'Not editable here: owner.' WHEN id > 10
   WHEN NOT (h_name OR h_url OR h_state OR h_type OR h_min OR h_max OR h_tags) THEN 'Nothing to change.' END AS error FROM ed)"""
 
 ORACLES = {
-    "snapshot_listing": f"""WITH {_ENTRIES}, g AS (SELECT file, agent, day, lost, CASE WHEN lost THEN 0 ELSE count(*) END AS entries, CASE WHEN lost THEN 0 ELSE count(*) FILTER (pending) END AS pending FROM f GROUP BY file, agent, day, lost),
-h AS (SELECT *, agent = 'reviews' AND day = 1 AS bad, TIMESTAMP '2024-01-20' + to_days(CAST(day AS INTEGER)) + CASE WHEN day % 2 = 0 THEN INTERVAL '9 hours 30 minutes 15 seconds' ELSE INTERVAL '0 hours' END AS ran FROM g)
+    "snapshot_listing": f"""WITH {_ENTRIES}, g AS (SELECT file, agent, day, dated, lost, CASE WHEN lost THEN 0 ELSE count(*) END AS entries, CASE WHEN lost THEN 0 ELSE count(*) FILTER (pending) END AS pending FROM f GROUP BY file, agent, day, dated, lost),
+h AS (SELECT *, agent = 'reviews' AND day = 1 AS bad, CAST(dated AS TIMESTAMP) + CASE WHEN day % 2 = 0 THEN INTERVAL '9 hours 30 minutes 15 seconds' ELSE INTERVAL '0 hours' END AS ran FROM g)
 SELECT file, agent, CASE agent WHEN 'metadata' THEN 'Metadata refresh' WHEN 'reviews' THEN 'Review check' WHEN 'deadline' THEN 'Deadline check' ELSE 'New opportunities' END AS label, CASE WHEN agent = 'scraper' THEN 'insert' ELSE 'patch' END AS kind, CASE WHEN NOT bad THEN ran END AS ran_at, day % 2 = 0 AS has_time,
  CASE WHEN NOT bad THEN date_diff('second', ran, TIMESTAMP '{NOW}') // 86400 END AS age_days, CASE WHEN NOT bad THEN date_diff('second', ran, TIMESTAMP '{NOW}') // 86400 >= 7 END AS stale, entries, pending, CASE WHEN agent = 'scraper' THEN 'national' END AS mode, CASE WHEN bad THEN 'unreadable' END AS error FROM h""",
     "snapshot_commit_counts": f"WITH {_ENTRIES} SELECT * FROM c",
-    "snapshot_patches": f"""WITH {_ENTRIES} SELECT agent, 'd' || doc_id AS id, CASE agent WHEN 'metadata' THEN 'lang|updated_at' WHEN 'reviews' THEN 'last_reviewed_at|review_sources|review_status|review_summary|updated_at' ELSE 'dates_last_checked_at|important_date_note|important_dates|status|updated_at|was_estimated' END AS columns,
- CASE WHEN agent = 'reviews' THEN is_now END AS review_status, CASE WHEN agent = 'metadata' THEN lang END AS lang FROM p WHERE verdict = 'applied' AND agent <> 'scraper'""",
+    "snapshot_patches": f"""WITH {_ENTRIES} SELECT agent, 'd' || doc_id AS id, CASE agent WHEN 'metadata' THEN CASE WHEN doc_id % 60 = 0 THEN 'no such column|updated_at' ELSE 'lang|updated_at' END WHEN 'reviews' THEN 'last_reviewed_at|review_sources|review_status|review_summary|updated_at' ELSE 'dates_last_checked_at|important_date_note|important_dates|status|updated_at|was_estimated' END AS columns,
+ CASE WHEN agent = 'reviews' THEN is_now END AS review_status, CASE WHEN agent = 'metadata' AND doc_id % 60 <> 0 THEN lang END AS lang FROM p WHERE verdict = 'applied' AND agent <> 'scraper'""",
     "snapshot_inserts": f"WITH {_ENTRIES} SELECT file, 'https://Site' || (doc_id % 600) || '.example.org/' AS url, false AS is_active FROM p WHERE verdict = 'applied' AND agent = 'scraper'",
     "snapshot_audit": f"""WITH {_ENTRIES} SELECT agent, 'snapshot-commit' AS mode, TIMESTAMP '{NOW}' AS started_at, TIMESTAMP '{NOW}' AS finished_at, entries AS items_processed, CASE WHEN agent = 'scraper' THEN 0 ELSE applied END AS items_updated, CASE WHEN agent = 'scraper' THEN applied ELSE 0 END AS items_added,
  0 AS errors, CAST(0 AS DECIMAL(18,6)) AS cost_usd, 'Committed snapshot ' || file AS notes FROM c WHERE applied > 0""",
+    "snapshot_commit": f"""WITH {_ENTRIES}, {_COMMIT} SELECT own.id, url, true AS is_active, CASE WHEN pat.agent = 'metadata' THEN pat.lang ELSE own.lang END AS lang, CASE WHEN pat.agent = 'reviews' THEN is_now END AS review_status, CASE WHEN pat.agent = 'reviews' THEN 0 END AS sources,
+ CASE WHEN pat.agent = 'deadline' THEN false END AS was_estimated, CASE WHEN pat.agent = 'reviews' THEN TIMESTAMP '{NOW}' END AS last_reviewed_at, CASE WHEN pat.agent = 'deadline' THEN TIMESTAMP '{NOW}' END AS dates_last_checked_at, CASE WHEN pat.id IS NOT NULL THEN TIMESTAMP '{NOW}' END AS updated_at FROM own LEFT JOIN pat ON pat.id = own.id
+UNION ALL SELECT new_id, 'https://Site' || (doc_id % 600) || '.example.org/', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ins WHERE NOT taken""",
+    "snapshot_commit_log": f"""WITH {_ENTRIES}, {_COMMIT}, x AS (SELECT file, doc_id, CASE WHEN agent = 'metadata' AND doc_id % 60 = 0 THEN 'errors' WHEN agent = 'scraper' AND nth > 1 THEN 'skipped_duplicate' ELSE 'applied' END AS v FROM a), y AS (SELECT p.file, p.agent, CASE WHEN t.taken THEN 'errors' ELSE coalesce(x.v, p.verdict) END AS v FROM p LEFT JOIN x ON x.doc_id = p.doc_id LEFT JOIN ins t ON t.doc_id = p.doc_id)
+SELECT file, agent, CAST(2 AS BIGINT) AS version, TIMESTAMP '{NOW}' AS committed_at, count(*) AS entries, count(*) FILTER (v = 'applied') AS applied, count(*) FILTER (v = 'skipped_no_change') AS skipped_no_change, count(*) FILTER (v = 'skipped_duplicate') AS skipped_duplicate, count(*) FILTER (v = 'errors') AS errors FROM y GROUP BY 1, 2""",
     "activate_rows": f"""WITH {_REV} SELECT id, CASE WHEN id % 5 = 0 THEN 'approved' ELSE moderation_status END AS moderation_status, CASE WHEN id % 7 = 0 THEN false WHEN id % 5 = 0 THEN true ELSE id % 2 = 0 END AS is_active, CASE WHEN id % 5 = 0 THEN 'admin-console' END AS reviewed_by,
  CASE WHEN id % 5 = 0 THEN TIMESTAMP '{NOW}' END AS reviewed_at, CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN TIMESTAMP '{NOW}' END AS updated_at FROM rev""",
     "edit_verdicts": f"WITH {_EDITS} SELECT id, error FROM ev",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources import json_arrays
+
 #: Each job's snapshot file names, what committing one means, and how it is called.
 SPECS = {
     "metadata": ("refresh_opportunities_dry_run_*.json", "patch", True, "Metadata refresh"),
@@ -19,11 +23,27 @@ review_sources:array<struct<url:string,note:string>>,status:string,important_dat
 was_estimated:boolean,important_date_note:string,changed:boolean,web_searches:int,cost_usd:decimal(18,6)>"""
 
 
-def snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, modified_at, content) of all files in a folder whose names fit one of the jobs; a file is one row, as it is one JSON text."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    rows = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("modificationTime").cast("timestamp_ntz").alias("modified_at"), F.col("content").cast("string").alias("content"))
-    return rows.filter(agent_of(F.col("file")).isNotNull())
+@dataclass
+class Snapshots:
+    """files: file, agent, modified_at, readable. entries: file, agent, position, entry of every element of the readable lists;
+    entry is null where the element is no object. What is readable but no list has no entries."""
+
+    files: DataFrame
+    entries: DataFrame
+
+
+def snapshot_files(spark: SparkSession, folder: str) -> Snapshots:
+    """The files in a folder whose names fit one of the jobs; a file is read by as many tasks as it has ranges."""
+    found, elements = json_arrays.read_elements(spark, folder)
+    name = F.url_decode(F.element_at(F.split("path", "/"), -1))
+    files = found.withColumn("file", name).withColumn("agent", agent_of(F.col("file"))).filter("agent is not null")
+    rows = elements.withColumn("file", name).withColumn("agent", agent_of(F.col("file"))).filter("agent is not null")
+    entry = F.when(F.col("text").startswith("{"), F.from_json("text", ENTRY)).alias("entry")
+    return Snapshots(files.select("file", "agent", "modified_at", "readable"), rows.select("file", "agent", "position", entry))
+
+
+def entries(found: Snapshots) -> DataFrame:
+    return found.entries
 
 
 def agent_of(file: Column) -> Column:
@@ -38,22 +58,6 @@ def spec_of(agent: Column, field: int) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for name, spec in SPECS.items() for x in (name, spec[field]))), agent)
 
 
-def readable(content: Column) -> Column:
-    return F.try_parse_json(content).isNotNull()
-
-
-def elements(content: Column) -> Column:
-    """The JSON texts of an array's elements; what is no array has none."""
-    listed = F.when(F.coalesce(F.trim(content), F.lit("")).startswith("["), F.from_json(content, "array<string>"))
-    return F.coalesce(listed, F.array().cast("array<string>"))
-
-
-def entries(files: DataFrame) -> DataFrame:
-    """(file, agent, position, entry): every element of every readable snapshot; entry is null where the element is no object."""
-    rows = files.select("file", agent_of(F.col("file")).alias("agent"), F.posexplode(elements(F.col("content"))).alias("position", "text"))
-    return rows.select("file", "agent", "position", F.when(F.trim("text").startswith("{"), F.from_json("text", ENTRY)).alias("entry"))
-
-
 def keyed_objects(texts: DataFrame, column: str, fields: str, key: str = "userid") -> DataFrame:
     """Rows of JSON objects whose members are objects: a member's name becomes the key."""
     return texts.select(F.explode(F.from_json(column, f"map<string,struct<{fields}>>")).alias(key, "_v")).select(key, "_v.*")
