@@ -10,7 +10,7 @@ from quillspark.functions import dates
 from quillspark.operators import accounts, caches, curation, enrich, tracker
 from quillspark.sources import bindings as b
 from quillspark.sources.shared import shared_dir
-from quillspark.streaming import rollup
+from quillspark.streaming import rollup, state
 
 TODAY = b.AS_OF_ORDERS
 
@@ -40,6 +40,51 @@ def log_tails(spark, d):
     return caches.log_tail(e, since, 50)
 
 
+def _in_pieces(spark, events, piece, make, mode="append", end=None):
+    """A stream over files that come in three pieces, each a run of its own that goes on from the checkpoint; the folder of its batches."""
+    own = state.state_session(spark)
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = events.withColumn("_piece", piece)
+    for n in range(3):
+        part = rows.filter(F.col("_piece") == n).drop("_piece")
+        (part.unionByName(end) if end is not None and n == 2 else part).write.mode("append").parquet(f"{root}/in")
+        state.write_batches(make(own.readStream.schema(events.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/state", mode).awaitTermination()
+    return f"{root}/out"
+
+
+def _timed(spark, d, events, make):
+    """Ten days a piece; an event in seven comes a piece late, which a watermark of 11 days waits for."""
+    piece = F.least(F.lit(2), F.greatest(F.lit(0), F.floor(F.datediff("ts", F.lit("2024-01-01")) / 10)) + F.when(F.col("id") % 7 == 0, 1).otherwise(0))
+    end = spark.createDataFrame([(state.END_KEY, state.END, -1, "take")], "key string, ts timestamp, id long, kind string")
+    out = _in_pieces(spark, events.select(F.col("key").cast("string"), F.col("ts").cast("timestamp").alias("ts"), "id", "kind"), piece, make, end=end)
+    return state.read_batches(spark, out, state.VERDICTS)
+
+
+def cache_stream(spark, d):
+    """The reads of cache_reads as a stream, whose state and timers are by key."""
+    e = b.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts", F.lit("take").alias("kind"))
+    return _timed(spark, d, e, lambda s: state.read_through_stream(s.drop("kind"), 7, "11 days")).select("id", F.col("verdict").alias("source"))
+
+
+def token_stream(spark, d):
+    """The tokens of token_uses as a stream."""
+    kind = F.when(F.col("event_type") == "signup", "mint").otherwise("take")
+    e = b.table(spark, d, "events").select((F.col("user_id") % 40).alias("key"), "ts", F.col("event_id").alias("id"), kind.alias("kind"))
+    return _timed(spark, d, e, lambda s: state.tokens_stream(s, 24 * 60, "11 days")).filter(F.col("key") != state.END_KEY).select("id", "verdict")
+
+
+def log_stream(spark, d):
+    """The live tail of every log as a stream; readers ask for what follows the first so many lines of all."""
+    e = b.table(spark, d, "events")
+    lines = e.select(F.col("event_type").alias("agent"), F.col("event_id").alias("line_no"), F.concat("event_type", F.lit(" "), "event_id").alias("line"))
+    out = _in_pieces(spark, lines, (F.col("line_no") % 3).cast("int"), lambda s: state.tail_stream(s, 500), "update")
+    tails = state.newest_tails(state.read_batches(spark, out, "agent string, total long, dropped long, numbers array<long>, lines array<string>"))
+    n = e.groupBy(F.col("event_type").alias("agent")).agg(F.count(F.lit(1)).alias("n"))
+    asked = n.select("agent", F.explode(F.array(F.lit(0).cast("long"), F.col("n") - 20, F.col("n") + 5)).alias("since")).unionByName(n.select(F.concat(F.lit("no "), "agent").alias("agent"), F.col("n").alias("since")))
+    got = state.log_since(tails, asked)
+    return got.select("agent", F.size("lines").cast("long").alias("given"), F.md5(F.array_join("lines", "|")).alias("lines_md5"), "next", "dropped")
+
+
 def log_append(spark, d):
     o = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     again = o.filter("id % 3 = 0")
@@ -152,18 +197,25 @@ def stream_surface_rollup(spark, d):
     return rollup.read_daily(spark, f"{root}/sums", ("day", "surface")).select("day", "surface", "calls", "cost_usd")
 
 
-QUERIES = {f.__name__: f for f in (cache_reads, deadline_reads, token_uses, log_tails, log_append, replaced_rows, catalog_export, summary_changes, first_turns, account_values, calendar_files, calendar_sync, enriched_rows, mock_ranking, subject_inference, scored_results, active_kinds, date_values, batch_numbers, grade_fields, stream_surface_rollup)}
+QUERIES = {f.__name__: f for f in (cache_reads, deadline_reads, token_uses, log_tails, cache_stream, token_stream, log_stream, log_append, replaced_rows, catalog_export, summary_changes, first_turns, account_values, calendar_files, calendar_sync, enriched_rows, mock_ranking, subject_inference, scored_results, active_kinds, date_values, batch_numbers, grade_fields, stream_surface_rollup)}
 
+_CACHE = """WITH RECURSIVE f AS (SELECT user_id AS key, min(ts) AS t FROM events GROUP BY 1 UNION ALL SELECT f.key, (SELECT min(ts) FROM events e WHERE e.user_id = f.key AND e.ts >= f.t + INTERVAL 7 DAY) AS t FROM f WHERE f.t IS NOT NULL),
+w AS (SELECT key, t, min(event_id) AS id FROM f JOIN events ON user_id = key AND ts = t GROUP BY 1, 2) SELECT event_id AS id, CASE WHEN w.id IS NOT NULL THEN 'fetch' ELSE 'cached' END AS source FROM events LEFT JOIN w ON w.id = event_id"""
+_TOKENS = """WITH m AS (SELECT user_id % 40 AS token, min(ts) AS made FROM events WHERE event_type = 'signup' GROUP BY 1), t AS (SELECT event_id AS id, user_id % 40 AS token, ts, made, ts >= made AND ts <= made + INTERVAL 1 DAY AS alive FROM events LEFT JOIN m ON m.token = user_id % 40 WHERE event_type <> 'signup'),
+f AS (SELECT token, arg_min(id, (ts, id)) AS first FROM t WHERE alive GROUP BY 1) SELECT t.id, CASE WHEN made IS NULL OR ts < made THEN 'unknown' WHEN NOT alive THEN 'expired' WHEN t.id = first THEN 'ok' ELSE 'used' END AS verdict FROM t LEFT JOIN f ON f.token = t.token"""
 _ROWS = "r AS (SELECT l_orderkey AS id, CAST(l_shipdate AS DATE) AS date, l_linestatus AS label, l_returnflag AS type FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date, label, type) - 1 AS i FROM r)"
 _BLOCK = "'BEGIN:VEVENT' || nl || 'UID:' || id || '-' || i || nl || 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d') || nl || 'DTEND;VALUE=DATE:' || strftime(date + 1, '%Y%m%d') || nl || 'SUMMARY:' || label || nl || 'END:VEVENT'"
 _SUBJECTS = "[" + ", ".join(f"'{s}'" for s in enrich.SUBJECTS) + "]"
 
 ORACLES = {
-    "cache_reads": """WITH RECURSIVE f AS (SELECT user_id AS key, min(ts) AS t FROM events GROUP BY 1 UNION ALL SELECT f.key, (SELECT min(ts) FROM events e WHERE e.user_id = f.key AND e.ts >= f.t + INTERVAL 7 DAY) AS t FROM f WHERE f.t IS NOT NULL),
-w AS (SELECT key, t, min(event_id) AS id FROM f JOIN events ON user_id = key AND ts = t GROUP BY 1, 2) SELECT event_id AS id, CASE WHEN w.id IS NOT NULL THEN 'fetch' ELSE 'cached' END AS source FROM events LEFT JOIN w ON w.id = event_id""",
+    "cache_reads": _CACHE,
+    "cache_stream": _CACHE,
     "deadline_reads": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS c FROM orders) SELECT o_orderkey, CASE WHEN c > TIMESTAMP '1998-06-24' THEN 'cached' ELSE 'check' END AS source, CAST(floor(date_diff('second', c, TIMESTAMP '1998-07-01') / 86400.0) AS BIGINT) AS age_days, coalesce(TIMESTAMP '1998-07-01' > c, true) AS expired FROM o""",
-    "token_uses": """WITH m AS (SELECT user_id % 40 AS token, min(ts) AS made FROM events WHERE event_type = 'signup' GROUP BY 1), t AS (SELECT event_id AS id, user_id % 40 AS token, ts, made, ts >= made AND ts <= made + INTERVAL 1 DAY AS alive FROM events LEFT JOIN m ON m.token = user_id % 40 WHERE event_type <> 'signup'),
-f AS (SELECT token, arg_min(id, (ts, id)) AS first FROM t WHERE alive GROUP BY 1) SELECT t.id, CASE WHEN made IS NULL OR ts < made THEN 'unknown' WHEN NOT alive THEN 'expired' WHEN t.id = first THEN 'ok' ELSE 'used' END AS verdict FROM t LEFT JOIN f ON f.token = t.token""",
+    "token_uses": _TOKENS,
+    "token_stream": _TOKENS,
+    "log_stream": """WITH l AS (SELECT event_type AS agent, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS nth, count(*) OVER (PARTITION BY event_type) AS n FROM events), c AS (SELECT agent, any_value(n) AS n FROM l GROUP BY 1),
+q AS (SELECT agent, n, unnest([0, n - 20, n + 5]) AS since FROM c) SELECT q.agent, count(l.nth) AS given, md5(coalesce(string_agg(q.agent || ' ' || event_id, '|' ORDER BY event_id), '')) AS lines_md5, any_value(q.n) AS next, greatest(any_value(q.n) - 500, 0) AS dropped
+FROM q LEFT JOIN l ON l.agent = q.agent AND l.nth > greatest(q.since, q.n - 500) GROUP BY q.agent, q.since UNION ALL SELECT 'no ' || agent, 0, md5(''), 0, 0 FROM c""",
     "log_tails": """WITH s(agent, since) AS (VALUES ('click', 10), ('view', 0), ('error', 1000000000), ('none', 5)), l AS (SELECT event_type AS agent, event_id AS line_no, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS nth FROM events)
 SELECT s.agent, count(line_no) FILTER (nth <= 50) AS given, count(line_no) FILTER (nth > 50) AS dropped, min(line_no) FILTER (nth <= 50) AS first_line, max(line_no) FILTER (nth <= 50) AS last_line FROM s LEFT JOIN l ON l.agent = s.agent AND line_no >= since GROUP BY 1""",
     "log_append": "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0",
