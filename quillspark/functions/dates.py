@@ -65,6 +65,16 @@ def milestones(dates: Column, today: Column) -> Column:
     return F.transform(F.array_sort(pairs), lambda d: F.struct(d["date"].alias("date"), d["label"].alias("label"), (days_until(d["date"], today) < 0).alias("past")))
 
 
+def display_milestones(dates: Column, today: Column) -> Column:
+    """The entries with a date, each (date, label) once and the first of them, by date; a blank label is Date, a blank type deadline."""
+    there = F.filter(dates, lambda d: d["date"].isNotNull())
+    keys = F.transform(there, lambda d: F.struct(d["date"].alias("date"), F.coalesce(d["label"], F.lit("")).alias("label")))
+    first = F.filter(there, lambda d, i: F.array_position(keys, F.struct(d["date"].alias("date"), F.coalesce(d["label"], F.lit("")).alias("label"))) == i + 1)
+    named = lambda v, other: F.coalesce(F.nullif(v, F.lit("")), F.lit(other))
+    shown = F.transform(first, lambda d, i: F.struct(d["date"].alias("date"), i.alias("at"), named(d["label"], "Date").alias("label"), named(d["type"], "deadline").alias("type"), (days_until(d["date"], today) < 0).alias("past")))
+    return F.array_sort(shown)
+
+
 def progress(dates: Column, estimated: Column, run_status: Column, today: Column) -> Column:
     """completed where the entry does not run; not_started before the first date or without any; in_progress up to the last;
     then completed, unless the dates were estimates for something that still runs."""

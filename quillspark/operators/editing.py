@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import urls
+from quillspark.sources.shared import materialised
 
 #: The columns that may be edited in the queue, and how their values are read.
 EDITABLE = {
@@ -125,14 +126,71 @@ def submission_rows(submitted: DataFrame, now: str) -> DataFrame:
     )
 
 
-def unique_slugs(rows: DataFrame, slug: Column, order: str = "pos", blank: str = "opportunity") -> DataFrame:
-    """Rows with an id from their slug; later ones with the same slug get -2, -3 and so on, in order.
+#: A slug that could be another one with a number behind it.
+_NUMBERED = r"^(.+)-([2-9]|[1-9]\d{1,8})$"
 
-    Rows of one slug are numbered over ranges of the order, so a slug that many rows share is not one task's work."""
+
+def unique_slugs(rows: DataFrame, slug: Column, order: str = "pos", blank: str = "opportunity", taken: DataFrame | None = None) -> DataFrame:
+    """Rows with an id of their own from their slug, as if given one after another: the slug itself, else with -2, -3 and so on, the
+    first that no earlier row and no id of `taken` (a table with `id`) has. Runs jobs when it is called. `order` tells all rows apart.
+
+    Only a slug that is another one with a number behind it can meet an id made from that one. Such slugs are settled from the
+    shorter to the longer, a round for each further number: whichever comes first in order, the row whose own slug it is or the row that
+    would get it by its number, has the id; numbers that are gone are left out for all rows after. Rows are numbered over ranges of
+    the order, so a slug that many rows share is not one task's work; a slug's numbered slugs, one row each, are."""
     from quillspark.operators.numbering import numbered
 
-    base = F.when(slug == "", blank).otherwise(slug)
-    keyed = numbered(rows.withColumn("_slug", base), [F.col("_slug"), F.col(order)], "_all")
-    first = keyed.groupBy("_slug").agg((F.min("_all") - 1).alias("_before"))
+    keyed = rows.withColumn("_slug", F.when(slug == "", blank).otherwise(slug)).withColumn("_given", F.lit(1))
+    if taken is not None:
+        keyed = keyed.unionByName(taken.select(F.col("id").alias("_slug"), F.lit(0).alias("_given")).distinct(), allowMissingColumns=True)
+    keyed = numbered(keyed, [F.col("_slug"), F.col("_given"), F.col(order)], "_all")
+    named = F.regexp_extract("_slug", _NUMBERED, 1)
+    number = F.nullif(F.regexp_extract("_slug", _NUMBERED, 2), F.lit("")).cast("int")
+    names = keyed.groupBy("_slug").agg((F.min("_all") - 1).alias("_before"), F.min(F.struct("_given", order)).alias("_first"))
+    names = materialised(names.select("_slug", "_before", "_first", named.alias("_of"), number.alias("_n")), "slugs")
+    shorter = names.select(F.col("_slug").alias("_of"))
+    children = materialised(names.filter("_n is not null").join(shorter, "_of").select("_of", "_n", "_slug", "_first"), "numbered_slugs")
+    settled = _settled(keyed, names, children, order) if not children.isEmpty() else None
+
+    placed = keyed.filter("_given = 1").join(names.select("_slug", "_before"), "_slug")
     nth = F.col("_all") - F.col("_before")
-    return keyed.join(first, "_slug").withColumn("slug", F.when(nth == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", nth.cast("string")))).drop("_slug", "_all", "_before")
+    if settled is not None:
+        placed = placed.join(settled, "_slug", "left")
+        nth = nth + F.coalesce("_late", F.lit(0))
+        gone = F.filter(F.coalesce("_gone", F.array().cast("array<int>")), lambda k, i: k - (i + 1) < nth)
+        nth = nth + F.size(gone)
+    out = placed.withColumn("slug", F.when(nth == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", nth.cast("string"))))
+    return out.select(*rows.columns, "slug")
+
+
+def _settled(keyed: DataFrame, names: DataFrame, children: DataFrame, order: str) -> DataFrame:
+    """(_slug, _late, _gone): 1 where a slug's own name was given to a row of the shorter slug before its first row, and the numbers
+    behind it that rows of their own had first, in order; only slugs that have to do with others are listed."""
+    from pyspark.sql import Window as W
+
+    from quillspark.operators.numbering import numbered
+
+    # how many rows of the shorter slug come before a numbered slug's first row: both stand in one order
+    marks = children.select(F.col("_of").alias("_slug"), F.col("_first").alias("_at"), F.lit(0).alias("_row"), F.col("_slug").alias("_child"))
+    both = keyed.select("_slug", F.struct("_given", order).alias("_at"), F.lit(1).alias("_row"), F.lit(None).cast("string").alias("_child")).join(children.select(F.col("_of").alias("_slug")).distinct(), "_slug", "left_semi").unionByName(marks)
+    placed = numbered(both, [F.col("_slug"), F.col("_at"), F.col("_row")], "_place")
+    start = placed.groupBy("_slug").agg((F.min("_place")).alias("_start"))
+    marked = placed.filter("_row = 0").join(start, "_slug")
+    earlier = F.row_number().over(W.partitionBy("_slug").orderBy("_place")) - 1  # marks, not rows
+    before = marked.select(F.col("_child"), (F.col("_place") - F.col("_start") - earlier).alias("_rows"))
+    waiting = materialised(children.join(before, children["_slug"] == before["_child"]).select("_of", "_n", "_slug", "_rows"), "slug_marks")
+
+    ready = materialised(waiting.select(F.col("_of").alias("_slug")).distinct().join(children.select("_slug"), "_slug", "left_anti").withColumn("_late", F.lit(0)), "settled")
+    out = None
+    while not ready.isEmpty():
+        of = waiting.join(ready.select(F.col("_slug").alias("_of"), "_late"), "_of").groupBy("_of", "_late").agg(F.array_sort(F.collect_list(F.struct("_n", "_rows", "_slug"))).alias("_all"))
+        start_ = F.struct(F.array().cast("array<int>").alias("gone"), F.array().cast("array<string>").alias("late"))
+        mine = lambda a, x: x["_rows"] >= x["_n"] - F.size(a["gone"]) - F.col("_late")  # noqa: E731  a row of the shorter slug is there to take it
+        step = lambda a, x: F.struct(F.when(mine(a, x), a["gone"]).otherwise(F.array_append(a["gone"], x["_n"])).alias("gone"), F.when(mine(a, x), F.array_append(a["late"], x["_slug"])).otherwise(a["late"]).alias("late"))
+        done = materialised(of.select(F.col("_of").alias("_slug"), "_late", F.aggregate("_all", start_, step).alias("_a"), F.transform("_all", lambda x: x["_slug"]).alias("_children")).select("_slug", "_late", F.col("_a.gone").alias("_gone"), F.col("_a.late").alias("_named"), "_children"), "settled")
+        following = done.select(F.explode("_children").alias("_slug"), "_named").select("_slug", F.array_contains("_named", F.col("_slug")).cast("int").alias("_late"))
+        ready = materialised(following, "settled")
+        last = ready.join(waiting.select(F.col("_of").alias("_slug")), "_slug", "left_anti").withColumn("_gone", F.array().cast("array<int>"))
+        found = done.select("_slug", "_late", "_gone").unionByName(last.select("_slug", "_late", "_gone"))
+        out = found if out is None else out.unionByName(found)
+    return materialised(out, "settled_slugs")

@@ -40,6 +40,27 @@ def calendar_rows(items: DataFrame) -> DataFrame:
     return rows.select("id", "index", F.col("d.date").alias("date"), F.col("d.label").alias("label"), F.date_format("d.date", "yyyy-MM").alias("month"))
 
 
+#: Longest name on a calendar, and how much of a longer one stays.
+SHORT_NAME, KEPT_NAME = 22, 20
+
+
+def calendar_entries(items: DataFrame, as_of: str) -> DataFrame:
+    """items: id, name, run_status, dates. What a calendar shows: a row for each milestone of the items that may run, with the shortened name."""
+    today = F.to_date(F.lit(as_of))
+    short = F.when(F.length("name") > SHORT_NAME, F.concat(F.substring("name", 1, KEPT_NAME), F.lit("…"))).otherwise(F.col("name"))
+    rows = items.filter(F.coalesce(F.col("run_status") != "not_running", F.lit(True))).select(*(c for c in items.columns if c not in ("dates", "name", "run_status")), short.alias("label"), F.explode(dates.display_milestones(F.col("dates"), today)).alias("m"))
+    return rows.select("*", F.col("m.date").alias("date"), F.col("m.label").alias("text"), F.col("m.type").alias("type"), F.col("m.past").alias("past")).drop("m")
+
+
+def calendar_lanes(items: DataFrame, saved: DataFrame, as_of: str) -> DataFrame:
+    """items: id, name, bucket, run_status, dates; saved: id. A lane a bucket without saved items, its months oldest first, and
+    whether each is this month or the next; buckets without dates have no lane."""
+    today = F.to_date(F.lit(as_of))
+    rows = calendar_entries(items.join(saved.select("id").distinct(), "id", "left_anti"), as_of)
+    month = F.date_format("date", "yyyy-MM")
+    return rows.withColumns({"month": month, "current": month == F.date_format(today, "yyyy-MM"), "next": month == F.date_format(F.add_months(today, 1), "yyyy-MM")})
+
+
 def months(items: DataFrame) -> DataFrame:
     return calendar_rows(items).groupBy("month").agg(F.count(F.lit(1)).alias("dates"), F.countDistinct("id").alias("items"))
 

@@ -195,8 +195,12 @@ def submissions(spark, d):
 
 
 def unique_slugs(spark, d):
-    p = b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", F.col("p_partkey").alias("pos"))
-    return editing.unique_slugs(p, text.slug(F.when(F.col("id") % 50 == 0, "!?").otherwise(F.col("p_name")))).select("id", "slug")
+    """Slugs of names, some of which end with a number as made slugs do; some ids are in use already."""
+    k = F.col("p_partkey")
+    name = F.concat("p_name", F.when(k % 45 == 7, " 2").when(k % 61 == 3, " 3").when(k % 55 == 9, " 2 2").when(k % 97 == 5, " 03").otherwise(""))
+    p = b.table(spark, d, "part").select(k.alias("id"), F.when(k % 50 == 0, "!?").otherwise(name).alias("name"), k.alias("pos"))
+    taken = b.table(spark, d, "part").filter("p_partkey % 83 = 1").select(F.concat(text.slug(F.col("p_name")), F.when(k % 2 == 0, "-3").otherwise("")).alias("id"))
+    return editing.unique_slugs(p, text.slug(F.col("name")), taken=taken).select("id", "slug")
 
 
 def low_value_urls(spark, d):
@@ -337,8 +341,13 @@ SELECT id, '{' || concat_ws(',', '"name":"' || name || '"', '"org":"' || org ||
     "submissions": f"""SELECT 'us' || page_id AS id, 'Page ' || page_id AS name, CASE WHEN page_id % 3 = 0 THEN 'Internship' ELSE (['Program', 'Internship', 'Research', 'Competition', 'Conference', 'Journal', 'Program'])[page_id % 7 + 1] END AS type, 'pending_review' AS moderation_status,
  CASE WHEN page_id % 5 IN (0, 2, 3) THEN 'submitted URL is a sub-page (faq/about/apply/etc), not the opportunity''s main page' ELSE '' END AS flags, CASE WHEN page_id % 2 = 0 THEN 'https://apply.example' ELSE regexp_extract(url, '^[^/]*//[^/?#]*') || '/' || (['FAQ', 'program', 'apply/', 'sign-up?x=1', ''])[page_id % 5 + 1] END AS apply_url,
  'apply_url' || CASE WHEN page_id % 4 = 0 THEN '|note' ELSE '' END || '|section' AS details FROM pages""",
-    "unique_slugs": r"""WITH s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 0 THEN 'opportunity' ELSE left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50) END AS s FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) AS n FROM s)
-SELECT id, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS slug FROM n""",
+    "unique_slugs": r"""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 0 THEN 'opportunity' ELSE left(regexp_replace(regexp_replace(lower(p_name || CASE WHEN p_partkey % 45 = 7 THEN ' 2' WHEN p_partkey % 61 = 3 THEN ' 3' WHEN p_partkey % 55 = 9 THEN ' 2 2' WHEN p_partkey % 97 = 5 THEN ' 03' ELSE '' END), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 50) END AS s FROM part),
+t AS (SELECT DISTINCT left(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), 50) || CASE WHEN p_partkey % 2 = 0 THEN '-3' ELSE '' END AS s FROM part WHERE p_partkey % 83 = 1),
+r AS (SELECT *, regexp_replace(s, '(-[0-9]+)+$', '') AS root FROM n), q AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY id) AS i FROM r),
+u AS (SELECT root, list(s) AS used FROM (SELECT s, regexp_replace(s, '(-[0-9]+)+$', '') AS root FROM t) GROUP BY 1),
+w AS (SELECT q0.root, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS slug, coalesce(u.used, CAST([] AS VARCHAR[])) AS used FROM (SELECT DISTINCT root FROM q) q0 LEFT JOIN u ON u.root = q0.root
+UNION ALL SELECT root, i, id, slug, list_append(used, slug) FROM (SELECT q.root, q.i, q.id, w.used, CASE WHEN NOT list_contains(w.used, q.s) THEN q.s ELSE q.s || '-' || list_min(list_filter(range(2, len(w.used) + 3), lambda k: NOT list_contains(w.used, q.s || '-' || k))) END AS slug FROM w JOIN q ON q.root = w.root AND q.i = w.i + 1))
+SELECT id, slug FROM w WHERE i > 0""",
     "low_value_urls": f"SELECT page_id, page_id % 26 < {len(urls.LOW_VALUE)} AS low_value FROM pages",
     "listing_merge": """WITH p AS (SELECT page_id, regexp_extract(url, '^[^/]*//[^/?#]*') AS site FROM pages), k AS (SELECT DISTINCT lower(site) AS key FROM p WHERE page_id % 4 = 0),
 n AS (SELECT page_id, CASE WHEN page_id % 9 = 1 THEN '' ELSE site END AS url, lower(CASE WHEN page_id % 9 = 1 THEN '' ELSE site END) AS key FROM p WHERE page_id % 4 <> 0), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS nth FROM n)

@@ -109,13 +109,29 @@ def emails(spark, d):
     return c.select("c_custkey", text.email(raw).alias("email"))
 
 
+def signup_consent(spark, d):
+    """Whether an account may be made; some answers are missing."""
+    c = b.table(spark, d, "customer")
+    given = F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal") > 0)
+    return c.select("c_custkey", text.consent_error(F.col("c_nationkey") % 2 == 0, F.when(F.col("c_mktsegment") != "FURNITURE", F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), given).alias("error"))
+
+
+def code_defaults(spark, d):
+    """Codes that answers gave, and what stands for those that are none: whether an entry runs, a verdict, a tier."""
+    o = b.table(spark, d, "orders")
+    runs = F.when(F.col("o_orderstatus") == "F", "running").when(F.col("o_orderstatus") == "O", "not_running").otherwise(F.col("o_orderstatus"))
+    verdict = F.lower(F.regexp_replace("o_orderpriority", "^1-URGENT$", "Positive"))
+    tier = F.when(F.col("o_orderpriority").startswith("2"), "strong").when(~F.col("o_orderpriority").startswith("5"), F.col("o_orderpriority"))
+    return o.select("o_orderkey", text.known_or_default(runs, text.RUN_STATUS).alias("run_status"), text.known_or_default(verdict, text.VERDICT).alias("verdict"), text.known_or_default(tier, text.TIER).alias("tier"))
+
+
 def code_maps(spark, d):
     """Buckets of kinds and types of sections, with their defaults; hues of keys."""
     p = b.table(spark, d, "part")
     k = F.col("p_partkey")
     of = lambda known, key, other: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), key), F.lit(other))
     bucket = of(SECTION_KINDS, _pick(k, *SECTION_KINDS, "none"), "summerPrograms")
-    return p.select(k.alias("id"), bucket.alias("bucket"), of(editing.SECTION_TYPES, bucket, "Program").alias("type"), extract.hue(F.col("p_name")).between(0, 359).alias("hue_ok"))
+    return p.select(k.alias("id"), bucket.alias("bucket"), of(editing.SECTION_TYPES, bucket, "Program").alias("type"), extract.hue(F.col("p_name")).alias("hue"))
 
 
 def _dates(k):
@@ -265,7 +281,7 @@ def surface_days(spark, d):
     return costs.surface_days(b.user_costs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (json_ids, prompt_candidates, student_lines, transcript_exchange, entry_fields, preview_lines, unwrapped_answers, profile_sections, legacy_profiles, profile_sufficiency, candidate_rows, emails, code_maps, valid_dates, unified_dates, with_openings, cleaned_lists, action_lists, action_cycle, action_counts, settings_overlay, starter_rotation, saved_split, toggled_items, home_stats, tracked_totals, selection_plan, merged_checks, tag_enrichment, kind_search, type_search, result_pages, surface_days)}
+QUERIES = {f.__name__: f for f in (json_ids, prompt_candidates, student_lines, transcript_exchange, entry_fields, preview_lines, unwrapped_answers, profile_sections, legacy_profiles, profile_sufficiency, candidate_rows, emails, signup_consent, code_defaults, code_maps, valid_dates, unified_dates, with_openings, cleaned_lists, action_lists, action_cycle, action_counts, settings_overlay, starter_rotation, saved_split, toggled_items, home_stats, tracked_totals, selection_plan, merged_checks, tag_enrichment, kind_search, type_search, result_pages, surface_days)}
 
 _DAY = "strftime(DATE '1998-06-01' + CAST(k * {0} % 97 AS INTEGER), '%Y-%m-%d')"
 _P = "p AS (SELECT p_partkey AS k, p_name, p_brand, p_type, p_size FROM part)"
@@ -293,8 +309,10 @@ ORACLES = {
     "legacy_profiles": f"WITH {_P} SELECT k AS id, CASE WHEN k % 3 = 0 THEN 'Likes ' || p_brand ELSE CASE WHEN k % 2 = 0 THEN 'Passion projects: boats. ' ELSE '' END || 'Interests: ' || p_name || '; art' END AS profile FROM p",
     "profile_sufficiency": r"WITH n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\s+'), lambda w: w <> '')) AS n FROM documents) SELECT doc_id, n >= 20 AS enough, n < 50 AS thin FROM n",
     "candidate_rows": f"WITH {_P} SELECT k AS id, CASE WHEN k % 6 <> 0 THEN p_name END AS name, CASE WHEN k % 6 = 0 THEN NULL WHEN p_type IN ('ECONOMY', 'PROMO', 'SMALL') THEN p_type ELSE 'SEEDED' END AS type, CASE WHEN k % 6 <> 0 THEN (['Free', NULL, 'Paid'])[k % 3 + 1] END AS price, CASE WHEN k % 6 <> 0 THEN ([9, NULL, NULL, 11])[k % 4 + 1] END AS grade_min, CASE WHEN k % 6 <> 0 THEN (['a|b', 'solo', NULL, NULL, NULL])[k % 5 + 1] END AS tags, k % 6 <> 0 AS valid FROM p",
-    "emails": r"""WITH e AS (SELECT c_custkey, lower(trim(' ' || regexp_replace(c_name, '[# ]', (['', '.', ' ', '@'])[c_custkey % 4 + 1], 'g') || (['@Mail.example', '@mail', '@a.b'])[c_custkey % 3 + 1] || ' ')) AS e FROM customer) SELECT c_custkey, CASE WHEN regexp_matches(e, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN e END AS email FROM e""",
-    "code_maps": f"WITH {_P}, b AS (SELECT k, (['summerPrograms', 'internships', 'researchCompetitions', 'pureCompetitions', 'conferences', 'journals', 'summerPrograms'])[k % 7 + 1] AS bucket FROM p) SELECT k AS id, bucket, CASE bucket WHEN 'summerPrograms' THEN 'Program' WHEN 'internships' THEN 'Internship' WHEN 'researchCompetitions' THEN 'Research' WHEN 'pureCompetitions' THEN 'Competition' WHEN 'conferences' THEN 'Conference' ELSE 'Journal' END AS type, true AS hue_ok FROM b",
+    "emails": r"""WITH e AS (SELECT c_custkey, lower(trim(' ' || regexp_replace(c_name, '[# ]', (['', '.', ' ', '@'])[c_custkey % 4 + 1], 'g') || (['@Mail.example', '@mail', '@a.b'])[c_custkey % 3 + 1] || ' ')) AS e FROM customer) SELECT c_custkey, CASE WHEN regexp_matches(e, '^[^\s@,()\x22\x27]+@[^\s@,()\x22\x27]+\.[^\s@,()\x22\x27]{2,}$') THEN e END AS email FROM e""",
+    "signup_consent": "WITH c AS (SELECT c_custkey, c_nationkey % 2 = 0 AS adult, coalesce(c_mktsegment IN ('BUILDING', 'MACHINERY'), false) AS guardian, c_custkey % 9 <> 0 AND c_acctbal > 0 AS terms FROM customer) SELECT c_custkey, CASE WHEN NOT terms THEN 'terms' WHEN NOT adult AND NOT guardian THEN 'guardian' END AS error FROM c",
+    "code_defaults": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'running' WHEN 'O' THEN 'not_running' ELSE 'unknown' END AS run_status, CASE WHEN o_orderpriority = '1-URGENT' THEN 'positive' ELSE 'insufficient_data' END AS verdict, CASE WHEN o_orderpriority LIKE '2%' THEN 'strong' ELSE 'look' END AS tier FROM orders",
+    "code_maps": f"WITH {_P}, b AS (SELECT k, (['summerPrograms', 'internships', 'researchCompetitions', 'pureCompetitions', 'conferences', 'journals', 'summerPrograms'])[k % 7 + 1] AS bucket FROM p) SELECT k AS id, bucket, CASE bucket WHEN 'summerPrograms' THEN 'Program' WHEN 'internships' THEN 'Internship' WHEN 'researchCompetitions' THEN 'Research' WHEN 'pureCompetitions' THEN 'Competition' WHEN 'conferences' THEN 'Conference' ELSE 'Journal' END AS type, abs(CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: c + ((h * 32 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 - h) AS DOUBLE) * 137.508) % 360 AS hue FROM b JOIN p USING (k)",
     "valid_dates": f"WITH {_P}, {_RAW}, v AS (SELECT k, date, coalesce(nullif(label, ''), 'Date') AS label, coalesce(nullif(type, ''), 'deadline') AS type FROM r WHERE coalesce(date, '') <> '') SELECT k AS id, CAST(row_number() OVER (PARTITION BY k ORDER BY date, label, type) - 1 AS INTEGER) AS place, date, label, type FROM v",
     "unified_dates": f"""WITH {_P}, {_RAW}, u AS (SELECT k, i, CASE WHEN k % 5 = 0 THEN concat_ws('/', date, label, type) ELSE date || '/' || coalesce(nullif(label, ''), 'Deadline') || '/deadline' END AS s FROM r WHERE k % 5 = 0 OR (k % 7 <> 0 AND coalesce(date, '') <> '') UNION ALL SELECT k, -1, '1998-06-01/Opens/opens' FROM p WHERE k % 2 = 0 AND k % 5 <> 0)
 SELECT k AS id, coalesce(string_agg(s, '|' ORDER BY i), '') AS dates FROM p LEFT JOIN u USING (k) GROUP BY 1""",

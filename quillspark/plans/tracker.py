@@ -45,6 +45,18 @@ def calendar_headings(spark, d):
     return tracker.year_headings(tracker.calendar_rows(b.tracker_items(spark, d))).filter("heading").select("id", "index", "date")
 
 
+def calendar_lanes(spark, d):
+    """Dates of items in lanes by bucket and month; saved items and those that do not run are left out, missing labels and types have their defaults."""
+    l, o = b.table(spark, d, "lineitem"), b.table(spark, d, "orders")
+    one = F.struct("l_linenumber", F.when(F.col("l_quantity") % 11 != 0, F.to_date("l_shipdate")).alias("date"), F.when(F.col("l_linenumber") % 5 == 0, "").when(F.col("l_linenumber") % 3 != 0, F.col("l_linestatus")).alias("label"), F.when(F.col("l_suppkey") % 3 != 0, F.col("l_returnflag")).alias("type"))
+    dated = l.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["date"].alias("date"), x["label"].alias("label"), x["type"].alias("type"))).alias("dates"))
+    name = F.concat(F.lit("Item "), "o_orderkey", F.lit(" "), "o_orderpriority", F.when(F.col("o_orderstatus") == "F", " of the year").otherwise(""))
+    run = F.when(F.col("o_orderstatus") == "P", "not_running").when(F.col("o_custkey") % 4 != 0, "running")
+    items = o.join(dated, "o_orderkey").select(F.col("o_orderkey").alias("id"), name.alias("name"), F.col("o_orderpriority").alias("bucket"), run.alias("run_status"), "dates")
+    saved = o.filter("o_custkey % 6 = 0").select(F.col("o_orderkey").alias("id"))
+    return tracker.calendar_lanes(items, saved, TODAY).select("bucket", "month", "date", "label", "id", "text", "type", "past", "current", "next")
+
+
 def calendar_export(spark, d):
     return tracker.calendar_text(b.tracker_items(spark, d)).select("uid", F.md5("block").alias("block_md5"))
 
@@ -180,7 +192,7 @@ def stream_daily_rollup(spark, d):
     return rollup.read_daily(spark, f"{root}/sums").select("userid", "day", "surface", "calls", "cost_usd")
 
 
-QUERIES = {f.__name__: f for f in (tracker_next_deadline, tracker_milestones, tracker_status, tracker_status_counts, tracker_order, calendar_months, calendar_headings, calendar_export, due_soon, palette_slots, subscription_state, access_gate, promo_redeem, trial_start, derived_freshness, review_queue, review_slices, queue_histogram, due_for_review, review_sample, snapshot_plan, moderation_apply, keyed_changes, usage_upsert, minted_ids, conversation_pairs, json_recover, fuzzy_candidates, greedy_dedupe, mock_enriched, stream_daily_rollup)}
+QUERIES = {f.__name__: f for f in (tracker_next_deadline, tracker_milestones, tracker_status, tracker_status_counts, tracker_order, calendar_months, calendar_headings, calendar_lanes, calendar_export, due_soon, palette_slots, subscription_state, access_gate, promo_redeem, trial_start, derived_freshness, review_queue, review_slices, queue_histogram, due_for_review, review_sample, snapshot_plan, moderation_apply, keyed_changes, usage_upsert, minted_ids, conversation_pairs, json_recover, fuzzy_candidates, greedy_dedupe, mock_enriched, stream_daily_rollup)}
 
 _ITEMS = """l AS (SELECT l_orderkey AS id, CAST(l_shipdate AS DATE) AS date, l_linestatus AS label, l_returnflag AS type FROM lineitem)"""
 _NEXT = f"""{_ITEMS}, nx AS (SELECT id, coalesce(min({{'d': date, 'l': label, 't': type}}) FILTER (date >= DATE '1998-06-30'), max({{'d': date, 'l': label, 't': type}})) AS n FROM l GROUP BY 1)"""
@@ -197,6 +209,9 @@ ORACLES = {
     "tracker_status": f"WITH {_ST} SELECT id, status FROM st",
     "tracker_status_counts": f"WITH {_ST} SELECT status, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS percent FROM st GROUP BY 1",
     "tracker_order": f"WITH {_NEXT}, st AS (SELECT id, CASE WHEN id % 23 = 0 THEN 'completed' WHEN min(date) >= DATE '1998-07-01' THEN 'not_started' WHEN max(date) >= DATE '1998-06-30' THEN 'in_progress' WHEN max(type) = 'R' AND id % 19 <> 0 THEN 'not_started' ELSE 'completed' END AS status FROM l GROUP BY 1) SELECT row_number() OVER (ORDER BY CASE status WHEN 'in_progress' THEN 0 WHEN 'not_started' THEN 1 ELSE 2 END, n.d, id) AS place, id, status FROM st JOIN nx USING (id)",
+    "calendar_lanes": """WITH x AS (SELECT l_orderkey AS id, l_linenumber AS i, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_linenumber % 5 = 0 THEN '' WHEN l_linenumber % 3 <> 0 THEN l_linestatus END AS label, CASE WHEN l_suppkey % 3 <> 0 THEN l_returnflag END AS type FROM lineitem WHERE l_quantity % 11 <> 0),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY id, date, coalesce(label, '') ORDER BY i, date, label NULLS FIRST, type NULLS FIRST) = 1), n AS (SELECT o_orderkey AS id, o_orderpriority AS bucket, 'Item ' || o_orderkey || ' ' || o_orderpriority || CASE WHEN o_orderstatus = 'F' THEN ' of the year' ELSE '' END AS name FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 6 <> 0)
+SELECT bucket, strftime(date, '%Y-%m') AS month, date, CASE WHEN length(name) > 22 THEN left(name, 20) || '…' ELSE name END AS label, n.id, coalesce(nullif(y.label, ''), 'Date') AS text, coalesce(type, 'deadline') AS type, date < DATE '1998-06-30' AS past, strftime(date, '%Y-%m') = '1998-07' AS current, strftime(date, '%Y-%m') = '1998-08' AS next FROM y JOIN n ON n.id = y.id""",
     "calendar_months": f"WITH {_ITEMS} SELECT strftime(date, '%Y-%m') AS month, count(*) AS dates, count(DISTINCT id) AS items FROM l GROUP BY 1",
     "calendar_headings": f"WITH {_ITEMS}, r AS (SELECT id, date, row_number() OVER (PARTITION BY id ORDER BY date, label, type) - 1 AS index FROM l), h AS (SELECT *, lag(year(date)) OVER (PARTITION BY id ORDER BY index) AS y FROM r) SELECT id, CAST(index AS INTEGER) AS index, date FROM h WHERE y IS NULL OR y <> year(date)",
     "calendar_export": f"WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date, label, type) - 1 AS i FROM l) SELECT id || '-' || i AS uid, md5('BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || id || '-' || i || chr(13) || chr(10) || 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d') || chr(13) || chr(10) || 'DTEND;VALUE=DATE:' || strftime(date + 1, '%Y%m%d') || chr(13) || chr(10) || 'SUMMARY:' || label || chr(13) || chr(10) || 'END:VEVENT') AS block_md5 FROM r",
