@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, extract, nested, text
-from quillspark.operators import costs, editing, search, tracker
+from quillspark.operators import costs, editing, profiles, search, tracker
 from quillspark.plans.search import SECTION_KINDS
 from quillspark.sources import bindings as b
 
@@ -266,6 +266,19 @@ def kind_search(spark, d):
     return search.across_kinds(rows, KINDS, ABOUT, F.concat_ws(" ", "name", "org"), 12, 4)
 
 
+def many_profiles(spark, d):
+    """Every customer's profile, which tells of the parts of their first order, against the whole catalog, kind by kind."""
+    o, l, p, c = (b.table(spark, d, t) for t in ("orders", "lineitem", "part", "customer"))
+    first = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("f")).select("c_custkey", F.col("f.o_orderkey").alias("l_orderkey"))
+    bought = first.join(l, "l_orderkey").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("c_custkey").agg(F.array_join(F.array_sort(F.collect_set("p_name")), ", ").alias("names"), F.min("p_type").alias("hint"))
+    about = F.concat(F.lit("I like "), F.coalesce("names", F.lit("nothing yet")), F.when(F.col("c_nationkey") % 3 != 0, F.concat(F.lit(". Grade "), 6 + F.col("c_nationkey") % 7)).otherwise(""))
+    rows = c.join(bought, "c_custkey", "left").select(F.col("c_custkey").alias("profile"), about.alias("about"), F.when(F.col("c_custkey") % 4 != 0, F.array(F.split("names", " ")[0], "hint")).alias("hints"))
+    rows = rows.withColumn("grade", text.grade(F.col("about")))
+    found = profiles.many_profiles(rows, b.catalog(spark, d), F.concat_ws(" ", "name", "org"), F.split("name", " "), KINDS)
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"].cast("string")), ",")
+    return found.groupBy("profile", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"), F.md5(ids).alias("ids_md5"))
+
+
 def type_search(spark, d):
     """One kind with price and place preferences, which are given up where fewer than 20 remain."""
     rows = b.catalog(spark, d)
@@ -281,7 +294,7 @@ def surface_days(spark, d):
     return costs.surface_days(b.user_costs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (json_ids, prompt_candidates, student_lines, transcript_exchange, entry_fields, preview_lines, unwrapped_answers, profile_sections, legacy_profiles, profile_sufficiency, candidate_rows, emails, signup_consent, code_defaults, code_maps, valid_dates, unified_dates, with_openings, cleaned_lists, action_lists, action_cycle, action_counts, settings_overlay, starter_rotation, saved_split, toggled_items, home_stats, tracked_totals, selection_plan, merged_checks, tag_enrichment, kind_search, type_search, result_pages, surface_days)}
+QUERIES = {f.__name__: f for f in (json_ids, prompt_candidates, student_lines, transcript_exchange, entry_fields, preview_lines, unwrapped_answers, profile_sections, legacy_profiles, profile_sufficiency, candidate_rows, emails, signup_consent, code_defaults, code_maps, valid_dates, unified_dates, with_openings, cleaned_lists, action_lists, action_cycle, action_counts, settings_overlay, starter_rotation, saved_split, toggled_items, home_stats, tracked_totals, selection_plan, merged_checks, tag_enrichment, kind_search, many_profiles, type_search, result_pages, surface_days)}
 
 _DAY = "strftime(DATE '1998-06-01' + CAST(k * {0} % 97 AS INTEGER), '%Y-%m-%d')"
 _P = "p AS (SELECT p_partkey AS k, p_name, p_brand, p_type, p_size FROM part)"
@@ -335,6 +348,15 @@ m AS (SELECT a.id, a.place, a.intent, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.
 SELECT t.id, CAST(t.place AS INTEGER) AS place, t.tag, f.intent FROM t LEFT JOIN f ON f.id = t.id AND f.tag = t.tag""",
     "kind_search": f"""WITH {_CAT}, {_kind('small', "'SMALL'", 15)}, {_kind('rare', "'NOSUCH'", 1)}, {_kind('promo', "'PROMO', 'ECONOMY'", 15)}, u AS (SELECT 'small' AS kind, id, score FROM small_s UNION ALL SELECT 'rare', id, score FROM rare_s UNION ALL SELECT 'promo', id, score FROM promo_s),
 n AS (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS place FROM u) SELECT kind, CAST(place AS INTEGER) AS place, id, CASE WHEN place <= 4 THEN 'strong' ELSE 'look' END AS tier FROM n WHERE place <= 12""",
+    "many_profiles": f"""WITH f AS (SELECT o_custkey AS c_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1), g AS (SELECT c_custkey, string_agg(DISTINCT p_name, ', ' ORDER BY p_name) AS names, min(p_type) AS hint FROM f JOIN lineitem ON l_orderkey = k JOIN part ON p_partkey = l_partkey GROUP BY 1),
+a AS (SELECT c.c_custkey AS profile, 'I like ' || coalesce(names, 'nothing yet') || CASE WHEN c_nationkey % 3 <> 0 THEN '. Grade ' || (6 + c_nationkey % 7) ELSE '' END AS about, CASE WHEN c_nationkey % 3 <> 0 THEN 6 + c_nationkey % 7 END AS grade, CASE WHEN c.c_custkey % 4 <> 0 THEN [lower(string_split(names, ' ')[1]), lower(hint)] ELSE [] END AS hints FROM customer c LEFT JOIN g ON g.c_custkey = c.c_custkey),
+q AS (SELECT profile, grade, hints, list_distinct(list_filter(regexp_extract_all(lower(about), '[a-z0-9'']+'), lambda t: length(t) >= 3 AND NOT list_contains({list(text.STOPWORDS)}, t))) AS terms FROM a),
+cat AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_brand) AS t, list_transform(string_split(p_name, ' '), lambda x: lower(x)) AS tags, p_type AS type, CASE WHEN p_partkey % 9 <> 0 THEN p_size % 12 END AS lo, CASE WHEN p_partkey % 8 <> 0 THEN p_size % 12 + 3 END AS hi FROM part),
+kinds(kind, types, least) AS (VALUES {', '.join(f"('{k}', {t}, {1 if s else 15})" for k, (t, s) in KINDS.items())}), gate AS (SELECT kind, types, count(*) FILTER (list_contains(types, type)) >= any_value(least) AS on_ FROM kinds, cat GROUP BY 1, 2),
+pool AS (SELECT kind, cat.* FROM gate JOIN cat ON NOT on_ OR list_contains(types, type)),
+s AS (SELECT profile, kind, id, len(list_filter(terms, lambda w: contains(t, w))) + CASE WHEN list_has_any(tags, hints) THEN 3 ELSE 0 END AS score FROM q, pool WHERE grade IS NULL OR (coalesce(lo, grade) <= grade AND coalesce(hi, grade) >= grade)),
+n AS (SELECT *, count(*) FILTER (score > 0) OVER (PARTITION BY profile, kind) AS many FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY profile, kind ORDER BY score DESC, id) AS place FROM n WHERE many < 60 OR score > 0)
+SELECT profile, kind, count(*) AS n, CAST(sum(score) AS BIGINT) AS score, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY place)) AS ids_md5 FROM o WHERE place <= 100 GROUP BY 1, 2""",
     "type_search": f"""WITH {_CAT}, {_kind('promo', "'PROMO'", 15)}, g AS (SELECT count(*) FILTER (free AND org = 'Brand#7') AS n FROM promo_s) SELECT id, score FROM promo_s, g WHERE n < 20 OR (free AND org = 'Brand#7') ORDER BY score DESC, id LIMIT 10""",
     "result_pages": "SELECT p_partkey AS id, p_name AS name FROM part ORDER BY p_name, p_partkey LIMIT 10 OFFSET 20",
     "surface_days": """SELECT CASE event_type WHEN 'click' THEN 'gemini' WHEN 'view' THEN 'claude' WHEN 'purchase' THEN 'deadline_check' WHEN 'error' THEN 'claude' ELSE event_type END AS surface, CAST(ts AS DATE) AS day, count(*) AS calls, CAST(sum(event_id % 1000) AS BIGINT) AS input_tokens, CAST(sum(event_id % 300) AS BIGINT) AS output_tokens, CAST(sum(event_id % 4) AS BIGINT) AS web_searches,
