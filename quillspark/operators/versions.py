@@ -33,11 +33,11 @@ class Conflict(RuntimeError):
 
 
 @dataclass
-class VersionedTable:
+class Manifests:
+    """The numbered manifests of a folder; the one with the greatest number holds."""
+
     spark: SparkSession
     root: str
-    key: str = "id"
-    buckets: int = BUCKETS
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -65,6 +65,13 @@ class VersionedTable:
         out.write(json.dumps(manifest).encode())
         out.close()
 
+
+@dataclass
+class VersionedTable(Manifests):
+    key: str = "id"
+    buckets: int = BUCKETS
+    log_schema: str = LOG
+
     def _bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
@@ -91,7 +98,7 @@ class VersionedTable:
 
     def log(self, version: int | None = None) -> DataFrame:
         folders = [f"{self.root}/log/{name}" for name in self.manifest(version)["log"]]
-        return self.spark.read.schema(LOG).parquet(*folders) if folders else self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(self.log_schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.log_schema)
 
     def swept(self) -> list[str]:
         """Delete the stages that no manifest names; their names. Only while no change is under way."""
@@ -106,13 +113,22 @@ class VersionedTable:
                     gone.append(f.getPath().getName())
         return gone
 
-    def changed(self, changes: DataFrame, log: DataFrame | None = None, base: int | None = None) -> int:
-        """Publish changes: key, op and `row` or `columns`. Returns the new version.
+    def done(self, writer: str, batch: int) -> bool:
+        """Whether a writer's batch is in the table."""
+        return self.manifest().get("batches", {}).get(writer, -1) >= batch
+
+    def changed(self, changes: DataFrame, log: DataFrame | None = None, base: int | None = None, batch: tuple[str, int] | None = None) -> int:
+        """Publish changes: key, op and `row` or `columns`, and the rows of the log that go with them. Returns the new version.
+
+        batch: a writer's name and the number of its batch, which count up. A batch that the table has already changes nothing, so a
+        writer that is run again after a failure, as a stream is, writes table and log exactly once.
 
         op "upsert" replaces the row or adds it, "insert" adds it where the key is free, "delete" removes it; `row` is a struct of the
         table's columns. op "patch" sets the named `columns` (text by name) of a row that is there. A key has one row of
         upsert, insert or delete, and any number of columns, each once. Only touched buckets are read and written."""
         m = self.manifest(base)
+        if batch is not None and m.get("batches", {}).get(batch[0], -1) >= batch[1]:
+            return m["version"]
         schema = StructType.fromJson(json.loads(m["schema"]))
         changes = materialised(changes, "changes")
         touched = sorted(r[0] for r in changes.select(self._bucket(F.col(self.key)).alias("b")).distinct().collect())  # a number a bucket
@@ -123,15 +139,16 @@ class VersionedTable:
         new = F.coalesce((F.col("_op") == "upsert") | ((F.col("_op") == "insert") & F.col("_there").isNull()), F.lit(False))
         kept = both.filter(F.coalesce(F.col("_op") != "delete", F.lit(True)) & (F.coalesce("_there", F.lit(False)) | new))
         out = kept.select(*(self._value(f, new).alias(f.name) for f in schema.fields))
-        name, _ = self.stage(out)
+        name = self.stage(out)[0] if touched else ""
         # a bucket that lost its last row is in the new stage too, as a folder that is not there
         stages = {**m["stages"], **{str(b): name for b in touched}}
         logs = list(m["log"])
         if log is not None:
             own = uuid.uuid4().hex
-            log.withColumn("version", F.lit(m["version"] + 1).cast("long")).select(*(c.split()[0] for c in LOG.split(", "))).write.parquet(f"{self.root}/log/{own}")
+            log.withColumn("version", F.lit(m["version"] + 1).cast("long")).select(*(c.split()[0] for c in self.log_schema.split(", "))).write.parquet(f"{self.root}/log/{own}")
             logs.append(own)
-        self.publish({"version": m["version"] + 1, "schema": m["schema"], "stages": stages, "log": logs})
+        batches = {**m.get("batches", {}), **({batch[0]: batch[1]} if batch else {})}
+        self.publish({"version": m["version"] + 1, "schema": m["schema"], "stages": stages, "log": logs, "batches": batches})
         return m["version"] + 1
 
     def _value(self, field, new: Column) -> Column:

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates
-from quillspark.operators import accounts, caches, curation, enrich, tracker
+from quillspark.operators import accounts, caches, checks, curation, enrich, tracker, versions
 from quillspark.sources import bindings as b
 from quillspark.sources.shared import shared_dir
-from quillspark.streaming import rollup, state
+from quillspark.streaming import increments, rollup, state
 
 TODAY = b.AS_OF_ORDERS
 
@@ -85,6 +85,44 @@ def log_stream(spark, d):
     return got.select("agent", F.size("lines").cast("long").alias("given"), F.md5(F.array_join("lines", "|")).alias("lines_md5"), "next", "dropped")
 
 
+def usage_increments(spark, d):
+    """Sums and exact numbers of users by day, by surface, by both and in all, after three runs of a stream whose batches add up; the parts are merged as they grow."""
+    e = b.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("surface"), F.col("value").cast("decimal(14,6)").alias("cost_usd"), "event_id")
+    root = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
+    kept = increments.UsageSums(spark, f"{root}/sums", most=3)
+    for n in range(3):
+        e.filter(F.col("event_id") % 3 == n).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{root}/in")
+        stream.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(lambda rows, batch: kept.add(rows, batch)).trigger(availableNow=True).start().awaitTermination()
+        kept.add(e.filter("event_id % 3 = 1"), 0)  # a batch that comes again changes nothing
+    return kept.sums()
+
+
+def _date_checks(spark, d):
+    """Three batches of requests, four days apart, each run twice."""
+    o, l = b.table(spark, d, "orders"), b.table(spark, d, "lineitem")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "running").otherwise("unknown").alias("status"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).cast("timestamp_ntz").alias("last_checked_at"))
+    table = versions.VersionedTable(spark, f"{shared_dir(spark)}/checks-{uuid.uuid4().hex}", log_schema=checks.LOG)
+    table.create(rows)
+    answers = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "not_running").otherwise("odd").alias("status"))
+    for n in range(3):
+        now = F.lit(TODAY).cast("timestamp") + F.make_interval(days=F.lit(4 * n))
+        asked = l.filter(F.col("l_linenumber") % 3 == n).select(F.when(F.col("l_suppkey") % 10 == 0, -F.col("l_suppkey")).otherwise(F.col("l_orderkey")).alias("id"))
+        for _ in range(2):
+            checks.checked(table, asked, answers, now, ("requests", n))
+    return table
+
+
+def dates_written_back(spark, d):
+    """Rows after checks on demand: those that were stale when they were asked for have a new status and time."""
+    return _date_checks(spark, d).read().select("id", "status", "last_checked_at")
+
+
+def date_check_log(spark, d):
+    """What was asked in each batch and how it was answered; the log changes with the table, once a batch."""
+    return _date_checks(spark, d).log().select("id", "source", "status", "checked_at", "version")
+
+
 def log_append(spark, d):
     o = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     again = o.filter("id % 3 = 0")
@@ -197,12 +235,16 @@ def stream_surface_rollup(spark, d):
     return rollup.read_daily(spark, f"{root}/sums", ("day", "surface")).select("day", "surface", "calls", "cost_usd")
 
 
-QUERIES = {f.__name__: f for f in (cache_reads, deadline_reads, token_uses, log_tails, cache_stream, token_stream, log_stream, log_append, replaced_rows, catalog_export, summary_changes, first_turns, account_values, calendar_files, calendar_sync, enriched_rows, mock_ranking, subject_inference, scored_results, active_kinds, date_values, batch_numbers, grade_fields, stream_surface_rollup)}
+QUERIES = {f.__name__: f for f in (cache_reads, deadline_reads, token_uses, log_tails, cache_stream, token_stream, log_stream, usage_increments, dates_written_back, date_check_log, log_append, replaced_rows, catalog_export, summary_changes, first_turns, account_values, calendar_files, calendar_sync, enriched_rows, mock_ranking, subject_inference, scored_results, active_kinds, date_values, batch_numbers, grade_fields, stream_surface_rollup)}
 
 _CACHE = """WITH RECURSIVE f AS (SELECT user_id AS key, min(ts) AS t FROM events GROUP BY 1 UNION ALL SELECT f.key, (SELECT min(ts) FROM events e WHERE e.user_id = f.key AND e.ts >= f.t + INTERVAL 7 DAY) AS t FROM f WHERE f.t IS NOT NULL),
 w AS (SELECT key, t, min(event_id) AS id FROM f JOIN events ON user_id = key AND ts = t GROUP BY 1, 2) SELECT event_id AS id, CASE WHEN w.id IS NOT NULL THEN 'fetch' ELSE 'cached' END AS source FROM events LEFT JOIN w ON w.id = event_id"""
 _TOKENS = """WITH m AS (SELECT user_id % 40 AS token, min(ts) AS made FROM events WHERE event_type = 'signup' GROUP BY 1), t AS (SELECT event_id AS id, user_id % 40 AS token, ts, made, ts >= made AND ts <= made + INTERVAL 1 DAY AS alive FROM events LEFT JOIN m ON m.token = user_id % 40 WHERE event_type <> 'signup'),
 f AS (SELECT token, arg_min(id, (ts, id)) AS first FROM t WHERE alive GROUP BY 1) SELECT t.id, CASE WHEN made IS NULL OR ts < made THEN 'unknown' WHEN NOT alive THEN 'expired' WHEN t.id = first THEN 'ok' ELSE 'used' END AS verdict FROM t LEFT JOIN f ON f.token = t.token"""
+_CHECKS = """o AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'running' ELSE 'unknown' END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS seen, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'not_running' ELSE 'unknown' END AS answer FROM orders),
+q AS (SELECT DISTINCT CASE WHEN l_suppkey % 10 = 0 THEN -l_suppkey ELSE l_orderkey END AS id, l_linenumber % 3 AS n FROM lineitem),
+a AS (SELECT o.*, a.n IS NOT NULL AS a0, b.n IS NOT NULL AS a1, c.n IS NOT NULL AS a2, coalesce(seen > TIMESTAMP '1998-06-24', false) AS f0 FROM o LEFT JOIN q a ON a.id = o.id AND a.n = 0 LEFT JOIN q b ON b.id = o.id AND b.n = 1 LEFT JOIN q c ON c.id = o.id AND c.n = 2),
+b AS (SELECT *, a0 AND NOT f0 AS c0 FROM a), c AS (SELECT *, a1 AND NOT (c0 OR coalesce(seen > TIMESTAMP '1998-06-28', false)) AS c1 FROM b), e AS (SELECT *, a2 AND NOT (c1 OR (NOT c0 AND coalesce(seen > TIMESTAMP '1998-07-02', false))) AS c2 FROM c)"""
 _ROWS = "r AS (SELECT l_orderkey AS id, CAST(l_shipdate AS DATE) AS date, l_linestatus AS label, l_returnflag AS type FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date, label, type) - 1 AS i FROM r)"
 _BLOCK = "'BEGIN:VEVENT' || nl || 'UID:' || id || '-' || i || nl || 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d') || nl || 'DTEND;VALUE=DATE:' || strftime(date + 1, '%Y%m%d') || nl || 'SUMMARY:' || label || nl || 'END:VEVENT'"
 _SUBJECTS = "[" + ", ".join(f"'{s}'" for s in enrich.SUBJECTS) + "]"
@@ -218,6 +260,12 @@ q AS (SELECT agent, n, unnest([0, n - 20, n + 5]) AS since FROM c) SELECT q.agen
 FROM q LEFT JOIN l ON l.agent = q.agent AND l.nth > greatest(q.since, q.n - 500) GROUP BY q.agent, q.since UNION ALL SELECT 'no ' || agent, 0, md5(''), 0, 0 FROM c""",
     "log_tails": """WITH s(agent, since) AS (VALUES ('click', 10), ('view', 0), ('error', 1000000000), ('none', 5)), l AS (SELECT event_type AS agent, event_id AS line_no, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS nth FROM events)
 SELECT s.agent, count(line_no) FILTER (nth <= 50) AS given, count(line_no) FILTER (nth > 50) AS dropped, min(line_no) FILTER (nth <= 50) AS first_line, max(line_no) FILTER (nth <= 50) AS last_line FROM s LEFT JOIN l ON l.agent = s.agent AND line_no >= since GROUP BY 1""",
+    "usage_increments": """SELECT CAST(ts AS DATE) AS day, event_type AS surface, CASE WHEN grouping(CAST(ts AS DATE)) + grouping(event_type) = 0 THEN 'day+surface' WHEN grouping(event_type) = 1 AND grouping(CAST(ts AS DATE)) = 1 THEN 'all' WHEN grouping(event_type) = 1 THEN 'day' ELSE 'surface' END AS level, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(14,6))) AS DECIMAL(38,6)) AS cost_usd, count(DISTINCT user_id) AS users
+FROM events GROUP BY GROUPING SETS ((CAST(ts AS DATE), event_type), (CAST(ts AS DATE)), (event_type), ())""",
+    "dates_written_back": f"WITH {_CHECKS} SELECT id, CASE WHEN c0 OR c1 OR c2 THEN answer ELSE status END AS status, CASE WHEN c2 THEN TIMESTAMP '1998-07-09' WHEN c1 THEN TIMESTAMP '1998-07-05' WHEN c0 THEN TIMESTAMP '1998-07-01' ELSE seen END AS last_checked_at FROM e",
+    "date_check_log": f"""WITH {_CHECKS} SELECT id, CASE WHEN c0 THEN 'check' ELSE 'cached' END AS source, CASE WHEN c0 THEN answer ELSE status END AS status, TIMESTAMP '1998-07-01' AS checked_at, CAST(2 AS BIGINT) AS version FROM e WHERE a0
+UNION ALL SELECT id, CASE WHEN c1 THEN 'check' ELSE 'cached' END, CASE WHEN c0 OR c1 THEN answer ELSE status END, TIMESTAMP '1998-07-05', 3 FROM e WHERE a1 UNION ALL SELECT id, CASE WHEN c2 THEN 'check' ELSE 'cached' END, CASE WHEN c0 OR c1 OR c2 THEN answer ELSE status END, TIMESTAMP '1998-07-09', 4 FROM e WHERE a2
+UNION ALL SELECT id, 'unknown', NULL, TIMESTAMP '1998-07-01' + to_days(CAST(4 * n AS INTEGER)), 2 + n FROM q WHERE id < 0""",
     "log_append": "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0",
     "replaced_rows": """WITH n AS (SELECT l_partkey AS id, arg_max(l_returnflag, (l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_returnflag, l_shipdate)) AS name FROM lineitem WHERE l_partkey % 4 = 0 GROUP BY 1), u AS (SELECT p_partkey AS id, p_name AS name, p_brand AS org FROM part WHERE p_partkey NOT IN (SELECT id FROM n) UNION ALL SELECT id, name, NULL FROM n)
 SELECT * FROM u WHERE NOT (id % 6 = 0 AND id IN (SELECT p_partkey FROM part))""",
