@@ -133,13 +133,12 @@ def first_by_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def next_ids(rows: DataFrame, existing: DataFrame, prefix: str = "ec", start: int = 18220, order: str = "pos") -> DataFrame:
-    """New ids after the largest number that follows the prefix; numbering is per hash range first, so it is not one task's work."""
-    top = existing.agg(F.coalesce(F.max(F.regexp_extract("id", f"^{prefix}(\\d+)$", 1).try_cast("long")), F.lit(start)).alias("_top"))
-    slots = rows.withColumn("_slot", F.floor(F.col(order) / 10_000))
-    before = slots.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.select("_slot", (F.sum("_n").over(W.orderBy("_slot")) - F.col("_n")).alias("_before"))
-    nth = F.row_number().over(W.partitionBy("_slot").orderBy(order))
-    return slots.join(before, "_slot").crossJoin(F.broadcast(top)).withColumn("new_id", F.concat(F.lit(prefix), (F.col("_top") + F.col("_before") + nth).cast("string"))).drop("_slot", "_before", "_top")
+    """New ids after the largest number that follows the prefix, in order of a column that tells all rows apart; numbered over ranges of the order."""
+    from quillspark.operators.numbering import numbered
+
+    top = existing.agg(F.coalesce(F.max(F.regexp_extract("id", f"^{prefix}(\\d+)$", 1).try_cast("long")), F.lit(start)).alias("_top"))  # one row
+    placed = numbered(rows, [F.col(order)], "_nth")
+    return placed.crossJoin(F.broadcast(top)).withColumn("new_id", F.concat(F.lit(prefix), (F.col("_top") + F.col("_nth")).cast("string"))).drop("_nth", "_top")
 
 
 def validated_grade(value: Column) -> Column:

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillspark.functions import urls
+from quillspark.operators import graph
 from quillspark.sources.shared import materialised
 
 SAME, SIMILAR = 0.82, 0.88
 #: Names that say nothing.
 GENERIC = ("custom opportunity", "opportunity", "program", "summer program", "internship", "competition", "conference", "journal", "untitled")
 PEERS = 3
+#: Rounds that decide rows side by side, before chains are walked.
+ROUNDS = 4
 
 
 def _ratio(a: str | None, b: str | None) -> float:
@@ -179,8 +182,10 @@ def greedy_new(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFra
     """new: id, name, url, pos; known: name, url. (id, accepted) for all new rows, as one walk in order of (pos, id) decides.
 
     A row is refused if a known row or one accepted before has its URL key or a like name. Known rows are excluded by joins.
-    Of the rest, each round accepts every row before which no undecided row is like it, and refuses those that follow
-    an accepted one; the first undecided row is always decided, so the rounds end, and no task sees all rows.
+    Of the rest, each of ROUNDS rounds accepts every row before which no undecided row is like it, and refuses those that follow
+    an accepted one. That settles groups of any size whose rows are all alike. What is still undecided stands in chains, where a row is like the next one
+    but not like the one after: its connected parts are walked in order, each by one task. Runs jobs when it is called; their
+    number does not depend on the length of a chain but for the rounds that find the parts, which go by its logarithm.
     """
     seen = known.select(urls.weak(F.col("url")).alias("url_key")).filter("url_key <> ''").distinct()
     fresh = new.withColumn("url_key", urls.weak(F.col("url"))).join(seen, "url_key", "left_anti")
@@ -198,14 +203,46 @@ def greedy_new(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFra
 
     earlier = F.coalesce(F.col("at_url") < F.col("at"), F.lit(False)) | F.coalesce(F.col("at_name") < F.col("at"), F.lit(False))
     taken = left.select("id").limit(0)
-    while not left.isEmpty():
+    for _ in range(ROUNDS):
         accepted = materialised(first_met(left, left).filter(~earlier).select(*left.columns), "accepted")
         taken = taken.unionByName(accepted.select("id"))
         rest = left.join(accepted.select("id"), "id", "left_anti")
         left = materialised(first_met(rest, accepted).filter(~earlier).select(*left.columns), "undecided")
+        if left.isEmpty():
+            break
+    else:
+        taken = taken.unionByName(_walked(left, alike))
     return new.select("id").join(taken.withColumn("accepted", F.lit(True)), "id", "left").select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
+def _walked(left: DataFrame, alike: DataFrame) -> DataFrame:
+    """The ids that a walk in order accepts among undecided rows: id, url_key, name_key, at; alike: name_key, k_key."""
+    here = left.select("name_key").distinct()
+    pairs = alike.join(here, "name_key").join(here.withColumnRenamed("name_key", "k_key"), "k_key")
+    pairs = materialised(pairs.select("name_key", "k_key"), "walk_pairs")
+    name, url = F.concat(F.lit("n "), "name_key"), F.concat(F.lit("u "), "url_key")
+    links = pairs.select(name.alias("a"), F.concat(F.lit("n "), "k_key").alias("b")).unionByName(left.filter("url_key <> ''").select(name.alias("a"), url.alias("b")))
+    part = graph.parts(links)
+    # names without links of either kind stand alone; their rows are all accepted
+    rows = left.withColumn("node", name).join(part, "node", "left").select(F.coalesce("part", F.concat(F.lit("i "), F.col("id").cast("string"))).alias("part"), "id", "url_key", "name_key", F.col("at.pos").alias("pos"))
+    tied = pairs.withColumn("node", name).join(part, "node").select("part", "name_key", "k_key")
+
+    def walk(rows: pd.DataFrame, tied: pd.DataFrame) -> pd.DataFrame:
+        like: dict[str, list[str]] = {}
+        for a, b in zip(tied["name_key"], tied["k_key"], strict=True):
+            like.setdefault(a, []).append(b)
+        urls_, names, out = set(), set(), []
+        for i, u, n in rows.sort_values(["pos", "id"])[["id", "url_key", "name_key"]].itertuples(index=False):
+            if not (u and u in urls_ or any(k in names for k in like.get(n, ()))):
+                out.append(i)
+                urls_.add(u)
+                names.add(n)
+        return pd.DataFrame({"id": out})
+
+    kind = left.schema["id"].dataType.simpleString()
+    return rows.groupBy("part").cogroup(tied.groupBy("part")).applyInPandas(walk, f"id {kind}")
+
+
 def greedy(batch: DataFrame, least: float = 0.85, group: str = "batch") -> DataFrame:
     """batch: id, name, url, pos, batch. Accepts rows in order unless an accepted one before has the same URL key or a like name.
 

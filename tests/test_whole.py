@@ -137,6 +137,27 @@ def test_greedy_new_equals_a_walk_over_known_and_all_new_rows(spark):
     assert {r.id: r.accepted for r in similarity.greedy_new(rows.filter("id >= 40"), rows.filter("id < 40")).collect()} == want
 
 
+def test_a_long_chain_of_like_names_needs_few_jobs(spark):
+    """Each name is like the next one and not like the one after, so every second row is accepted; some share URLs across chains."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = [letters[(7 * i) % 26] + letters[(11 * i + i // 26) % 26] for i in range(1300)]
+    names = ["".join(base[i : i + 12]) for i in range(1000)]
+    data = [(i, n, f"https://x.org/{i % 350}" if i % 9 == 0 else "", i) for i, n in enumerate(names)] + [(2000 + i, "opportunity", "", 2000 + i) for i in range(3)]
+    rows = spark.createDataFrame(data, "id long, name string, url string, pos long")
+    seen, kept, want = set(), [], {}
+    for i, n, u, _ in data:
+        want[i] = not (u and u in seen or any(similarity._ratio(n, k) >= 0.85 for k in kept if abs(int(len(k)) - len(n)) < 9))
+        if want[i]:
+            seen.add(u)
+            kept.append(n)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("greedy", "greedy")
+    got = {r.id: r.accepted for r in similarity.greedy_new(rows, rows.limit(0)).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and 200 < sum(want.values()) < 800
+    assert len(jobs.getJobIdsForGroup("greedy")) < 400
+
+
 def test_greedy_dedupe_repeats_no_url_or_name_across_the_table(spark):
     d = "/root/testdata/sf0.001"
     kept = [r.id for r in registry.QUERIES["greedy_dedupe"](spark, d).filter("accepted").collect()]
