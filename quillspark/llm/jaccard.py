@@ -12,7 +12,7 @@ mean, so cells stay small while documents and their sharing grow together.
 
 Inside cells: first every set is compared with its cell's least id, which links each large group of near copies in
 linear time; the components so found are then compared with each other only. Cells that still hold several components
-are joined by their R-trees, leaf against leaf, under three bounds: sizes, summed minima, and the places of the key in
+are joined by their R-trees, whatever their size, node against node from the root down, under three bounds: sizes, summed minima, and the places of the key in
 both orders. Similar sets meet in several cells, so pairs that meet less often are done; the others are verified on whole
 sets. Large cells are split into tiles, so no task holds an unbounded one. No pair that can be similar, no row and no
 cell is dropped.
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,10 @@ PERCENT = 80
 BUCKETS = 22
 #: Parts in which tasks hand on their counts.
 SLICES = 256
-LEAF = 32
+#: Points of a leaf and children of a node.
+LEAF, FAN = 4, 8
+#: Pairs of nodes that are looked at in one go.
+STEP = 1 << 12
 #: Most rows of a cell, or of a half of a tile, that one task joins at once.
 TILE = 20_000
 
@@ -156,17 +159,37 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
 
-def tree(points: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Levels of an R-tree bulk-loaded in order of size: (largest counts, least size, greatest size) of each node, leaves first."""
-    levels = []
+@dataclass
+class Level:
+    """Nodes of one height in the trees of all cells: largest counts, least and greatest size, and the children first:first + n below."""
+
+    top: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+
+
+def _packed(cell: np.ndarray, fan: int) -> np.ndarray:
+    """Where nodes start that hold up to `fan` neighbours of one cell each; equal cells stand together."""
+    new = np.append(True, cell[1:] != cell[:-1])
+    start = np.flatnonzero(new)
+    within = np.arange(len(cell)) - np.repeat(start, np.diff(np.append(start, len(cell))))
+    return np.flatnonzero(within % fan == 0)
+
+
+def forest(points: np.ndarray, sizes: np.ndarray, cell: np.ndarray) -> list[Level]:
+    """R-trees of all cells, bulk-loaded in the order of the rows, leaves first; the last level has one root for each cell."""
+    levels: list[Level] = []
     top, low, high, fan = points, sizes, sizes, LEAF
     while True:
-        at = np.arange(0, len(low), fan)
-        top, low, high = np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-        levels.append((top, low, high))
-        if len(low) == 1:
+        at = _packed(cell, fan)
+        n = np.diff(np.append(at, len(cell)))
+        top, low, high, cell = np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), cell[at]
+        levels.append(Level(top, low, high, at, n))
+        if (cell[1:] != cell[:-1]).all():
             return levels
-        fan = 8
+        fan = FAN
 
 
 def _may(top_a, low_a, high_a, top_b, low_b, high_b) -> np.ndarray:
@@ -185,36 +208,47 @@ def _placed(sizes: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray)
     return (100 + PERCENT) * most >= PERCENT * (sizes[i] + sizes[j])
 
 
-def tree_join(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of points of different parts that the bounds let through; with sides, only pairs across them."""
-    levels = tree(points, sizes)
-    stack = [(len(levels) - 1, np.array([0]), np.array([0]))]
+def tree_join(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, side: np.ndarray | None = None, cell: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of points of one cell and of different parts that the bounds let through; where sides are 0 or more, only
+    pairs across them. Trees are walked level by level, node against node, all cells at once."""
+    cell = np.zeros(len(sizes), np.int64) if cell is None else cell
+    if not len(sizes):
+        return
+    levels = forest(points, sizes, cell)
+    roots = np.arange(len(levels[-1].n))
+    stack = [(len(levels) - 1, roots, roots)]
     while stack:
-        level, a, b = stack.pop()
-        top, low, high = levels[level]
-        keep = _may(top[a], low[a], high[a], top[b], low[b], high[b])
-        a, b = a[keep], b[keep]
-        if not len(a):
-            continue
-        fan = 8 if level else LEAF
-        below = len(levels[level - 1][1]) if level else len(sizes)
-        step = max(1, (1 << 18) // (fan * fan * (1 if level else 2)))
-        for s in range(0, len(a), step):
-            i = (a[s : s + step, None, None] * fan + np.arange(fan)[None, :, None] + np.zeros((1, 1, fan), np.int64)).ravel()
-            j = (b[s : s + step, None, None] * fan + np.arange(fan)[None, None, :] + np.zeros((1, fan, 1), np.int64)).ravel()
-            ok = (i < below) & (j < below) & ((i <= j) if level else (i < j))
-            i, j = i[ok], j[ok]
-            if level:
-                stack.append((level - 1, i, j))
+        height, a, b = stack.pop()
+        own = levels[height]
+        for s in range(0, len(a), STEP):
+            p, q = a[s : s + STEP], b[s : s + STEP]
+            keep = _may(own.top[p], own.low[p], own.high[p], own.top[q], own.low[q], own.high[q])
+            SEEN[height > 0] += len(p) - int(keep.sum())
+            p, q = p[keep], q[keep]
+            if not len(p):
+                continue
+            # every child of p against every child of q; a node against itself gives each pair once
+            n = own.n[p] * own.n[q]
+            pair = np.repeat(np.arange(len(p)), n)
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i, j = own.first[p][pair] + k // own.n[q][pair], own.first[q][pair] + k % own.n[q][pair]
+            once = (p != q)[pair] | ((i <= j) if height else (i < j))
+            i, j = i[once], j[once]
+            if height:
+                stack.append((height - 1, i, j))
                 continue
             other = parts[i] != parts[j]
             if side is not None:
-                other &= side[i] != side[j]
+                other &= (side[i] != side[j]) | (side[i] < 0)
             i, j = i[other], j[other]
             ok = _may(points[i], sizes[i], sizes[i], points[j], sizes[j], sizes[j])
+            SEEN[2] += len(ok) - int(ok.sum())
             yield i[ok], j[ok]
 
 
+#: Pairs of leaves, of nodes above them, and of points that the trees of this process have left out, for tests.
+SEEN = [0, 0, 0]
+
 _PAIRS = "a long, b long"
 _MET = "a long, b long, n_a long, n_b long"
 #: The fewest keys that similar sets share. They have at least o = ceil(PERCENT (n_a + n_b) / (100 + PERCENT)) shingles in
@@ -223,21 +257,6 @@ _MET = "a long, b long, n_a long, n_b long"
 _LEAST_SHARED = f"({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT} - ({PERCENT} * greatest(n_a, n_b) + 99) div 100 + 1"
 
 
-def _small_cells(first: np.ndarray, size: np.ndarray, points, sizes, parts, side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of many cells of one leaf each, which need no tree: rows first[c]:first[c] + size[c] are a cell."""
-    row = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-    later = np.repeat(first + size, size) - row - 1
-    step = max(1, (1 << 16) // LEAF)
-    for s in range(0, len(row), step):
-        n = later[s : s + step]
-        i = np.repeat(row[s : s + step], n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        keep = (parts[i] != parts[j]) & ((side[i] != side[j]) | (side[i] < 0))
-        i, j = i[keep], j[keep]
-        ok = _may(points[i], sizes[i], sizes[i], points[j], sizes[j], sizes[j])
-        yield i[ok], j[ok]
-
-
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell and size: cell, doc_id, n, part, half, place, point. half is -1 in a cell that is one tile."""
 
@@ -246,18 +265,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, ids, n, part, half, place = (np.asarray(t.column(c)) for c in ("cell", "doc_id", "n", "part", "half", "place"))
         col = t.column("point")
         points = np.asarray((col.chunk(0) if isinstance(col, pa.ChunkedArray) else col).flatten()).reshape(len(ids), GROUPS)
-        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        size = np.diff(np.append(first, len(cell)))
-        small = size <= LEAF
-
-        def large() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for at, m in zip(first[~small].tolist(), size[~small].tolist(), strict=True):
-                own = slice(at, at + m)
-                two = half[own] if half[at] >= 0 else None
-                for i, j in tree_join(points[own], n[own], part[own], two):
-                    yield i + at, j + at
-
-        for i, j in chain(_small_cells(first[small], size[small], points, n, part, half), large()):
+        for i, j in tree_join(points, n, part, half, cell):
             ok = _placed(n, place, i, j)
             i, j = i[ok], j[ok]
             if len(i):
