@@ -20,12 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, lists, table, words
+from .common import chunks, drop, lists, table, words, written
 
 #: Most labelled rows that a fit takes.
 SAMPLE = 12_000
+#: Most features, of eight bytes each, that all of these rows have together.
+SAMPLE_FEATURES = 8_000_000
 WORD_BINS = 1 << 16
 STAT_BINS = 16
 STATS = ("upper", "punctuation", "digits", "newlines", "non_ascii", "word_length", "distinct_words", "repeated_next", "symbol_ends", "length", "n_chars", "commonest")
@@ -159,12 +162,20 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), lists(ids.astype(np.int32), n, pa.int32()), lists(x, n, pa.float32())], ["doc_id", "quality", "ids", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled rows that are not held out, the ones with the smallest hashes of their ids."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = SAMPLE_FEATURES) -> Model:
+    """Fit on at most `sample` labelled rows that are not held out, the ones with the smallest hashes of their ids, one row an id (of
+    several the text with the smallest hash), and of these on as many, in the same order, as have `most_features` features together."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    rows = _plain(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "n_chars", "quality").mapInArrow(_feature_rows, f"{docs.select('doc_id').schema[0].simpleString().replace(':', ' ')}, quality int, ids array<int>, x array<float>").toArrow()
-    rows = rows.sort_by("doc_id").combine_chunks()
+    of_id = docs.select("doc_id").schema[0].simpleString().replace(":", " ")
+    labelled = _plain(docs).join(F.broadcast(known), "doc_id")
+    one = labelled.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "n_chars", "quality")).alias("r")).select("doc_id", "r.text", "r.n_chars", "r.quality")
+    rows = written(one.mapInArrow(_feature_rows, f"{of_id}, quality int, ids array<int>, x array<float>"), "features")
+    so_far = F.sum(F.size("ids")).over(W.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))  # over `sample` rows at most
+    kept = rows.select("doc_id", "ids").withColumn("so_far", so_far).filter(F.col("so_far") <= most_features).select("doc_id")
+    found = rows.join(F.broadcast(kept), "doc_id", "left_semi").toArrow()
+    drop(rows)
+    rows = found.sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
         return Model(0.0, np.zeros(WIDTH, np.float32), np.zeros((WIDTH, RANK), np.float32))
     ids, x = (rows.column(k).combine_chunks() for k in ("ids", "x"))
