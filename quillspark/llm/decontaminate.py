@@ -21,6 +21,8 @@ from .common import table, written
 WINDOW = 10
 #: Largest table of windows or of item words, in rows, that is sent to every task; beyond it the joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Largest table of seeds, by the bytes of all their windows and items, that is sent to every task.
+BROADCAST_BYTES = 64 << 20
 
 #: The characters of a word, before and after A-Z are lower-cased, and the letters themselves.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -57,6 +59,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _seeds_fit(seeds: DataFrame) -> bool:
+    """Whether all windows that the seeds hold, with their items, fit into every task."""
+    if seeds.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return False
+    each = F.aggregate("seeds", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(F.array_join(s["words"], " ")) + F.octet_length(F.array_join(s["items"], " ")) + 16 * F.size(s["words"]) + 64)
+    return (seeds.agg(F.sum(each)).head()[0] or 0) <= BROADCAST_BYTES
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(words, size, items): each distinct window with the ids, as strings, of the items that hold it."""
     items = benchmark.filter(has_words(F.col("text")) & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
@@ -93,7 +103,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     )
     seeds = written(rarest.groupBy("word").agg(F.collect_list(F.struct("words", "size", "items", "offset")).alias("seeds")), "seeds")
     start = F.col("at") - F.col("s.offset")
-    if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _seeds_fit(seeds):
         places = texts.select(*KEY, "w", F.posexplode_outer("w").alias("at", "word")).join(F.broadcast(seeds), "word").select(*KEY, "w", "at", F.explode("seeds").alias("s"))
     else:
         met = texts.select(*KEY, F.posexplode_outer("w").alias("at", "word")).join(seeds, "word").select(*KEY, "at", F.explode("seeds").alias("s")).filter(start >= 0)
