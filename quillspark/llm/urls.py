@@ -1,8 +1,7 @@
 """Operator 6: URL filters. Rules first; where none fits, host words are segmented and scored.
 
-Names are the letter runs of host labels and path segments, with repeats; a run of more than LONGEST letters is taken in
-pieces of that length, so no name is unbounded. A unigram model counts words over the texts of all pages;
-the substrings of each distinct name meet their counts in a join, and a Viterbi pass over one name's few substrings
+Names are the letter runs of host labels and path segments, whole and with repeats. A unigram model counts words over the texts of
+all pages; the substrings of each distinct name that are as long as some word meet their counts in a join, and a Viterbi pass over one name's few substrings
 splits it into the likeliest words. Multinomial naive Bayes scores the words: pages whose segmented words hold a seed word
 teach the class `block`, the others `allow`; counts per word and class are an aggregate over all pages, and a page's score
 is a sum over its names. Everything is keyed by names or words, so nothing grows on the driver, and hot hosts are
@@ -24,8 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Most letters of a name; also of a word that one is split into.
-LONGEST = 64
 #: Largest rule list; rules are a parameter, compiled into one expression.
 MOST_RULES = 2_000
 
@@ -59,8 +56,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def names_of(host: Column, path: Column) -> Column:
-    """Letter runs of host and path, folded; longer ones than LONGEST in pieces."""
-    return F.regexp_extract_all(F.lower(F.concat_ws("/", host, path)), F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), F.lit(0))
+    """Letter runs of host and path, folded and whole."""
+    return F.regexp_extract_all(F.lower(F.concat_ws("/", host, path)), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def page_words(html: Column) -> Column:
@@ -109,8 +106,10 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """names: name; counts: word, n. (name, words) of each distinct name."""
     names = names.distinct()
     size = F.length("name")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - s + 1)), lambda k: F.struct(s.alias("start"), k.alias("size")))))
-    subs = names.select("name", F.explode(spans).alias("p")).select("name", (F.col("p.start") - 1).alias("start"), F.col("p.size").alias("size"), F.substr("name", F.col("p.start"), F.col("p.size")).alias("word"))
+    lengths = counts.agg(F.collect_set(F.length("word")).alias("lengths"))  # one row: the band of lengths that words have
+    starts = names.select("name", F.explode(F.sequence(F.lit(1), size)).alias("start")).crossJoin(F.broadcast(lengths))
+    spans = starts.select("name", "start", F.explode(F.filter("lengths", lambda k: k <= size - F.col("start") + 1)).alias("size"))
+    subs = spans.select("name", (F.col("start") - 1).alias("start"), "size", F.substr("name", F.col("start"), F.col("size")).alias("word"))
     pieces = subs.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("start", "size", "n")).alias("pieces"))
     total = counts.agg(F.sum("n").alias("total"))  # one row
     return names.join(pieces, "name", "left").crossJoin(F.broadcast(total)).select("name", "total", "pieces").mapInArrow(_segment, "name string, words array<string>")
@@ -120,7 +119,7 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block) and the segmented words of the host."""
     host, path = host_path(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html"))
-    counts = written(base.select(F.explode(page_words(F.col("html"))).alias("word")).filter(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    counts = written(base.select(F.explode(page_words(F.col("html"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     # hosts are few and hot, paths many: equal name lists are counted before anything is joined
     keyed = base.drop("html").withColumn("names", names_of(F.col("host"), F.col("path")))
     lists = written(keyed.groupBy("names").agg(F.count(F.lit(1)).alias("n")), "name_lists")

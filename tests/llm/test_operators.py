@@ -375,7 +375,7 @@ def test_naive_bayes_against_brute_force(spark):
         pieces = [(s, k, math.log(total) - math.log(counts[name[s : s + k]])) for s in range(len(name)) for k in range(1, len(name) - s + 1) if name[s : s + k] in counts]
         return urls.viterbi(name, pieces, math.log(total)).words
 
-    names = {i: re.findall(r"[^\W\d_]{1,64}", f"{got[i].host}/{got[i].path}".lower()) for i, _, _ in rows}
+    names = {i: re.findall(r"[^\W\d_]+", f"{got[i].host}/{got[i].path}".lower()) for i, _, _ in rows}
     words = {i: [w for n in ns for w in split(n)] for i, ns in names.items()}
     block = {i: any(w in urls.SEEDS for w in ws) for i, ws in words.items()}
     bad, good = Counter(), Counter()
@@ -786,3 +786,59 @@ def test_sql_of_decontamination(spark):
     out = con.execute(decontaminate.ORACLE_SQL)
     assert [c[0] for c in out.description] == df.columns
     assert sorted(map(tuple, df.collect())) == sorted(out.fetchall())
+
+
+def test_trees_of_several_levels_leave_pairs_out():
+    """Nodes above the leaves decide most pairs, and none that counts is lost."""
+    g = np.random.default_rng(12)
+    kinds = g.integers(0, 2, (25, jaccard.GROUPS)) * g.integers(1, 12, (25, 1))
+    points = np.repeat(kinds, 20, axis=0) + (g.random((500, jaccard.GROUPS)) < 0.02)
+    cell = np.repeat(np.arange(5), 100)
+    order = np.lexsort((points.sum(axis=1), cell))
+    points, cell = points[order], cell[order]
+    sizes, parts = points.sum(axis=1), np.arange(500)
+    levels = jaccard.forest(points, sizes, cell)
+    assert len(levels) == 3 and len(levels[-1].n) == 5 and levels[0].n.sum() == 500
+    before = list(jaccard.SEEN)
+    found = {(int(i), int(j)) for a, b in jaccard.tree_join(points, sizes, parts, cell=cell) for i, j in zip(a, b)}
+    want = {(i, j) for i in range(500) for j in range(i + 1, 500) if cell[i] == cell[j] and 180 * int(np.minimum(points[i], points[j]).sum()) >= 80 * int(sizes[i] + sizes[j])}
+    assert found == want and len(want) > 100
+    leaves, above, single = (x - y for x, y in zip(jaccard.SEEN, before, strict=True))
+    assert above > 0 and 16 * leaves + 16 * jaccard.FAN**2 * above > 10 * single
+
+
+def test_the_sample_has_one_row_an_id_and_a_bound_of_features(spark):
+    docs = table(spark, [(i, f"good text {i} " * 3) for i in range(60)] + [(3, f"one of many rows {k}") for k in range(400)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    taken = []
+    fit = quality.fit
+
+    def spy(off, ids, x, y, **more):
+        taken.append((len(y), len(ids)))
+        return fit(off, ids, x, y, **more)
+
+    quality.fit = spy
+    try:
+        quality.train(docs, labels)
+        quality.train(docs, labels, most_features=100)
+    finally:
+        quality.fit = fit
+    n = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+    assert taken[0][0] == n and 0 < taken[1][0] < n and taken[1][1] <= 100
+
+
+def test_seeds_go_to_every_task_by_the_bytes_of_their_windows(spark, monkeypatch):
+    long = " ".join(["common"] * 10 + [f"w{i}" for i in range(300)])
+    docs, bench = table(spark, [(1, long), (2, "common " * 12)]), spark.createDataFrame([(1, long), (2, "common " * 10)], "item_id long, text string")
+    got = []
+    for most in (64 << 20, 100):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+        got.append(sorted(map(tuple, decontaminate.contamination(docs, bench).collect())))
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
+def test_long_names_are_split_whole(spark):
+    counts = spark.createDataFrame([("summer", 50), ("school", 40), ("x" * 90, 3), ("a", 1)], "word string, n long")
+    names = ["summerschool" * 12, "x" * 90 + "summer", "a" * 70]
+    got = {r.name: r.words for r in urls.segment_names(spark.createDataFrame([(n,) for n in names], "name string"), counts).collect()}
+    assert got[names[0]] == ["summer", "school"] * 12 and got[names[1]] == ["x" * 90, "summer"] and "".join(got[names[2]]) == names[2]
