@@ -36,13 +36,13 @@ def coerced(key: Column, value: Column) -> Column:
     whole = clean.rlike(r"^[+-]?\d+$")
     n = F.when(whole, clean.try_cast("int"))
     dash = clean.isNull() | (clean == "—")
-    error = F.when(kind.isNull(), F.concat(F.lit("Not editable here: "), key, F.lit("."))).when((kind == "int") & ~dash & ~F.coalesce(whole, F.lit(False)), F.concat(key, F.lit(" must be a whole number or blank."))).when((kind == "int") & ~dash & ~F.coalesce(n.between(1, 13), F.lit(False)), F.concat(key, F.lit(" must be a grade between 1 and 13.")))
+    error = F.when(kind.isNull(), F.concat(F.lit("not_editable:"), key)).when((kind == "int") & ~dash & ~F.coalesce(whole, F.lit(False)), F.concat(F.lit("not_whole:"), key)).when((kind == "int") & ~dash & ~F.coalesce(n.between(1, 13), F.lit(False)), F.concat(F.lit("no_grade:"), key))
     parts = F.filter(F.transform(F.split(clean, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.struct(F.when(kind == "text", clean).alias("text"), F.when(kind == "int", n).alias("number"), F.when((kind == "list") & (F.size(parts) > 0), parts).alias("list"), error.alias("error"))
 
 
 def edit_verdicts(edits: DataFrame, rows: DataFrame) -> DataFrame:
-    """edits: id, fields (map of texts). (id, error, values): the first reason against an edit, else its values.
+    """edits: id, fields (map of texts). (id, error, values): a code for the first reason against an edit, else its values.
 
     Only queued rows that exist are edited; a name and a URL stay; the URL has a scheme, the type is known, a state has two
     letters, and grades are in order."""
@@ -54,17 +54,17 @@ def edit_verdicts(edits: DataFrame, rows: DataFrame) -> DataFrame:
     text = lambda k: F.element_at(F.col("values"), F.lit(k))["text"]
     number = lambda k: F.element_at(F.col("values"), F.lit(k))["number"]
     error = (
-        F.when(F.size("unknown") > 0, F.concat(F.lit("Not editable here: "), F.array_join("unknown", ", "), F.lit(".")))
-        .when(F.col("_known").isNull(), "No such row.")
-        .when(F.coalesce(F.col("_active"), F.lit(False)), "That row is live in the catalog.")
+        F.when(F.size("unknown") > 0, F.concat(F.lit("not_editable:"), F.array_join("unknown", ",")))
+        .when(F.col("_known").isNull(), "no_row")
+        .when(F.coalesce(F.col("_active"), F.lit(False)), "live_row")
         .when(F.size(errors) > 0, F.get(errors, F.lit(0)))
-        .when(has("name") & text("name").isNull(), "name cannot be empty.")
-        .when(has("url") & text("url").isNull(), "url cannot be empty.")
-        .when(text("type").isNotNull() & ~text("type").isin(*TYPES), F.concat(F.lit("type must be one of "), F.lit(", ".join(TYPES)), F.lit(".")))
-        .when(text("url").isNotNull() & ~F.lower(text("url")).rlike("^https?://"), "url must start with http:// or https://.")
-        .when(text("state").isNotNull() & (F.length(text("state")) != 2), "state is the 2-letter code (or blank).")
-        .when(number("grade_min") > number("grade_max"), "grade_min cannot be above grade_max.")
-        .when(F.size("fields") <= 0, "Nothing to change.")
+        .when(has("name") & text("name").isNull(), "blank:name")
+        .when(has("url") & text("url").isNull(), "blank:url")
+        .when(text("type").isNotNull() & ~text("type").isin(*TYPES), "unknown_type")
+        .when(text("url").isNotNull() & ~F.lower(text("url")).rlike("^https?://"), "no_scheme:url")
+        .when(text("state").isNotNull() & (F.length(text("state")) != 2), "no_code:state")
+        .when(number("grade_min") > number("grade_max"), "grades_reversed")
+        .when(F.size("fields") <= 0, "no_change")
     )
     return e.withColumn("error", error).select("id", "error", F.when(F.col("error").isNull(), F.col("values")).alias("values"))
 

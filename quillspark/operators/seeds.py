@@ -35,10 +35,10 @@ def chosen_by_place(seeds: DataFrame, wanted: list[int]) -> DataFrame:
 
 
 def created(new: DataFrame, seeds: DataFrame) -> DataFrame:
-    """New seeds with their verdict; a missing sort_order follows the greatest of its mode, in order of pos."""
+    """New seeds with a code for what is wrong (blank: mode, category or angle; unknown_mode); a missing sort_order follows the greatest of its mode, in order of pos."""
     top = seeds.groupBy("mode").agg(F.max("sort_order").alias("_top"))
     blank = F.greatest(*(F.coalesce(F.trim(c), F.lit("")) == "" for c in ("mode", "category", "angle")))
-    error = F.when(blank, "mode, category and angle are all required").when(~F.col("mode").isin(*MODES), "mode must be 'national' or 'seattle'")
+    error = F.when(blank, "blank").when(~F.col("mode").isin(*MODES), "unknown_mode")
     rows = new.withColumn("error", error)
     nth = F.row_number().over(W.partitionBy("mode", F.col("error").isNull() & F.col("sort_order").isNull()).orderBy("pos"))
     return rows.withColumn("_nth", nth).join(top, "mode", "left").withColumn("sort_order", F.when(F.col("error").isNull(), F.coalesce("sort_order", F.coalesce("_top", F.lit(-1)) + F.col("_nth"))).otherwise(F.col("sort_order"))).drop("_nth", "_top")

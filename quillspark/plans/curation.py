@@ -224,9 +224,10 @@ def listing_merge(spark, d):
 
 
 def keyed_accounts(spark, d):
-    """Accounts kept as JSON objects of objects, one text a segment."""
+    """Accounts kept as JSON objects of objects, one text for a segment and every thousand numbers."""
     c = b.table(spark, d, "customer")
-    texts = c.groupBy("c_mktsegment").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))))).alias("json"))
+    of = F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))))
+    texts = c.groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 1000)).agg(F.to_json(of).alias("json"))
     return src.keyed_objects(texts, "json", "name:string,nation:int")
 
 
@@ -307,10 +308,10 @@ _REV = """rev AS (SELECT d.doc_id AS id, CASE WHEN toxic = 1 THEN 'rejected' WHE
 _EDITS = """ed AS (SELECT CASE WHEN k % 37 = 0 THEN k + 1000000000 ELSE k END AS id, k, p_name, k % 4 <> 0 AS h_name, CASE WHEN k % 12 = 1 THEN NULL ELSE 'New ' || p_name END AS name, k % 5 = 0 AS h_url, nullif((['https://a.example', 'HTTP://b.example', 'ftp://c', ''])[k % 4 + 1], '') AS url,
   k % 6 = 0 AS h_state, nullif((['WA', 'Wash', ''])[k % 3 + 1], '') AS state, k % 7 = 0 AS h_type, (['Program', 'Party'])[k % 2 + 1] AS type, k % 8 = 0 AS h_min, (['9', '12', 'x', '14', '—'])[k % 5 + 1] AS gmin, k % 9 = 0 AS h_max, (['10', '11', '12'])[k % 3 + 1] AS gmax,
   k % 10 = 0 AS h_tags, CASE WHEN k % 2 = 0 THEN 'a|b|c' END AS tags, k % 31 = 0 AS h_owner FROM (SELECT p_partkey AS k, p_name FROM part)),
-ev AS (SELECT *, CASE WHEN h_owner THEN 'Not editable here: owner.' WHEN id > 1000000000 THEN 'No such row.' WHEN k % 11 = 0 THEN 'That row is live in the catalog.' WHEN h_min AND gmin = 'x' THEN 'grade_min must be a whole number or blank.' WHEN h_min AND gmin = '14' THEN 'grade_min must be a grade between 1 and 13.'
-  WHEN h_name AND name IS NULL THEN 'name cannot be empty.' WHEN h_url AND url IS NULL THEN 'url cannot be empty.' WHEN h_type AND type = 'Party' THEN 'type must be one of Program, Internship, Competition, Research, Journal, Conference, Volunteer.' WHEN h_url AND url LIKE 'ftp%' THEN 'url must start with http:// or https://.'
-  WHEN h_state AND length(state) <> 2 THEN 'state is the 2-letter code (or blank).' WHEN h_min AND h_max AND TRY_CAST(gmin AS INTEGER) > CAST(gmax AS INTEGER) THEN 'grade_min cannot be above grade_max.'
-  WHEN NOT (h_name OR h_url OR h_state OR h_type OR h_min OR h_max OR h_tags) THEN 'Nothing to change.' END AS error FROM ed)"""
+ev AS (SELECT *, CASE WHEN h_owner THEN 'not_editable:owner' WHEN id > 1000000000 THEN 'no_row' WHEN k % 11 = 0 THEN 'live_row' WHEN h_min AND gmin = 'x' THEN 'not_whole:grade_min' WHEN h_min AND gmin = '14' THEN 'no_grade:grade_min'
+  WHEN h_name AND name IS NULL THEN 'blank:name' WHEN h_url AND url IS NULL THEN 'blank:url' WHEN h_type AND type = 'Party' THEN 'unknown_type' WHEN h_url AND url LIKE 'ftp%' THEN 'no_scheme:url'
+  WHEN h_state AND length(state) <> 2 THEN 'no_code:state' WHEN h_min AND h_max AND TRY_CAST(gmin AS INTEGER) > CAST(gmax AS INTEGER) THEN 'grades_reversed'
+  WHEN NOT (h_name OR h_url OR h_state OR h_type OR h_min OR h_max OR h_tags) THEN 'no_change' END AS error FROM ed)"""
 
 ORACLES = {
     "snapshot_listing": f"""WITH {_ENTRIES}, g AS (SELECT file, agent, day, dated, lost, CASE WHEN lost THEN 0 ELSE count(*) END AS entries, CASE WHEN lost THEN 0 ELSE count(*) FILTER (pending) END AS pending FROM f GROUP BY file, agent, day, dated, lost),
@@ -361,7 +362,7 @@ FROM o WHERE key = '' OR (nth = 1 AND key NOT IN (SELECT key FROM k))""",
     "seeds_by_id": f"WITH {_SEEDS}, w(place, id) AS (VALUES (0, 9), (1, 3), (2, 999999999), (3, 9), (4, 4)) SELECT place, CAST(w.id AS BIGINT) AS id, mode, s.id IS NOT NULL AS found FROM w LEFT JOIN seeds s ON s.id = w.id",
     "seeds_by_place": f"WITH {_SEEDS}, w(place, idx) AS (VALUES (0, 2), (1, 0), (2, 2)), l AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY sort_order, id) - 1 AS idx FROM seeds) SELECT place, w.idx AS \"at\", id, mode FROM w JOIN l ON l.idx = w.idx",
     "seed_creation": f"""WITH {_SEEDS}, n AS (SELECT n_nationkey AS pos, (['national', 'seattle', 'moon', ''])[n_nationkey % 4 + 1] AS mode, CASE WHEN n_nationkey % 5 <> 1 THEN n_name END AS angle, CASE WHEN n_nationkey % 8 = 0 THEN 99 END AS sort_order FROM nation),
-e AS (SELECT *, CASE WHEN mode = '' OR angle IS NULL THEN 'mode, category and angle are all required' WHEN mode = 'moon' THEN 'mode must be ''national'' or ''seattle''' END AS error FROM n), t AS (SELECT mode, max(sort_order) AS top FROM seeds GROUP BY 1)
+e AS (SELECT *, CASE WHEN mode = '' OR angle IS NULL THEN 'blank' WHEN mode = 'moon' THEN 'unknown_mode' END AS error FROM n), t AS (SELECT mode, max(sort_order) AS top FROM seeds GROUP BY 1)
 SELECT pos, e.mode, CASE WHEN error IS NULL AND sort_order IS NULL THEN CAST(top + row_number() OVER (PARTITION BY e.mode, error IS NULL AND sort_order IS NULL ORDER BY pos) AS INTEGER) ELSE sort_order END AS sort_order, error FROM e LEFT JOIN t ON t.mode = e.mode""",
     "seeds_per_mode": f"WITH {_SEEDS} SELECT mode, count(*) AS n FROM seeds GROUP BY 1",
     "seed_results": f"""WITH {_SEEDS}, r AS (SELECT o_orderkey % 90 AS id, count(*) AS runs, sum(3) AS found, sum(o_orderkey % 3) AS added, count(*) AS dupes, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS cost, max(o_orderdate) AS ran FROM orders GROUP BY 1)

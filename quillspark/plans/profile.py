@@ -35,9 +35,9 @@ def prompt_candidates(spark, d):
 def student_lines(spark, d):
     """Transcripts of the conversations' turns, in which users are students."""
     c = b.table(spark, d, "conversations")
-    line = F.concat(F.when(F.col("role") == "user", F.when(F.col("turn") % 2 == 0, "Student:").otherwise("STUDENT: ")).otherwise("Coach: "), F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), 1, 20))
+    line = F.concat(F.when(F.col("role") == "user", F.when(F.col("turn") % 2 == 0, "Student:").otherwise("STUDENT: ")).otherwise("Coach: "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
     told = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
-    return told.select("conv_id", extract.student_lines(F.col("t")).alias("said"))
+    return told.select("conv_id", F.md5(extract.student_lines(F.col("t"))).alias("said_md5"))
 
 
 def transcript_exchange(spark, d):
@@ -313,7 +313,7 @@ def _kind(name: str, types: str, least: int) -> str:
 ORACLES = {
     "json_ids": "SELECT event_id, array_to_string(CASE WHEN user_id = event_id % 7 THEN ['u' || user_id] ELSE ['u' || user_id, 'u' || (event_id % 7)] END, '|') AS ids FROM events",
     "prompt_candidates": f"WITH {_P} SELECT k AS id, CASE WHEN k % 5 = 0 THEN '' ELSE 'a' || k || '|b' END AS candidates, array_to_string(list_slice(string_split(p_name || ' ' || p_name || ' ' || p_name || ' one two three four five', ' '), 1, 12), ' ') AS snippet FROM p",
-    "student_lines": r"""WITH l AS (SELECT conv_id, turn, trim(left(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), 20)) AS s FROM conversations WHERE role = 'user') SELECT c.conv_id, said FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, string_agg(s, '; ' ORDER BY turn) AS said FROM l GROUP BY 1) USING (conv_id)""",
+    "student_lines": r"""WITH l AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM conversations WHERE role = 'user') SELECT c.conv_id, md5(said) AS said_md5 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, string_agg(s, '; ' ORDER BY turn) AS said FROM l GROUP BY 1) USING (conv_id)""",
     "transcript_exchange": f"WITH {_P} SELECT k AS id, CASE WHEN k % 3 = 1 THEN 'Why? Now?' END AS question, CASE WHEN k % 3 = 1 THEN 'because: of ' || p_brand WHEN k % 3 = 2 AND k % 2 = 0 THEN p_name END AS answer FROM p",
     "entry_fields": f"WITH {_P} SELECT k AS id, CASE WHEN k % 4 > 1 THEN p_name END AS name, CASE WHEN k % 4 > 1 THEN p_brand END AS org, CASE WHEN k % 4 = 0 THEN '' ELSE 'https://x.example/' || k END AS url, CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN p_type ELSE p_type || chr(10) || 'more' END AS summary FROM p",
     "preview_lines": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 77 ELSE o_orderkey % 9 END AS count, CASE WHEN o_orderkey % 4 > 1 THEN 'x' END AS label FROM orders",

@@ -65,8 +65,8 @@ def catalog_scan(spark, d):
 
 def catalog_keys(spark, d):
     """The URL keys of all rows, active or not, each once."""
-    site = F.regexp_extract("url", "^[^/]*//[^/?#]*", 0)
-    return b.table(spark, d, "pages").select(urls.weak(F.when(F.col("page_id") % 2 == 0, F.concat(site, F.lit("//"))).otherwise(F.upper(site))).alias("key")).filter("key <> ''").distinct()
+    written = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" "), "url", F.lit("//"))).otherwise(F.upper("url"))
+    return b.table(spark, d, "pages").select(urls.weak(written).alias("key")).filter("key <> ''").distinct()
 
 
 def domain_peers(spark, d):
@@ -82,8 +82,10 @@ def url_keys(spark, d):
 
 
 def url_duplicate_audit(spark, d):
-    sites = b.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("url", "^[^/]*//[^/?#]*", 0).alias("url"))
-    return curation.url_duplicates(sites)
+    """URLs that stand for one page: each page's own, and its neighbour's written in another way."""
+    p = b.table(spark, d, "pages").select(F.col("page_id").alias("id"), "url")
+    again = p.filter("id % 3 = 0").select((F.col("id") + 1).alias("id"), F.concat(F.upper("url"), F.lit("/")).alias("url"))
+    return curation.url_duplicates(p.unionByName(again))
 
 
 def name_duplicate_audit(spark, d):
@@ -198,9 +200,9 @@ v AS (SELECT page_id, weak, bare, host, '/' || array_to_string(CASE WHEN lower(p
 SELECT page_id, weak, bare, host, path, query, CASE WHEN host = '' THEN '' ELSE host || regexp_replace(lower(path), '/+$', '') || CASE WHEN query <> '' THEN '?' || lower(query) ELSE '' END END AS match_key,
  array_to_string(CASE WHEN len(labels) <= 2 THEN labels WHEN length(labels[-1]) = 2 AND labels[-2] IN ({', '.join(_quoted(x) for x in urls.SECOND_LEVEL)}) THEN labels[-3:] ELSE labels[-2:] END, '.') AS domain FROM v""",
     "catalog_scan": f"WITH {_CATALOG} SELECT id, name, org, type, price, grade_min, grade_max FROM cat WHERE is_active",
-    "catalog_keys": "SELECT DISTINCT lower(regexp_extract(url, '^[^/]*//[^/?#]*')) AS key FROM pages",
+    "catalog_keys": f"SELECT DISTINCT {_WEAK} AS key FROM (SELECT CASE WHEN page_id % 2 = 0 THEN ' ' || url || '//' ELSE upper(url) END AS url FROM pages) WHERE url IS NOT NULL",
     "domain_peers": r"""WITH h AS (SELECT page_id, list_filter(string_split(regexp_extract(lower(url), '^[^:]+://([^/?#:]*)', 1), '.'), lambda p: p <> '') AS p FROM pages), d AS (SELECT page_id, array_to_string(p[-2:], '.') AS domain FROM h) SELECT page_id, count(*) OVER (PARTITION BY domain) - 1 AS peers FROM d""",
-    "url_duplicate_audit": f"""WITH k AS (SELECT page_id, regexp_extract({_BARE}, '^[^/?#]*', 0) AS url_key FROM pages) SELECT url_key, count(*) AS n, min(page_id) AS first_id, max(page_id) AS last_id FROM k GROUP BY 1 HAVING count(*) > 1""",
+    "url_duplicate_audit": f"""WITH a AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1, upper(url) || '/' FROM pages WHERE page_id % 3 = 0), k AS (SELECT page_id, {_BARE} AS url_key FROM a) SELECT url_key, count(*) AS n, min(page_id) AS first_id, max(page_id) AS last_id FROM k GROUP BY 1 HAVING count(*) > 1""",
     "name_duplicate_audit": f"""WITH {_CATALOG}, k AS (SELECT id, trim(regexp_replace(regexp_replace(lower(name || ' 2024'), '\\b(19|20)[0-9][0-9]\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM cat)
 SELECT name_key, count(*) AS n, array_to_string(list_slice(list_sort(list(id)), 1, 5), ',') AS first_ids FROM k GROUP BY 1 HAVING count(*) > 1""",
     "keyword_scores": f"""SELECT doc_id, CAST({_SCORE2} AS BIGINT) AS score, CAST(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) AS BIGINT) AS words FROM documents""",

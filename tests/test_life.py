@@ -90,7 +90,7 @@ def test_edits_of_live_rows_are_refused(spark):
     rows = spark.createDataFrame([(1, "n", "https://x", "Program", False), (2, "n", "https://x", "Program", True)], "id int, name string, url string, type string, is_active boolean")
     edits = spark.createDataFrame([(1, {"name": " new ", "type": ""}), (2, {"name": "z"}), (3, {"name": "z"}), (1, {"zeta": "1", "alpha": "2"})], "id int, fields map<string,string>")
     got = [(r.id, r.error) for r in editing.edit_verdicts(edits, rows).collect()]
-    assert sorted(got, key=str) == sorted([(1, None), (1, "Not editable here: alpha, zeta."), (2, "That row is live in the catalog."), (3, "No such row.")], key=str)
+    assert sorted(got, key=str) == sorted([(1, None), (1, "not_editable:alpha,zeta"), (2, "live_row"), (3, "no_row")], key=str)
     out = editing.edited(rows, editing.edit_verdicts(edits.limit(1), rows)).orderBy("id").collect()
     assert (out[0].name, out[0].type, out[1].name) == ("new", None, "n")
 
