@@ -285,6 +285,26 @@ def test_declared_types_are_corrected(spark):
     assert [(e.type, e.start) for e in got[4].embedded] == [("image/gif", 2)] and got[4].type == "text/plain"
 
 
+def test_attachments_are_sniffed_corrected_and_carved(spark, corpus):
+    rows = [*corpus, (800, "GIF89a no"), (801, "%PDF-1.4 x %%EOF BM")]
+    plain = {r.doc_id: r for r in media.read_media(media.stored_media(table(spark, rows))).collect()}
+    got = {r.doc_id: r for r in media.described(table(spark, rows)).collect()}
+    kinds, wrong, inside = Counter(), 0, 0
+    for i, t in rows:
+        r, samples = got[i], media.payload(t)
+        declared, value = media.attachment(samples)
+        bare = not value.startswith(b"Attached")
+        kind = media.FORMS[zlib.crc32(samples) % 5]
+        assert tuple(r)[: len(plain[i])] == tuple(plain[i])
+        assert (r.carved_sha256, r.carved_type, r.attachment_declared) == (hashlib.sha256(samples).hexdigest(), kind, declared) and r.carved_sha256 == r.payload_sha256
+        assert value[r.carved_start : r.carved_start + r.carved_length] == media.encoded(samples, kind) and (r.carved_start == 0) == bare
+        assert r.attachment_type == (kind if bare else declared) and r.attachment_corrected == (bare and kind != declared)
+        kinds[kind] += 1
+        wrong += r.attachment_corrected
+        inside += not bare
+    assert set(kinds) == set(media.FORMS) and wrong > 20 and inside > 10
+
+
 # 5 chat
 
 
