@@ -22,6 +22,17 @@ def review_queue(rows: DataFrame, which: str = "queue", source: str | None = Non
     return rows.orderBy(*order).limit(max(1, min(limit, 2000)))
 
 
+def queue_page(rows: DataFrame, catalog: DataFrame, which: str = "queue", source: str | None = None, limit: int = 500) -> DataFrame:
+    """A slice of the queue as one answer: its rows, the row that each is a duplicate of (name, whether active), and how many rows the
+    answer has in all, of each row's source and of its status. rows: id, source, moderation_status, duplicate_of; catalog: id, name, is_active."""
+    page = review_queue(rows, which, source, limit)
+    named = catalog.select(F.col("id").cast("string").alias("_of"), F.col("name").alias("survivor"), F.col("is_active").alias("survivor_active"))
+    page = page.withColumn("_of", F.nullif(F.trim(F.col("duplicate_of").cast("string")), F.lit(""))).join(named, "_of", "left")
+    source_, status = F.coalesce(F.nullif("source", F.lit("")), F.lit("none")), F.coalesce("moderation_status", F.lit("never reviewed"))
+    n = lambda *by: F.count(F.lit(1)).over(W.partitionBy(*by))  # noqa: E731  over `limit` rows at most
+    return page.withColumns({"source": source_, "moderation_status": status}).withColumns({"total": n(F.lit(0)), "of_source": n("source"), "of_status": n("moderation_status")}).drop("_of")
+
+
 def queue_histogram(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("moderation_status", F.lit("unreviewed")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -66,6 +66,34 @@ def estimate(runs: DataFrame, count: int, min_delay: float, k: int = 10) -> Data
     return done.groupBy("agent").agg(F.count(F.lit(1)).alias("sampled"), F.round(F.avg(each) * count, 4).alias("cost_usd"), F.round(F.greatest(F.avg(seconds), F.lit(float(min_delay))) * count, 2).alias("seconds"))
 
 
+def plans(runs: DataFrame, previews: DataFrame, min_delay: float, k: int = 10) -> DataFrame:
+    """previews: agent, count (what a run would handle). Each with the estimate for it in one answer; without a finished run to go by, the
+    least delay is all that is known of the time, and nothing of the cost."""
+    one = estimate(runs, 1, 0.0, k).select("agent", "sampled")
+    done = newest(runs.filter("finished_at is not null and items_processed > 0"), k)
+    seconds = F.timestamp_diff("SECOND", F.col("started_at").cast("timestamp"), F.col("finished_at").cast("timestamp")) / F.col("items_processed")
+    each = done.groupBy("agent").agg(F.avg(F.col("cost_usd").cast("double") / F.col("items_processed")).alias("_cost"), F.avg(seconds).alias("_seconds"))
+    rows = previews.join(one, "agent", "left").join(each, "agent", "left")
+    n = F.col("count")
+    return rows.select("agent", "count", F.coalesce("sampled", F.lit(0)).cast("long").alias("sampled"), F.round(F.col("_cost") * n, 4).alias("cost_usd"), F.round(F.greatest(F.coalesce("_seconds", F.lit(0.0)), F.lit(float(min_delay))) * n, 2).alias("seconds"), (n == 0).alias("nothing_to_do"))
+
+
+def cards(runs: DataFrame, registry: DataFrame, as_of: str) -> DataFrame:
+    """registry: agent, label, unit. A card for each registered agent: what it does now (running, error, interrupted, idle), and its newest
+    run. A running one shows only since when; an error says `notes`, or how many errors there were."""
+    last = newest(runs, 1).withColumn("_status", status(as_of))
+    row = registry.join(last, "agent", "left")
+    running = F.col("_status") == "running"
+    idle = lambda c, kind: F.when(~F.coalesce(running, F.lit(False)), c).cast(kind)
+    failed = F.coalesce(F.nullif(F.col("notes"), F.lit("")), F.concat(F.lit("errors:"), F.col("errors").cast("string")))
+    return row.select(
+        "agent", "label", "unit", F.when(running, "running").when(F.col("_status") == "failed", "error").when(F.col("_status") == "interrupted", "interrupted").otherwise("idle").alias("status"),
+        F.when(running, F.col("started_at")).alias("started_at"), idle(F.coalesce("finished_at", "started_at"), "timestamp_ntz").alias("last_run"), idle(F.col("mode"), "string").alias("last_mode"),
+        F.coalesce(idle(F.col("items_processed"), "long"), F.lit(0)).alias("items_processed"), idle(F.col("cost_usd"), "decimal(18,6)").alias("cost_usd"),
+        F.when(F.col("_status") == "failed", failed).when(F.col("_status") == "interrupted", "no totals").alias("error"),
+    )
+
+
 def seed_yield(seeds: DataFrame) -> DataFrame:
     """Rows added per dollar and the share of duplicates, null where nothing was spent or found."""
     return seeds.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import extract
 from quillspark.operators import costs, runs
 from quillspark.sources import bindings as b
 
@@ -99,6 +100,26 @@ def estimate_from_last10(spark, d):
     return runs.estimate(b.agent_runs(spark, d), 100, 5)
 
 
+def _registry(spark):
+    return spark.createDataFrame([("1-URGENT", "Urgent", "items"), ("2-HIGH", "High", "rows"), ("3-MEDIUM", "Medium", "rows"), ("9-IDLE", "Idle", "seeds")], "agent string, label string, unit string")
+
+
+def agent_cards(spark, d):
+    """The card of each registered agent."""
+    r = b.agent_runs(spark, d).withColumn("notes", F.when(F.col("id") % 2 == 0, F.concat(F.lit("order "), "id")).otherwise(""))
+    return runs.cards(r, _registry(spark), "1998-07-01 00:30:00")
+
+
+def run_plans(spark, d):
+    """What a run of each agent would handle, as its last preview says, with the estimate for it."""
+    r = b.agent_runs(spark, d)
+    line = F.concat(F.lit('PREVIEW_JSON: {"count": '), F.col("n").cast("string"), F.lit(', "label": "x"}'))
+    waiting = b.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("agent")).agg(F.count_if(F.col("o_orderstatus") == "O").alias("n")).withColumn("out", F.concat(F.lit("PREVIEW_JSON: {}\n"), line, F.lit("\nready")))
+    idle = spark.createDataFrame([("9-IDLE", 'PREVIEW_JSON: {"count": 7, "label": "y"}'), ("8-NONE", 'PREVIEW_JSON: {"count": 0, "label": "y"}')], "agent string, out string")
+    previews = waiting.select("agent", "out").unionByName(idle).select("agent", extract.preview(F.col("out"))["count"].alias("count"))
+    return runs.plans(r, previews, 5)
+
+
 def run_history(spark, d):
     r = b.agent_runs(spark, d).filter(F.col("started_at") >= F.lit("1998-06-01").cast("timestamp_ntz")).filter(F.col("started_at") < F.lit("1998-07-01").cast("timestamp_ntz"))
     return r.select("id", "agent", "started_at", runs.is_dry_run().alias("dry_run"), runs.status("1998-07-01").alias("status")).orderBy(F.desc("started_at"), F.desc("id")).limit(50)
@@ -115,7 +136,7 @@ def hourly_progress(spark, d):
     return runs.hourly_first(b.table(spark, d, "events"), "ts", "event_id", 10).select("hour", "place", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (user_cost_report, cost_grouping_sets, user_feature_breakdown, provider_report, model_report, top_features_per_user, daily_cost_series, cost_totals_reconciled, call_costs, agent_kpi_periods, agent_day_matrix, agent_totals, latest_run_per_agent, run_status, estimate_from_last10, run_history, yield_ranking, hourly_progress)}
+QUERIES = {f.__name__: f for f in (user_cost_report, cost_grouping_sets, user_feature_breakdown, provider_report, model_report, top_features_per_user, daily_cost_series, cost_totals_reconciled, call_costs, agent_kpi_periods, agent_day_matrix, agent_totals, latest_run_per_agent, run_status, estimate_from_last10, agent_cards, run_plans, run_history, yield_ranking, hourly_progress)}
 
 _STATUS = """CASE WHEN coalesce(errors, 0) > 0 THEN 'failed' WHEN finished_at IS NOT NULL THEN 'success' WHEN started_at IS NULL THEN 'interrupted'
   WHEN date_diff('second', started_at, TIMESTAMP '{0}') < 3600 THEN 'running' ELSE 'interrupted' END"""
@@ -158,6 +179,12 @@ SELECT period, count(*) AS runs, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_us
 SELECT coalesce(reg.agent, s.agent) AS agent, coalesce(label, s.agent) AS label, coalesce(runs, 0) AS runs, CAST(coalesce(cost_usd, 0) AS DECIMAL(18,6)) AS cost_usd FROM reg FULL JOIN s ON reg.agent = s.agent""",
     "latest_run_per_agent": f"""WITH {_RUNS} SELECT agent, id, started_at, {_STATUS.format('1998-07-01 00:30:00')} AS status FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY started_at DESC, id DESC) AS r FROM runs) WHERE r = 1""",
     "run_status": f"""WITH {_RUNS} SELECT id, {_STATUS.format('1998-07-01 00:30:00')} AS status FROM runs""",
+    "agent_cards": f"""WITH {_RUNS}, n AS (SELECT *, {_STATUS.format("1998-07-01 00:30:00")} AS st, row_number() OVER (PARTITION BY agent ORDER BY started_at DESC, id DESC) AS r FROM runs), g(agent, label, unit) AS (VALUES ('1-URGENT', 'Urgent', 'items'), ('2-HIGH', 'High', 'rows'), ('3-MEDIUM', 'Medium', 'rows'), ('9-IDLE', 'Idle', 'seeds'))
+SELECT g.agent, label, unit, CASE st WHEN 'running' THEN 'running' WHEN 'failed' THEN 'error' WHEN 'interrupted' THEN 'interrupted' ELSE 'idle' END AS status, CASE WHEN st = 'running' THEN started_at END AS started_at, CASE WHEN st <> 'running' THEN coalesce(finished_at, started_at) END AS last_run,
+ CASE WHEN st <> 'running' THEN mode END AS last_mode, coalesce(CASE WHEN st <> 'running' THEN items_processed END, 0) AS items_processed, CASE WHEN st <> 'running' THEN cost_usd END AS cost_usd, CASE st WHEN 'failed' THEN CASE WHEN id % 2 = 0 THEN 'order ' || id ELSE 'errors:' || errors END WHEN 'interrupted' THEN 'no totals' END AS error FROM g LEFT JOIN n ON n.agent = g.agent AND r = 1""",
+    "run_plans": f"""WITH {_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY started_at DESC, id DESC) AS r FROM runs WHERE finished_at IS NOT NULL AND items_processed > 0), e AS (SELECT agent, count(*) AS sampled, avg(CAST(cost_usd AS DOUBLE) / items_processed) AS c, avg(date_diff('second', started_at, finished_at) / items_processed) AS s FROM r WHERE r <= 10 GROUP BY 1),
+p AS (SELECT o_orderpriority AS agent, count(*) FILTER (o_orderstatus = 'O') AS count FROM orders GROUP BY 1 UNION ALL SELECT '9-IDLE', 7 UNION ALL SELECT '8-NONE', 0)
+SELECT p.agent, count, coalesce(sampled, 0) AS sampled, round(c * count, 4) AS cost_usd, round(greatest(coalesce(s, 0), 5) * count, 2) AS seconds, count = 0 AS nothing_to_do FROM p LEFT JOIN e ON e.agent = p.agent""",
     "estimate_from_last10": f"""WITH {_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY started_at DESC, id DESC) AS r FROM runs WHERE finished_at IS NOT NULL AND items_processed > 0)
 SELECT agent, count(*) AS sampled, round(avg(CAST(cost_usd AS DOUBLE) / items_processed) * 100, 4) AS cost_usd, round(greatest(avg(date_diff('second', started_at, finished_at) / items_processed), 5.0) * 100, 2) AS seconds FROM r WHERE r <= 10 GROUP BY 1""",
     "run_history": f"""WITH {_RUNS} SELECT id, agent, started_at, mode LIKE '%-dryrun' AS dry_run, {_STATUS.format('1998-07-01')} AS status FROM runs WHERE started_at >= TIMESTAMP '1998-06-01' AND started_at < TIMESTAMP '1998-07-01' ORDER BY started_at DESC, id DESC LIMIT 50""",

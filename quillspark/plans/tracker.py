@@ -99,6 +99,13 @@ def review_queue(spark, d):
     return curation.review_queue(b.reviewed_documents(spark, d), "queue", "src0", 500).select("id", "moderation_status")
 
 
+def queue_answer(spark, d):
+    """The refused rows of the queue with the rows that they are duplicates of, and the counts that go with them."""
+    rows = b.reviewed_documents(spark, d).withColumn("duplicate_of", F.when(F.col("id") % 2 == 0, F.concat(F.lit(" "), (F.col("id") % 50 + 1).cast("string"))).when(F.col("id") % 7 == 0, "no such row")).drop("summary")
+    out = curation.queue_page(rows, b.catalog(spark, d), "rejected", None, 300)
+    return out.select("id", "source", "moderation_status", "survivor", "survivor_active", "total", "of_source", "of_status")
+
+
 def review_slices(spark, d):
     """The first rows of each slice of the queue, whatever their source."""
     rows = b.reviewed_documents(spark, d)
@@ -192,7 +199,7 @@ def stream_daily_rollup(spark, d):
     return rollup.read_daily(spark, f"{root}/sums").select("userid", "day", "surface", "calls", "cost_usd")
 
 
-QUERIES = {f.__name__: f for f in (tracker_next_deadline, tracker_milestones, tracker_status, tracker_status_counts, tracker_order, calendar_months, calendar_headings, calendar_lanes, calendar_export, due_soon, palette_slots, subscription_state, access_gate, promo_redeem, trial_start, derived_freshness, review_queue, review_slices, queue_histogram, due_for_review, review_sample, snapshot_plan, moderation_apply, keyed_changes, usage_upsert, minted_ids, conversation_pairs, json_recover, fuzzy_candidates, greedy_dedupe, mock_enriched, stream_daily_rollup)}
+QUERIES = {f.__name__: f for f in (tracker_next_deadline, tracker_milestones, tracker_status, tracker_status_counts, tracker_order, calendar_months, calendar_headings, calendar_lanes, calendar_export, due_soon, palette_slots, subscription_state, access_gate, promo_redeem, trial_start, derived_freshness, review_queue, queue_answer, review_slices, queue_histogram, due_for_review, review_sample, snapshot_plan, moderation_apply, keyed_changes, usage_upsert, minted_ids, conversation_pairs, json_recover, fuzzy_candidates, greedy_dedupe, mock_enriched, stream_daily_rollup)}
 
 _ITEMS = """l AS (SELECT l_orderkey AS id, CAST(l_shipdate AS DATE) AS date, l_linestatus AS label, l_returnflag AS type FROM lineitem)"""
 _NEXT = f"""{_ITEMS}, nx AS (SELECT id, coalesce(min({{'d': date, 'l': label, 't': type}}) FILTER (date >= DATE '1998-06-30'), max({{'d': date, 'l': label, 't': type}})) AS n FROM l GROUP BY 1)"""
@@ -223,6 +230,8 @@ SELECT bucket, strftime(date, '%Y-%m') AS month, date, CASE WHEN length(name) >
     "trial_start": f"WITH {_SUBS} SELECT userid, CASE WHEN userid % 3 <> 0 THEN status ELSE 'trial' END AS status, CASE WHEN userid % 3 = 0 THEN TIMESTAMP '1998-07-15' ELSE trial_ends_at END AS ends_at FROM subs",
     "derived_freshness": r"SELECT conv_id, turn, text = left(text, 120) OR abs(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) - len(list_filter(regexp_split_to_array(trim(left(text, 120)), '\s+'), lambda w: w <> ''))) < 10 AS fresh FROM conversations WHERE role = 'user'",
     "review_queue": f"WITH {_REV} SELECT id, moderation_status FROM rev WHERE (moderation_status IS NULL OR moderation_status IN ('pending', 'insufficient_data')) AND source = 'src0' ORDER BY id % 97 DESC, id DESC LIMIT 500",
+    "queue_answer": f"""WITH {_REV}, p AS (SELECT id, coalesce(source, 'none') AS source, coalesce(moderation_status, 'never reviewed') AS moderation_status, CASE WHEN id % 2 = 0 THEN id % 50 + 1 END AS of FROM rev WHERE moderation_status IN ('rejected', 'duplicate') ORDER BY DATE '2024-01-01' + CAST(id % 97 AS INTEGER) DESC, id DESC LIMIT 300)
+SELECT p.id, source, moderation_status, p_name AS survivor, CASE WHEN p_name IS NOT NULL THEN p_partkey % 5 <> 0 END AS survivor_active, count(*) OVER () AS total, count(*) OVER (PARTITION BY source) AS of_source, count(*) OVER (PARTITION BY moderation_status) AS of_status FROM p LEFT JOIN part ON p_partkey = of""",
     "review_slices": f"""WITH {_REV}, s AS (SELECT 'queue' AS slice, id FROM rev WHERE moderation_status IS NULL OR moderation_status IN ('pending', 'insufficient_data') UNION ALL SELECT 'rejected', id FROM rev WHERE moderation_status IN ('rejected', 'duplicate') UNION ALL SELECT 'all', id FROM rev)
  SELECT slice, id FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY id % 97 DESC, id DESC) AS n FROM s) WHERE n <= 40""",
     "queue_histogram": f"WITH {_REV} SELECT coalesce(source, 'unknown') AS source, coalesce(moderation_status, 'unreviewed') AS status, count(*) AS n FROM rev GROUP BY 1, 2",
