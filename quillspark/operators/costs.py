@@ -126,6 +126,23 @@ def totals(facts: DataFrame, ledger_cost: DataFrame, plan_price: float = PLAN_PR
     )
 
 
+def report(facts: DataFrame, users: DataFrame, ledger_cost: DataFrame, as_of: str, days: int, limit: int = 200) -> DataFrame:
+    """The whole report as one answer: rows of section (total, user, provider, model, day), key, calls, cost_usd and detail. The facts are
+    made once, as a table that all sections read."""
+    from quillspark.sources.shared import materialised
+
+    facts = materialised(facts, "facts")
+
+    def section(name: str, rows: DataFrame, key: Column, calls: Column, cost: str, *detail: str) -> DataFrame:
+        return rows.select(F.lit(name).alias("section"), key.cast("string").alias("key"), calls.cast("long").alias("calls"), F.col(cost).cast("decimal(18,6)").alias("cost_usd"), F.concat_ws("|", *(F.col(c).cast("string") for c in detail)).alias("detail"))
+
+    out = section("total", totals(facts, ledger_cost), F.lit("all"), F.lit(None), "attributed_usd", "active_users", "over_plan", "max_usd", "ledger_usd")
+    out = out.unionByName(section("user", per_user(facts, users, limit), F.col("userid"), F.col("calls"), "cost_usd", "name", "status", "left_out"))
+    out = out.unionByName(section("provider", by_provider(facts), F.col("provider"), F.col("calls"), "cost_usd", "users", "models", "features"))
+    out = out.unionByName(section("model", by_model(facts), F.concat_ws("/", "provider", "model"), F.col("calls"), "cost_usd", "users", "features"))
+    return out.unionByName(section("day", daily_series(facts, as_of, days), F.col("day"), F.col("calls"), "cost_usd", "users"))
+
+
 def call_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """Cost of each call: tokens, cached tokens and searches at the rates of its provider (per million tokens, per search)."""
     kinds = {"input_tokens": "in_rate", "output_tokens": "out_rate", "cache_write_tokens": "cache_write_rate", "cache_read_tokens": "cache_read_rate"}

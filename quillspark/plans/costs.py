@@ -53,11 +53,19 @@ def daily_cost_series(spark, d):
     return costs.daily_series(_facts(spark, d), b.AS_OF_EVENTS, 30)
 
 
-def cost_totals_reconciled(spark, d):
+def _ledger(spark, d):
     runs_usd = b.table(spark, d, "orders").agg(F.coalesce(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), F.lit(0)).cast("decimal(18,6)").alias("runs_usd"))
     checks_usd = b.table(spark, d, "events").filter("event_type = 'error'").agg(F.coalesce(F.sum(F.col("value").cast("decimal(14,6)")), F.lit(0)).cast("decimal(18,6)").alias("checks_usd"))
-    ledger = runs_usd.crossJoin(F.broadcast(checks_usd))
-    return costs.totals(_facts(spark, d), ledger)
+    return runs_usd.crossJoin(F.broadcast(checks_usd))
+
+
+def cost_totals_reconciled(spark, d):
+    return costs.totals(_facts(spark, d), _ledger(spark, d))
+
+
+def cost_report(spark, d):
+    """Totals, users, providers, models and days of the window in one answer."""
+    return costs.report(_facts(spark, d), b.users(spark, d), _ledger(spark, d), b.AS_OF_EVENTS, 30, 50)
 
 
 #: Dollars for a million tokens in and out, and for a search; one provider also bills for its cache.
@@ -136,7 +144,7 @@ def hourly_progress(spark, d):
     return runs.hourly_first(b.table(spark, d, "events"), "ts", "event_id", 10).select("hour", "place", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (user_cost_report, cost_grouping_sets, user_feature_breakdown, provider_report, model_report, top_features_per_user, daily_cost_series, cost_totals_reconciled, call_costs, agent_kpi_periods, agent_day_matrix, agent_totals, latest_run_per_agent, run_status, estimate_from_last10, agent_cards, run_plans, run_history, yield_ranking, hourly_progress)}
+QUERIES = {f.__name__: f for f in (user_cost_report, cost_grouping_sets, user_feature_breakdown, provider_report, model_report, top_features_per_user, daily_cost_series, cost_totals_reconciled, cost_report, call_costs, agent_kpi_periods, agent_day_matrix, agent_totals, latest_run_per_agent, run_status, estimate_from_last10, agent_cards, run_plans, run_history, yield_ranking, hourly_progress)}
 
 _STATUS = """CASE WHEN coalesce(errors, 0) > 0 THEN 'failed' WHEN finished_at IS NOT NULL THEN 'success' WHEN started_at IS NULL THEN 'interrupted'
   WHEN date_diff('second', started_at, TIMESTAMP '{0}') < 3600 THEN 'running' ELSE 'interrupted' END"""
@@ -192,3 +200,7 @@ SELECT agent, count(*) AS sampled, round(avg(CAST(cost_usd AS DOUBLE) / items_pr
 SELECT *, round(CAST(added AS DOUBLE) / nullif(CAST(cost AS DOUBLE), 0), 4) AS added_per_dollar, round(CAST(dupes AS DOUBLE) / found, 4) AS dupe_rate FROM s""",
     "hourly_progress": """SELECT hour, place, event_id FROM (SELECT date_trunc('hour', ts) AS hour, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS place, event_id FROM events) WHERE place <= 10""",
 }
+
+ORACLES["cost_report"] = f"""SELECT 'total' AS section, 'all' AS key, CAST(NULL AS BIGINT) AS calls, attributed_usd AS cost_usd, concat_ws('|', active_users, over_plan, max_usd, ledger_usd) AS detail FROM ({ORACLES['cost_totals_reconciled']})
+UNION ALL SELECT 'user', userid, calls, cost_usd, concat_ws('|', name, status, left_out) FROM ({ORACLES['user_cost_report']}) UNION ALL SELECT 'provider', provider, calls, cost_usd, concat_ws('|', users, models, features) FROM ({ORACLES['provider_report']})
+UNION ALL SELECT 'model', concat_ws('/', provider, model), calls, cost_usd, concat_ws('|', users, features) FROM ({ORACLES['model_report']}) UNION ALL SELECT 'day', CAST(day AS VARCHAR), calls, cost_usd, CAST(users AS VARCHAR) FROM ({ORACLES['daily_cost_series']})"""
