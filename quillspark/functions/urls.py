@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Query parameters that only say where a visitor came from.
@@ -40,17 +40,25 @@ def with_scheme(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower case, without user, port and www."""
-    raw = F.lower(F.regexp_extract(with_scheme(url), r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return _host(with_scheme(url))
+
+
+def _host(whole: Column) -> Column:
+    raw = F.lower(F.regexp_extract(whole, r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return F.regexp_replace(raw, r"^www\.", "")
 
 
 def path(url: Column) -> Column:
     """Path in its own case, without empty parts, an index file at its end and trailing slashes; the root is `/`."""
-    raw = F.regexp_extract(with_scheme(url), r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    return _path(with_scheme(url))
+
+
+def _path(whole: Column) -> Column:
+    raw = F.regexp_extract(whole, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
     parts = F.filter(F.split(raw, "/"), lambda p: p != "")
     indexed = F.lower(F.get(parts, F.size(parts) - 1)).isin(*INDEX_FILES)
     kept = F.when(F.coalesce(indexed, F.lit(False)), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.when(with_scheme(url) == "", "").otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+    return F.when(whole == "", "").otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
 
 
 def _decoded(text: Column) -> Column:
@@ -64,7 +72,11 @@ def _encoded(text: Column) -> Column:
 
 def query(url: Column) -> Column:
     """Parameters that do not track, decoded, sorted by name and value, and encoded alike."""
-    raw = F.regexp_extract(with_scheme(url), r"^[^?#]*\?([^#]*)", 1)
+    return _query(with_scheme(url))
+
+
+def _query(whole: Column) -> Column:
+    raw = F.regexp_extract(whole, r"^[^?#]*\?([^#]*)", 1)
     pair = lambda p: F.struct(_decoded(F.regexp_extract(p, "^[^=]*", 0)).alias("name"), _decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("value"))
     pairs = F.transform(F.filter(F.split(raw, "&"), lambda p: p != ""), pair)
     kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["name"]).isin(*TRACKING)))
@@ -73,9 +85,20 @@ def query(url: Column) -> Column:
 
 def match_key(url: Column) -> Column:
     """Host, path and query in lower case; empty without a host."""
-    q = F.lower(query(url))
-    key = F.concat(host(url), F.regexp_replace(F.lower(path(url)), "/+$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-    return F.when(host(url) == "", "").otherwise(key)
+    whole = with_scheme(url)
+    return _match_key(_host(whole), _path(whole), _query(whole))
+
+
+def _match_key(host_: Column, path_: Column, query_: Column) -> Column:
+    q = F.lower(query_)
+    key = F.concat(host_, F.regexp_replace(F.lower(path_), "/+$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.when(host_ == "", "").otherwise(key)
+
+
+def parsed(rows: DataFrame, url: str) -> DataFrame:
+    """rows with host, path, query, match_key and domain of a URL, each part worked out once for all that need it."""
+    parts = rows.withColumn("_whole", with_scheme(F.col(url))).withColumns({"host": _host(F.col("_whole")), "path": _path(F.col("_whole")), "query": _query(F.col("_whole"))}).drop("_whole")
+    return parts.withColumns({"match_key": _match_key(F.col("host"), F.col("path"), F.col("query")), "domain": registrable(F.col("host"))})
 
 
 def registrable(host_: Column) -> Column:

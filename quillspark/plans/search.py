@@ -77,8 +77,8 @@ def domain_peers(spark, d):
 
 
 def url_keys(spark, d):
-    u = F.col("url")
-    return b.table(spark, d, "pages").select("page_id", urls.weak(u).alias("weak"), urls.bare(u).alias("bare"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.query(u).alias("query"), urls.match_key(u).alias("match_key"), urls.registrable(urls.host(u)).alias("domain"))
+    rows = urls.parsed(b.table(spark, d, "pages").select("page_id", "url"), "url")
+    return rows.select("page_id", urls.weak(F.col("url")).alias("weak"), urls.bare(F.col("url")).alias("bare"), "host", "path", "query", "match_key", "domain")
 
 
 def url_duplicate_audit(spark, d):
