@@ -1,10 +1,10 @@
 """Operator 12: importance resampling towards a target, over an integer word dictionary.
 
-Every chunk of texts (what one Arrow batch brings) has a vocabulary of its own: its texts are lists of local numbers with
-counts. The dictionary gives each distinct word of all chunks, of documents and target alike, one integer id, so a chunk's
-n-grams become tuples of ids. Tuples are counted over all chunks; the bytes of each distinct tuple are put together from the
-dictionary once, hashed once, and its bucket's gain goes back to every chunk that has the tuple. So what is shuffled is a row for each
-chunk and distinct n-gram, not for each word of the corpus, and no text. Only the table of at most BUCKETS gains is broadcast.
+Each task keeps a vocabulary of its own as it reads, and starts a new one (a new scope) beyond SCOPE_WORDS words or n-grams: texts are lists of
+local numbers with counts. The dictionary gives each distinct word of all scopes, of documents and target alike, one integer id, so a scope's
+n-grams become tuples of ids. Tuples are counted over all scopes; the bytes of each distinct tuple are put together from the
+dictionary once, hashed once, and its bucket's gain goes back to every scope that has the tuple. So what is shuffled is a row for each
+scope and distinct n-gram, not for each word of the corpus, and no text. Only the table of at most BUCKETS gains is broadcast.
 
 The gain of a bucket is the scaled log ratio of its smoothed shares in target and source; a document's weight sums the
 gains over its n-grams. A Gumbel draw from seed and doc_id is added, and the highest scores are drawn without
@@ -13,7 +13,7 @@ replacement; ranks come from sorted ranges, so no task sees all rows.
 Defined results: null texts and texts without words have no features and weight 0; rows that repeat a doc_id are scored and
 ranked each, rows equal in score and id in any order, as they differ in nothing; a null doc_id draws as an empty one and comes
 after all ids among equal scores; an empty target gives all buckets the share of a bucket without words; an empty table gives
-an empty result; long texts are a chunk of their own. Columns other than doc_id and text are ignored, whatever their names.
+an empty result; long texts are coded whole. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,16 +39,19 @@ BUCKETS = 10_000
 SCALE = 1000
 #: Documents of at least so many words are drawn from; so many of a hundred of them are drawn.
 MIN_WORDS, PERCENT = 20, 10
-#: Text of one chunk; a longer document is one alone.
-CHUNK_BYTES = 8 << 20
+#: Text that is coded at once; a longer document is one alone.
+CHUNK_BYTES = 4 << 20
+#: Words, or n-grams, of a scope, and bytes of its words; the text that is being coded may add to them.
+SCOPE_WORDS, SCOPE_BYTES = 400_000, 32 << 20
 
-_CODED = "chunk long, words array<string>, grams array<array<int>>, totals array<long>, doc_id array<long>, text_key array<long>, n_words array<long>, n_features array<long>, sizes array<int>, gram array<int>, count array<int>"
+#: A scope has a row for each piece of text that was coded at once, and at its end one with its words and n-grams.
+_CODED = "scope long, words array<string>, grams array<array<int>>, totals array<long>, doc_id array<long>, text_key array<long>, n_words array<long>, n_features array<long>, sizes array<int>, gram array<int>, count array<int>"
 
 
-def _grams(number: np.ndarray, row: np.ndarray, least: int, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _grams(number: np.ndarray, row: np.ndarray, least: int, most: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """(tuples, gram, text): the distinct runs of least to most neighbouring numbers of one text; of each run, its tuple's place and its text."""
-    tuples: list[np.ndarray] = []
-    grams, rows, held = [], [], 0
+    tuples: list[tuple] = []
+    grams, rows = [], []
     code, n = number.astype(np.int64), int(number.max(initial=-1)) + 1
     for k in range(1, most + 1):
         if k > 1:  # a run of k is a run of k - 1 and a number more
@@ -58,52 +61,98 @@ def _grams(number: np.ndarray, row: np.ndarray, least: int, most: int) -> tuple[
             own, names = pd.factorize(code[at])
             first = np.zeros(len(names), np.int64)
             first[own[::-1]] = at[::-1]
-            tuples += list(number[first[:, None] + np.arange(k)])
-            grams.append(own + held)
+            grams.append(own + len(tuples))
             rows.append(row[at])
-            held += len(names)
+            tuples += map(tuple, number[first[:, None] + np.arange(k)].tolist())
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return tuples, join(grams), join(rows)
 
 
+class Scope:
+    """Numbers of words and n-grams, in the order they were met, and how often each n-gram was."""
+
+    def __init__(self, name: int):
+        self.name, self.n_bytes = name, 0
+        self.words: dict[bytes, int] = {}
+        self.grams: dict[tuple, int] = {}
+        self.totals = np.zeros(1 << 12, np.int64)
+
+    def full(self, most: int, most_bytes: int) -> bool:
+        return max(len(self.words), len(self.grams)) > most or self.n_bytes > most_bytes
+
+    def add(self, tuples: list[tuple], totals: np.ndarray) -> np.ndarray:
+        """The n-grams' numbers; their counts are added."""
+        at = np.fromiter((self.grams.setdefault(t, len(self.grams)) for t in tuples), np.int64, len(tuples))
+        if len(self.grams) > len(self.totals):
+            self.totals = np.concatenate([self.totals, np.zeros(len(self.grams), np.int64)])
+        self.totals[at] += totals
+        return at
+
+    def row(self) -> pa.RecordBatch:
+        sizes = np.array([len(t) for t in self.grams], np.int64)
+        flat = np.array([i for t in self.grams for i in t], np.int64)
+        inner = lists(flat, sizes, pa.int32())
+        cols = {"scope": pa.array([self.name]), "words": pa.array([[w.decode() for w in self.words]], pa.list_(pa.string())), "grams": pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), inner), "totals": _one(self.totals[: len(sizes)], pa.int64())}
+        return _coded_row(cols)
+
+
+def _one(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A column of one row, a list."""
+    return lists(values, np.array([len(values)]), kind)
+
+
+_KINDS = {"scope": pa.int64(), "words": pa.list_(pa.string()), "grams": pa.list_(pa.list_(pa.int32())), "totals": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "gram": pa.list_(pa.int32()), "count": pa.list_(pa.int32())}
+
+
+def _coded_row(cols: dict[str, pa.Array]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _CODED.split(", ")]
+    return pa.RecordBatch.from_arrays([cols[n] if n in cols else pa.nulls(1, _KINDS.get(n, pa.list_(pa.int64()))) for n in names], names)
+
+
 def _coded(least: int, most: int):
+    chunk_bytes, limits = CHUNK_BYTES, (SCOPE_WORDS, SCOPE_BYTES)  # as they are where the plan is made
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 33
-        for b in chunks(batches, most=CHUNK_BYTES):
+        scope = Scope(TaskContext.get().partitionId() << 33)
+        for b in chunks(batches, most=chunk_bytes):
             w = words(b.column(1), LOWER, MARKS)
-            raw = LOWER[w.buf].tobytes()
-            own = [raw[x:y].decode() for x, y in zip(w.start[w.unique].tolist(), w.end[w.unique].tolist(), strict=True)]
-            tuples, gram, row = _grams(w.number, w.row, least, most)
+            raw, known = LOWER[w.buf].tobytes(), len(scope.words)
+            own = [raw[x:y] for x, y in zip(w.start[w.unique].tolist(), w.end[w.unique].tolist(), strict=True)]
+            local = np.fromiter((scope.words.setdefault(x, len(scope.words)) for x in own), np.int64, len(own))
+            scope.n_bytes += int((w.end - w.start)[w.unique][local >= known].sum())
+            tuples, gram, row = _grams(local[w.number] if len(own) else w.number, w.row, least, most)
             pair, count = np.unique(row * max(1, len(tuples)) + gram, return_counts=True)
             row, gram = np.divmod(pair, max(1, len(tuples)))
-            totals = np.zeros(len(tuples), np.int64)
-            np.add.at(totals, gram, count)
-            features = np.zeros(b.num_rows, np.int64)
-            np.add.at(features, row, count)
-            one = lambda values, kind: lists(values, np.array([len(values)]), kind)
-            flat = np.concatenate(tuples) if tuples else np.zeros(0, np.int64)
-            inner = lists(flat, np.array([len(t) for t in tuples], np.int64), pa.int32())
-            cols = [
-                pa.array([chunk]), pa.array([own], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(tuples)], pa.int32()), inner), one(totals, pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0)), pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(2)),
-                one(np.diff(w.first), pa.int64()), one(features, pa.int64()), one(np.bincount(row, minlength=b.num_rows), pa.int32()), one(gram, pa.int32()), one(count, pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _CODED.split(", ")])
-            chunk += 1
+            gram = scope.add(tuples, np.bincount(gram, count, minlength=len(tuples)).astype(np.int64))[gram]
+            features = np.bincount(row, count, minlength=b.num_rows).astype(np.int64)
+            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), c)
+            yield _coded_row({
+                "scope": pa.array([scope.name]), "doc_id": whole(b.column(0)), "text_key": whole(b.column(2)), "n_words": _one(np.diff(w.first), pa.int64()), "n_features": _one(features, pa.int64()),
+                "sizes": _one(np.bincount(row, minlength=b.num_rows), pa.int32()), "gram": _one(gram, pa.int32()), "count": _one(count, pa.int32()),
+            })
+            if scope.full(*limits):
+                yield scope.row()
+                scope = Scope(scope.name + 1)
+        if scope.words:
+            yield scope.row()
 
     return run
 
 
 def coded(texts: DataFrame, least: int, most: int, name: str) -> DataFrame:
-    """A row for each chunk of texts (doc_id, text): its vocabulary, its n-grams as tuples of local numbers, and its texts' counts of them."""
+    """Texts (doc_id, text) as counts of numbered n-grams, and what the numbers of each scope stand for."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     return written(rows.mapInArrow(_coded(least, most), _CODED), name)
 
 
+def _scopes(coded_texts: DataFrame) -> DataFrame:
+    return coded_texts.filter("words is not null").select("scope", "words", "grams", "totals")
+
+
 def dictionary(*coded_texts: DataFrame) -> DataFrame:
     """(word, id): every distinct word once, with an integer of its own."""
-    each = [c.select(F.explode("words").alias("word")) for c in coded_texts]
+    each = [_scopes(c).select(F.explode("words").alias("word")) for c in coded_texts]
     both = each[0]
     for more in each[1:]:
         both = both.unionByName(more)
@@ -111,17 +160,21 @@ def dictionary(*coded_texts: DataFrame) -> DataFrame:
 
 
 def _gathered(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Per chunk, the values by place as an array; a chunk bounds its length."""
-    return rows.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias(name))
-
-
-def id_tuples(coded_texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(chunk, at, gram, n): every chunk's distinct n-grams as tuples of dictionary ids, with their counts in it."""
-    places = coded_texts.select("chunk", F.posexplode("words").alias("at", "word")).join(known, "word")
-    ids = _gathered(places.select("chunk", "at", "id"), "id", "ids")
+    """Per scope, the values by place as an array; a scope bounds its length."""
+    return rows.groupBy("scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias(name))
+
+
+def id_tuples(coded_texts: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(scope, at, gram, n): every scope's distinct n-grams as tuples of dictionary ids, with their counts in it."""
+    scopes = _scopes(coded_texts)
+    if most == 1:  # a tuple of one id is there as soon as its word has met the dictionary
+        said = scopes.select("scope", F.posexplode(F.arrays_zip(F.transform("grams", lambda g: F.get("words", g[0])).alias("word"), F.col("totals").alias("n"))).alias("at", "x"))
+        return said.select("scope", "at", F.col("x.word").alias("word"), F.col("x.n").alias("n")).join(known, "word").select("scope", "at", F.array("id").alias("gram"), "n")
+    places = scopes.select("scope", F.posexplode("words").alias("at", "word")).join(known, "word")
+    ids = _gathered(places.select("scope", "at", "id"), "id", "ids")
     named = F.transform("grams", lambda g: F.transform(g, lambda i: F.get("ids", i)))
-    each = coded_texts.select("chunk", "grams", "totals").join(ids, "chunk")
-    return each.select("chunk", F.posexplode(F.arrays_zip(named.alias("gram"), F.col("totals").alias("n"))).alias("at", "x")).select("chunk", "at", F.col("x.gram").alias("gram"), F.col("x.n").alias("n"))
+    each = scopes.select("scope", "grams", "totals").join(ids, "scope")
+    return each.select("scope", F.posexplode(F.arrays_zip(named.alias("gram"), F.col("totals").alias("n"))).alias("at", "x")).select("scope", "at", F.col("x.gram").alias("gram"), F.col("x.n").alias("n"))
 
 
 def hashed_tuples(tuples: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
@@ -138,7 +191,7 @@ def gain(s: Column, t: Column, all_s: Column, all_t: Column, buckets: int) -> Co
 
 
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, text_key, n_words, n_features, sizes, gram, count, gains: a chunk each."""
+    """Rows of doc_id, text_key, n_words, n_features, sizes, gram, count, and the gains of their scope."""
     for b in batches:
         for i in range(b.num_rows):
             doc_id, text_key, n_words, n_features, sizes, gram, count, gains = (c[i].values for c in b.columns)
@@ -155,15 +208,16 @@ def weights(docs: DataFrame, target: DataFrame, least: int = LEAST, most: int =
     own = coded(docs, least, most, "coded")
     wanted = coded(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), least, most, "coded_target")
     known = dictionary(own, wanted)
-    grams = written(id_tuples(own, known), "id_tuples")
-    counts = grams.select("gram", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(id_tuples(wanted, known).select("gram", F.lit(0).cast("long").alias("s"), F.col("n").alias("t")))
+    grams = written(id_tuples(own, known, most), "id_tuples")
+    counts = grams.select("gram", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(id_tuples(wanted, known, most).select("gram", F.lit(0).cast("long").alias("s"), F.col("n").alias("t")))
     features = written(hashed_tuples(counts.groupBy("gram").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), known, buckets), "features")
     per_bucket = features.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     totals = features.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))  # one row
     gains = per_bucket.crossJoin(F.broadcast(totals)).select("bucket", gain(F.col("s"), F.col("t"), F.col("all_s"), F.col("all_t"), buckets).alias("gain"))
     worth = features.filter("s > 0").join(F.broadcast(gains), "bucket").select("gram", "gain")
-    back = _gathered(grams.select("chunk", "at", "gram").join(worth, "gram").select("chunk", "at", "gain"), "gain", "gains")
-    rows = own.select("chunk", "doc_id", "text_key", "n_words", "n_features", "sizes", "gram", "count").join(back, "chunk", "left").withColumn("gains", F.coalesce("gains", F.array().cast("array<long>"))).drop("chunk")
+    back = _gathered(grams.select("scope", "at", "gram").join(worth, "gram").select("scope", "at", "gain"), "gain", "gains")
+    texts = own.filter("words is null").select("scope", "doc_id", "text_key", "n_words", "n_features", "sizes", "gram", "count")
+    rows = texts.join(back, "scope", "left").withColumn("gains", F.coalesce("gains", F.array().cast("array<long>"))).drop("scope")
     out = written(rows.mapInArrow(_weighed, "doc_id long, text_key long, n_words long, n_features long, weight long"), "weights")
     drop(own, wanted, known, grams, features)
     return out

@@ -11,7 +11,7 @@ import pytest
 
 from quillspark.llm import resampling
 
-SCHEMA = "doc_id long, text string, chunk string, gain string, rank string, id long, word string"
+SCHEMA = "doc_id long, text string, scope string, gain string, rank string, id long, word string"
 r = random.Random(9)
 VOCABULARY = ["".join(r.choice("abcdeÉß日") for _ in range(r.randint(1, 6))) for _ in range(150)]
 
@@ -74,6 +74,7 @@ def with_ranks(rows, percent=10):
 @pytest.fixture
 def small_chunks(monkeypatch):
     monkeypatch.setattr(resampling, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(resampling, "SCOPE_WORDS", 100)
 
 
 def test_scores_and_ranks(spark, small_chunks):
@@ -98,9 +99,10 @@ def test_the_dictionary_has_each_word_once_and_tuples_stand_for_their_words(spar
     assert len({x.id for x in rows}) == len(rows) == len({x.word for x in rows}) and {x.word for x in rows} == {w for _, t in ROWS for w in words(t)}
     word = {x.id: x.word for x in rows}
     got = Counter()
-    for x in resampling.id_tuples(own, known).collect():
+    for x in resampling.id_tuples(own, known, 2).collect():
         got[" ".join(word[i] for i in x.gram)] += x.n
     assert got == Counter(f for _, t in ROWS for f in features(t, 1, 2))
+    assert own.filter("words is not null").count() > 4 and own.filter("words is null").count() > own.filter("words is not null").count()
 
 
 def test_drawn_rows_come_whole(spark):
