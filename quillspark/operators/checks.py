@@ -18,8 +18,9 @@ def checked(table: VersionedTable, requests: DataFrame, answers: DataFrame, now:
     once for a batch. Several requests of a batch for one row are one check and one line of the log."""
     if batch is not None and table.done(*batch):
         return table.manifest()["version"]
-    rows = table.read().select("id", "status", "last_checked_at", F.lit(True).alias("_there"))
-    asked = requests.select("id").distinct().join(rows, "id", "left").join(answers.groupBy("id").agg(F.max("status").alias("answer")), "id", "left")
+    # columns that repeat make files small and rows many, so the size of a file is no ground to broadcast it
+    rows = table.read().select("id", "status", "last_checked_at", F.lit(True).alias("_there")).hint("merge")
+    asked = requests.select("id").distinct().join(rows, "id", "left").join(answers.groupBy("id").agg(F.max("status").alias("answer")).hint("merge"), "id", "left")
     fresh = dates.fresh(F.col("last_checked_at").cast("timestamp"), now.cast("timestamp"))
     source = F.when(F.col("_there").isNull(), "unknown").when(F.coalesce(fresh, F.lit(False)), "cached").otherwise("check")
     status = F.when(F.col("source") == "check", text.known_or_default(F.col("answer"), text.RUN_STATUS)).otherwise(F.col("status"))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PLAN_PRICE = 9.99
+#: Sums over a whole ledger pass the 12 digits that decimal(18,6) leaves before the point.
+TOTAL = "decimal(38,6)"
 
 #: How model names begin, and the providers that bill for them; surfaces decide for models that are not known.
 MODEL_PROVIDERS = {"claude": "anthropic", "gemini": "google"}
@@ -115,8 +117,8 @@ def daily_series(facts: DataFrame, as_of: str, days: int, include_today: bool =
 def totals(facts: DataFrame, ledger_cost: DataFrame, plan_price: float = PLAN_PRICE) -> DataFrame:
     """Totals over all users, reconciled with the independent ledgers (one row: runs_usd, checks_usd)."""
     users = facts.groupBy("userid").agg(F.sum("cost_usd").alias("cost"))
-    whole = users.agg(F.count(F.lit(1)).alias("active_users"), F.sum("cost").cast("decimal(18,6)").alias("attributed_usd"), F.max("cost").cast("decimal(18,6)").alias("max_usd"), F.count_if(F.col("cost") > F.lit(plan_price)).alias("over_plan"))
-    ledger_cost = ledger_cost.withColumn("ledger_usd", (F.col("runs_usd") + F.col("checks_usd")).cast("decimal(18,6)"))
+    whole = users.agg(F.count(F.lit(1)).alias("active_users"), F.sum("cost").cast(TOTAL).alias("attributed_usd"), F.max("cost").cast(TOTAL).alias("max_usd"), F.count_if(F.col("cost") > F.lit(plan_price)).alias("over_plan"))
+    ledger_cost = ledger_cost.withColumn("ledger_usd", (F.col("runs_usd").cast(TOTAL) + F.col("checks_usd").cast(TOTAL)).cast(TOTAL))
     a, b = F.col("attributed_usd").cast("double"), F.col("ledger_usd").cast("double")
     return whole.crossJoin(F.broadcast(ledger_cost)).select(
         "active_users", "attributed_usd", "max_usd", "over_plan", "runs_usd", "checks_usd", "ledger_usd",
@@ -134,7 +136,7 @@ def report(facts: DataFrame, users: DataFrame, ledger_cost: DataFrame, as_of: st
     facts = materialised(facts, "facts")
 
     def section(name: str, rows: DataFrame, key: Column, calls: Column, cost: str, *detail: str) -> DataFrame:
-        return rows.select(F.lit(name).alias("section"), key.cast("string").alias("key"), calls.cast("long").alias("calls"), F.col(cost).cast("decimal(18,6)").alias("cost_usd"), F.concat_ws("|", *(F.col(c).cast("string") for c in detail)).alias("detail"))
+        return rows.select(F.lit(name).alias("section"), key.cast("string").alias("key"), calls.cast("long").alias("calls"), F.col(cost).cast(TOTAL).alias("cost_usd"), F.concat_ws("|", *(F.col(c).cast("string") for c in detail)).alias("detail"))
 
     out = section("total", totals(facts, ledger_cost), F.lit("all"), F.lit(None), "attributed_usd", "active_users", "over_plan", "max_usd", "ledger_usd")
     out = out.unionByName(section("user", per_user(facts, users, limit), F.col("userid"), F.col("calls"), "cost_usd", "name", "status", "left_out"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.operators.costs import TOTAL
+
 RUN_CAP_SECONDS = 3600
 
 
@@ -37,7 +39,7 @@ def kpi_periods(runs: DataFrame, as_of: str, days: int) -> DataFrame:
         .groupBy("period")
         .agg(
             F.count(F.lit(1)).alias("runs"),
-            F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"),
+            F.sum("cost_usd").cast(TOTAL).alias("cost_usd"),
             F.coalesce(F.sum(F.when(real, F.col("items_processed"))), F.lit(0)).cast("long").alias("items"),
             F.count_if(F.col("errors") > 0).alias("failed"),
             F.count_if(F.col("cost_usd").isNull()).alias("unknown_cost"),
@@ -48,8 +50,8 @@ def kpi_periods(runs: DataFrame, as_of: str, days: int) -> DataFrame:
 
 def agent_totals(runs: DataFrame, registry: DataFrame) -> DataFrame:
     """Totals of every registered agent, zero for idle ones; unregistered agents keep their own name."""
-    sums = runs.groupBy("agent").agg(F.count(F.lit(1)).alias("runs"), F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"))
-    return registry.join(sums, "agent", "full").select("agent", F.coalesce("label", "agent").alias("label"), F.coalesce("runs", F.lit(0)).cast("long").alias("runs"), F.coalesce("cost_usd", F.lit(0)).cast("decimal(18,6)").alias("cost_usd"))
+    sums = runs.groupBy("agent").agg(F.count(F.lit(1)).alias("runs"), F.sum("cost_usd").cast(TOTAL).alias("cost_usd"))
+    return registry.join(sums, "agent", "full").select("agent", F.coalesce("label", "agent").alias("label"), F.coalesce("runs", F.lit(0)).cast("long").alias("runs"), F.coalesce("cost_usd", F.lit(0)).cast(TOTAL).alias("cost_usd"))
 
 
 def newest(runs: DataFrame, k: int) -> DataFrame:

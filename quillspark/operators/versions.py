@@ -135,7 +135,8 @@ class VersionedTable(Manifests):
         now = self.read(m["version"], touched).withColumn("_there", F.lit(True))
         whole = changes.filter("op <> 'patch'").select(F.col(self.key).alias("_key"), F.col("op").alias("_op"), F.col("row").alias("_row"))
         patch = changes.filter("op = 'patch'").select(F.col(self.key).alias("_patched"), F.col("columns").alias("_columns"))
-        both = now.join(whole, F.col(self.key) == F.col("_key"), "full_outer").join(patch, F.coalesce(F.col(self.key), F.col("_key")) == F.col("_patched"), "left")
+        # a change's columns repeat, so its files are small and its rows many: sizes of files are no ground to broadcast it
+        both = now.join(whole.hint("merge"), F.col(self.key) == F.col("_key"), "full_outer").join(patch.hint("merge"), F.coalesce(F.col(self.key), F.col("_key")) == F.col("_patched"), "left")
         new = F.coalesce((F.col("_op") == "upsert") | ((F.col("_op") == "insert") & F.col("_there").isNull()), F.lit(False))
         kept = both.filter(F.coalesce(F.col("_op") != "delete", F.lit(True)) & (F.coalesce("_there", F.lit(False)) | new))
         out = kept.select(*(self._value(f, new).alias(f.name) for f in schema.fields))

@@ -54,8 +54,8 @@ def daily_cost_series(spark, d):
 
 
 def _ledger(spark, d):
-    runs_usd = b.table(spark, d, "orders").agg(F.coalesce(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), F.lit(0)).cast("decimal(18,6)").alias("runs_usd"))
-    checks_usd = b.table(spark, d, "events").filter("event_type = 'error'").agg(F.coalesce(F.sum(F.col("value").cast("decimal(14,6)")), F.lit(0)).cast("decimal(18,6)").alias("checks_usd"))
+    runs_usd = b.table(spark, d, "orders").agg(F.coalesce(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), F.lit(0)).cast(costs.TOTAL).alias("runs_usd"))
+    checks_usd = b.table(spark, d, "events").filter("event_type = 'error'").agg(F.coalesce(F.sum(F.col("value").cast("decimal(14,6)")), F.lit(0)).cast(costs.TOTAL).alias("checks_usd"))
     return runs_usd.crossJoin(F.broadcast(checks_usd))
 
 
