@@ -274,9 +274,10 @@ def many_profiles(spark, d):
     about = F.concat(F.lit("I like "), F.coalesce("names", F.lit("nothing yet")), F.when(F.col("c_nationkey") % 3 != 0, F.concat(F.lit(". Grade "), 6 + F.col("c_nationkey") % 7)).otherwise(""))
     rows = c.join(bought, "c_custkey", "left").select(F.col("c_custkey").alias("profile"), about.alias("about"), F.when(F.col("c_custkey") % 4 != 0, F.array(F.split("names", " ")[0], "hint")).alias("hints"))
     rows = rows.withColumn("grade", text.grade(F.col("about")))
-    found = profiles.many_profiles(rows, b.catalog(spark, d), F.concat_ws(" ", "name", "org"), F.split("name", " "), KINDS)
+    asked, placed = profiles.rankings(rows, b.catalog(spark, d), F.concat_ws(" ", "name", "org"), F.split("name", " "), KINDS)
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"].cast("string")), ",")
-    return found.groupBy("profile", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"), F.md5(ids).alias("ids_md5"))
+    answers = placed.groupBy("query", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"), F.md5(ids).alias("ids_md5"))
+    return asked.join(answers, "query").select("profile", "kind", "n", "score", "ids_md5")
 
 
 def type_search(spark, d):

@@ -2,11 +2,12 @@
 
 import decimal
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import checks, runs, versions
+from quillspark.operators import checks, profiles, runs, versions
 from quillspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,27 @@ def test_changes_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path, m
     checks.checked(table, rows.select("id"), rows.select("id", F.lit("running").alias("status")), F.lit("1998-07-01"))
     assert len(staged) == 1 and "Broadcast" not in staged[0]
     assert table.read().groupBy("status").count().collect() == [("running", 200_000)] and table.log().count() == 200_000
+
+
+def test_many_profiles_meet_classes_of_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{a}{b}" for a in "abcdef" for b in "xyz"]
+    rows = [(i, rng.choice("AB") if i % 50 else "C", rng.choice((None, 3, 6, 9)), rng.choice((None, 8, 12)), " ".join(rng.sample(words, 2)), rng.sample(words, 1)) for i in range(3000)]
+    people = [(i, " ".join(rng.sample(words, rng.randint(0, 6))), rng.sample(words, rng.randint(0, 2)), rng.choice((None, 5, 11, 40))) for i in range(200)]
+    kinds = {"a": (["A"], False), "few": (["C"], True), "none": (["X"], True)}
+    catalog = spark.createDataFrame(rows, "id long, type string, grade_min int, grade_max int, name string, tags array<string>")
+    sizes, was = {}, profiles.materialised
+    monkeypatch.setattr(profiles, "materialised", lambda df, name: (lambda out: (sizes.__setitem__(name, out.count()), out)[1])(was(df, name)))
+    got = {}
+    for r in profiles.many_profiles(spark.createDataFrame(people, "profile long, about string, hints array<string>, grade int"), catalog, F.col("name"), F.col("tags"), kinds, 100).collect():
+        got.setdefault((r.profile, r.kind), []).append((r.place, r.id, r.score))
+    for p, about, hints, grade in people:
+        grade = grade if grade in range(14) else None
+        for kind, (types, _) in kinds.items():
+            pool = [r for r in rows if kind == "none" or r[1] in types]
+            pool = [r for r in pool if grade is None or (r[2] is None or r[2] <= grade) and (r[3] is None or r[3] >= grade)]
+            scored = [(sum(w in r[4] for w in set(about.split())) + 3 * bool(set(hints) & set(r[5])), r[0]) for r in pool]
+            positive = [s for s in scored if s[0] > 0]
+            want = sorted(positive if len(positive) >= 60 else scored, key=lambda s: (-s[0], s[1]))[:100]
+            assert sorted(got.get((p, kind), [])) == [(n + 1, i, s) for n, (s, i) in enumerate(want)]
+    assert sizes["profile_scores"] <= 200 * 3 * 100
