@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.operators.numbering import numbered
+from quillspark.sources.shared import dealt
 
 
 def gated(rows: DataFrame, condition: Column, least: int) -> DataFrame:
@@ -123,10 +124,15 @@ def page(ordered: DataFrame, number: int, size: int = 10) -> DataFrame:
 
 def enriched_tags(tags: DataFrame, answers: DataFrame) -> DataFrame:
     """tags: id, place, tag; answers: id, place, echo, intent. Every tag, with the first answer that echoes it or, where an answer's
-    echo is none of the tags, stands at its position."""
-    known = tags.select("id", "tag").distinct()
-    a = answers.join(known.select("id", F.col("tag").alias("echo"), F.lit(True).alias("_known")), ["id", "echo"], "left")
-    at = tags.select("id", "place", F.col("tag").alias("_tag"))
-    a = a.join(at, ["id", "place"], "left").select("id", F.when(F.col("_known"), F.col("echo")).otherwise(F.col("_tag")).alias("tag"), "place", "intent")
-    first = a.filter("tag is not null").groupBy("id", "tag").agg(F.min_by("intent", "place").alias("intent"))
-    return tags.join(first, ["id", "tag"], "left").select("id", "place", "tag", "intent")
+    echo is none of the tags, stands at its position. An entry's tags and answers meet once, by its id. Counts both when it is called."""
+    tag, answer = F.struct("place", "tag"), F.struct("place", "echo", "intent")
+    both = tags.select("id", tag.alias("t"), F.lit(None).cast(answers.select(answer).schema[0].dataType).alias("a"))
+    both = both.unionByName(answers.select("id", F.lit(None).cast(tags.select(tag).schema[0].dataType).alias("t"), answer.alias("a")))
+    entries = dealt(both, tags.count() + answers.count(), "id").groupBy("id").agg(F.collect_list("t").alias("tags"), F.collect_list("a").alias("answers"))
+    known = lambda a: F.coalesce(F.exists("tags", lambda t: t["tag"] == a["echo"]), F.lit(False))
+    stands = lambda a, name: F.exists("tags", lambda t: (t["place"] == a["place"]) & (t["tag"] == name))
+    of = lambda name: F.filter("answers", lambda a: a["place"].isNotNull() & F.when(known(a), a["echo"] == name).otherwise(stands(a, name)))
+    first = lambda name: F.array_min(F.transform(of(name), lambda a: F.struct(a["place"], a["intent"])))["intent"]
+    rows = entries.select("id", F.explode(F.transform("tags", lambda t: F.struct(t["place"].alias("place"), t["tag"].alias("tag"), first(t["tag"]).alias("intent")))).alias("r"))
+    # no answer meets an entry without an id
+    return rows.select("id", "r.place", "r.tag", F.when(F.col("id").isNotNull(), F.col("r.intent")).alias("intent"))

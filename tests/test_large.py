@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import checks, profiles, runs, versions
+from quillspark.operators import checks, profiles, runs, search, tracker, versions
 from quillspark.plans import registry
+from quillspark.sources import bindings, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,28 @@ def test_many_profiles_meet_classes_of_rows(spark, monkeypatch):
             want = sorted(positive if len(positive) >= 60 else scored, key=lambda s: (-s[0], s[1]))[:100]
             assert sorted(got.get((p, kind), [])) == [(n + 1, i, s) for n, (s, i) in enumerate(want)]
     assert sizes["profile_scores"] <= 200 * 3 * 100
+
+
+def test_tasks_grow_with_the_rows(spark):
+    few, many = (shared.dealt(spark.range(10), n, "id").rdd.getNumPartitions() for n in (10, 10_000_000))
+    assert few == 1 and many == 10_000_000 // shared.TASK_ROWS
+    items = bindings.tracker_items(spark, SF)
+    assert "REPARTITION_BY_NUM" in items._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tags_meet_answers_once(spark):
+    tags = [(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (2, 0, "c"), (2, 1, None), (3, 0, "d"), (4, 0, "a"), (4, 1, "b"), (None, 0, "a")]
+    answers = [(1, 1, "a", "second"), (1, 0, "no such", "by place"), (1, 2, "b", "echoed"), (2, 0, None, "no echo"), (2, 1, "c", "late"), (2, None, "c", "nowhere"), (4, 1, "a", None), (4, 0, "b", "x"), (9, 0, "a", "no entry"), (None, 0, "a", "none")]
+    out = search.enriched_tags(spark.createDataFrame(tags, "id long, place int, tag string"), spark.createDataFrame(answers, "id long, place int, echo string, intent string"))
+    assert {(r.id, r.place): (r.tag, r.intent) for r in out.collect()} == {
+        (1, 0): ("a", "by place"), (1, 1): ("b", "echoed"), (1, 2): ("a", "by place"), (2, 0): ("c", "no echo"), (2, 1): (None, None),
+        (3, 0): ("d", None), (4, 0): ("a", None), (4, 1): ("b", "x"), (None, 0): ("a", None),
+    }
+    assert "Join" not in plan(out)
+
+
+def test_months_need_no_distinct(spark):
+    items = spark.sql("SELECT 1L AS id, array(named_struct('date', DATE '2024-01-05'), named_struct('date', DATE '2024-02-01'), named_struct('date', DATE '2024-01-31')) AS dates UNION ALL SELECT 2L, array(named_struct('date', DATE '2024-01-01'), named_struct('date', CAST(NULL AS DATE)))")
+    out = tracker.months(items)
+    assert sorted(map(tuple, out.collect()), key=str) == [("2024-01", 3, 2), ("2024-02", 1, 1), (None, 1, 1)]
+    assert "Expand" not in plan(out) and plan(out).count("Aggregate") == 1
