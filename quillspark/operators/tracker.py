@@ -62,7 +62,11 @@ def calendar_lanes(items: DataFrame, saved: DataFrame, as_of: str) -> DataFrame:
 
 
 def months(items: DataFrame) -> DataFrame:
-    return calendar_rows(items).groupBy("month").agg(F.count(F.lit(1)).alias("dates"), F.countDistinct("id").alias("items"))
+    """Dates and items of each month; items has one row an item, so the first date of a month in it is that item's."""
+    each = items.select("id", F.sort_array(F.transform("dates", lambda x: F.date_format(x["date"], "yyyy-MM"))).alias("months"))
+    marked = F.transform("months", lambda m, i: F.struct(m.alias("month"), ((i == 0) | ~m.eqNullSafe(F.get("months", i - 1))).alias("first")))
+    rows = each.select("id", F.explode(marked).alias("m"))
+    return rows.groupBy("m.month").agg(F.count(F.lit(1)).alias("dates"), F.count_if(F.col("m.first") & F.col("id").isNotNull()).alias("items"))
 
 
 def year_headings(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.shared import dealt
+
 AS_OF_EVENTS = "2024-01-31"
 AS_OF_ORDERS = "1998-07-01"
 
@@ -90,6 +92,7 @@ def reviewed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracker_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracked items: an order with the dates of its lines as an array of structs."""
     l = table(spark, sf_dir, "lineitem")
+    l = dealt(l.select("l_orderkey", "l_shipdate", "l_linestatus", "l_returnflag"), l.count(), "l_orderkey")
     one = F.struct(F.to_date("l_shipdate").alias("date"), F.col("l_linestatus").alias("label"), F.col("l_returnflag").alias("type"))
     return l.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(one)).alias("dates"), (F.max("l_returnflag") == "R").alias("was_estimated")).withColumn("run_status", F.when(F.col("id") % 23 == 0, "not_running").when(F.col("id") % 19 == 0, "unknown").otherwise("running"))
 
