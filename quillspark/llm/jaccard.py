@@ -12,10 +12,11 @@ mean, so cells stay small while documents and their sharing grow together.
 
 Inside cells: first every set is compared with its cell's least id, which links each large group of near copies in
 linear time; the components so found are then compared with each other only. Cells that still hold several components
-are joined by their R-trees, whatever their size, node against node from the root down, under three bounds: sizes, summed minima, and the places of the key in
-both orders. Similar sets meet in several cells, so pairs that meet less often are done; the others are verified on whole
-sets. Large cells are split into tiles, so no task holds an unbounded one. No pair that can be similar, no row and no
-cell is dropped.
+are joined by their R-trees, whatever their size, node against node from the root down, under three bounds: sizes, summed
+minima, and the places of the key in both orders. Similar sets share several keys, so sketches of the keys that sets have in
+open cells bound how many a pair shares: pairs with too few are done, the others are handed on only where their first shared
+key can be, and verified on whole sets. Large cells are split into tiles, so no task holds an unbounded one. No pair that
+can be similar, no row and no cell is dropped.
 
 Defined results: null and empty texts have no shingles and stand alone; texts of fewer words have one; a null doc_id has
 a null component; rows that repeat a doc_id are one node and keep their own counts; ties take the least id.
@@ -47,6 +48,8 @@ SLICES = 256
 LEAF, FAN = 4, 8
 #: Pairs of nodes that are looked at in one go.
 STEP = 1 << 12
+#: Bits of the sketch of a set's keys.
+SKETCH = 1024
 #: Most rows of a cell, or of a half of a tile, that one task joins at once.
 TILE = 20_000
 
@@ -249,6 +252,33 @@ def tree_join(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, side: np
 #: Pairs of leaves, of nodes above them, and of points that the trees of this process have left out, for tests.
 SEEN = [0, 0, 0]
 
+#: For each bit of a sketch, the words of a mask of the bits below it.
+_BELOW = np.packbits(np.tri(SKETCH, k=-1, dtype=bool), axis=1, bitorder="little").view("<u8")
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of doc_id, keys: the bits of the keys, and how many keys there are beyond these bits."""
+    for b in batches:
+        keys = b.column(1)
+        size = np.asarray(keys.value_lengths(), np.int64)
+        bits = np.zeros((b.num_rows, SKETCH), bool)
+        bits[np.repeat(np.arange(b.num_rows), size), np.asarray(keys.flatten()) & (SKETCH - 1)] = True
+        packed = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+        sketch = lists(packed.ravel(), np.full(b.num_rows, packed.shape[1]), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), sketch, pa.array(size - bits.sum(axis=1), pa.int64())], ["doc_id", "sketch", "spare"])
+
+
+def _first_shared(sizes: np.ndarray, sketch: np.ndarray, spare: np.ndarray, bit: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the key of a pair's cell, at this bit, can be the first that the pair shares, if it shares as many as the similarity
+    forces. What they share fills that many bits at least, less the keys that a set has beyond its bits. Other bits
+    are common by chance, and below the first shared key's all are."""
+    a, b = sizes[i], sizes[j]
+    least = -(-PERCENT * (a + b) // (100 + PERCENT)) - -(-PERCENT * np.maximum(a, b) // 100) + 1
+    common = sketch[i] & sketch[j]
+    chance = np.bitwise_count(common).sum(axis=1, dtype=np.int64) + np.minimum(spare[i], spare[j]) - least
+    return np.bitwise_count(common & _BELOW[bit[i]]).sum(axis=1, dtype=np.int64) <= chance
+
+
 _PAIRS = "a long, b long"
 _MET = "a long, b long, n_a long, n_b long"
 #: The fewest keys that similar sets share. They have at least o = ceil(PERCENT (n_a + n_b) / (100 + PERCENT)) shingles in
@@ -258,16 +288,22 @@ _LEAST_SHARED = f"({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell and size: cell, doc_id, n, part, half, place, point. half is -1 in a cell that is one tile."""
+    """Rows sorted by cell and size: cell, doc_id, n, part, half, place, point; where the keys are known also sketch, spare and the
+    bit of the cell's key. half is -1 in a cell that is one tile."""
 
     def joined(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         cell, ids, n, part, half, place = (np.asarray(t.column(c)) for c in ("cell", "doc_id", "n", "part", "half", "place"))
-        col = t.column("point")
-        points = np.asarray((col.chunk(0) if isinstance(col, pa.ChunkedArray) else col).flatten()).reshape(len(ids), GROUPS)
+        flat = lambda c: np.asarray((c.chunk(0) if isinstance(c, pa.ChunkedArray) else c).flatten())
+        points = flat(t.column("point")).reshape(len(ids), GROUPS)
+        if sketched := "sketch" in t.column_names:
+            sketch, spare, bit = flat(t.column("sketch")).view(np.uint64).reshape(len(ids), -1), np.asarray(t.column("spare")), np.asarray(t.column("bit"))
         for i, j in tree_join(points, n, part, half, cell):
             ok = _placed(n, place, i, j)
             i, j = i[ok], j[ok]
+            if sketched:
+                ok = _first_shared(n, sketch, spare, bit, i, j)
+                i, j = i[ok], j[ok]
             if len(i):
                 i, j = np.where(ids[i] <= ids[j], i, j), np.where(ids[i] <= ids[j], j, i)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[i], ids[j], n[i], n[j])], ["a", "b", "n_a", "n_b"])
@@ -338,17 +374,17 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     placed = cells.join(part, cells["doc_id"] == part["id"], "left").select("key", "doc_id", "place", "m", F.coalesce("component", "doc_id").alias("part"))
     open_ = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
     placed = written(placed.join(open_, "key", "left_semi"), "open_cells")
+    sketches = placed.groupBy("doc_id").agg(F.collect_list("key").alias("keys")).mapInArrow(_sketches, "doc_id long, sketch array<long>, spare long")
     # a cell of more than TILE rows is cut into tiles; each pair of tiles is a cell of its own
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), tiles.cast("long")).cast("int")
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     half = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))  # halves of a pair of tiles; a tile alone has none
     half = F.when(tiles == 1, -1).otherwise(half)
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "doc_id", "place", "part", half.alias("half"))
-    with_points = dealt.join(points, "doc_id")
-    sorted_ = with_points.repartition("cell").sortWithinPartitions("cell", "n").select("cell", "doc_id", "n", "part", "half", "place", "point")
-    meetings = sorted_.mapInArrow(_cells, _MET).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
-    second = _linked(meetings.filter(f"shared >= {_LEAST_SHARED}").select("a", "b").distinct(), texts, k)
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "doc_id", "place", "part", half.alias("half"), F.col("key").bitwiseAND(SKETCH - 1).alias("bit"))
+    with_points = dealt.join(points, "doc_id").join(sketches, "doc_id")
+    sorted_ = with_points.repartition("cell").sortWithinPartitions("cell", "n").select("cell", "doc_id", "n", "part", "half", "place", "point", "sketch", "spare", "bit")
+    second = _linked(sorted_.mapInArrow(_cells, _MET).select("a", "b").distinct(), texts, k)
     whole = components(first.unionByName(second))
     drop(cells, points, placed, first, second)
 
