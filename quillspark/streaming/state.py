@@ -22,6 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: An event of this key and time ends a stream: the watermark passes all others.
 END_KEY, END = "", dt.datetime(2200, 1, 1)
+#: Most events that one row of the state holds.
+ROW_EVENTS = 10_000
 
 
 def state_session(spark: SparkSession) -> SparkSession:
@@ -36,19 +38,21 @@ def state_session(spark: SparkSession) -> SparkSession:
 
 
 class _InOrder(StatefulProcessor):
-    """Keeps events (micros, id, kind) until the watermark has passed them, then hands them to `take` in order."""
+    """Keeps events (micros, id, kind) until the watermark has passed them, then hands them to `take` in order.
+
+    What a batch brings for a key is one row of the state, so reading and writing it costs a call a batch and not one an event."""
 
     OUT: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "micros long, id long, kind string")
+        self.waiting = handle.getListState("waiting", "micros array<long>, id array<long>, kind array<string>")
         self.held = handle.getValueState("held", "micros long, used boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for part in rows:
-            self.waiting.appendList(list(zip(part["micros"].tolist(), part["id"].tolist(), part["kind"].tolist(), strict=True)))
+            self.waiting.appendValue((part["micros"].tolist(), part["id"].tolist(), part["kind"].tolist()))
             least = int(part["micros"].min())
             earliest = least if earliest is None else min(earliest, least)
         if earliest is not None:
@@ -57,9 +61,9 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get(), key=self.order)
+        waiting = sorted((e for some in self.waiting.get() for e in zip(*some, strict=True)), key=self.order)
         ready = [e for e in waiting if e[0] < passed]
-        held = self.held.get() if self.held.exists() else None
+        before = held = self.held.get()
         out = []
         for micros, i, kind in ready:
             held, verdict = self.take(held, micros, kind)
@@ -67,14 +71,15 @@ class _InOrder(StatefulProcessor):
                 out.append((key[0], i, verdict))
         later = waiting[len(ready) :]
         if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
+            self.waiting.put([tuple(list(c) for c in zip(*later[k : k + ROW_EVENTS], strict=True)) for k in range(0, len(later), ROW_EVENTS)]) if later else self.waiting.clear()
         if later:
             self.handle.registerTimer(later[0][0] // 1000 + 1)
         held, again = self.kept(held, passed)
-        if held is None:
+        if held is None and before is not None:
             self.held.clear()
-        else:
-            self.held.update(held)
+        if held is not None:
+            if before is None or tuple(held) != tuple(before):
+                self.held.update(held)
             if again is not None:
                 self.handle.registerTimer(again // 1000 + 1)
         if out:

@@ -71,3 +71,80 @@ def test_log_ring_keeps_the_newest_and_counts_the_rest(spark, tmp_path):
     asked = spark.createDataFrame([("x", 0), ("x", 700), ("x", 899), ("x", 5000), ("y", 4), ("none", 3)], "agent string, since long")
     got = sorted((x.agent, len(x.lines), x.lines[:1], x.next, x.dropped) for x in state.log_since(tails, asked).collect())
     assert got == [("none", 0, [], 0, 0), ("x", 0, [], 900, 650), ("x", 1, ["x 899"], 900, 650), ("x", 200, ["x 700"], 900, 650), ("x", 250, ["x 650"], 900, 650), ("y", 5, ["y 400"], 9, 0)]
+
+
+class Rows:
+    """A state of one key, which counts the rows that go to and fro."""
+
+    def __init__(self):
+        self.rows, self.moved = [], 0
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def appendList(self, rows):
+        self.rows += rows
+        self.moved += len(rows)
+
+    def put(self, rows):
+        self.rows, self.moved = list(rows), self.moved + len(rows)
+
+    def get(self):
+        self.moved += len(self.rows)
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class One:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = tuple(value)
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def __init__(self):
+        self.rows, self.one, self.timers = Rows(), One(), []
+
+    def getListState(self, *_):
+        return self.rows
+
+    def getValueState(self, *_):
+        return self.one
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_key_s_events_are_a_few_rows_of_state(monkeypatch):
+    import pandas as pd
+
+    n, day = 30_000, 86_400_000_000
+    at = list(range(0, n * 60_000_000, 60_000_000))
+    random.Random(4).shuffle(at)
+    own, h = state.ReadThrough(7), Handle()
+    own.init(h)
+    for k in range(0, n, 10_000):
+        part = pd.DataFrame({"micros": at[k : k + 10_000], "id": at[k : k + 10_000], "kind": "take"})
+        assert not list(own.handleInputRows(("k",), iter([part]), h))
+    found = []
+    for h.watermark in (5 * day // 1000, 9 * day // 1000, 100 * day // 1000):
+        for out in own.handleExpiredTimer(("k",), h, None):
+            found += zip(out["id"].tolist(), out["verdict"].tolist(), strict=True)
+    assert found == [(x, "cached" if x % (7 * day) else "fetch") for x in sorted(at)] and not h.rows.rows
+    assert h.rows.moved < 100  # not several times 30,000
