@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from quillspark.functions import urls
 from quillspark.operators import graph
-from quillspark.sources.shared import materialised
+from quillspark.sources.shared import dealt, materialised
 
 SAME, SIMILAR = 0.82, 0.88
 #: Names that say nothing.
@@ -33,9 +33,37 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def _common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, which no sum of matching blocks exceeds; a bit for each character of a."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    every = free = (1 << len(a)) - 1
+    for ch in b:
+        hit = free & at.get(ch, 0)
+        free = (free + hit | free - hit) & every
+    return len(a) - free.bit_count()
+
+
+def _like(a: str, b: str, least: float) -> float:
+    """The ratio of two names if their common characters allow `least`, else 0."""
+    return _ratio(a, b) if 2.0 * _common(a, b) >= least * (len(a) + len(b)) - 1e-9 else 0.0
+
+
+def like_ratio(a, b, least: float):
+    """The ratio of names that may be alike, else 0: common characters in order tell most others at a tenth of the cost."""
+
+    @F.pandas_udf(DoubleType())
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_like(x, y, least) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    # else the filter on its result would be moved in front of the deal, and the ratio worked out twice
+    return ratios.asNondeterministic()(a, b)
+
+
 def with_keys(rows: DataFrame) -> DataFrame:
-    u = F.col("url")
-    return rows.withColumns({"key": urls.match_key(u), "host": urls.host(u), "path": F.regexp_replace(F.lower(urls.path(u)), "/+$", ""), "domain": urls.registrable(urls.host(u)), "name_key": urls.name_key(F.col("name"))})
+    parts = urls.parsed(rows, "url").withColumnRenamed("match_key", "key").drop("query")
+    return parts.withColumns({"path": F.regexp_replace(F.lower("path"), "/+$", ""), "name_key": urls.name_key(F.col("name"))})
 
 
 def name_tokens(name):
@@ -74,10 +102,14 @@ def alike_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     every = materialised(_prefixed(left.select(F.col("name_key").alias("name")).unionByName(right.select(F.col("k_key").alias("name"))).distinct(), least), "names")
     rows = lambda names, c: names.join(every, F.col(c) == F.col("name")).select(c, F.explode(F.slice("tokens", F.lit(1), F.col("keys"))).alias("token"))
     x, y = F.length("name_key"), F.length("k_key")
-    met = rows(left, "name_key").join(rows(right, "k_key"), "token").filter(2 * F.least(x, y) >= least * (x + y)).select("name_key", "k_key").distinct()
+    a, b = rows(left, "name_key"), rows(right, "k_key")
+    # names are few for the pairs that they make, so tasks go by pairs
+    work = a.join(b.groupBy("token").count(), "token").agg(F.sum("count")).head()[0] or 0
+    met = dealt(a, work, "token").join(dealt(b, work, "token"), "token").filter(2 * F.least(x, y) >= least * (x + y)).select("name_key", "k_key").distinct()
+    met = dealt(met, work, "name_key", "k_key")
     met = met.join(every.select(F.col("name").alias("name_key"), F.col("tokens").alias("_a")), "name_key").join(every.select(F.col("name").alias("k_key"), F.col("tokens").alias("_b")), "k_key")
     near = materialised(met.filter(F.size(F.array_intersect("_a", "_b")) >= shared_least(x + y, least)).select("name_key", "k_key"), "near")
-    return near.withColumn("ratio", name_ratio("name_key", "k_key")).filter(F.col("ratio") >= least)
+    return dealt(near, near.count(), "name_key", "k_key").withColumn("ratio", like_ratio("name_key", "k_key", least)).filter(F.col("ratio") >= least)
 
 
 def _least(rows: DataFrame, by: list[str], n: int, *order) -> DataFrame:
@@ -86,9 +118,21 @@ def _least(rows: DataFrame, by: list[str], n: int, *order) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= n).drop("_nth")
 
 
-def _least_apart(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+def _least_apart(rows: DataFrame, by: list[str], n: int, *order) -> DataFrame:
     """The first rows of each group, enough that n stay whichever one apply page is taken out: n of each page, 2 n in all."""
-    return _least(_least(rows, [*by, "c_apply_key"], n), by, 2 * n)
+    return _least(_least(rows, [*by, "c_apply_key"], n, *order), by, 2 * n, *order)
+
+
+def _nearest(pairs: DataFrame, rows: DataFrame, by: list[str], apart: list[str], n: int) -> DataFrame:
+    """Of pairs (by, c_name_key, likeness `by`) those whose rows can be among the first n of `by`.
+
+    A name is left out when the rows of nearer names are n or more whichever one value of each column in `apart` is taken out."""
+    group = [*(x for x in by if x in rows.columns), "c_name_key"]
+    of_value = {f"_{a}": F.when(F.col(a) != "", F.count(F.lit(1)).over(W.partitionBy(*group, a))).otherwise(0) for a in apart}
+    lost = sum((F.max(a) for a in of_value), F.lit(0))
+    sure = rows.withColumns(of_value).groupBy(*group).agg(F.greatest(F.lit(0), F.count(F.lit(1)) - lost).alias("_sure"))
+    nearer = F.sum("_sure").over(W.partitionBy(*by).orderBy(F.desc("by"))) - F.sum("_sure").over(W.partitionBy(*by, "by"))
+    return pairs.join(sure, group).withColumn("_nearer", nearer).filter(F.col("_nearer") < n).drop("_sure", "_nearer")
 
 
 def _above(path):
@@ -106,20 +150,21 @@ def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int =
     numbers kept, so no pair that counts is lost. An exact duplicate empties the candidate list.
     """
     top = most + 1
-    s = with_keys(submissions).withColumn("apply_key", urls.match_key(F.col("apply_url")))
-    c = with_keys(catalog).withColumn("apply_key", urls.match_key(F.col("apply_url")) if "apply_url" in catalog.columns else F.lit("")).filter("key <> ''")
+    apply_key = F.when(F.trim(F.coalesce("apply_url", F.lit(""))) == "", "").otherwise(urls.match_key(F.col("apply_url")))
+    s = with_keys(dealt(submissions, submissions.count(), "id")).withColumn("apply_key", apply_key)
+    c = with_keys(dealt(catalog, catalog.count(), "id")).withColumn("apply_key", apply_key if "apply_url" in catalog.columns else F.lit(""))
     s = materialised(s.select(*(F.col(x).alias(f"s_{x}") for x in ("id", "key", "apply_key", "path", "domain", "name_key"))), "submissions")
-    c = materialised(c.select(*(F.col(x).alias(f"c_{x}") for x in ("id", "key", "apply_key", "path", "domain", "name_key", "pos"))), "catalog")
+    c = materialised(c.select(*(F.col(x).alias(f"c_{x}") for x in ("id", "key", "apply_key", "path", "domain", "name_key", "pos"))), "catalog").filter("c_key <> ''")
     kind = ["s_key", "s_apply_key", "s_path", "s_domain", "s_name_key"]
     of_class = [*kind, *c.columns]
-    classes = s.select(*kind).distinct()
+    classes = materialised(s.select(*kind).distinct(), "classes")
     alike = alike_names(s.select(F.col("s_name_key").alias("name_key")), c.select(F.col("c_name_key").alias("k_key")), SAME)
     alike = materialised(alike.select(F.col("name_key").alias("s_name_key"), F.col("k_key").alias("c_name_key"), F.col("ratio").alias("by")), "alike")
 
-    of_key = _least(c, ["c_key"], top)
+    of_key = materialised(_least(c, ["c_key"], top), "keyed")
     of_name = materialised(_least_apart(c, ["c_key", "c_name_key"], top), "named")
-    of_domain = _least_apart(of_name, ["c_domain", "c_name_key"], 3 * top)
-    elsewhere = _least_apart(of_domain, ["c_name_key"], 9 * top)
+    of_domain = materialised(_least_apart(of_name, ["c_domain", "c_name_key"], 3 * top), "sited")
+    elsewhere = materialised(_least_apart(of_domain, ["c_name_key"], 9 * top), "elsewhere")
     same_page, same_name = F.col("s_key") == F.col("c_key"), F.col("s_name_key") == F.col("c_name_key")
     same_site = (F.col("s_domain") == F.col("c_domain")) & (F.col("s_domain") != "")
     applies = (F.col("s_key") != "") & ((F.col("s_key") == F.col("c_apply_key")) | (F.col("s_apply_key") == F.col("c_key")) & (F.col("s_apply_key") != ""))
@@ -135,32 +180,47 @@ def duplicate_candidates(submissions: DataFrame, catalog: DataFrame, most: int =
     below = sited.join(under, (F.col("s_domain") == F.col("c_domain")) & (F.col("s_path") == F.col("_up")))
     above = sited.withColumn("_up", F.explode(_above(F.col("s_path")))).join(_least_apart(of_name, ["c_domain", "c_path", "c_name_key"], 3 * top), (F.col("s_domain") == F.col("c_domain")) & (F.col("_up") == F.col("c_path")))
     named = classes.select("s_domain", "s_key", "s_apply_key", "s_name_key").distinct()
+    asked = classes.select("s_domain", "s_name_key").distinct()
     best = (F.desc("by"), "c_pos", "c_id")
-    here = named.filter("s_domain <> ''").join(alike, "s_name_key").join(of_domain.withColumn("s_domain", F.col("c_domain")), ["s_domain", "c_name_key"]).filter(~applies)
-    there = named.join(alike.filter(F.col("by") >= SIMILAR), "s_name_key").join(elsewhere, "c_name_key").filter(~applies & ~same_site)
-    by_name = _least(here, named.columns, top, *best).unionByName(_least(there, named.columns, top, *best))
+    # the first rows of a name at a site, and of a name anywhere, are chosen once for all pages that ask; names that come too late meet no rows
+    site = ["s_domain", "s_name_key"]
+    local = of_domain.withColumn("s_domain", F.col("c_domain"))
+    here = _nearest(asked.filter("s_domain <> ''").join(alike, "s_name_key"), local, site, ["c_apply_key", "c_key"], top)
+    here = _least_apart(here.join(local, ["s_domain", "c_name_key"]), [*site, "c_key"], top, *best)
+    here = named.join(_least_apart(here, site, 3 * top, *best), site).filter(~applies)
+    there = _nearest(alike.filter(F.col("by") >= SIMILAR), elsewhere, ["s_name_key"], ["c_apply_key", "c_key", "c_domain"], top)
+    there = _least_apart(there.join(elsewhere, "c_name_key"), ["s_name_key", "c_key"], top, *best)
+    there = _least_apart(_least_apart(there, ["s_name_key", "c_domain"], 3 * top, *best), ["s_name_key"], 9 * top, *best)
+    there = named.join(asked.join(there, "s_name_key").filter(~same_site), site).filter(~applies)
+    by_name = _least(here, named.columns, top, *best).select(*named.columns, *c.columns).unionByName(_least(there, named.columns, top, *best).select(*named.columns, *c.columns))
     by_name = classes.join(by_name, named.columns).select(*of_class)
-    peers = c.groupBy("c_domain").agg((F.count(F.lit(1)) - int(same)).alias("peers"))
-    by_site = sited.join(c.join(peers.filter(F.col("peers") <= PEERS), "c_domain"), F.col("s_domain") == F.col("c_domain"))
+    # of a domain with few rows all are at hand, of any other one too many
+    few = _least(c, ["c_domain"], PEERS + int(same) + 1)
+    few = few.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("c_domain"))).filter(F.col("_n") <= PEERS + int(same))
+    by_site = sited.join(few, F.col("s_domain") == F.col("c_domain")).select(*of_class, F.lit(True).alias("few"))
 
     pairs = twins.select(*of_class)
-    for more in (by_key, by_apply, by_applied, below, above, by_name, by_site):
+    for more in (by_key, by_apply, by_applied, below, above, by_name):
         pairs = pairs.unionByName(more.select(*of_class))
-    pairs = materialised(pairs.distinct(), "pairs")
-    ratios = pairs.select("s_name_key", "c_name_key").distinct().withColumn("ratio", name_ratio("s_name_key", "c_name_key"))
-    pairs = pairs.join(ratios, ["s_name_key", "c_name_key"]).join(peers, "c_domain")
+    pairs = pairs.withColumn("few", F.lit(False)).unionByName(by_site).groupBy(*of_class).agg(F.max("few").alias("few"))
+    names = ["s_name_key", "c_name_key"]
     same_page = same_page & (F.col("s_key") != "")
+    like = F.coalesce(F.col("by"), F.lit(0.0))
     tier = (
-        F.when(same_page & (same_name | (F.col("ratio") >= SAME)), "exact")
+        F.when(same_page & (same_name | (like >= SAME)), "exact")
         .when(same_page, "strong")
         .when(applies, "strong")
         .when(same_site & urls.is_prefix(F.col("s_path"), F.col("c_path")), "strong")
-        .when(same_site & (F.col("ratio") >= SAME), "strong")
-        .when(F.col("ratio") >= SIMILAR, "weak")
-        .when(same_site & (F.col("peers") <= PEERS), "weak")
+        .when(same_site & (like >= SAME), "strong")
+        .when(like >= SIMILAR, "weak")
+        .when(same_site & F.col("few"), "weak")
     )
+    pairs = materialised(pairs.join(alike, names, "left").withColumn("tier", tier).filter("tier is not null"), "pairs")
+    # names that are not alike count only where the site alone makes a pair
+    ratios = pairs.filter(F.col("by").isNull() & ~same_page & ~applies).select(*names).distinct().withColumn("ratio", name_ratio(*names))
+    pairs = pairs.join(ratios, names, "left").withColumn("ratio", F.coalesce("by", "ratio"))
     by = F.when(same_page, 1.0).when(applies, 0.0).otherwise(F.col("ratio"))
-    found = pairs.withColumn("tier", tier).filter("tier is not null").withColumn("rank", F.when(F.col("tier") == "exact", 0).when(F.col("tier") == "strong", 1).otherwise(2))
+    found = pairs.withColumn("rank", F.when(F.col("tier") == "exact", 0).when(F.col("tier") == "strong", 1).otherwise(2))
     found = found.withColumn("place", F.struct("rank", (-by).alias("by"), F.col("c_pos").alias("pos"), F.col("c_id").alias("id"), "tier")).withColumn("hit", F.col("rank") == 0)
     # exact ones stand first by position; the others by rank, likeness and position
     found = found.withColumn("place", F.when(F.col("hit"), F.col("place").withField("by", F.lit(0.0))).otherwise(F.col("place")))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import checks, profiles, runs, search, tracker, versions
+from quillspark.operators import checks, profiles, runs, search, similarity, tracker, versions
 from quillspark.plans import registry
 from quillspark.sources import bindings, shared
 
@@ -104,3 +104,33 @@ def test_months_need_no_distinct(spark):
     out = tracker.months(items)
     assert sorted(map(tuple, out.collect()), key=str) == [("2024-01", 3, 2), ("2024-02", 1, 1), (None, 1, 1)]
     assert "distinct" not in plan(out)
+
+
+def most_rows(spark, since):
+    """The most rows that one step of any plan gave out since so many executions."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    done = store.executionsList(since, 10_000)
+    for i in range(done.size()):
+        key = done.apply(i).executionId()
+        values, nodes = store.executionMetrics(key), store.planGraph(key).allNodes()
+        for metrics in (nodes.apply(j).metrics() for j in range(nodes.size())):
+            for m in (metrics.apply(j) for j in range(metrics.size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_rows_of_like_names_do_not_meet_every_page(spark, monkeypatch):
+    """60 names that are all alike on 30 pages of one site: each name's first rows are chosen once, not anew for each page that asks."""
+    data = [(60 * p + n, f"https://www.site{p}.example.org/page", f"summer robotics camp for girls {n:02}", 60 * p + n) for p in range(30) for n in range(60)]
+    rows = spark.createDataFrame(data, "id long, url string, name string, pos long").coalesce(1)
+    new = rows.select("id", "url", F.lit("").alias("apply_url"), "name")
+    tasks, was = {}, similarity.materialised
+    monkeypatch.setattr(similarity, "materialised", lambda df, name: tasks.__setitem__(name, df.rdd.getNumPartitions()) or was(df, name))
+    monkeypatch.setattr(shared, "SMALL_ROWS", 600)
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r.id: (r.exact, list(r.candidates)) for r in similarity.duplicate_candidates(new, rows, same=True).collect()}
+    # on its own page a row's first like name is the page's first row, or the second for that row
+    assert got == {i: (60 * (i // 60) + (i % 60 == 0), []) for i in range(1800)}
+    assert 0 < most_rows(spark, since) < 600_000
+    assert tasks["submissions"] == tasks["catalog"] == 3

@@ -113,6 +113,31 @@ def test_candidates_equal_a_walk_over_all_rows(spark, same):
     assert got == by_walk(new, catalog, same)
 
 
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_candidates_of_a_few_names_on_many_rows_equal_a_walk(spark, seed, same):
+    """Each name has more rows than are kept of it, so names and rows that come too late are left out; pages and apply pages take others away."""
+    rng = random.Random(seed)
+    urls_ = [f"https://{h}{p}" for h in ("a.big.org", "www.big.org", "b.big.org", "mid.org", "x.mid.org", "one.net") for p in ("", "/x", "/x/y", "/p", "/q")]
+    url = lambda: rng.choice(urls_[:9] if rng.random() < 0.7 else urls_)
+    names = ["summer robotics camp", "summer robotics camps", "summer robotic camp", "summer robots camp", "summer robotics club", "winter robotics camp", "chess"]
+    data = [(i, url(), rng.choice(["", url(), urls_[1]]), names[min(rng.randrange(7), rng.randrange(7))], rng.randrange(500) * 1000 + i) for i in range(420)]
+    rows = spark.createDataFrame(data, "id long, url string, apply_url string, name string, pos long")
+    new = rows if same else rows.filter("id >= 300")
+    catalog = rows if same else rows.filter("id < 300")
+    got = {r.id: (r.exact, list(r.candidates)) for r in similarity.duplicate_candidates(new, catalog, same=same).collect()}
+    assert got == by_walk(new, catalog, same)
+
+
+def test_common_characters_bound_the_ratio():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc d") for _ in range(rng.randint(4, 12))) for _ in range(2))
+        least = rng.choice((0.5, 0.7, 0.82, 0.85, 0.88))
+        want = similarity._ratio(a, b)
+        assert similarity._like(a, b, least) == want if want >= least else similarity._like(a, b, least) < least
+
+
 def test_fuzzy_candidates_seeks_duplicates_of_every_part(spark):
     got = {r.id: r.exact for r in registry.QUERIES["fuzzy_candidates"](spark, "/root/testdata/sf0.001").collect()}
     assert len(got) > 100
