@@ -96,7 +96,7 @@ def alike_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """(name_key, k_key, ratio) for the distinct names of a (name_key) and b (k_key) whose ratio is `least` or more.
 
     A prefix-filtered join on rare tokens finds the pairs, the number of tokens that they share bounds the ratio, and only what is left
-    is compared character by character."""
+    is compared character by character. Runs jobs when it is called."""
     fits = lambda c: (F.length(c) >= 4) & ~F.col(c).isin(*GENERIC)
     left, right = a.filter(fits("name_key")).select("name_key").distinct(), b.filter(fits("k_key")).select("k_key").distinct()
     every = materialised(_prefixed(left.select(F.col("name_key").alias("name")).unionByName(right.select(F.col("k_key").alias("name"))).distinct(), least), "names")
