@@ -6,6 +6,9 @@ n-grams become tuples of ids. Tuples are counted over all scopes; the bytes of e
 dictionary once, hashed once, and its bucket's gain goes back to every scope that has the tuple. So what is shuffled is a row for each
 scope and distinct n-gram, not for each word of the corpus, and no text. Only the table of at most BUCKETS gains is broadcast.
 
+Lists are cut into rows of at most PIECE values, so no row grows with a scope, a text or a task's input. Where a scope's rows need a value for each of
+its numbers, the values come first in the sorted task and the rows stream past them: a task holds one scope's values and one batch.
+
 The gain of a bucket is the scaled log ratio of its smoothed shares in target and source; a document's weight sums the
 gains over its n-grams. A Gumbel draw from seed and doc_id is added, and the highest scores are drawn without
 replacement; ranks come from sorted ranges, so no task sees all rows.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.numbering import numbered
 
-from .common import LOWER, MARKS, chunks, drop, lists, table, words, written
+from .common import LOWER, MARKS, chunks, drop, lists, ranges, table, words, written
 from .sharding import CRC_SQL, crc_sql
 
 SEED = 2024
@@ -44,8 +47,15 @@ CHUNK_BYTES = 4 << 20
 #: Words, or n-grams, of a scope, and bytes of its words; the text that is being coded may add to them.
 SCOPE_WORDS, SCOPE_BYTES = 400_000, 32 << 20
 
-#: A scope has a row for each piece of text that was coded at once, and at its end one with its words and n-grams.
-_CODED = "scope long, words array<string>, grams array<array<int>>, totals array<long>, doc_id array<long>, text_key array<long>, n_words array<long>, n_features array<long>, sizes array<int>, gram array<int>, count array<int>"
+#: Most values of a list in one row; Spark's reader holds some thousands of rows at once.
+PIECE = 1 << 10
+
+#: Rows of texts, in order of `at` and each text's last one marked; of words, and of n-grams with how often they occur, from number `at` on. Where
+#: n-grams are single words, one row has both.
+_CODED = "scope long, at long, words array<string>, grams array<array<int>>, totals array<long>, doc_id long, text_key long, n_words long, n_features long, gram array<int>, count array<int>, last boolean"
+#: Values of a scope stand so far before its rows.
+_BEFORE = 1 << 40
+_TEXT = ["doc_id", "text_key", "n_words", "n_features"]
 
 
 def _grams(number: np.ndarray, row: np.ndarray, least: int, most: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
@@ -72,7 +82,7 @@ class Scope:
     """Numbers of words and n-grams, in the order they were met, and how often each n-gram was."""
 
     def __init__(self, name: int):
-        self.name, self.n_bytes = name, 0
+        self.name, self.n_bytes, self.n_rows = name, 0, 0
         self.words: dict[bytes, int] = {}
         self.grams: dict[tuple, int] = {}
         self.totals = np.zeros(1 << 12, np.int64)
@@ -88,29 +98,42 @@ class Scope:
         self.totals[at] += totals
         return at
 
-    def row(self) -> pa.RecordBatch:
-        sizes = np.array([len(t) for t in self.grams], np.int64)
-        flat = np.array([i for t in self.grams for i in t], np.int64)
-        inner = lists(flat, sizes, pa.int32())
-        cols = {"scope": pa.array([self.name]), "words": pa.array([[w.decode() for w in self.words]], pa.list_(pa.string())), "grams": pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), inner), "totals": _one(self.totals[: len(sizes)], pa.int64())}
-        return _coded_row(cols)
+    def rows(self, single: bool, piece: int) -> Iterator[pa.RecordBatch]:
+        """What the numbers stand for. single: n-grams are single words."""
+        said = [w.decode() for w in self.words]
+        totals = self.totals[: len(self.grams)]
+        if single:
+            yield self._rows(piece, words=pa.array([said[i] for (i,) in self.grams], pa.string()), totals=pa.array(totals))
+        else:
+            sizes = np.array([len(t) for t in self.grams], np.int64)
+            yield self._rows(piece, words=pa.array(said, pa.string()))
+            yield self._rows(piece, grams=lists(np.array([i for t in self.grams for i in t], np.int64), sizes, pa.int32()), totals=pa.array(totals))
+
+    def _rows(self, piece: int, **cols: pa.Array) -> pa.RecordBatch:
+        size, _ = _pieces(np.array([len(next(iter(cols.values())))]), piece)
+        off = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        return _coded_rows(len(size), scope=pa.array(np.full(len(size), self.name)), at=pa.array(np.arange(len(size)) * piece), **{k: pa.ListArray.from_arrays(off, v) for k, v in cols.items()})
 
 
-def _one(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """A column of one row, a list."""
-    return lists(values, np.array([len(values)]), kind)
+def _pieces(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(size, last): lists of these sizes as pieces of at most so many values, an empty list as one: each piece's size, each list's last piece."""
+    n = np.maximum(1, -(-sizes // most))
+    last = np.cumsum(n) - 1
+    size = np.full(int(n.sum()), most)
+    size[last] = sizes - (n - 1) * most
+    return size, last
 
 
-_KINDS = {"scope": pa.int64(), "words": pa.list_(pa.string()), "grams": pa.list_(pa.list_(pa.int32())), "totals": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "gram": pa.list_(pa.int32()), "count": pa.list_(pa.int32())}
+_KINDS = {"words": pa.list_(pa.string()), "grams": pa.list_(pa.list_(pa.int32())), "totals": pa.list_(pa.int64()), "gram": pa.list_(pa.int32()), "count": pa.list_(pa.int32()), "last": pa.bool_()}
 
 
-def _coded_row(cols: dict[str, pa.Array]) -> pa.RecordBatch:
+def _coded_rows(n: int, **cols: pa.Array) -> pa.RecordBatch:
     names = [c.split()[0] for c in _CODED.split(", ")]
-    return pa.RecordBatch.from_arrays([cols[n] if n in cols else pa.nulls(1, _KINDS.get(n, pa.list_(pa.int64()))) for n in names], names)
+    return pa.RecordBatch.from_arrays([cols[x] if x in cols else pa.nulls(n, _KINDS.get(x, pa.int64())) for x in names], names)
 
 
 def _coded(least: int, most: int):
-    chunk_bytes, limits = CHUNK_BYTES, (SCOPE_WORDS, SCOPE_BYTES)  # as they are where the plan is made
+    chunk_bytes, limits, piece = CHUNK_BYTES, (SCOPE_WORDS, SCOPE_BYTES), PIECE  # as they are where the plan is made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scope = Scope(TaskContext.get().partitionId() << 33)
@@ -125,16 +148,19 @@ def _coded(least: int, most: int):
             row, gram = np.divmod(pair, max(1, len(tuples)))
             gram = scope.add(tuples, np.bincount(gram, count, minlength=len(tuples)).astype(np.int64))[gram]
             features = np.bincount(row, count, minlength=b.num_rows).astype(np.int64)
-            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), c)
-            yield _coded_row({
-                "scope": pa.array([scope.name]), "doc_id": whole(b.column(0)), "text_key": whole(b.column(2)), "n_words": _one(np.diff(w.first), pa.int64()), "n_features": _one(features, pa.int64()),
-                "sizes": _one(np.bincount(row, minlength=b.num_rows), pa.int32()), "gram": _one(gram, pa.int32()), "count": _one(count, pa.int32()),
-            })
+            size, last = _pieces(np.bincount(row, minlength=b.num_rows), piece)
+            text = np.repeat(np.arange(b.num_rows), np.diff(last, prepend=-1))
+            yield _coded_rows(
+                len(size), scope=pa.array(np.full(len(size), scope.name)), at=pa.array(np.arange(len(size)) + scope.n_rows),
+                doc_id=b.column(0).take(pa.array(text)), text_key=b.column(2).take(pa.array(text)), n_words=pa.array(np.diff(w.first)[text]), n_features=pa.array(features[text]),
+                gram=lists(gram, size, pa.int32()), count=lists(count, size, pa.int32()), last=pa.array(np.isin(np.arange(len(size)), last)),
+            )
+            scope.n_rows += len(size)
             if scope.full(*limits):
-                yield scope.row()
+                yield from scope.rows(most == 1, piece)
                 scope = Scope(scope.name + 1)
         if scope.words:
-            yield scope.row()
+            yield from scope.rows(most == 1, piece)
 
     return run
 
@@ -146,35 +172,58 @@ def coded(texts: DataFrame, least: int, most: int, name: str) -> DataFrame:
     return written(rows.mapInArrow(_coded(least, most), _CODED), name)
 
 
-def _scopes(coded_texts: DataFrame) -> DataFrame:
-    return coded_texts.filter("words is not null").select("scope", "words", "grams", "totals")
-
-
 def dictionary(*coded_texts: DataFrame) -> DataFrame:
     """(word, id): every distinct word once, with an integer of its own."""
-    each = [_scopes(c).select(F.explode("words").alias("word")) for c in coded_texts]
+    each = [c.filter("words is not null").select(F.explode("words").alias("word")) for c in coded_texts]
     both = each[0]
     for more in each[1:]:
         both = both.unionByName(more)
     return written(both.distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
 
 
-def _gathered(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Per scope, the values by place as an array; a scope bounds its length."""
-    return rows.groupBy("scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias(name))
+def _beside(values: DataFrame, rows: DataFrame) -> DataFrame:
+    """values (scope, at, value) and rows (scope, at, row), each scope's in one task, its values first, all in order."""
+    both = values.select("scope", (F.col("at") - _BEFORE).alias("at"), "value", F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    return both.unionByName(rows.withColumn("value", F.lit(None).cast("long"))).repartition("scope").sortWithinPartitions("scope", "at")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(scope, values, at, rows): rows of one scope, as they come, with all values of it."""
+    scope, parts, values = None, [], np.zeros(0, np.int64)
+    for b in batches:
+        names, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+        # a cut before each new scope and before its rows
+        cuts = np.flatnonzero((np.diff(names, prepend=names[:1]) != 0) | (np.diff(at < 0, prepend=at[:1] < 0) != 0)).tolist()
+        for x, y in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            if x == y:
+                continue
+            if names[x] != scope:
+                scope, parts, values = int(names[x]), [], np.zeros(0, np.int64)
+            if at[x] < 0:
+                parts.append(b.column(2)[x:y].to_numpy())
+                continue
+            if parts:
+                values, parts = np.concatenate(parts), []
+            yield scope, values, at[x:y], pa.RecordBatch.from_struct_array(b.column(3).slice(x, y - x))
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of grams and totals beside the ids of their scope's words: a row for each n-gram, as ids."""
+    for scope, ids, at, rows in _met(batches):
+        size, gram = rows["grams"].value_lengths().to_numpy(), rows["grams"].flatten()
+        named = lists(ids[gram.flatten().to_numpy()], gram.value_lengths().to_numpy(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), scope)), pa.array(ranges(at, size)), named, rows["totals"].flatten()], ["scope", "at", "gram", "n"])
 
 
 def id_tuples(coded_texts: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """(scope, at, gram, n): every scope's distinct n-grams as tuples of dictionary ids, with their counts in it."""
-    scopes = _scopes(coded_texts)
+    named = coded_texts.filter("words is not null")
     if most == 1:  # a tuple of one id is there as soon as its word has met the dictionary
-        said = scopes.select("scope", F.posexplode(F.arrays_zip(F.transform("grams", lambda g: F.get("words", g[0])).alias("word"), F.col("totals").alias("n"))).alias("at", "x"))
-        return said.select("scope", "at", F.col("x.word").alias("word"), F.col("x.n").alias("n")).join(known, "word").select("scope", "at", F.array("id").alias("gram"), "n")
-    places = scopes.select("scope", F.posexplode("words").alias("at", "word")).join(known, "word")
-    ids = _gathered(places.select("scope", "at", "id"), "id", "ids")
-    named = F.transform("grams", lambda g: F.transform(g, lambda i: F.get("ids", i)))
-    each = scopes.select("scope", "grams", "totals").join(ids, "scope")
-    return each.select("scope", F.posexplode(F.arrays_zip(named.alias("gram"), F.col("totals").alias("n"))).alias("at", "x")).select("scope", "at", F.col("x.gram").alias("gram"), F.col("x.n").alias("n"))
+        said = named.select("scope", "at", F.posexplode(F.arrays_zip("words", "totals")).alias("i", "x")).select("scope", (F.col("at") + F.col("i")).alias("at"), F.col("x.words").alias("word"), F.col("x.totals").alias("n"))
+        return said.join(known, "word").select("scope", "at", F.array("id").alias("gram"), "n")
+    places = named.select("scope", "at", F.posexplode("words").alias("i", "word")).join(known, "word").select("scope", (F.col("at") + F.col("i")).alias("at"), F.col("id").alias("value"))
+    rows = coded_texts.filter("grams is not null").select("scope", "at", F.struct("grams", "totals").alias("row"))
+    return _beside(places, rows).mapInArrow(_named, "scope long, at long, gram array<long>, n long")
 
 
 def hashed_tuples(tuples: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
@@ -191,16 +240,15 @@ def gain(s: Column, t: Column, all_s: Column, all_t: Column, buckets: int) -> Co
 
 
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, text_key, n_words, n_features, sizes, gram, count, and the gains of their scope."""
-    for b in batches:
-        for i in range(b.num_rows):
-            doc_id, text_key, n_words, n_features, sizes, gram, count, gains = (c[i].values for c in b.columns)
-            each = np.zeros(len(gram) + 1, np.int64)
-            if len(gram):
-                np.cumsum(np.asarray(gains)[np.asarray(gram)] * np.asarray(count).astype(np.int64), out=each[1:])
-            ends = np.cumsum(np.asarray(sizes), dtype=np.int64)
-            weight = each[ends] - each[ends - np.asarray(sizes)]
-            yield pa.RecordBatch.from_arrays([doc_id, text_key, n_words, n_features, pa.array(weight)], ["doc_id", "text_key", "n_words", "n_features", "weight"])
+    """Rows of texts beside the gains of their scope: a row for each text. What the rows of a text give is carried on to its last one."""
+    carried = 0
+    for _, gains, _, rows in _met(batches):
+        gram, count, size = rows["gram"].flatten().to_numpy(), rows["count"].flatten().to_numpy(), rows["gram"].value_lengths().to_numpy()
+        so_far = np.concatenate([[0], np.cumsum(gains[gram] * count)]).astype(np.int64)[np.cumsum(size, dtype=np.int64)] + carried
+        last = np.flatnonzero(rows["last"].to_numpy(zero_copy_only=False))
+        done = so_far[last]
+        carried = int(so_far[-1]) - (int(done[-1]) if len(done) else 0)
+        yield pa.RecordBatch.from_arrays([*(rows[c].take(pa.array(last)) for c in _TEXT), pa.array(np.diff(done, prepend=0))], [*_TEXT, "weight"])
 
 
 def weights(docs: DataFrame, target: DataFrame, least: int = LEAST, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
@@ -214,11 +262,10 @@ def weights(docs: DataFrame, target: DataFrame, least: int = LEAST, most: int =
     per_bucket = features.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     totals = features.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))  # one row
     gains = per_bucket.crossJoin(F.broadcast(totals)).select("bucket", gain(F.col("s"), F.col("t"), F.col("all_s"), F.col("all_t"), buckets).alias("gain"))
-    worth = features.filter("s > 0").join(F.broadcast(gains), "bucket").select("gram", "gain")
-    back = _gathered(grams.select("scope", "at", "gram").join(worth, "gram").select("scope", "at", "gain"), "gain", "gains")
-    texts = own.filter("words is null").select("scope", "doc_id", "text_key", "n_words", "n_features", "sizes", "gram", "count")
-    rows = texts.join(back, "scope", "left").withColumn("gains", F.coalesce("gains", F.array().cast("array<long>"))).drop("scope")
-    out = written(rows.mapInArrow(_weighed, "doc_id long, text_key long, n_words long, n_features long, weight long"), "weights")
+    worth = features.filter("s > 0").join(F.broadcast(gains), "bucket").select("gram", F.col("gain").alias("value"))
+    texts = own.filter("gram is not null").select("scope", "at", F.struct(*_TEXT, "gram", "count", "last").alias("row"))
+    rows = _beside(grams.select("scope", "at", "gram").join(worth, "gram"), texts)
+    out = written(rows.mapInArrow(_weighed, ", ".join(f"{c} long" for c in [*_TEXT, "weight"])), "weights")
     drop(own, wanted, known, grams, features)
     return out
 

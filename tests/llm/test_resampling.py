@@ -8,8 +8,9 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.llm import resampling
+from quillspark.llm import common, resampling
 
 SCHEMA = "doc_id long, text string, scope string, gain string, rank string, id long, word string"
 r = random.Random(9)
@@ -117,3 +118,26 @@ def test_empty_tables(spark):
     assert resampling.ranked(resampling.weights(docs.limit(0), target)).count() == 0
     got = resampling.weights(docs, target.limit(0)).select("doc_id", "n_words", "n_features", "weight").collect()
     assert sorted(map(tuple, got)) == sorted(x[:4] for x in plain(ROWS[:30], []))
+
+
+def test_no_row_grows_with_what_a_task_reads(spark):
+    """Rows that hold a whole chunk's or scope's lists fill an executor, as Spark's reader decodes thousands of rows at once."""
+    rows = [(i, " ".join(f"w{(i * 61 + j) % 4000}" for j in range(2500))) for i in range(60)] + [(99, None)]
+    docs = table(spark, rows).coalesce(1)
+    for most in (1, 2):
+        own = resampling.coded(docs, 1, most, "t")
+        largest = own.agg(*(F.max(F.size(c)).alias(c) for c, kind in own.dtypes if kind.startswith("array"))).first()
+        assert max(x or 0 for x in largest) <= 1024
+    got = resampling.weights(docs, spark.createDataFrame([(t,) for t in TARGET], "text string")).select("doc_id", "n_words", "n_features", "weight").collect()
+    assert sorted(map(tuple, got)) == sorted(x[:4] for x in plain(rows, TARGET))
+
+
+@pytest.mark.parametrize("least, most", [(1, 1), (1, 3)])
+def test_texts_in_many_pieces(spark, least, most, small_chunks, monkeypatch):
+    """Pieces of three values and batches of five rows: texts, scopes and batches end at places of their own."""
+    monkeypatch.setattr(resampling, "PIECE", 3, raising=False)
+    monkeypatch.setitem(common._WRITING, "spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    rows = ROWS[:60] + ROWS[300:310]
+    got = resampling.weights(table(spark, rows), spark.createDataFrame([(t,) for t in TARGET], "text string"), least, most)
+    want = sorted((x[:4] for x in plain(rows, TARGET, least, most)), key=str)
+    assert sorted((tuple(x) for x in got.select("doc_id", "n_words", "n_features", "weight").collect()), key=str) == want
