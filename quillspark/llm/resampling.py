@@ -7,7 +7,8 @@ dictionary once, hashed once, and its bucket's gain goes back to every scope tha
 scope and distinct n-gram, not for each word of the corpus, and no text. Only the table of at most BUCKETS gains is broadcast.
 
 Lists are cut into rows of at most PIECE values, so no row grows with a scope, a text or a task's input. Where a scope's rows need a value for each of
-its numbers, the values come first in the sorted task and the rows stream past them: a task holds one scope's values and one batch.
+its numbers, the values go to its task packed in such lists and stand first there, and the rows stream past them: a task holds one scope's
+values and one batch.
 
 The gain of a bucket is the scaled log ratio of its smoothed shares in target and source; a document's weight sums the
 gains over its n-grams. A Gumbel draw from seed and doc_id is added, and the highest scores are drawn without
@@ -43,7 +44,7 @@ SCALE = 1000
 #: Documents of at least so many words are drawn from; so many of a hundred of them are drawn.
 MIN_WORDS, PERCENT = 20, 10
 #: Text that is coded at once; a longer document is one alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Words, or n-grams, of a scope, and bytes of its words; the text that is being coded may add to them.
 SCOPE_WORDS, SCOPE_BYTES = 400_000, 32 << 20
 
@@ -53,8 +54,8 @@ PIECE = 1 << 10
 #: Rows of texts, in order of `at` and each text's last one marked; of words, and of n-grams with how often they occur, from number `at` on. Where
 #: n-grams are single words, one row has both.
 _CODED = "scope long, at long, words array<string>, grams array<array<int>>, totals array<long>, doc_id long, text_key long, n_words long, n_features long, gram array<int>, count array<int>, last boolean"
-#: Values of a scope stand so far before its rows.
-_BEFORE = 1 << 40
+#: Values that a task holds before it sends them on, each scope's together.
+HELD = 1 << 19
 _TEXT = ["doc_id", "text_key", "n_words", "n_features"]
 
 
@@ -181,14 +182,39 @@ def dictionary(*coded_texts: DataFrame) -> DataFrame:
     return written(both.distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
 
 
+def _packed(piece: int, held: int):
+    """Rows of scope, at, value as few rows with lists of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for b in batches:
+            parts.append([c.to_numpy() for c in b.columns])
+            n += b.num_rows
+            if n >= held:
+                yield packed(parts)
+                parts, n = [], 0
+        if n:
+            yield packed(parts)
+
+    def packed(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        scope, at, value = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(scope, kind="stable")
+        names, sizes = np.unique(scope, return_counts=True)
+        size, last = _pieces(sizes, piece)
+        cols = [np.repeat(names, np.diff(last, prepend=-1)), np.full(len(size), -1)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), lists(at[order], size, pa.int32()), lists(value[order], size, pa.int64())], ["scope", "at", "places", "values"])
+
+    return run
+
+
 def _beside(values: DataFrame, rows: DataFrame) -> DataFrame:
-    """values (scope, at, value) and rows (scope, at, row), each scope's in one task, its values first, all in order."""
-    both = values.select("scope", (F.col("at") - _BEFORE).alias("at"), "value", F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
-    return both.unionByName(rows.withColumn("value", F.lit(None).cast("long"))).repartition("scope").sortWithinPartitions("scope", "at")
+    """values (scope, at, value) and rows (scope, at, row), each scope's in one task, its values first, then its rows in order."""
+    both = values.select("scope", "at", "value").mapInArrow(_packed(PIECE, HELD), "scope long, at long, places array<int>, values array<long>")
+    return both.unionByName(rows, allowMissingColumns=True).repartition("scope").sortWithinPartitions("scope", "at")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """(scope, values, at, rows): rows of one scope, as they come, with all values of it."""
+    """(scope, values, at, rows): rows of one scope, as they come, with all values of it by place."""
     scope, parts, values = None, [], np.zeros(0, np.int64)
     for b in batches:
         names, at = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -200,11 +226,13 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, n
             if names[x] != scope:
                 scope, parts, values = int(names[x]), [], np.zeros(0, np.int64)
             if at[x] < 0:
-                parts.append(b.column(2)[x:y].to_numpy())
+                parts.append([c.slice(x, y - x).flatten().to_numpy() for c in b.columns[2:4]])
                 continue
             if parts:
-                values, parts = np.concatenate(parts), []
-            yield scope, values, at[x:y], pa.RecordBatch.from_struct_array(b.column(3).slice(x, y - x))
+                place, value = map(np.concatenate, zip(*parts, strict=True))
+                values, parts = np.zeros(len(place), np.int64), []
+                values[place] = value
+            yield scope, values, at[x:y], pa.RecordBatch.from_struct_array(b.column(4).slice(x, y - x))
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

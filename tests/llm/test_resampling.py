@@ -136,6 +136,7 @@ def test_no_row_grows_with_what_a_task_reads(spark):
 def test_texts_in_many_pieces(spark, least, most, small_chunks, monkeypatch):
     """Pieces of three values and batches of five rows: texts, scopes and batches end at places of their own."""
     monkeypatch.setattr(resampling, "PIECE", 3, raising=False)
+    monkeypatch.setattr(resampling, "HELD", 17, raising=False)
     monkeypatch.setitem(common._WRITING, "spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     rows = ROWS[:60] + ROWS[300:310]
     got = resampling.weights(table(spark, rows), spark.createDataFrame([(t,) for t in TARGET], "text string"), least, most)
